@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, feistel_pii
-from .common import read_table
+from functools import wraps
+
+from ..session import ship_package
+from . import bpe_lexicon, exact_dedup, feistel_pii, packing, wavelet
+from .common import Scratch, read_table
+
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        return query(ship_package(spark), sf_dir)
+
+    return run
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_wavelet_token_shards(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return wavelet.read_documents(wavelet.write_shards(docs, Scratch(spark, "wavelet")))
+
+
+def op5_grouping_ga_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op8_feistel_pii(spark, sf_dir):
     return feistel_pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op9_lexicon_bpe(spark, sf_dir):
+    return bpe_lexicon.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op8_feistel_pii)}
+    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op8_feistel_pii, op9_lexicon_bpe)}
 
 
 def oracle_sql():
