@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship_package
-from . import bpe_lexicon, exact_dedup, feistel_pii, packing, wavelet
+from . import bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, packing, secret_scan, wavelet
 from .common import Scratch, read_table
 
 
@@ -30,6 +30,14 @@ def op5_grouping_ga_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op6_randomness_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op7_bayes_quality(spark, sf_dir):
+    return bayes_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_feistel_pii(spark, sf_dir):
     return feistel_pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
@@ -39,7 +47,7 @@ def op9_lexicon_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op8_feistel_pii, op9_lexicon_bpe)}
+    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op6_randomness_secret_scan, op7_bayes_quality, op8_feistel_pii, op9_lexicon_bpe)}
 
 
 def oracle_sql():
