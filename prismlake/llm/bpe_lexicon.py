@@ -246,20 +246,13 @@ class LexiconEncoder(tokens.PieceEncoder):
         self.token_bytes = [self.merges.bytes_of.get(i, b"") for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
 
-    def _learn(self, cache: dict[str, bytes], pieces: list[str], mark: str) -> None:
-        lead = mark if mark == " " else ""
-        raw = [(lead + p).encode() for p in pieces]
-        found = self.lexicon.numbers(raw).tolist()
-        unseen = []
-        for p, k in zip(pieces, found, strict=True):
-            if k >= 0:
-                cache[p] = self.lexicon.ids_of(k)
-            else:
-                unseen.append(p)
-        parts = [self.pattern.findall(lead + p) for p in unseen]
+    def _ids_of_words(self, keys: list[str]) -> list[bytes]:
+        words = [k[1:] if k[0] == tokens.TEXT_START else k if k[0] == tokens.LINE_START else " " + k for k in keys]
+        numbers = self.lexicon.numbers([w.encode() for w in words]).tolist()
+        parts = [self.pattern.findall(w) if k < 0 else [] for w, k in zip(words, numbers, strict=True)]
         own = list({w for x in parts for w in x})
         merged = dict(zip(own, self.merges.many([w.encode() for w in own]), strict=True))
-        cache.update((p, b"".join([merged[w] for w in x])) for p, x in zip(unseen, parts, strict=True))
+        return [self.lexicon.ids_of(k) if k >= 0 else b"".join([merged[w] for w in x]) for k, x in zip(numbers, parts, strict=True)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -282,24 +275,19 @@ class LexiconEncoder(tokens.PieceEncoder):
 
 
 def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces with their leading space, of texts that split into pieces."""
-    after, start = Counter(), Counter()
+    """Pieces, those at a line's start with the line end before them, of texts that split into pieces."""
+    seen: Counter = Counter()
 
     def out():
-        words = [" " + w for w in after] + list(start)
-        frame = pd.DataFrame({"word": words, "n": [*after.values(), *start.values()]})
-        after.clear()
-        start.clear()
+        frame = pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        seen.clear()
         return frame
 
     for frame in frames:
         for text in frame["text"]:
             if tokens.splits(text):
-                for line in text.split("\n"):
-                    row = line.split(" ")
-                    start[row[0]] += 1
-                    after.update(row[1:])
-            if len(after) > 1_000_000:
+                seen.update(tokens.pieces(text)[1:])
+            if len(seen) > 1_000_000:
                 yield out()
     yield out()
 
@@ -307,11 +295,9 @@ def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def build_lexicon(df: DataFrame, text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, words: int = LEXICON_WORDS) -> bytes:
     """Count the words of all documents, and compile the most frequent ones; the driver gets no more than words of them."""
     counted = df.select(text_of(text_col).alias("text")).mapInPandas(_count_pieces, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r["word"] for r in counted.where((F.length("word") > 0) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(words).collect()]
-    encoder = LexiconEncoder(Lexicon(compile_lexicon({})), vocabulary)
-    encoder._learn(made := {}, [w[1:] for w in top if w[0] == " "], " ")
-    encoder._learn(plain := {}, [w for w in top if w[0] != " "], "\n")
-    return compile_lexicon({(" " + w).encode(): ids for w, ids in made.items()} | {w.encode(): ids for w, ids in plain.items()})
+    top = [r["word"] for r in counted.where((F.length("word") > 0) & (F.col("word") != "\n") & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(words).collect()]
+    merged = LexiconEncoder(Lexicon(compile_lexicon({})), vocabulary)._ids_of_words(top)
+    return compile_lexicon({(w if w[0] == tokens.LINE_START else " " + w).encode(): ids for w, ids in zip(top, merged, strict=True)})
 
 
 _open: dict[str, LexiconEncoder] = {}

@@ -14,16 +14,31 @@ import re
 import numpy as np
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps, about 200 bytes each; at this number it starts anew.
-CACHED_PIECES = 600_000
+#: Pieces that a worker keeps, about 200 bytes each. Frequent ones come early; once so many are kept, new ones are encoded whenever they occur.
+CACHED_PIECES = 800_000
 #: Outside these characters, Unicode versions may differ in what a letter is, or there is other white space.
 _UNUSUAL = re.compile("[^\n -~\xa1-ӿ]")
+_USUAL = bytes([10, *range(32, 127), *range(161, 256)])
+#: Marks that end a word: a word of letters and such an end are encoded apart.
+_ENDS = ".,;:!?$%&*#|)"
 _BATCH_CHARS = 1 << 16
 
+#: What the key of a piece starts with at a line's start and at the text's start; after a space, nothing is added.
+LINE_START, TEXT_START = "\n", "\0"
+
 
 def splits(text: str) -> bool:
     """Whether each piece between spaces and line ends can be encoded on its own."""
-    return not (_UNUSUAL.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+    try:
+        unusual = bool(text.encode("latin-1").translate(None, _USUAL))
+    except UnicodeEncodeError:
+        unusual = _UNUSUAL.search(text) is not None
+    return not (unusual or "  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+
+
+def pieces(text: str) -> list[str]:
+    """The keys of a text that splits: each piece with what stands before it."""
+    return (TEXT_START + text.replace("\n", " \n")).split(" ")
 
 
 def vocabulary_path(name_or_path: str = DEFAULT_VOCABULARY) -> str:
@@ -45,70 +60,87 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        size = self.library.get_vocab_size()
         self.newline, self.space = self.library.token_to_id("Ċ"), self.library.token_to_id("Ġ")
-        self.starts = np.zeros(size, dtype=bool)
+        self.starts = np.zeros(self.library.get_vocab_size(), dtype=bool)
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith("Ġ")
         self.plain = self.newline is not None and self.space is not None
-        self._clear()
-
-    def _clear(self) -> None:
-        as_bytes = lambda i: int(i).to_bytes(4, "little")
-        self.after_space: dict[str, bytes] = {"": as_bytes(self.space or 0)}
-        self.at_start: dict[str, bytes] = {"": b""}
-
-    def _learn(self, cache: dict[str, bytes], pieces: list[str], mark: str) -> None:
-        """Encode pieces, each after the mark, and keep the ids of each."""
-        lot, chars, lots = [], 0, []
-        for p in pieces:
-            lot.append(p)
-            chars += len(p) + 1
-            if chars > _BATCH_CHARS:
+        as_bytes = lambda i: int(i or 0).to_bytes(4, "little")
+        self.fixed = {"": as_bytes(self.space), LINE_START: as_bytes(self.newline), TEXT_START: b""}
+        self.known = dict(self.fixed)
+
+    def _ids_of_words(self, keys: list[str]) -> list[bytes]:
+        """The ids of each key, by the library: keys of one kind are joined to texts and told apart by their first ids."""
+        out: dict[str, bytes] = {}
+        for kind in ("", LINE_START, TEXT_START):
+            own = [k for k in keys if (k[0] if k[0] in "\n\0" else "") == kind]
+            lots, lot, chars = [], [], 0
+            for k in own:
+                lot.append(k)
+                chars += len(k) + 1
+                if chars > _BATCH_CHARS:
+                    lots.append(lot)
+                    lot, chars = [], 0
+            if lot:
                 lots.append(lot)
-                lot, chars = [], 0
-        if lot:
-            lots.append(lot)
-        joined = [mark + mark.join(x) for x in lots]
-        for lot, got in zip(lots, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, dtype="<u4")
-            if mark == " ":
-                at = np.flatnonzero(self.starts[ids])
-                first = at
+            joined = [" " + " ".join(x) if not kind else "".join(x).replace(TEXT_START, LINE_START) for x in lots]
+            for lot, got in zip(lots, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, dtype="<u4")
+                at = np.flatnonzero(ids == self.newline if kind else self.starts[ids])
+                if len(at) != len(lot):
+                    raise ValueError("the vocabulary joins words; it can't be encoded by pieces")
+                raw, first, last = ids.tobytes(), ((at + (kind == TEXT_START)) * 4).tolist(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+                out.update((k, raw[a:b]) for k, a, b in zip(lot, first, last, strict=True))
+        return [out[k] for k in keys]
+
+    def _encode_new(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of keys that aren't known; kept while there is room."""
+        known = self.known
+        new: set[str] = set()
+        parts: list[tuple[str, str, str]] = []
+        for k in keys:
+            word = k.rstrip(_ENDS)
+            if len(word) < len(k) and (word[1:] if word[:1] in (LINE_START, TEXT_START) else word).isalpha():
+                end = TEXT_START + k[len(word) :]
+                parts.append((k, word, end))
+                new.add(word)
+                new.add(end)
             else:
-                at = np.flatnonzero(ids == self.newline)
-                first = at + 1
-            if len(at) != len(lot):
-                raise ValueError("the vocabulary joins words; it can't be encoded by pieces")
-            raw, first, last = ids.tobytes(), (first * 4).tolist(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-            cache.update((p, raw[a:b]) for p, a, b in zip(lot, first, last, strict=True))
+                new.add(k)
+        new.difference_update(known)
+        words = list(new)
+        found = dict(zip(words, self._ids_of_words(words), strict=True))
+        ids_of = lambda x: found[x] if x in found else known[x]
+        found.update([(k, ids_of(word) + ids_of(end)) for k, word, end in parts])
+        if len(known) < CACHED_PIECES:
+            known.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        lines: list[tuple[int, list[list[str]]]] = []
         whole: list[int] = []
+        waiting: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
+        unknown: set[str] = set()
+        get = self.known.get
         for k, text in enumerate(texts):
-            if self.plain and splits(text) and not any(s in text for s in self.special):
-                lines.append((k, [line.split(" ") for line in text.split("\n")]))
-            else:
+            if not self.plain or not splits(text) or any(s in text for s in self.special):
                 whole.append(k)
-        if len(self.after_space) + len(self.at_start) > CACHED_PIECES:
-            self._clear()
-        new_space, new_start = set(), set()
-        for _, rows in lines:
-            for row in rows:
-                new_start.add(row[0])
-                new_space.update(row[1:])
-        new_space.difference_update(self.after_space)
-        new_start.difference_update(self.at_start)
-        if new_space:
-            self._learn(self.after_space, list(new_space), " ")
-        if new_start:
-            self._learn(self.at_start, list(new_start), "\n")
-        space, start, end = self.after_space.__getitem__, self.at_start, int(self.newline or 0).to_bytes(4, "little")
-        for k, rows in lines:
-            out[k] = end.join([start[row[0]] + b"".join(map(space, row[1:])) for row in rows])
+                continue
+            keys = pieces(text)
+            values = list(map(get, keys))
+            if None in values:
+                gaps = [(i, keys[i]) for i, v in enumerate(values) if v is None]
+                unknown.update([x for _, x in gaps])
+                waiting.append((k, values, gaps))
+            else:
+                out[k] = b"".join(values)
+        if unknown:
+            found = self._encode_new(unknown)
+            for k, values, gaps in waiting:
+                for i, x in gaps:
+                    values[i] = found[x]
+                out[k] = b"".join(values)
         if whole:
             for k, raw in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
                 out[k] = raw
