@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship_package
-from . import bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, packing, secret_scan, wavelet
+from . import bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, hmm_scoring, packing, secret_scan, wavelet
 from .common import Scratch, read_table
 
 
@@ -46,8 +46,12 @@ def op9_lexicon_bpe(spark, sf_dir):
     return bpe_lexicon.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op10_hmm_scoring(spark, sf_dir):
+    return hmm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op6_randomness_secret_scan, op7_bayes_quality, op8_feistel_pii, op9_lexicon_bpe)}
+    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op6_randomness_secret_scan, op7_bayes_quality, op8_feistel_pii, op9_lexicon_bpe, op10_hmm_scoring)}
 
 
 def oracle_sql():
