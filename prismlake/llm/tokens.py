@@ -8,6 +8,7 @@ for a piece and then looks it up. Any other text goes to the library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -19,9 +20,7 @@ CACHED_PIECES = 800_000
 #: Outside these characters, Unicode versions may differ in what a letter is, or there is other white space.
 _UNUSUAL = re.compile("[^\n -~\xa1-ӿ]")
 _USUAL = bytes([10, *range(32, 127), *range(161, 256)])
-#: Marks that end a word: a word of letters and such an end are encoded apart.
-_ENDS = ".,;:!?$%&*#|)"
-_BATCH_CHARS = 1 << 16
+_BATCH_PIECES = 4096
 
 #: What the key of a piece starts with at a line's start and at the text's start; after a space, nothing is added.
 LINE_START, TEXT_START = "\n", "\0"
@@ -71,57 +70,43 @@ class PieceEncoder:
 
     def _ids_of_words(self, keys: list[str]) -> list[bytes]:
         """The ids of each key, by the library: keys of one kind are joined to texts and told apart by their first ids."""
-        out: dict[str, bytes] = {}
-        for kind in ("", LINE_START, TEXT_START):
-            own = [k for k in keys if (k[0] if k[0] in "\n\0" else "") == kind]
-            lots, lot, chars = [], [], 0
-            for k in own:
-                lot.append(k)
-                chars += len(k) + 1
-                if chars > _BATCH_CHARS:
-                    lots.append(lot)
-                    lot, chars = [], 0
-            if lot:
-                lots.append(lot)
-            joined = [" " + " ".join(x) if not kind else "".join(x).replace(TEXT_START, LINE_START) for x in lots]
-            for lot, got in zip(lots, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, dtype="<u4")
+        out: list[bytes] = [b""] * len(keys)
+        marks = [k[0] for k in keys]
+        kinds = {LINE_START: [], TEXT_START: [], "": []}
+        if LINE_START in marks or TEXT_START in marks:
+            for i, m in enumerate(marks):
+                kinds[m if m in kinds else ""].append(i)
+        else:
+            kinds[""] = range(len(keys))
+        for kind, own in kinds.items():
+            for first in range(0, len(own), _BATCH_PIECES):
+                lot = own[first : first + _BATCH_PIECES]
+                words = [keys[i] for i in lot]
+                joined = "".join(words).replace(TEXT_START, LINE_START) if kind else " " + " ".join(words)
+                ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
                 at = np.flatnonzero(ids == self.newline if kind else self.starts[ids])
                 if len(at) != len(lot):
                     raise ValueError("the vocabulary joins words; it can't be encoded by pieces")
-                raw, first, last = ids.tobytes(), ((at + (kind == TEXT_START)) * 4).tolist(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-                out.update((k, raw[a:b]) for k, a, b in zip(lot, first, last, strict=True))
-        return [out[k] for k in keys]
-
-    def _encode_new(self, keys: set[str]) -> dict[str, bytes]:
-        """The ids of keys that aren't known; kept while there is room."""
-        known = self.known
-        new: set[str] = set()
-        parts: list[tuple[str, str, str]] = []
-        for k in keys:
-            word = k.rstrip(_ENDS)
-            if len(word) < len(k) and (word[1:] if word[:1] in (LINE_START, TEXT_START) else word).isalpha():
-                end = TEXT_START + k[len(word) :]
-                parts.append((k, word, end))
-                new.add(word)
-                new.add(end)
-            else:
-                new.add(k)
-        new.difference_update(known)
-        words = list(new)
-        found = dict(zip(words, self._ids_of_words(words), strict=True))
-        ids_of = lambda x: found[x] if x in found else known[x]
-        found.update([(k, ids_of(word) + ids_of(end)) for k, word, end in parts])
-        if len(known) < CACHED_PIECES:
-            known.update(found)
-        return found
+                raw, starts, ends = ids.tobytes(), ((at + (kind == TEXT_START)) * 4).tolist(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+                for i, a, b in zip(lot, starts, ends, strict=True):
+                    out[i] = raw[a:b]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        collecting = gc.isenabled()
+        gc.disable()  # the many short lists below hold no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole: list[int] = []
-        waiting: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
-        unknown: set[str] = set()
+        waiting: list[tuple[int, list[bytes | None], list[int]]] = []
+        unknown: list[str] = []
         get = self.known.get
         for k, text in enumerate(texts):
             if not self.plain or not splits(text) or any(s in text for s in self.special):
@@ -130,16 +115,21 @@ class PieceEncoder:
             keys = pieces(text)
             values = list(map(get, keys))
             if None in values:
-                gaps = [(i, keys[i]) for i, v in enumerate(values) if v is None]
-                unknown.update([x for _, x in gaps])
+                gaps = [i for i, v in enumerate(values) if v is None]
+                unknown += [keys[i] for i in gaps]
                 waiting.append((k, values, gaps))
             else:
                 out[k] = b"".join(values)
         if unknown:
-            found = self._encode_new(unknown)
+            if len(self.known) < CACHED_PIECES:
+                new = list(set(unknown))
+                self.known.update(zip(new, self._ids_of_words(new), strict=True))
+                found = map(self.known.__getitem__, unknown)
+            else:  # what isn't known by now is rare: hardly a piece occurs twice here
+                found = iter(self._ids_of_words(unknown))
             for k, values, gaps in waiting:
-                for i, x in gaps:
-                    values[i] = found[x]
+                for i in gaps:
+                    values[i] = next(found)
                 out[k] = b"".join(values)
         if whole:
             for k, raw in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
