@@ -46,7 +46,7 @@ def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
         ranks = np.concatenate(([0], np.cumsum(per_step))).astype("<u4")
         ones = int(ranks[-1])
         parts += [struct.pack("<Q", n - ones), padded.tobytes(), ranks.tobytes()]
-        a = np.concatenate((a[~bit], a[bit]))
+        a = np.concatenate((a.take(np.flatnonzero(~bit)), a.take(np.flatnonzero(bit))))
     return b"".join(parts)
 
 
@@ -124,8 +124,8 @@ class Shard:
         for level, (zeros, plane, _) in zip(range(self.bits), reversed(self.planes), strict=True):
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(a)
-            up[~bit] = a[:zeros]
-            up[bit] = a[zeros:] | a.dtype.type(1 << level)
+            up[np.flatnonzero(~bit)] = a[:zeros]
+            up[np.flatnonzero(bit)] = a[zeros:] | a.dtype.type(1 << level)
             a = up
         return a
 
