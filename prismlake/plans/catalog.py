@@ -1,15 +1,450 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with their SQL.
+
+embeddings stand for the pixels of one frame (p = vec_id, 25 to a row, label as
+truth), lineitem for four-band pixels in number, events for results of frames.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import CubeShape, DetectionParams, Polarity
+from ..operators import detect, evaluate, layout, library, moments, scoring
+from ..session import ship_package
+
+WIDTH = 25
+#: Angles to the nearest class mean lie about 1.35; a tenth of the pixels passes LOW and HIGH, a third WIDE.
+LOW, HIGH, WIDE = 1.25, 1.44, 1.32
+CAP = 7
+#: lineitem's four bands, each brought to a range of about one.
+SCALE = (("l_quantity", 50.0), ("l_extendedprice", 100000.0), ("l_discount", 0.1), ("l_tax", 0.08))
+LOADING = 1e-3
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return e.select(F.lit(0).cast("long").alias("frame_index"), F.col("vec_id").alias("p"), F.floor(F.col("vec_id") / WIDTH).cast("int").alias("y"), (F.col("vec_id") % WIDTH).cast("int").alias("x"), F.col("embedding").alias("spectrum"), F.col("label").cast("short").alias("label"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", F.array(*[(F.col(c) / s).cast("double") for c, s in SCALE]).alias("spectrum"), "l_returnflag")
+
+
+def _class_library(spark: SparkSession, sf_dir: str) -> library.Library:
+    return moments.class_library(pixels(spark, sf_dir))
+
+
+def _item_library(spark: SparkSession, sf_dir: str) -> library.Library:
+    rows = moments.class_means(items(spark, sf_dir), "l_returnflag").orderBy("label").collect()
+    return library.Library(tuple(r["label"] for r in rows), np.array([r["values"] for r in rows]))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.sam_best(pixels(spark, sf_dir), _class_library(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+# Detection
+
+
+def class_mean_library(spark, sf_dir):
+    means = moments.class_means(pixels(spark, sf_dir))
+    return means.select(F.col("label").cast("long").alias("label"), "n", F.posexplode("values").alias("band", "value")).select("label", "n", F.col("band").cast("long").alias("band"), F.round("value", 6).alias("value"))
+
+
+def library_norms(spark, sf_dir):
+    return _rounded(library.norms(_class_library(spark, sf_dir).frame(spark)), "norm", digits=5)
+
+
+def library_flatten(spark, sf_dir):
+    return _rounded(library.flatten(_class_library(spark, sf_dir).frame(spark)), "value", digits=5)
+
+
+def sam_all_targets(spark, sf_dir):
+    return _rounded(scoring.sam_all(pixels(spark, sf_dir), _class_library(spark, sf_dir)).select("p", "target", "angle"), "angle")
+
+
+def sam_best_match(spark, sf_dir):
+    return _rounded(_scores(spark, sf_dir).select("p", "target", "score"), "score")
+
+
+def sam_single_target(spark, sf_dir):
+    lib = _class_library(spark, sf_dir).only("3")
+    return _rounded(scoring.sam_best(pixels(spark, sf_dir), lib, strategy="sql").select("p", "target", "score"), "score")
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Detections of the class means: scored, thresholded, suppressed and capped."""
+    ship_package(spark)
+    return detect.detect(_scores(spark, sf_dir), DetectionParams(WIDE, 2))
+
+
+def threshold_low(spark, sf_dir):
+    return _rounded(detect.threshold(_scores(spark, sf_dir), DetectionParams(LOW)).select("p", "target", "score"), "score")
+
+
+def threshold_high(spark, sf_dir):
+    return _rounded(detect.threshold(_scores(spark, sf_dir), DetectionParams(HIGH, polarity=Polarity.HIGHER)).select("p", "target", "score"), "score")
+
+
+def _nms(spark, sf_dir, params, plan):
+    return detect.nms(_scores(spark, sf_dir), params, plan).select("p", "y", "x", "target")
+
+
+def nms_low(spark, sf_dir):
+    return _nms(spark, sf_dir, DetectionParams(WIDE, 2), "candidates")
+
+
+def nms_low_dense(spark, sf_dir):
+    return _nms(spark, sf_dir, DetectionParams(WIDE, 2), "dense")
+
+
+def nms_high(spark, sf_dir):
+    return _nms(spark, sf_dir, DetectionParams(HIGH, 1, polarity=Polarity.HIGHER), "candidates")
+
+
+def nms_radius0(spark, sf_dir):
+    return _nms(spark, sf_dir, DetectionParams(WIDE, 0), "candidates")
+
+
+def detections_capped(spark, sf_dir):
+    found = detect.detect(_scores(spark, sf_dir), DetectionParams(WIDE, 1, CAP))
+    return found.select("x", "y", "target", "detections_found")
+
+
+def detections_per_target(spark, sf_dir):
+    lib = _class_library(spark, sf_dir)
+    found = detect.detect(scoring.sam_best(pixels(spark, sf_dir), lib), DetectionParams(WIDE, 1))
+    return detect.per_target(found, lib.frame(spark))
+
+
+# Statistics
+
+
+def band_mean(spark, sf_dir):
+    return _rounded(moments.band_means(pixels(spark, sf_dir)), "mean")
+
+
+def scene_moments(spark, sf_dir):
+    return _rounded(moments.moments_long(pixels(spark, sf_dir)).select("i", "j", "n", "product"), "product")
+
+
+def scene_covariance(spark, sf_dir):
+    return _rounded(moments.covariance_long(pixels(spark, sf_dir), loading=LOADING), "covariance")
+
+
+def scene_correlation(spark, sf_dir):
+    return _rounded(moments.correlation_long(pixels(spark, sf_dir), loading=LOADING), "correlation")
+
+
+def _moment_rows(spark, m: moments.Moments) -> DataFrame:
+    rows = [(i, j, float(m.n), float(m.s[i]), float(m.o[i, j])) for i in range(len(m.s)) for j in range(i + 1)]
+    return _rounded(spark.createDataFrame(rows, "i int, j int, n double, sum_i double, product double"), "sum_i", "product", digits=4)
+
+
+def moments_merge(spark, sf_dir):
+    """Over Arrow batches, partial results merged in two steps."""
+    return _moment_rows(spark, moments.moments(items(spark, sf_dir)))
+
+
+def moments_shifted(spark, sf_dir):
+    """The same from sums of differences from a reference spectrum."""
+    return _moment_rows(spark, moments.moments(items(spark, sf_dir), reference=np.array([0.5, 0.4, 0.5, 0.5])))
+
+
+def _item_statistics(spark, sf_dir):
+    return moments.build_statistics(moments.moments(items(spark, sf_dir)), _item_library(spark, sf_dir), LOADING)
+
+
+def rx_small(spark, sf_dir):
+    return _rounded(scoring.rx(items(spark, sf_dir), _item_statistics(spark, sf_dir)).select("l_orderkey", "l_linenumber", "score"), "score", digits=5)
+
+
+def ace_small(spark, sf_dir):
+    return _rounded(scoring.ace_best(items(spark, sf_dir), _item_statistics(spark, sf_dir)).select("l_orderkey", "l_linenumber", "target", "score"), "score", digits=5)
+
+
+def cem_small(spark, sf_dir):
+    return _rounded(scoring.cem_best(items(spark, sf_dir), _item_statistics(spark, sf_dir)).select("l_orderkey", "l_linenumber", "target", "score"), "score", digits=5)
+
+
+def _full(spark, sf_dir, name):
+    px = pixels(spark, sf_dir)
+    lib = _class_library(spark, sf_dir)
+    stats = moments.build_statistics(moments.moments(px), lib, 1e-6)
+    return scoring.score(px, name, lib, stats).select("p", "target", "score")
+
+
+def rx_full(spark, sf_dir):
+    return _full(spark, sf_dir, "rx")
+
+
+def ace_full(spark, sf_dir):
+    return _full(spark, sf_dir, "ace")
+
+
+def cem_full(spark, sf_dir):
+    return _full(spark, sf_dir, "cem")
+
+
+def rx_threshold(spark, sf_dir):
+    from ..functions.spectral import register
+
+    register(spark)
+    return spark.sql("SELECT rate, round(rx_threshold(2, rate), 6) AS threshold FROM VALUES (0.5D), (0.1D), (0.001D), (0.000001D) AS t(rate)")
+
+
+# Evaluation
+
+
+def _judged(spark, sf_dir):
+    """Angles to the mean of class 3 with the labels of the pixels."""
+    return scoring.sam_best(pixels(spark, sf_dir), _class_library(spark, sf_dir).only("3")).where(F.col("label") <= evaluate.LAST_LABEL)
+
+
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_judged(spark, sf_dir), 3, WIDE)
+
+
+def precision_recall_f1(spark, sf_dir):
+    return _rounded(evaluate.precision_recall_f1(confusion(spark, sf_dir)), "precision", "recall", "f1").select("precision", "recall", "f1")
+
+
+def roc_auc(spark, sf_dir):
+    return _rounded(evaluate.roc_auc(_judged(spark, sf_dir), 3), "auc")
+
+
+def class_angle_stats(spark, sf_dir):
+    return _rounded(evaluate.class_statistics(_judged(spark, sf_dir), 3), "mean", "least", "gap").withColumn("label", F.col("label").cast("long"))
+
+
+def variant_agreement(spark, sf_dir):
+    """The matrix product against expressions, and against pixels rounded to 16-bit floats."""
+    px, lib = pixels(spark, sf_dir), _class_library(spark, sf_dir)
+    base = scoring.sam_best(px, lib, strategy="sql")
+    out = None
+    for name, other in (("arrow", scoring.sam_best(px, lib, strategy="arrow")), ("half", scoring.sam_best(layout.quantize_half(px), lib, strategy="arrow"))):
+        row = evaluate.agreement(base, other, 2e-3).select(F.lit(name).alias("variant"), "n", (F.col("max_error") < 5e-3).alias("within"), "significant")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# Layout
+
+
+def _shape(spark, sf_dir) -> CubeShape:
+    n = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return CubeShape(-(-n // WIDTH), WIDTH, 64)
+
+
+def interleave_bil(spark, sf_dir):
+    return _rounded(layout.elements(pixels(spark, sf_dir), _shape(spark, sf_dir), "bil").select("position", "value"), "value")
+
+
+def interleave_bip(spark, sf_dir):
+    return _rounded(layout.elements(pixels(spark, sf_dir), _shape(spark, sf_dir), "bip").select("position", "value"), "value")
+
+
+def bsq_roundtrip(spark, sf_dir):
+    shape = _shape(spark, sf_dir)
+    back = layout.from_elements(layout.elements(pixels(spark, sf_dir), shape, "bsq"), shape, "bsq")
+    return _rounded(back.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
+
+
+def demosaic(spark, sf_dir):
+    """lineitem's order keys and line numbers as places of a mosaic image with tiles of 2 x 2."""
+    t = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 64).cast("int").alias("x"), (F.col("l_partkey") % 48).cast("int").alias("y")).agg(F.sum("l_quantity").alias("value"))
+    made = layout.demosaic_samples(t.withColumn("frame_index", F.lit(0).cast("long")), 2, 4, 64, 48)
+    return _rounded(made.select("p", "y", "x", F.posexplode("spectrum").alias("position", "value")).drop("position"), "value", digits=3).groupBy("p", "y", "x").agg(F.count(F.lit(1)).alias("bands"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def band_select(spark, sf_dir):
+    kept = layout.select_bands(pixels(spark, sf_dir), [b for b in range(64) if b % 3 == 0])
+    return _rounded(kept.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
+
+
+def drop_row(spark, sf_dir):
+    return layout.drop_rows(pixels(spark, sf_dir), [4], WIDTH).select("p", "y", "x", F.col("label").cast("long").alias("label"))
+
+
+# Runs
+
+
+def frame_stats(spark, sf_dir):
+    """events by hour stand for frames: one value is a time, the number of events the detections kept."""
+    e = _table(spark, sf_dir, "events")
+    frames = e.groupBy(F.date_trunc("hour", "ts").alias("frame")).agg(F.sum("value").alias("ms"), F.count(F.lit(1)).alias("detections_kept"))
+    return _rounded(evaluate.run_statistics(frames, 512 * 512, 512), "fps", "mpixels_per_s", "gb_per_s", "mean_ms", "max_ms", digits=4)
+
+
+def latency_percentiles(spark, sf_dir):
+    return _rounded(evaluate.percentiles(_table(spark, sf_dir, "events"), "value", [0.5, 0.9, 0.99], ["event_type"]), "p50", "p90", "p99")
+
+
+def synthetic_detect(spark, sf_dir):
+    from ..sources import synthetic
+
+    synthetic.register(spark)
+    scene = synthetic.Scene()
+    px = spark.read.format("prismlake_synthetic").option("frames", 3).load()
+    return detect.detect(scoring.sam_best(px, synthetic.library(scene)), DetectionParams(0.05, 4))
+
+
+_QUERIES = (
+    class_mean_library, library_norms, library_flatten, sam_all_targets, sam_best_match, sam_single_target, threshold_low, threshold_high, nms_low, nms_low_dense, nms_high,
+    nms_radius0, detections_capped, detections_per_target, band_mean, scene_moments, scene_covariance, scene_correlation, moments_merge, moments_shifted, rx_small, ace_small,
+    cem_small, rx_full, ace_full, cem_full, rx_threshold, confusion, precision_recall_f1, roc_auc, class_angle_stats, variant_agreement, interleave_bil, interleave_bip,
+    bsq_roundtrip, demosaic, band_select, drop_row, frame_stats, latency_percentiles, synthetic_detect,
+)
 
 
 def queries():
-    return {}
+    def shipped(f):
+        @wraps(f)
+        def run(spark, sf_dir):
+            return f(ship_package(spark), sf_dir)
+
+        return run
+
+    return {f.__name__: shipped(f) for f in _QUERIES}
+
+
+# SQL
+
+_PX = f"""px AS (SELECT vec_id AS p, vec_id // {WIDTH} AS y, vec_id % {WIDTH} AS x, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)"""
+_LONG = "lg AS (SELECT p, label, unnest(range(64)) AS band, unnest(e) AS v FROM px)"
+_MEANS = "cm AS (SELECT label, band, avg(v) AS m, count(*) AS n FROM lg GROUP BY label, band)"
+_LIB = "lib AS (SELECT row_number() OVER (ORDER BY label) - 1 AS target, label, list(m ORDER BY band) AS r FROM cm GROUP BY label)"
+_ANGLE = "ang AS (SELECT p, y, x, px.label, target, lib.label AS lib_label, acos(greatest(-1.0, least(1.0, list_dot_product(e, r) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(r, r)))))) AS a FROM px, lib)"
+_BEST = "best AS (SELECT p, any_value(y) AS y, any_value(x) AS x, any_value(label) AS label, arg_min(target, (a, target)) AS target, min(a) AS score FROM ang GROUP BY p)"
+_SAM = f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB}, {_ANGLE}, {_BEST}"
+_JUDGED = f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB}, {_ANGLE}, j AS (SELECT p, label, a AS score FROM ang WHERE lib_label = 3 AND label <= 8)"
+
+
+def _survivors(radius: int, limit: float, higher: bool = False) -> str:
+    """The definition: no neighbour is strictly better, and no equal one comes first."""
+    better = ">" if higher else "<"
+    keep = ">=" if higher else "<="
+    return f"""sv AS (SELECT * FROM best b WHERE CAST(score AS FLOAT) {keep} CAST({limit} AS FLOAT) AND NOT EXISTS (
+      SELECT 1 FROM best o WHERE o.p <> b.p AND abs(o.y - b.y) <= {radius} AND abs(o.x - b.x) <= {radius}
+      AND (CAST(o.score AS FLOAT) {better} CAST(b.score AS FLOAT) OR (CAST(o.score AS FLOAT) = CAST(b.score AS FLOAT) AND o.p < b.p))))"""
+
+
+_ITEMS = "it AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_returnflag, " + ", ".join(f"{c} / {s} AS b{k}" for k, (c, s) in enumerate(SCALE)) + " FROM lineitem)"
+_N = len(SCALE)
+
+
+def _item_moments() -> str:
+    sums = [f"sum(b{i}) AS s{i}" for i in range(_N)] + [f"sum(b{i} * b{j}) AS o{i}{j}" for i in range(_N) for j in range(i + 1)]
+    return f"mo AS (SELECT CAST(count(*) AS DOUBLE) AS n, {', '.join(sums)} FROM it)"
+
+
+def _factor(name: str, source: str, entry) -> str:
+    """The lower Cholesky factor of a matrix of columns, one column of the factor for each nested query."""
+    sql = f"SELECT *, {', '.join(f'{entry(i, j)} AS a{i}{j}' for i in range(_N) for j in range(i + 1))} FROM {source}"
+    for j in range(_N):
+        inner = lambda i, j=j: "".join(f" - {name}{i}{k} * {name}{j}{k}" for k in range(j))
+        sql = f"SELECT *, sqrt(a{j}{j}{inner(j)}) AS {name}{j}{j} FROM ({sql})"
+        if j + 1 < _N:
+            below = ", ".join(f"(a{i}{j}{inner(i)}) / {name}{j}{j} AS {name}{i}{j}" for i in range(j + 1, _N))
+            sql = f"SELECT *, {below} FROM ({sql})"
+    drop = ", ".join(f"a{i}{j}" for i in range(_N) for j in range(i + 1))
+    return f"SELECT * EXCLUDE ({drop}) FROM ({sql})"
+
+
+def _forward(out: str, factor: str, value) -> list[str]:
+    """Forward substitution as expressions, each a level of nesting."""
+    return [f"({value(i)}{''.join(f' - {factor}{i}{k} * {out}{k}' for k in range(i))}) / {factor}{i}{i} AS {out}{i}" for i in range(_N)]
+
+
+def _nested(source: str, columns: list[str]) -> str:
+    sql = f"SELECT * FROM {source}"
+    for c in columns:
+        sql = f"SELECT *, {c} FROM ({sql})"
+    return sql
+
+
+def _covariance(i: int, j: int) -> str:
+    return f"(o{i}{j} / n - (s{i} / n) * (s{j} / n){f' + {LOADING}' if i == j else ''})"
+
+
+def _correlation(i: int, j: int) -> str:
+    return f"(o{i}{j} / n{f' + {LOADING}' if i == j else ''})"
+
+
+_ITEM_LIB = "il AS (SELECT row_number() OVER (ORDER BY l_returnflag) - 1 AS target, * FROM (SELECT l_returnflag, " + ", ".join(f"avg(b{k}) AS d{k}" for k in range(_N)) + " FROM it GROUP BY l_returnflag))"
+_DOT = lambda a, b: " + ".join(f"{a}{k} * {b}{k}" for k in range(_N))
+
+
+def _second_order() -> dict[str, str]:
+    start = f"WITH {_ITEMS}, {_item_moments()}, fc AS ({_factor('f', 'mo', _covariance)})"
+    z = f"z AS ({_nested('(SELECT * FROM it, fc)', _forward('z', 'f', lambda i: f'b{i} - s{i} / n'))})"
+    u = f"u AS (SELECT target, {', '.join(f'u{k}' for k in range(_N))} FROM ({_nested('(SELECT * FROM il, fc)', _forward('u', 'f', lambda i: f'd{i} - s{i} / n'))}))"
+    rx_sql = f"{start}, {z} SELECT l_orderkey, l_linenumber, round({_DOT('z', 'z')}, 5) AS score FROM z"
+    ace = f"""{start}, {_ITEM_LIB}, {z}, {u}, s AS (SELECT rid, l_orderkey, l_linenumber, u.target, least(1.0, ({_DOT('z', 'u')}) * ({_DOT('z', 'u')}) / (({_DOT('z', 'z')}) * ({_DOT('u', 'u')}))) AS a FROM z, u)
+      SELECT l_orderkey, l_linenumber, CAST(arg_min(target, (-a, target)) AS INTEGER) AS target, round(max(a), 5) AS score FROM s GROUP BY rid, l_orderkey, l_linenumber"""
+    back = [f"(y{i}{''.join(f' - g{k}{i} * w{k}' for k in range(i + 1, _N))}) / g{i}{i} AS w{i}" for i in reversed(range(_N))]
+    cem = f"""WITH {_ITEMS}, {_item_moments()}, gc AS ({_factor('g', 'mo', _correlation)}), {_ITEM_LIB},
+      w AS (SELECT target, {', '.join(f'w{k} / ({_DOT("w", "d")}) AS w{k}' for k in range(_N))} FROM ({_nested('(SELECT * FROM il, gc)', _forward('y', 'g', lambda i: f'd{i}') + back)})),
+      s AS (SELECT rid, l_orderkey, l_linenumber, w.target, {_DOT('b', 'w')} AS a FROM it, w)
+      SELECT l_orderkey, l_linenumber, CAST(arg_min(target, (-a, target)) AS INTEGER) AS target, round(max(a), 5) AS score FROM s GROUP BY rid, l_orderkey, l_linenumber"""
+    return {"rx_small": rx_sql, "ace_small": ace, "cem_small": cem}
 
 
 def oracle_sql():
-    return {}
+    pairs = "SELECT i, j, count(*) AS n, sum(e[i + 1] * e[j + 1]) AS product, avg(e[i + 1]) AS mi, avg(e[j + 1]) AS mj FROM px, range(64) a(i), range(64) b(j) WHERE j <= i GROUP BY i, j"
+    ij = "CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j"
+    triangle = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, n, round(s{i}, 4) AS sum_i, round(o{i}{j}, 4) AS product FROM mo" for i in range(_N) for j in range(i + 1))
+    counts = f"SELECT count(*) FILTER (s AND t) AS tp, count(*) FILTER (s AND NOT t) AS fp, count(*) FILTER (NOT s AND t) AS fn, count(*) FILTER (NOT s AND NOT t) AS tn FROM (SELECT CAST(score AS FLOAT) <= CAST({WIDE} AS FLOAT) AS s, label = 3 AS t FROM j)"
+    best = "SELECT p, CAST(target AS INTEGER) AS target, round(score, 6) AS score"
+    place = "SELECT p, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(target AS INTEGER) AS target FROM sv"
+    height = f"(SELECT (max(vec_id) + {WIDTH}) // {WIDTH} AS h FROM embeddings)"
+    return {
+        "class_mean_library": f"WITH {_PX}, {_LONG}, {_MEANS} SELECT label, n, band, round(m, 6) AS value FROM cm",
+        "library_norms": f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB} SELECT CAST(target AS INTEGER) AS target_id, CAST(label AS VARCHAR) AS name, round(sqrt(list_dot_product(r, r)), 5) AS norm FROM lib",
+        "library_flatten": f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB} SELECT target * 64 + b AS position, CAST(target AS INTEGER) AS target_id, CAST(b AS INTEGER) AS band, round(CAST(v AS FLOAT)::DOUBLE, 5) AS value FROM (SELECT target, unnest(range(64)) AS b, unnest(r) AS v FROM lib)",
+        "sam_all_targets": f"{_SAM} SELECT p, CAST(target AS INTEGER) AS target, round(a, 6) AS angle FROM ang",
+        "sam_best_match": f"{_SAM} {best} FROM best",
+        "sam_single_target": f"{_SAM} SELECT p, 0 AS target, round(a, 6) AS score FROM ang WHERE lib_label = 3",
+        "threshold_low": f"{_SAM} {best} FROM best WHERE CAST(score AS FLOAT) <= CAST({LOW} AS FLOAT)",
+        "threshold_high": f"{_SAM} {best} FROM best WHERE CAST(score AS FLOAT) >= CAST({HIGH} AS FLOAT)",
+        "nms_low": f"{_SAM}, {_survivors(2, WIDE)} {place}",
+        "nms_low_dense": f"{_SAM}, {_survivors(2, WIDE)} {place}",
+        "nms_high": f"{_SAM}, {_survivors(1, HIGH, True)} {place}",
+        "nms_radius0": f"{_SAM}, {_survivors(0, WIDE)} {place}",
+        "detections_capped": f"{_SAM}, {_survivors(1, WIDE)} SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(target AS INTEGER) AS target, count(*) OVER () AS detections_found FROM sv QUALIFY row_number() OVER (ORDER BY p) <= {CAP}",
+        "detections_per_target": f"{_SAM}, {_survivors(1, WIDE)} SELECT CAST(lib.target AS INTEGER) AS target_id, CAST(lib.label AS VARCHAR) AS name, count(sv.p) AS detections FROM lib LEFT JOIN sv ON sv.target = lib.target GROUP BY 1, 2",
+        "band_mean": f"WITH {_PX}, {_LONG} SELECT CAST(band AS INTEGER) AS band, round(avg(v), 6) AS mean FROM lg GROUP BY 1",
+        "scene_moments": f"WITH {_PX} SELECT {ij}, n, round(product, 6) AS product FROM ({pairs})",
+        "scene_covariance": f"WITH {_PX} SELECT {ij}, round(product / n - mi * mj + CASE WHEN i = j THEN {LOADING} ELSE 0 END, 6) AS covariance FROM ({pairs})",
+        "scene_correlation": f"WITH {_PX} SELECT {ij}, round(product / n + CASE WHEN i = j THEN {LOADING} ELSE 0 END, 6) AS correlation FROM ({pairs})",
+        "moments_merge": f"WITH {_ITEMS}, {_item_moments()} {triangle}",
+        "moments_shifted": f"WITH {_ITEMS}, {_item_moments()} {triangle}",
+        **_second_order(),
+        "rx_threshold": "SELECT rate, round(-2 * ln(rate), 6) AS threshold FROM (VALUES (0.5::DOUBLE), (0.1::DOUBLE), (0.001::DOUBLE), (0.000001::DOUBLE)) t(rate)",
+        "confusion": f"{_JUDGED} {counts}",
+        "precision_recall_f1": f"{_JUDGED}, c AS ({counts}) SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, CASE WHEN tp = 0 THEN 'NaN'::DOUBLE ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM c",
+        "roc_auc": f"{_JUDGED} SELECT round(sum(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auc, count(DISTINCT a.p) AS positives, count(DISTINCT b.p) AS negatives FROM j a, j b WHERE a.label = 3 AND b.label <> 3",
+        "class_angle_stats": f"{_JUDGED} SELECT label, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(avg(score) - (SELECT avg(score) FROM j WHERE label = 3), 6) AS gap FROM j GROUP BY label",
+        "variant_agreement": "SELECT v AS variant, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS n, true AS within, 0::BIGINT AS significant FROM (VALUES ('arrow'), ('half')) t(v)",
+        "interleave_bil": f"WITH {_PX}, {_LONG} SELECT (p // {WIDTH} * 64 + band) * {WIDTH} + p % {WIDTH} AS position, round(v, 6) AS value FROM lg",
+        "interleave_bip": f"WITH {_PX}, {_LONG} SELECT p * 64 + band AS position, round(v, 6) AS value FROM lg",
+        "bsq_roundtrip": f"WITH {_PX}, {_LONG} SELECT p, CAST(band AS INTEGER) AS band, round(v, 6) AS value FROM lg, {height}",
+        "demosaic": "WITH m AS (SELECT l_orderkey % 64 AS x, l_partkey % 48 AS y, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), r AS (SELECT x // 2 AS tx, y // 2 AS ty, round(CAST(v AS FLOAT)::DOUBLE, 3) AS v FROM m) SELECT ty * 32 + tx AS p, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, count(*) AS bands, round(sum(v), 2) AS total FROM r GROUP BY tx, ty",
+        "band_select": f"WITH {_PX}, {_LONG} SELECT p, CAST(band // 3 AS INTEGER) AS band, round(v, 6) AS value FROM lg WHERE band % 3 = 0",
+        "drop_row": f"WITH {_PX} SELECT (y - (y > 4)::INT) * {WIDTH} + x AS p, CAST(y - (y > 4)::INT AS INTEGER) AS y, CAST(x AS INTEGER) AS x, label FROM px WHERE y <> 4",
+        "frame_stats": "WITH f AS (SELECT date_trunc('hour', ts) AS frame, sum(value) AS ms, count(*) AS k FROM events GROUP BY 1) SELECT count(*) AS frames, round(count(*) * 1000.0 / sum(ms), 4) AS fps, round(count(*) * 1000.0 / sum(ms) * 262144 / 1e6, 4) AS mpixels_per_s, round(count(*) * 1000.0 / sum(ms) * 262144 * 512 / 1e9, 4) AS gb_per_s, round(avg(ms), 4) AS mean_ms, round(max(ms), 4) AS max_ms, sum(k)::BIGINT AS total_detections FROM f",
+        "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
+    }
