@@ -27,9 +27,10 @@ def norm(a: Column) -> Column:
 
 
 def angle(product: Column, energy_x: Column, norm_r: Column) -> Column:
-    """The angle from a product, a squared norm and a norm. Without energy on either side, a right angle; cosines are clamped."""
+    """The angle from a product, a squared norm and a norm. Without energy on either side, a right angle; cosines are clamped, NaN stays."""
     cosine = product / (F.sqrt(energy_x) * norm_r)
-    return F.when((energy_x > 0) & (norm_r > 0), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).otherwise(F.lit(RIGHT_ANGLE))
+    clamped = F.when(F.isnan(cosine), cosine).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    return F.when((energy_x > 0) & (norm_r > 0), F.acos(clamped)).otherwise(F.lit(RIGHT_ANGLE))
 
 
 def spectral_angle(a: Column, b: Column) -> Column:

@@ -150,7 +150,7 @@ def ace_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", str
     ready = pixels.withColumn("__z", _whitened(column, stats)).withColumn("__zz", spectral.energy(F.col("__z")))
     if usable:
         lib = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(v)) for v in u[i]]).alias("u"), F.lit(float(uu[i])).alias("uu")) for i in usable])
-        scored = F.transform(lib, lambda t: F.struct(F.when(F.col("__zz") > 0, F.least(F.lit(1.0), spectral.dot(F.col("__z"), t["u"]) ** 2 / (F.col("__zz") * t["uu"]))).otherwise(F.lit(float("nan"))).alias("score"), t["id"].alias("target")))
+        scored = F.transform(lib, lambda t: F.struct(F.when((F.col("__zz") > 0) & ~F.isnan("__zz"), F.least(F.lit(1.0), spectral.dot(F.col("__z"), t["u"]) ** 2 / (F.col("__zz") * t["uu"]))).otherwise(F.lit(float("nan"))).alias("score"), t["id"].alias("target")))
         best = _unless_missing(scored, False, 0.0)
     else:
         best = (F.lit(-1).alias("target"), F.lit(0.0).alias("score"))
