@@ -7,9 +7,9 @@ collisions thins them, and links are confirmed on the full sets.
 
 No bucket is expanded into all its pairs. Equal sets are one representative; a
 bucket's members are first compared with one leader, the member that shares the
-most buckets with others. Only members that end in different components are then
-compared with one another, large buckets in blocks of registers, so no link
-between different components is left out.
+most buckets with others. Followers of a leader that end in different components
+are then compared with one another: few by a join, many in blocks, of which only
+links come out. So no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ MANTISSA = 10
 BANDS = ((0.82, (30, 4)), (1.01, (24, 5)))
 #: Pairs whose estimate is so far below the threshold are left out: 4.5 standard errors of it.
 ERRORS = 4.5
-#: A bucket with more members is compared in blocks of registers, smaller ones by a join.
-SMALL_BUCKET = 24
-BLOCK, MINOR_BLOCK = 1024, 256
+#: More followers of one leader are compared in blocks, fewer by a join.
+FEW_FOLLOWERS = 24
+#: Members of a block, minor members of a block, shingles of a block, and shingles that a block's table holds at a time.
+BLOCK, MINOR_BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 256, 400_000, 8192
 _M64 = (1 << 64) - 1
 
 
@@ -161,20 +162,43 @@ def _sign(width: int, bands: int, rows: int, frames: Iterator[pd.DataFrame]) ->
             })
 
 
-def _confirm(width: int, percent: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with their texts, of which those linked on the full sets stay."""
-    last, own = None, None
+def _collect_sets(width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        a, b = [], []
-        for x, tx, y, ty in zip(frame["a"].tolist(), frame["text_a"], frame["b"].tolist(), frame["text_b"], strict=True):
-            if x != last:
-                last, own = x, shingle_sets([tx], width)[0]
-            other = shingle_sets([ty], width)[0]
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if 100 * both >= percent * (len(own) + len(other) - both):
-                a.append(x)
-                b.append(y)
-        yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        for lot in _lots(frame):
+            yield pd.DataFrame({"id": lot["id"].to_numpy(), "grams": [g.view(np.int64) for g in shingle_sets(lot["text"].tolist(), width)]})
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each of b: a product of incidence tables over the elements that occur in several sets."""
+    sizes = [len(x) for x in a] + [len(x) for x in b]
+    values, column, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], place[column[keep]]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        table = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+        table[row[lo:hi], column[lo:hi] - first] = 1
+        out += table[: len(a)] @ table[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _compare_block(percent: int, block: pd.DataFrame) -> pd.DataFrame:
+    """Links between minor members and the others, where their components differ."""
+    own, rest = block[block["minor"]], block[~block["minor"]]
+    if not len(own) or not len(rest):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    n, m = own["n"].to_numpy()[:, None], rest["n"].to_numpy()[None, :]
+    both = shared_counts([np.asarray(g) for g in own["grams"]], [np.asarray(g) for g in rest["grams"]])
+    linked = (100 * both >= percent * (n + m - both)) & (own["component"].to_numpy()[:, None] != rest["component"].to_numpy()[None, :])
+    i, j = np.nonzero(linked)
+    x, y = own["id"].to_numpy()[i], rest["id"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}, dtype="int64")
 
 
 class _Job:
@@ -204,58 +228,48 @@ class _Job:
 
         return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInPandas(thin, "a long, b long")
 
-    def linked(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Of pairs (a, b), those whose full sets are linked. Only texts that occur in a pair are moved."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = self.scratch.save(self.docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{label}-texts")
-        left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        width, percent = self.width, self.percent
-        found = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b").mapInPandas(lambda frames: _confirm(width, percent, frames), "a long, b long")
-        return self.scratch.save(found, f"{label}-links")
+    def collect_sets(self, ids: DataFrame) -> DataFrame:
+        """The full sets of the documents named; texts are moved once, and only here."""
+        texts = self.docs.join(ids.hint("shuffle_hash"), "id", "left_semi")
+        width = self.width
+        made = texts.mapInPandas(lambda frames: _collect_sets(width, frames), "id long, grams array<long>")
+        return self.scratch.save(made.dropDuplicates(["id"]), "grams")
 
-    def cross(self, shared: DataFrame, labels: DataFrame, regs: DataFrame) -> DataFrame:
-        """Pairs of bucket members that are in different components so far, and may be linked.
+    def linked(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+        """Of pairs (a, b), those linked by their full sets; a comparison for each row."""
+        left, right = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("grams_a").cast("long").alias("n"), F.size("grams_b").cast("long").alias("m"), F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
+        return self.scratch.save(both.where(100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), label)
 
-        shared: key, id. A member that isn't in the bucket's leading component is
-        minor; pairs are minor members with all others.
-        """
-        rows = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        rows = self.scratch.save(rows, "cross-rows")
-        mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        rows = rows.join(mixed.select("key", "size"), "key")
-        small = rows.where(F.col("size") <= SMALL_BUCKET)
-        one, two = (small.select("key", F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-        few = self.near(one.join(two, "key").where("a < b and c_a <> c_b").select("a", "b").distinct(), regs)
-
-        large = self.scratch.save(rows.where(F.col("size") > SMALL_BUCKET), "cross-large")
-        if large.isEmpty():
-            return few
-        sizes = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-        leading = sizes.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("size"))
-        leading = leading.select("key", F.col("most.component").alias("major"), F.ceil((F.col("size") - F.col("most.k")) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        placed = large.join(leading, "key").join(regs.select("id", "n", "regs"), "id")
-        spread = F.xxhash64("id", "key")
-        minor = placed.where("component <> major").select("key", F.pmod(spread, F.col("minors")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), "id", "component", "n", "regs")
-        every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.pmod(spread, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("minor"), "id", "component", "n", "regs")
-        least, percent = self.least, self.percent
+    def cross(self, followers: DataFrame, labels: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between followers (a: leader, b) of one leader that are in different components so far.
 
-        def compare(block: pd.DataFrame) -> pd.DataFrame:
-            own, all_ = block[block["minor"]], block[~block["minor"]]
-            a, b = [], []
-            if len(own) and len(all_):
-                table = np.frombuffer(b"".join(all_["regs"]), np.uint16).reshape(len(all_), -1)
-                n, c, ids = all_["n"].to_numpy(), all_["component"].to_numpy(), all_["id"].to_numpy()
-                for regs_x, n_x, c_x, id_x in zip(own["regs"], own["n"].tolist(), own["component"].tolist(), own["id"].tolist(), strict=True):
-                    fit = np.flatnonzero((c != c_x) & (n * 100 >= n_x * percent) & (n_x * 100 >= n * percent))
-                    if len(fit):
-                        x = np.frombuffer(regs_x, np.uint16)[None, :]
-                        fit = fit[estimate(table[fit], x, n[fit], np.full(len(fit), n_x)) >= least]
-                        a += np.minimum(ids[fit], id_x).tolist()
-                        b += np.maximum(ids[fit], id_x).tolist()
-            return pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-        many = minor.unionByName(every).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-        return few.unionByName(many).distinct()
+        A follower outside the component that most of them are in is minor;
+        pairs are minor ones with all others. The leader itself has been compared.
+        """
+        rows = followers.join(labels.select(F.col("id").alias("b"), "component"), "b", "left").select(F.col("a").alias("unit"), F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
+        rows = self.scratch.save(rows, "rows")
+        mixed = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        rows = self.scratch.save(rows.join(mixed.select("unit", "size"), "unit"), "mixed")
+        few = rows.where(F.col("size") <= FEW_FOLLOWERS)
+        one, two = (few.select("unit", F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+        pairs = self.scratch.save(self.near(one.join(two, "unit").where("a < b and c_a <> c_b").select("a", "b").distinct(), regs), "few-pairs")
+        links = self.linked(pairs, sets, "few-links")
+
+        many = rows.where(F.col("size") > FEW_FOLLOWERS).join(regs.select("id", "n"), "id")
+        sizes = many.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        units = sizes.groupBy("unit").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+        blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+        minors = F.greatest(F.ceil((F.col("k") - F.col("most.k")) / MINOR_BLOCK), F.ceil((F.col("k") - F.col("most.k")) / F.col("k") * F.col("n") / BLOCK_SHINGLES)).cast("int")
+        units = units.select("unit", F.col("most.component").alias("major"), minors.alias("minors"), blocks.alias("blocks"))
+        placed = many.join(units, "unit")
+        spread = F.xxhash64("id", "unit")
+        rest = ("minor", "id", "component", "n")
+        minor = placed.where("component <> major").select("unit", F.pmod(spread, F.col("minors")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), *rest[1:])
+        every = placed.select("unit", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.pmod(spread, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("minor"), *rest[1:])
+        percent = self.percent
+        found = minor.unionByName(every).join(sets, "id").groupBy("unit", "i", "j").applyInPandas(lambda block: _compare_block(percent, block), "a long, b long")
+        return links.unionByName(self.scratch.save(found.distinct(), "many-links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -279,12 +293,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     regs = first.select("id", "n", "regs")
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     leaders = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("best")).select("key", (-F.col("best.least")).alias("a"))
-    pairs = shared.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = job.linked(scratch.save(job.near(pairs, regs), "leader-pairs"), "leader")
+    followers = scratch.save(shared.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "followers")
+    grams = job.collect_sets(shared.select("id").distinct())
+    links = job.linked(scratch.save(job.near(followers, regs), "leader-pairs"), grams, "leader-links")
     labels = components(links, scratch, "components")
-    rest = scratch.save(job.cross(shared.select("key", "id"), labels, regs), "rest-pairs")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(job.linked(rest, "rest")), scratch, "all-components")
+    more = scratch.save(job.cross(followers, labels, regs, grams), "more-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), scratch, "all-components")
     decided = sets.join(labels, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     own = signed.select("id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same"))
     return own.join(decided, "same", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
