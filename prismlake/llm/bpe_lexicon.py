@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import text_of
+from .common import Scratch, most_frequent, text_of
 
 #: Words that the automaton holds; at most about 10 MB.
 LEXICON_WORDS = 60_000
@@ -294,8 +294,9 @@ def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def build_lexicon(df: DataFrame, text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, words: int = LEXICON_WORDS) -> bytes:
     """Count the words of all documents, and compile the most frequent ones; the driver gets no more than words of them."""
-    counted = df.select(text_of(text_col).alias("text")).mapInPandas(_count_pieces, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r["word"] for r in counted.where((F.length("word") > 0) & (F.col("word") != "\n") & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(words).collect()]
+    seen = df.select(text_of(text_col).alias("text")).mapInPandas(_count_pieces, "word string, n long").where((F.length("word") > 0) & (F.length("word") <= 64) & (F.col("word") != "\n"))
+    counts = Scratch(df.sparkSession, "lexicon").save(seen.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = [w for w, _ in most_frequent(counts, words)]
     merged = LexiconEncoder(Lexicon(compile_lexicon({})), vocabulary)._ids_of_words(top)
     return compile_lexicon({(w if w[0] == tokens.LINE_START else " " + w).encode(): ids for w, ids in zip(top, merged, strict=True)})
 

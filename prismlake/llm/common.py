@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
+_BATCH_SETTING, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 _SETTING = "spark.checkpoint.dir"
 _own_folder: list[str] = []
 
@@ -60,6 +63,13 @@ class Scratch:
         self._remove(self.path(name))
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The package on workers, and batches of whole texts that a small worker can hold; a setting of the user's own stays."""
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, _BATCH_BYTES)
+    return ship_package(spark)
+
+
 def text_of(column: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -69,5 +79,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
+    """The words with the largest n, ties by word, from a written table (word, n).
+
+    A histogram of n by steps of a logarithm, of a few hundred rows, shows from
+    which step on there are enough words; only those are sorted, so no task and
+    no driver gets the most frequent words of every partition.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, 0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total, least = total + row["count"], row["step"]
+        if total >= limit:
+            break
+    else:
+        least = None
+    chosen = counts if least is None else counts.where(step >= least)
+    return [(r["word"], r["n"]) for r in chosen.orderBy(F.desc("n"), "word").limit(limit).collect()]

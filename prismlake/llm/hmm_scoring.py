@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, most_frequent, text_of
 
 STATES, ROUNDS = 4, 3
 #: Words with emissions of their own, and documents that the first guess of the states is made from.
@@ -336,7 +336,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     train = rows.where(~F.col("held_out")).select("id", "text")
     counts = scratch.save(train.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    head = most_frequent(counts, head_words)
     vocabulary = Vocabulary(head, total["n"], total["v"])
     model, _ = train_model(train, vocabulary, states, rounds)
     shared, done = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(model)
