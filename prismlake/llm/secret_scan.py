@@ -89,7 +89,11 @@ def infer_encoding(token: str) -> str | None:
 
 
 def uniformity(token: str, encoding: str) -> float:
-    """The smallest p-value of the three tests, corrected for their number."""
+    """The smallest p-value of the tests, corrected for their number.
+
+    The chi-squared test needs groups of letters where a token is short for its
+    alphabet; equal pairs of letters, nearly Poisson then, test single letters.
+    """
     body = token.rstrip("=")
     rank, m, n = _RANK[encoding], len(ENCODINGS[encoding]), len(body)
     x = np.array([rank[c] for c in body], dtype=np.float64)
@@ -98,6 +102,9 @@ def uniformity(token: str, encoding: str) -> float:
     sizes = np.bincount((np.arange(m) * groups // m).astype(int), minlength=groups)
     expected = n * sizes / m
     p = [_upper_gamma((groups - 1) / 2, float(((seen - expected) ** 2 / expected).sum()) / 2)]
+    times = np.bincount(x.astype(int), minlength=m)
+    pairs = int((times * (times - 1) // 2).sum())
+    p.append(1 - _upper_gamma(pairs, n * (n - 1) / 2 / m) if pairs else 1.0)
     high = x >= m / 2
     a, b = int(high.sum()), int(n - high.sum())
     if a and b and n > 2:
@@ -109,7 +116,7 @@ def uniformity(token: str, encoding: str) -> float:
     spread = float((y * y).sum())
     r = float((y[1:] * y[:-1]).sum()) / spread if spread else 1.0
     p.append(_two_sided((r + 1 / n) * math.sqrt(n)))
-    return min(1.0, 3 * min(p))
+    return min(1.0, len(p) * min(p))
 
 
 def text_p(token: str, encoding: str, log_text: np.ndarray) -> float:
