@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, most_frequent, text_of
+from .common import Scratch, bounded_sample, most_frequent, text_of
 
 STATES, ROUNDS = 4, 3
 #: Words with emissions of their own, and documents that the first guess of the states is made from.
@@ -27,8 +27,8 @@ HEAD_WORDS, SEED_DOCUMENTS = 32_768, 1500
 #: Steps of a recursion that run one after another; longer texts are cut there and joined exactly.
 SEGMENT = 512
 LOT_TOKENS = 600_000
-#: What each count gets in addition.
-SMOOTHING = 0.01
+#: What each count of starts and moves gets in addition; the counts of words get a prior of so many words that follow the corpus.
+SMOOTHING, PRIOR = 0.01, 60.0
 #: Stands for the end of a text in the table of counts; no word holds white space.
 END = "\n"
 
@@ -175,9 +175,9 @@ class Counts:
             self.emit[:, j] += np.bincount(seg.tokens, weights=posterior[:, j], minlength=len(self.emit))
 
 
-def estimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
-    norm = lambda x, axis: (x + SMOOTHING) / (x + SMOOTHING).sum(axis=axis, keepdims=True)
-    return Model(norm(start, 0), norm(move, 1), norm(emit, 0))
+def estimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    return Model(norm(start + SMOOTHING, 0), norm(move + SMOOTHING, 1), norm(emit + PRIOR * unigram[:, None], 0))
 
 
 class Vocabulary:
@@ -189,6 +189,11 @@ class Vocabulary:
         self.total, self.distinct, self.tail = total, distinct, len(head)
         self.tail_total, self.tail_distinct = total - int(self.counts.sum()), distinct - len(head)
 
+    def unigram(self) -> np.ndarray:
+        """The corpus's distribution over frequent words and the class of all others."""
+        n = np.append(self.counts, self.tail_total) + SMOOTHING
+        return n / n.sum()
+
     def encode(self, words: list[bytes]) -> np.ndarray:
         get, tail = self.index.get, self.tail
         ids = [get(w, tail) for w in words]
@@ -219,7 +224,8 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(seen) > 1_000_000:
                 yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
                 seen.clear()
-    yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen] + [END] * bool(ends), "n": list(seen.values()) + [ends] * bool(ends)})
+    if ends:
+        yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen] + [END], "n": list(seen.values()) + [ends]})
 
 
 def is_held_out(id_col: str):
@@ -237,11 +243,10 @@ def _first_guess(train: DataFrame, vocabulary: Vocabulary, states: int, seeds: i
             counted = [np.unique(x, return_counts=True) for x in ids]
             yield pd.DataFrame({"key": frame["id"], "ids": [a for a, _ in counted], "n": [b for _, b in counted]})
 
-    chosen = train.orderBy(F.xxhash64("id"), "id", "text").limit(seeds)
+    chosen = bounded_sample(train, seeds, "id")
     got = chosen.mapInPandas(bags, "key long, ids array<long>, n array<long>").toPandas()
     got = got.assign(ids=got["ids"].map(np.asarray), n=got["n"].map(np.asarray))
-    unigram = np.append(vocabulary.counts, max(0, vocabulary.tail_total)) + SMOOTHING
-    unigram /= unigram.sum()
+    unigram = vocabulary.unigram()
     emit = np.tile(unigram[:, None], (1, states))
     if len(got) >= states and wide:
         x = np.zeros((len(got), wide))
@@ -293,7 +298,7 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, states: int = STATES,
         total = np.zeros((size + 2 + states, states))
         total[np.where(sums["row"] >= 0, sums["row"], size - 1 - sums["row"])] = sums.drop(columns="row").to_numpy()
         history.append(float(total[size, 0]))
-        model = estimate(total[size + 1], total[size + 2 :], total[:size])
+        model = estimate(total[size + 1], total[size + 2 :], total[:size], vocabulary.unigram())
         now.unpersist()
     return model, history
 
@@ -336,7 +341,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     train = rows.where(~F.col("held_out")).select("id", "text")
     counts = scratch.save(train.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = most_frequent(counts, head_words)
+    # Words that occur once stand for those that never did: they are left to the class of rare words.
+    head = [(w, n) for w, n in most_frequent(counts, head_words) if n > 1]
     vocabulary = Vocabulary(head, total["n"], total["v"])
     model, _ = train_model(train, vocabulary, states, rounds)
     shared, done = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(model)
