@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..model import FRAMES, PIXELS, CubeShape, Interleave
@@ -206,8 +206,39 @@ class _Reader(DataSourceReader):
             yield pixel_batch(part.frame_index, y, cube if self.bands is None else cube[:, :, self.bands])
 
 
+class _Replay(DataSourceStreamReader):
+    """The frames of a path one after another, loops times; loops of 0 never end."""
+
+    def __init__(self, options):
+        self.inner = _Reader(options)
+        self.per_batch = int(options.get("frames_per_batch", 1))
+        self.next = 0
+
+    def initialOffset(self) -> dict:
+        return {"frame": 0}
+
+    def latestOffset(self) -> dict:
+        self.next += self.per_batch
+        most = self.inner.loops * len(self.inner.paths)
+        return {"frame": min(self.next, most) if most else self.next}
+
+    def partitions(self, start: dict, end: dict):
+        self.next = max(self.next, end["frame"])
+        n, loops = len(self.inner.paths), self.inner.loops
+        self.inner.loops = 1
+        once = self.inner.partitions()
+        self.inner.loops = loops
+        return [_Lines(p.path, k, p.first, p.last) for k in range(start["frame"], end["frame"]) for p in once if p.frame_index == k % n]
+
+    def read(self, part: _Lines) -> Iterator[pa.RecordBatch]:
+        return self.inner.read(part)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class EnviSource(DataSource):
-    """spark.read.format("prismlake_envi").load(path): options bands, max_resident (the first so many frames), loops, lines_per_partition."""
+    """spark.read or readStream.format("prismlake_envi").load(path): options bands, max_resident (the first so many frames), loops, lines_per_partition, frames_per_batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -219,6 +250,9 @@ class EnviSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Replay(self.options)
+
 
 def frames(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
     """One row for each header of a path."""

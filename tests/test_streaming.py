@@ -60,3 +60,21 @@ def test_lagged_statistics_are_those_of_the_batch(spark):
 @pytest.mark.parametrize("bands,reads", [(1, 1), (32, 1), (33, 2), (128, 4)])
 def test_reads_of_a_blocked_accumulation(bands, reads):
     assert S.expected_reads(bands) == reads
+
+
+def test_replay_of_cubes_as_a_stream(spark, tmp_path):
+    from prismlake.sources import envi
+
+    for k in (0, 1):
+        (tmp_path / f"f{k}.hdr").write_text("ENVI\nsamples = 2\nlines = 3\nbands = 1\ndata type = 4\n")
+        (tmp_path / f"f{k}.float").write_bytes(np.full(6, 10 + k, "<f4").tobytes())
+    envi.register(spark)
+    seen = []
+    df = spark.readStream.format("prismlake_envi").options(loops=2, lines_per_partition=2).load(str(tmp_path))
+    q = df.writeStream.foreachBatch(lambda b, n: seen.extend((r["frame_index"], r["spectrum"][0]) for r in b.where("p = 5").collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+    for _ in range(100):
+        q.processAllAvailable()
+        if len(seen) >= 4:
+            break
+    q.stop()
+    assert seen == [(0, 10.0), (1, 11.0), (2, 10.0), (3, 11.0)]
