@@ -6,6 +6,8 @@ truth), lineitem for four-band pixels in number, events for results of frames.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from functools import wraps
 
 import numpy as np
@@ -302,11 +304,49 @@ def synthetic_detect(spark, sf_dir):
     return detect.detect(scoring.sam_best(px, synthetic.library(scene)), DetectionParams(0.05, 4))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors see: in the shared one if that is a path, else a temporary one on this machine."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    return tempfile.mkdtemp(prefix="prismlake-", dir=shared if os.path.isdir(shared) else None)
+
+
+def envi_roundtrip(spark, sf_dir):
+    """Pixels written as a cube and read back through the data source."""
+    from ..sources import envi
+
+    envi.register(spark)
+    header = envi.write_cube(os.path.join(_folder(spark), "scene"), pixels(spark, sf_dir), _shape(spark, sf_dir))
+    back = spark.read.format("prismlake_envi").load(header)
+    return _rounded(back.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
+
+
+def stream_detect(spark, sf_dir):
+    """Detections of a stream of three synthetic frames; each batch is written under its number, so a repeated one replaces itself."""
+    from ..sources import synthetic
+    from ..streaming.detector import run_stream
+
+    synthetic.register(spark)
+    out, length, seen = _folder(spark), 3, []
+
+    def sink(found, frames, number):
+        found.write.mode("overwrite").parquet(f"{out}/detections/batch={number}")
+        seen.extend(r["frame_index"] for r in frames.collect())
+
+    stream = spark.readStream.format("prismlake_synthetic").options(length=length).load()
+    query = run_stream(stream, synthetic.library(synthetic.Scene()), DetectionParams(0.05, 4), sink, checkpoint=f"{out}/checkpoint", trigger={"processingTime": "0 seconds"})
+    try:
+        while len(set(seen)) < length:
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{out}/detections").drop("batch")
+
+
 _QUERIES = (
     class_mean_library, library_norms, library_flatten, sam_all_targets, sam_best_match, sam_single_target, threshold_low, threshold_high, nms_low, nms_low_dense, nms_high,
     nms_radius0, detections_capped, detections_per_target, band_mean, scene_moments, scene_covariance, scene_correlation, moments_merge, moments_shifted, rx_small, ace_small,
     cem_small, rx_full, ace_full, cem_full, rx_threshold, confusion, precision_recall_f1, roc_auc, class_angle_stats, variant_agreement, interleave_bil, interleave_bip,
-    bsq_roundtrip, demosaic, band_select, drop_row, frame_stats, latency_percentiles, synthetic_detect,
+    bsq_roundtrip, demosaic, band_select, drop_row, frame_stats, latency_percentiles, synthetic_detect, envi_roundtrip, stream_detect,
 )
 
 
@@ -442,6 +482,7 @@ def oracle_sql():
         "interleave_bil": f"WITH {_PX}, {_LONG} SELECT (p // {WIDTH} * 64 + band) * {WIDTH} + p % {WIDTH} AS position, round(v, 6) AS value FROM lg",
         "interleave_bip": f"WITH {_PX}, {_LONG} SELECT p * 64 + band AS position, round(v, 6) AS value FROM lg",
         "bsq_roundtrip": f"WITH {_PX}, {_LONG} SELECT p, CAST(band AS INTEGER) AS band, round(v, 6) AS value FROM lg, {height}",
+        "envi_roundtrip": f"WITH {_PX}, {_LONG} SELECT p, CAST(band AS INTEGER) AS band, round(v, 6) AS value FROM lg",
         "demosaic": "WITH m AS (SELECT l_orderkey % 64 AS x, l_partkey % 48 AS y, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), r AS (SELECT x // 2 AS tx, y // 2 AS ty, round(CAST(v AS FLOAT)::DOUBLE, 3) AS v FROM m) SELECT ty * 32 + tx AS p, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, count(*) AS bands, round(sum(v), 2) AS total FROM r GROUP BY tx, ty",
         "band_select": f"WITH {_PX}, {_LONG} SELECT p, CAST(band // 3 AS INTEGER) AS band, round(v, 6) AS value FROM lg WHERE band % 3 = 0",
         "drop_row": f"WITH {_PX} SELECT (y - (y > 4)::INT) * {WIDTH} + x AS p, CAST(y - (y > 4)::INT AS INTEGER) AS y, CAST(x AS INTEGER) AS x, label FROM px WHERE y <> 4",
