@@ -40,20 +40,22 @@ def nms_candidates(scores: DataFrame, params: DetectionParams) -> DataFrame:
     """Suppression among the pixels that pass the threshold.
 
     What suppresses a pixel is at least as good and so passes as well; hence
-    only candidates are shuffled. Each candidate looks at the other places of
-    its window through an equi-join, never a range join.
+    only candidates are shuffled. Each candidate tells the places of its window
+    how good it is, and a place keeps the best it was told: one aggregation,
+    begun within tasks, over one pass of the scores.
     """
     kept = threshold(scores, params)
     r = params.nms_radius
     if r <= 0:
         return kept
     around = F.sequence(F.lit(-r), F.lit(r))
-    own = kept.select("frame_index", "p", "y", "x", rank_key(F.col("score"), params.polarity).alias("k"))
-    asked = own.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).where("dy <> 0 or dx <> 0")
-    asked = asked.select("frame_index", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "p", "k")
-    there = own.select("frame_index", "y", "x", F.col("p").alias("q"), F.col("k").alias("l"))
-    beaten = asked.join(there, ["frame_index", "y", "x"]).where("l < k or (l = k and q < p)").select("frame_index", "p").distinct()
-    return kept.join(beaten, ["frame_index", "p"], "left_anti")
+    own = F.struct(*[F.col(c) for c in kept.columns])
+    told = kept.select("frame_index", "y", "x", F.struct(rank_key(F.col("score"), params.polarity).alias("k"), "p").alias("__key"), own.alias("__own"))
+    told = told.withColumn("__dy", F.explode(around)).withColumn("__dx", F.explode(around))
+    here = (F.col("__dy") == 0) & (F.col("__dx") == 0)
+    places = told.select("frame_index", (F.col("y") + F.col("__dy")).alias("__y"), (F.col("x") + F.col("__dx")).alias("__x"), "__key", F.when(here, F.col("__own")).alias("__own"))
+    best = places.groupBy("frame_index", "__y", "__x").agg(F.min("__key").alias("__best"), F.first("__own", ignorenulls=True).alias("__own"))
+    return best.where(F.col("__own").isNotNull() & (F.col("__best.p") == F.col("__own.p"))).select("__own.*")
 
 
 def nms_dense(scores: DataFrame, params: DetectionParams) -> DataFrame:
@@ -86,14 +88,10 @@ def detect(scores: DataFrame, params: DetectionParams = DetectionParams(), plan:
 
     detections_found counts a frame's detections before the cap.
     """
-    found = nms(scores, params, plan)
+    frame = Window.partitionBy("frame_index")
+    found = nms(scores, params, plan).withColumn("detections_found", F.count(F.lit(1)).over(frame))
     if params.max_detections is not None:
-        order = Window.partitionBy("frame_index").orderBy("p")
-        whole = found.groupBy("frame_index").agg(F.count(F.lit(1)).alias("detections_found"))
-        first = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= params.max_detections)
-        found = first.join(whole, "frame_index")
-    else:
-        found = found.withColumn("detections_found", F.count(F.lit(1)).over(Window.partitionBy("frame_index")))
+        found = found.withColumn("__r", F.row_number().over(frame.orderBy("p"))).where(F.col("__r") <= params.max_detections)
     return found.select("frame_index", "x", "y", "target", F.col("score").cast("float").alias("score"), "detections_found")
 
 
