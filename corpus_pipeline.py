@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import bayes_quality, exact_dedup, feistel_pii, near_dedup, packing
-from prismlake.llm.common import Scratch, read_table
-from prismlake.session import ship_package
+from prismlake.llm.common import Scratch, prepare, read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it is fitted on the labelled ones among docs."""
-    ship_package(spark)
+    prepare(spark)
     return bayes_quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -27,7 +26,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.keep_one_of_each(docs, width=5, percent=80)
 
 
@@ -41,8 +40,9 @@ def pseudonymise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 1024, as pieces with their places and ids."""
-    ship_package(spark)
-    return packing.pack_documents(docs)
+    prepare(spark)
+    # Workers of the stages before are still there for a minute: this stage keeps little in its own.
+    return packing.pack_documents(docs, kept=100_000)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_sample, in_worker
 
 #: Vectors that the tree is fitted on at most, children of a node, sample vectors below which a node is a leaf.
 SAMPLE, BRANCHES, LEAF = 20_000, 12, 64
@@ -116,6 +116,7 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
+@in_worker("ann")
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Vectors that take part, as bytes of doubles, with a digest of them."""
     for frame in frames:
@@ -130,7 +131,8 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raw.append(b)
                 digests.append(hashlib.md5(b, usedforsecurity=False).digest())
                 sizes.append(len(x))
-        yield pd.DataFrame({"id": ids, "digest": digests, "size": sizes, "vec": raw})
+        if ids:
+            yield pd.DataFrame({"id": ids, "digest": digests, "size": sizes, "vec": raw})
 
 
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tuple]:
@@ -184,20 +186,21 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     few = distinct_ids.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
     reps = scratch.save(few.groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("members"), F.first("vec").alias("vec")), "reps")
 
-    fitted_on = reps.select("digest", "vec").orderBy("digest").limit(sample).toPandas()
+    fitted_on = bounded_sample(reps.select("digest", "vec"), sample, "digest").toPandas()
     tree = fit_tree(unit(_matrix(fitted_on["vec"])))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(frames):
         for f in frames:
-            yield f.assign(leaf=shared.value.place(unit(_matrix(f["vec"]))) if len(f) else np.zeros(0, np.int64))
+            if len(f):
+                yield f.assign(leaf=shared.value.place(unit(_matrix(f["vec"]))))
 
     placed = scratch.save(reps.mapInPandas(place, "digest binary, members array<long>, vec binary, leaf long"), "placed")
     query_ids = vectors.where(F.col("id") % every == 0).select("id", "digest").distinct()
     queries = placed.join(query_ids.select("digest").distinct(), "digest", "left_semi").select("digest", "vec")
 
     # Calibration: brute force for a bounded set of queries, then the visits that reach its neighbours.
-    chosen = queries.orderBy(F.xxhash64("digest")).limit(CALIBRATION).toPandas()
+    chosen = bounded_sample(queries, CALIBRATION, "digest").toPandas()
     known = spark.sparkContext.broadcast(chosen)
 
     def brute(frames):
@@ -205,7 +208,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             if len(f):
                 got = _best(known.value, f, k + 1)
                 leaf = dict(zip(f["members"].map(lambda m: m[0]), f["leaf"], strict=True))
-                yield pd.DataFrame([(q, m[0], s, leaf[m[0]], len(m)) for q, m, s in got], columns=["query", "id", "score", "leaf", "copies"])
+                if got:
+                    yield pd.DataFrame([(q, m[0], s, leaf[m[0]], len(m)) for q, m, s in got], columns=["query", "id", "score", "leaf", "copies"])
 
     truth = placed.mapInPandas(brute, "query binary, id long, score double, leaf long, copies int")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -219,9 +223,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     def visit(frames):
         for f in frames:
-            t = shared.value
-            x = unit(_matrix(f["vec"])) if len(f) else []
-            yield pd.DataFrame({"digest": f["digest"], "vec": f["vec"], "leaves": [t.visits(q, visits) for q in x]})
+            if len(f):
+                yield pd.DataFrame({"digest": f["digest"], "vec": f["vec"], "leaves": [shared.value.visits(q, visits) for q in unit(_matrix(f["vec"]))]})
 
     asked = scratch.save(queries.mapInPandas(visit, "digest binary, vec binary, leaves array<long>").select("digest", "vec", F.explode("leaves").alias("leaf")), "asked")
     # At most one row for each leaf, as many as the bounded sample allows.

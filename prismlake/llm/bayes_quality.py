@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, bounded_sample, enter, in_worker, release, text_of
 
 #: Labelled documents that the logistic model is fitted on at most.
 SAMPLE = 20_000
@@ -96,9 +96,11 @@ def _shapes(texts: pd.Series) -> np.ndarray:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[Logistic, float]:
     """The model, and the rate of good documents in its sample: the sample rows with the least hash of the id."""
-    chosen = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null").orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
+    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
+    chosen = bounded_sample(known, sample, "__id", "__y")
     rows = df.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("__id", "__y", "text")
 
+    @in_worker("quality")
     def features(frames):
         for f in frames:
             yield pd.DataFrame({"i": f["__id"], "y": f["__y"], "x": list(_shapes(f["text"]))})
@@ -113,7 +115,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
 def evidence_udf(model: Logistic):
     @F.pandas_udf("double")
     def evidence(text: pd.Series) -> pd.Series:
-        return pd.Series(model.log_odds(_shapes(text)), dtype=float)
+        enter("quality")
+        out = pd.Series(model.log_odds(_shapes(text)), dtype=float)
+        release()
+        return out
 
     return evidence
 

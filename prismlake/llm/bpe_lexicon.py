@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, most_frequent, text_of
+from .common import Scratch, in_worker, most_frequent, text_of, worker_caches
 
 #: Words that the automaton holds; at most about 10 MB.
 LEXICON_WORDS = 60_000
@@ -274,6 +274,7 @@ class LexiconEncoder(tokens.PieceEncoder):
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@in_worker("lexicon")
 def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces, those at a line's start with the line end before them, of texts that split into pieces."""
     seen: Counter = Counter()
@@ -289,7 +290,8 @@ def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.update(tokens.pieces(text)[1:])
             if len(seen) > 1_000_000:
                 yield out()
-    yield out()
+    if seen:
+        yield out()
 
 
 def build_lexicon(df: DataFrame, text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, words: int = LEXICON_WORDS) -> bytes:
@@ -302,6 +304,7 @@ def build_lexicon(df: DataFrame, text_col: str = "text", vocabulary: str = token
 
 
 _open: dict[str, LexiconEncoder] = {}
+worker_caches.append(_open)
 
 
 def mapped_encoder(raw: bytes, vocabulary: str) -> LexiconEncoder:
@@ -316,6 +319,7 @@ def mapped_encoder(raw: bytes, vocabulary: str) -> LexiconEncoder:
     return _open[key]
 
 
+@in_worker("lexicon")
 def _encode(raw: bytes, vocabulary: str, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     own = mapped_encoder(raw, vocabulary)
     for frame in frames:
@@ -335,6 +339,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInPandas(lambda frames: _encode(raw.value, vocabulary, frames), "id long, ids binary")
 
 
+@in_worker("lexicon")
 def _digest(raw: bytes, vocabulary: str, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     own = mapped_encoder(raw, vocabulary)
     decimal, sha = own.decimal.__getitem__, hashlib.sha256

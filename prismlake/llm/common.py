@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,45 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
+#: What operators keep in a Python worker between tasks.
+worker_caches: list[dict] = []
+_in_worker: list[str] = []
+
+
+def enter(operator: str) -> None:
+    """Called by a worker's function: a worker is used again by other operators, and what those have kept there goes."""
+    if _in_worker != [operator]:
+        if _in_worker:
+            for cache in worker_caches:
+                cache.clear()
+            gc.collect()
+        _in_worker[:] = [operator]
+
+
+def release() -> None:
+    """Give freed memory back to the system: an idle worker stays for a minute beside whatever runs next."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_worker(operator: str):
+    """Marks a generator that runs in a Python worker for an operator."""
+
+    def wrap(f):
+        @wraps(f)
+        def run(*args, **kw):
+            enter(operator)
+            try:
+                yield from f(*args, **kw)
+            finally:
+                release()
+
+        return run
+
+    return wrap
+
+
 class Scratch:
     """Tables that one operator call writes to the shared folder.
 
@@ -79,6 +123,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, size: int, *by: str) -> DataFrame:
+    """At most size rows, those with the least hashes of some columns.
+
+    A share of the hashes that holds about half more rows than needed is taken
+    first, so the task that orders them doesn't get size rows of every partition.
+    """
+    total, span = df.count(), 1 << 40
+    rank = F.pmod(F.xxhash64(*by), F.lit(span))
+    if total > 2 * size:
+        df = df.where(rank < int(span * (1.5 * size + 100) / total))
+    return df.orderBy(rank, *by).limit(size)
+
+
 def most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
     """The words with the largest n, ties by word, from a written table (word, n).
 

@@ -13,19 +13,20 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, most_frequent, text_of
+from .common import Scratch, bounded_sample, in_worker, most_frequent, text_of
 
 STATES, ROUNDS = 4, 3
 #: Words with emissions of their own, and documents that the first guess of the states is made from.
 HEAD_WORDS, SEED_DOCUMENTS = 32_768, 1500
 #: Steps of a recursion that run one after another; longer texts are cut there and joined exactly.
-SEGMENT = 512
+SEGMENT = 1024
 LOT_TOKENS = 600_000
 #: What each count of starts and moves gets in addition; the counts of words get a prior of so many words that follow the corpus.
 SMOOTHING, PRIOR = 0.01, 60.0
@@ -196,7 +197,7 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get, tail = self.index.get, self.tail
-        ids = [get(w, tail) for w in words]
+        ids = list(map(get, words, repeat(tail)))
         ids.append(get(END.encode(), tail))
         return np.array(ids, dtype=np.int64)
 
@@ -214,6 +215,7 @@ def _lots(texts: Iterator[tuple[object, list[bytes]]]):
         yield lot
 
 
+@in_worker("hmm")
 def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: Counter = Counter()
     ends = 0
@@ -284,6 +286,7 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, states: int = STATES,
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
+        @in_worker("hmm")
         def expect(frames, now=now):
             own, m = Counts(states, size), now.value
             for lot in _lots((None, words_of(t)) for frame in frames for t in frame["text"]):
@@ -303,6 +306,7 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, states: int = STATES,
     return model, history
 
 
+@in_worker("hmm")
 def _score(vocabulary, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 

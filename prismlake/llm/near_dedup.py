@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, enter, in_worker, release, text_of
 from .components import components
 
 MANTISSA = 10
@@ -133,7 +133,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=1) - p) / (1 - p)
 
 
-def _lots(frame: pd.DataFrame, chars: int = 4_000_000):
+def _lots(frame: pd.DataFrame, chars: int = 2_000_000):
     first, total = 0, 0
     sizes = frame["text"].str.len().to_numpy()
     for k, n in enumerate(sizes):
@@ -145,6 +145,7 @@ def _lots(frame: pd.DataFrame, chars: int = 4_000_000):
         yield frame.iloc[first:]
 
 
+@in_worker("near")
 def _sign(width: int, bands: int, rows: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for lot in _lots(frame):
@@ -162,6 +163,7 @@ def _sign(width: int, bands: int, rows: int, frames: Iterator[pd.DataFrame]) ->
             })
 
 
+@in_worker("near")
 def _collect_sets(width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for lot in _lots(frame):
@@ -190,6 +192,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _compare_block(percent: int, block: pd.DataFrame) -> pd.DataFrame:
     """Links between minor members and the others, where their components differ."""
+    enter("near")
     own, rest = block[block["minor"]], block[~block["minor"]]
     if not len(own) or not len(rest):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -198,7 +201,11 @@ def _compare_block(percent: int, block: pd.DataFrame) -> pd.DataFrame:
     linked = (100 * both >= percent * (n + m - both)) & (own["component"].to_numpy()[:, None] != rest["component"].to_numpy()[None, :])
     i, j = np.nonzero(linked)
     x, y = own["id"].to_numpy()[i], rest["id"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}, dtype="int64")
+    found = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}, dtype="int64")
+    if len(block) > MINOR_BLOCK:
+        del both, linked
+        release()
+    return found
 
 
 class _Job:
@@ -219,6 +226,7 @@ class _Job:
         left, right = (regs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
         sized = pairs.join(left, "a").join(right, "b").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
 
+        @in_worker("near")
         def thin(frames):
             for f in frames:
                 if len(f):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, text_of
+from .common import Scratch, in_worker, text_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -245,15 +245,16 @@ class Places:
         return sequence, offset
 
 
-def _cut(vocabulary: str, end_id: int, capacity: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@in_worker("tokens")
+def _cut(vocabulary: str, end_id: int, capacity: int, kept: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    part, own, seen = TaskContext.get().partitionId(), tokens.encoder(vocabulary), defaultdict(int)
+    part, own, seen = TaskContext.get().partitionId(), tokens.encoder(vocabulary, kept), defaultdict(int)
     narrow = "<u2" if max(own.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     end = np.uint32(end_id).tobytes()
     for frame in frames:
         texts, ids = frame["text"].tolist(), frame["id"].tolist()
-        for lot in tokens.in_lots(texts):
+        for lot in tokens.in_lots(texts, min(4 * kept, 2_000_000)):
             rows = []
             for k, raw in zip(lot, own.encode([texts[k] for k in lot]), strict=True):
                 raw += end
@@ -270,28 +271,29 @@ def _cut(vocabulary: str, end_id: int, capacity: int, frames: Iterator[pd.DataFr
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"])
 
 
-def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, kept: int = tokens.CACHED_PIECES) -> DataFrame:
     """Pieces of at most capacity ids; only a document's first piece may be shorter if it has several.
 
     ids holds the ids as unsigned little-endian integers, of 16 bits where the
     vocabulary allows; part and nth number the pieces of a length within a task.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(lambda frames: _cut(vocabulary, end_id, capacity, frames), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary")
+    return rows.mapInPandas(lambda frames: _cut(vocabulary, end_id, capacity, kept, frames), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary")
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, kept: int = tokens.CACHED_PIECES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset.
 
     A sequence's pieces fill it from offset 0 without gaps. Full pieces are
     sequences of their own, with negative numbers. A null or empty text is a
     piece of the end id alone; a null id is kept as it is; repeated rows are
     packed as often as they occur; an empty table gives no rows. Other columns
-    are not read.
+    are not read. kept bounds the pieces of text that a worker remembers, about
+    170 bytes each; fewer take less memory and more time.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = cut_documents(df, id_col, text_col, vocabulary, end_id, capacity)
+    cut = cut_documents(df, id_col, text_col, vocabulary, end_id, capacity, kept)
     cut.write.option("compression", "zstd").parquet(scratch.path("pieces"))
     pieces = spark.read.schema(cut.schema).parquet(scratch.path("pieces"))
 

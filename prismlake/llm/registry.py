@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from functools import wraps
 
-from ..session import ship_package
 from . import ann_tree, bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, hmm_scoring, near_dedup, packing, secret_scan, wavelet
-from .common import Scratch, read_table
+from .common import Scratch, prepare, read_table
 
 
 def _shipped(query):
     @wraps(query)
     def run(spark, sf_dir):
-        return query(ship_package(spark), sf_dir)
+        return query(prepare(spark), sf_dir)
 
     return run
 

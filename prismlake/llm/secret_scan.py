@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, in_worker, text_of
 
 # The base shapes, in the order that breaks ties.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -129,6 +129,7 @@ def text_p(token: str, encoding: str, log_text: np.ndarray) -> float:
     return min(0.0, math.log10(len(ENCODINGS)) - ratio)
 
 
+@in_worker("secrets")
 def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(_N * _N, dtype=np.int64)
     for frame in frames:
@@ -165,8 +166,9 @@ def base_spans(text: str, long_words: list[str] | None = None) -> list[tuple[int
     return sorted(out)
 
 
+@in_worker("secrets")
 def _scan(log_text: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    log_p: dict[str, tuple[float, str | None]] = {}
+    log_p: dict[str, float] = {}
 
     def judged(token: str) -> float:
         """log10 p of a token that passes for random, else 0."""

@@ -11,16 +11,23 @@ from __future__ import annotations
 import gc
 import os
 import re
+from collections import Counter
 
 import numpy as np
 
+from .common import worker_caches
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps, about 200 bytes each. Frequent ones come early; once so many are kept, new ones are encoded whenever they occur.
-CACHED_PIECES = 800_000
+#: Pieces that a worker keeps, about 170 bytes each; once so many are kept, others are encoded whenever they occur.
+CACHED_PIECES = 900_000
+#: Marks of pieces that have occurred before: only a piece that occurs again is kept.
+_MARKS = 1 << 23
 #: Outside these characters, Unicode versions may differ in what a letter is, or there is other white space.
 _UNUSUAL = re.compile("[^\n -~\xa1-ӿ]")
 _USUAL = bytes([10, *range(32, 127), *range(161, 256)])
 _BATCH_PIECES = 4096
+#: Marks at the end of a piece: a known word of letters and such an end are put together.
+_ENDS, _KEPT_ENDS = ".,;:!?$%&*#|)", 4096
 
 #: What the key of a piece starts with at a line's start and at the text's start; after a space, nothing is added.
 LINE_START, TEXT_START = "\n", "\0"
@@ -51,7 +58,8 @@ def vocabulary_path(name_or_path: str = DEFAULT_VOCABULARY) -> str:
 class PieceEncoder:
     """Encodes texts as the library does with add_special_tokens=False."""
 
-    def __init__(self, name_or_path: str = DEFAULT_VOCABULARY):
+    def __init__(self, name_or_path: str = DEFAULT_VOCABULARY, kept: int | None = None):
+        self.kept = CACHED_PIECES if kept is None else kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,6 +75,8 @@ class PieceEncoder:
         as_bytes = lambda i: int(i or 0).to_bytes(4, "little")
         self.fixed = {"": as_bytes(self.space), LINE_START: as_bytes(self.newline), TEXT_START: b""}
         self.known = dict(self.fixed)
+        self.seen = np.zeros(_MARKS, dtype=bool)
+        self.ends: dict[str, bytes] = {}
 
     def _ids_of_words(self, keys: list[str]) -> list[bytes]:
         """The ids of each key, by the library: keys of one kind are joined to texts and told apart by their first ids."""
@@ -121,12 +131,18 @@ class PieceEncoder:
             else:
                 out[k] = b"".join(values)
         if unknown:
-            if len(self.known) < CACHED_PIECES:
-                new = list(set(unknown))
-                self.known.update(zip(new, self._ids_of_words(new), strict=True))
-                found = map(self.known.__getitem__, unknown)
-            else:  # what isn't known by now is rare: hardly a piece occurs twice here
-                found = iter(self._ids_of_words(unknown))
+            times = Counter(unknown)
+            new = list(times)
+            got = self._put_together(new)
+            rest = [k for k in new if k not in got]
+            got.update(zip(rest, self._ids_of_words(rest), strict=True))
+            room = self.kept - len(self.known)
+            if room > 0:
+                marks = np.fromiter(map(hash, new), np.int64, len(new)) & (_MARKS - 1)
+                again = self.seen[marks] | (np.fromiter(times.values(), np.int64, len(new)) > 1)
+                self.seen[marks] = True
+                self.known.update([(new[i], got[new[i]]) for i in np.flatnonzero(again)[:room].tolist()])
+            found = map(got.__getitem__, unknown)
             for k, values, gaps in waiting:
                 for i in gaps:
                     values[i] = next(found)
@@ -136,21 +152,39 @@ class PieceEncoder:
                 out[k] = raw
         return out
 
+    def _put_together(self, keys: list[str]) -> dict[str, bytes]:
+        """The ids of keys that are a known word of letters with marks at its end; the two are never merged."""
+        found, get = [], self.known.get
+        for k in keys:
+            word = k.rstrip(_ENDS)
+            if len(word) < len(k):
+                ids = get(word)
+                if ids is not None and (word[1:] if word[:1] in (LINE_START, TEXT_START) else word).isalpha():
+                    found.append((k, ids, k[len(word) :]))
+        new = list({end for _, _, end in found if end not in self.ends})
+        if len(self.ends) + len(new) > _KEPT_ENDS:
+            self.ends.clear()
+            new = list({end for _, _, end in found})
+        self.ends.update(zip(new, self._ids_of_words([TEXT_START + e for e in new]), strict=True))
+        return {k: ids + self.ends[end] for k, ids, end in found}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(got.ids, dtype="<u4").tobytes() for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _loaded: dict[str, PieceEncoder] = {}
+worker_caches.append(_loaded)
 
 
-def encoder(name_or_path: str = DEFAULT_VOCABULARY) -> PieceEncoder:
-    """The encoder of this worker, loaded once."""
-    if name_or_path not in _loaded:
-        _loaded[name_or_path] = PieceEncoder(name_or_path)
+def encoder(name_or_path: str = DEFAULT_VOCABULARY, kept: int | None = None) -> PieceEncoder:
+    """The encoder of this worker, loaded once; it keeps at most so many pieces."""
+    if name_or_path not in _loaded or kept is not None and _loaded[name_or_path].kept != kept:
+        _loaded.clear()
+        _loaded[name_or_path] = PieceEncoder(name_or_path, kept)
     return _loaded[name_or_path]
 
 
-def in_lots(texts: list[str], chars: int = 8_000_000) -> list[range]:
+def in_lots(texts: list[str], chars: int = 2_000_000) -> list[range]:
     """Ranges of texts with about so many characters, so that a lot's memory is bounded."""
     out, first, total = [], 0, 0
     for k, t in enumerate(texts):
