@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, text_of
+from .common import Scratch, in_worker, text_of
 
 MAGIC = b"PLWM0001"
 _HEADER = struct.Struct("<8sQIIQ")
 #: Bits between two entries of the rank directory.
 STEP = 512
 #: Ids after which a shard is closed.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
 END_ID = 0
 
 
@@ -130,6 +130,7 @@ class Shard:
         return a
 
 
+@in_worker("tokens")
 def _encode_shards(vocabulary: str, end_id: int, shard_ids: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
@@ -137,22 +138,22 @@ def _encode_shards(vocabulary: str, end_id: int, shard_ids: int, frames: Iterato
     end = np.uint32(end_id).tobytes()
     held: list[bytes] = []
     docs: list[int] = []
-    size = 0
+    size = before = 0
 
     def close():
-        nonlocal held, docs, size, number
+        nonlocal held, docs, size, number, before
         ids = np.frombuffer(b"".join(held), "<u4")
         ends = np.cumsum([len(x) // 4 for x in held])
-        row = pd.DataFrame({"part": [part], "number": [number], "n_ids": [len(ids)], "shard": [pack_shard(ids, np.array(docs, np.int64), ends)]})
-        held, docs, size, number = [], [], 0, number + 1
+        row = pd.DataFrame({"part": [part], "number": [number], "before": [before], "n_ids": [len(ids)], "shard": [pack_shard(ids, np.array(docs, np.int64), ends)]})
+        held, docs, size, number, before = [], [], 0, number + 1, before + len(ids)
         return row
 
     for frame in frames:
-        texts = frame["text"].tolist()
+        texts, doc_ids = frame["text"].tolist(), frame["id"].tolist()
         for lot in tokens.in_lots(texts):
             for k, raw in zip(lot, own.encode([texts[k] for k in lot]), strict=True):
                 held.append(raw + end)
-                docs.append(int(frame["id"].iat[k]))
+                docs.append(doc_ids[k])
                 size += len(raw) // 4 + 1
                 if size >= shard_ids:
                     yield close()
@@ -162,20 +163,20 @@ def _encode_shards(vocabulary: str, end_id: int, shard_ids: int, frames: Iterato
 
 def _read_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for part, number, raw in zip(frame["part"], frame["number"], frame["shard"], strict=True):
+        for part, before, raw in zip(frame["part"], frame["before"], frame["shard"], strict=True):
             shard = Shard(raw)
             ids = shard.decode().astype("<u4").tobytes()
             ends = shard.ends
             starts = np.concatenate(([0], ends[:-1]))
             view = memoryview(ids)
-            yield pd.DataFrame({"part": part, "number": number, "id": shard.doc_ids, "at": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]})
+            yield pd.DataFrame({"part": part, "id": shard.doc_ids, "at": before + starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]})
 
 
 def write_shards(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
     """Write the ids of all documents, in ascending id order, as shards; the table of shards.
 
     Columns: part and number (in this order the shards continue one another),
-    n_ids, shard (the file's bytes). Documents are dealt by ranges of ids, so a
+    before (ids of the same part in earlier shards), n_ids, shard (the file's bytes). Documents are dealt by ranges of ids, so a
     shard is closed inside one task and nothing but its own documents is held.
     A null text is an empty document, of the end id alone. Rows with a null id
     are left out; repeated rows are written again, next to each other.
@@ -184,22 +185,22 @@ def write_shards(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartitionByRange(partitions, "id").sortWithinPartitions("id", "text")
-    made = spread.mapInPandas(lambda frames: _encode_shards(vocabulary, end_id, shard_ids, frames), "part int, number int, n_ids long, shard binary")
+    made = spread.mapInPandas(lambda frames: _encode_shards(vocabulary, end_id, shard_ids, frames), "part int, number int, before long, n_ids long, shard binary")
     return scratch.save(made, "shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """From the shards: doc_id, start, n_tokens, ids_crc32 of each document.
 
-    Where a shard starts is the sum of those before it; the driver sees one
-    number for each shard, never one for each document.
+    Where a part starts is the sum of those before it; the driver sees one
+    number for each part, never one for each document.
     """
     spark = shards.sparkSession
-    sizes = sorted(tuple(r) for r in shards.select("part", "number", "n_ids").collect())
-    before, total = [], 0
-    for part, number, n in sizes:
-        before.append((part, number, total))
+    sizes = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    first, total = [], 0
+    for part, n in sizes:
+        first.append((part, total))
         total += n
-    places = spark.createDataFrame(before, "part int, number int, before long")
-    docs = shards.select("part", "number", "shard").mapInPandas(_read_shards, "part int, number int, id long, at long, n_tokens long, ids_crc32 long")
-    return docs.join(F.broadcast(places), ["part", "number"]).select(F.col("id").alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    places = spark.createDataFrame(first, "part int, first long")
+    docs = shards.select("part", "before", "shard").mapInPandas(_read_shards, "part int, id long, at long, n_tokens long, ids_crc32 long")
+    return docs.join(F.broadcast(places), "part").select(F.col("id").alias("doc_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
