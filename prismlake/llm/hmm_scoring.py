@@ -26,7 +26,7 @@ STATES, ROUNDS = 4, 3
 #: Words with emissions of their own, and documents that the first guess of the states is made from.
 HEAD_WORDS, SEED_DOCUMENTS = 32_768, 1500
 #: Steps of a recursion that run one after another; longer texts are cut there and joined exactly.
-SEGMENT = 1024
+SEGMENT = 512
 LOT_TOKENS = 600_000
 #: What each count of starts and moves gets in addition; the counts of words get a prior of so many words that follow the corpus.
 SMOOTHING, PRIOR = 0.01, 60.0
