@@ -4,8 +4,9 @@ A token is reported as random when it can't pass for text and passes for random:
 it rejects a letter-pair model of the whole corpus, whose likelihood ratio
 against the inferred encoding gives a p-value that falls with the token's length,
 and it is not rejected by tests for uniform letters (chi-squared), runs and
-serial correlation. The false-discovery rate over all tokens of the corpus is
-held within each band of lengths.
+serial correlation. A name, a path or a prefix before the value is part of the token:
+the parts between '=', and between marks of different alphabets, are tested too.
+The false-discovery rate over all parts tested is held within each band of lengths.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 12, 18, 16
 #: Tokens that are tested, and their encodings from the narrowest to the widest.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 TOKEN_MIN = 20
+#: Parts of a token: '=' parts them unless it is padding at the token's end; then they are taken whole and between marks that one alphabet doesn't hold together.
+PART = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+SPLITS = tuple(re.compile(p) for p in (r".{20,}", r"[^+/]{20,}", r"[^_-]{20,}", r"[^+/_-]{20,}"))
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = {
     "decimal": _DIGITS, "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "lower": _LOWER, "upper": _UPPER,
@@ -88,6 +92,18 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, a in ENCODINGS.items() if own <= set(a)), None)
 
 
+def parts_of(token: str) -> dict[tuple[int, int], str]:
+    """(start, end) of each part of a token that is tested, with its encoding."""
+    out = {}
+    for part in PART.finditer(token):
+        for split in SPLITS:
+            for m in split.finditer(token, part.start(), part.end()):
+                name = infer_encoding(m.group())
+                if name and name not in _NO_SECRET and len(m.group().rstrip("=")) >= TOKEN_MIN:
+                    out[m.span()] = name
+    return out
+
+
 def uniformity(token: str, encoding: str) -> float:
     """The smallest p-value of the tests, corrected for their number.
 
@@ -168,20 +184,20 @@ def base_spans(text: str, long_words: list[str] | None = None) -> list[tuple[int
 
 @in_worker("secrets")
 def _scan(log_text: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    log_p: dict[str, float] = {}
-
-    def judged(token: str) -> float:
-        """log10 p of a token that passes for random, else 0."""
-        if token not in log_p:
-            if len(log_p) > 200_000:
-                log_p.clear()
-            name, p = infer_encoding(token), 0.0
-            if name and name not in _NO_SECRET and len(token.rstrip("=")) >= TOKEN_MIN:
-                p = text_p(token, name, log_text)
-                if p < -1 and uniformity(token, name) < UNIFORM_LEVEL:
-                    p = 0.0
-            log_p[token] = p
-        return log_p[token]
+    known: dict[str, tuple[list[int], list[tuple[int, int, float]]]] = {}
+
+    def judged(token: str) -> tuple[list[int], list[tuple[int, int, float]]]:
+        """The bands of the parts tested, and (start, end, log10 p) of those that pass for random; of parts that overlap, the one with the least p."""
+        if token not in known:
+            if len(known) > 200_000:
+                known.clear()
+            parts, chosen = parts_of(token), []
+            scored = sorted((text_p(token[a:b], name, log_text), a, b) for (a, b), name in parts.items())
+            for p, a, b in scored:
+                if p < -1 and not any(a < d and c < b for c, d, _ in chosen) and uniformity(token[a:b], parts[a, b]) >= UNIFORM_LEVEL:
+                    chosen.append((a, b, p))
+            known[token] = [_band(b - a) for a, b in parts], sorted(chosen)
+        return known[token]
 
     for frame in frames:
         rows = []
@@ -189,11 +205,13 @@ def _scan(log_text: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.D
             words = [w for w in text.split() if len(w) >= HEX_MIN]
             base = base_spans(text, words)
             found = [t for w in words if len(w) >= TOKEN_MIN for t in TOKEN.findall(w)]
-            tested = np.bincount([_band(len(t)) for t in found], minlength=len(BANDS) + 1)[1:].tolist() if found else [0] * len(BANDS)
+            bands = [k for t in found for k in judged(t)[0]]
+            tested = np.bincount(bands, minlength=len(BANDS) + 1)[1:].tolist() if bands else [0] * len(BANDS)
             extra = []
-            if any(judged(t) < -1 for t in found):
+            if any(judged(t)[1] for t in found):
                 taken = [(a, b) for a, _, b in base]
-                extra = [(m.start(), m.end(), judged(m.group())) for m in TOKEN.finditer(text) if judged(m.group()) < -1 and not any(a < m.end() and m.start() < b for a, b in taken)]
+                spans = [(m.start() + a, m.start() + b, p) for m in TOKEN.finditer(text) for a, b, p in judged(m.group())[1]]
+                extra = [(c, d, p) for c, d, p in spans if not any(a < d and c < b for a, b in taken)]
             rows.append((doc_id, [a for a, _, _ in base], [k for _, k, _ in base], [b for _, _, b in base], [a for a, _, _ in extra], [b for _, b, _ in extra], [p for _, _, p in extra], tested))
         yield pd.DataFrame(rows, columns=["doc_id", "starts", "kinds", "ends", "x_starts", "x_ends", "x_log_p", "tested"])
 
@@ -204,7 +222,7 @@ _SCANNED = "doc_id long, starts array<long>, kinds array<int>, ends array<long>,
 def thresholds(histogram: list[tuple[int, int, int]], tested: list[int], fdr: float = FDR) -> list[float]:
     """For each band, the log10 p at or below which tokens are reported, by Benjamini and Hochberg over steps of -log10 p.
 
-    histogram: (band from 1, steps, tokens); tested: tokens of each band.
+    histogram: (band from 1, steps, tokens); tested: parts of tokens tested in each band.
     """
     out = []
     for band, m in enumerate(tested, start=1):
@@ -236,7 +254,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of df: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     spans lists kind:start:end in code points by start, then kind; an assignment's
-    span is the whole match. A random token that overlaps a base span isn't
+    span is the whole match. A random token's span is the part of it that is random,
+without a name or path beside it. A random token that overlaps a base span isn't
     listed again. A null text is empty and has no spans; its digest is that of
     the empty string. Rows are independent but for the corpus's letter model and
     thresholds; repeated rows count in both. An empty table gives no rows.

@@ -48,6 +48,26 @@ def test_random_tokens_are_found_and_words_are_not(spark, sample):
     assert sum(rows[k]["n_random"] for k in rows if k < 20_000) <= 1
 
 
+def test_random_values_after_names_and_in_paths(spark, sample):
+    rng = np.random.default_rng(5)
+    draw = lambda name, n: "".join(rng.choice(list(S.ENCODINGS[name]), n))
+    shapes = [("DB_PASS={}", "base62"), ("AUTH={}", "base62"), ("passphrase={}", "base62"), ("https://h.example/a?sig={}&x=1", "base62"), ("get /v1_x/{} now", "base62"), ("api-v1/some/longer/path/{}", "base62"), ("MY_KEY={}==", "base64"), ("sk_live_{}", "base62"), ("{}=on", "base62")]
+    planted = {}
+    for i in range(90):
+        shape, name = shapes[i % len(shapes)]
+        planted[40_000 + i] = (shape, draw(name, 40))
+    words = {50_000 + i: w for i, w in enumerate(["LONG_NAME_OF_A_SETTING=internationalization_and_localization", "path/to/some_file-with_a_long_name/and/another=one", "a=b=c=d=e=f=g=h=i=j=k=l=m=n", "--------------------====================", "=" * 40])}
+    rows = [(k, shape.format(v)) for k, (shape, v) in planted.items()] + list(words.items())
+    got = {r["doc_id"]: r for r in S.scan_secrets(sample.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    found = dict.fromkeys(range(len(shapes)), 0)
+    for i, (k, (shape, v)) in enumerate(planted.items()):
+        at = [tuple(map(int, s.split(":")[1:])) for s in got[k]["spans"].split(",") if s.startswith("random")]
+        found[i % len(shapes)] += len(at) == 1 and v.strip("+/") in shape.format(v)[slice(*at[0])]
+    assert all(n >= 7 for n in found.values()), found
+    assert all(got[k]["n_random"] == 0 for k in words)
+    assert sum(r["n_random"] for k, r in got.items() if k < 20_000) <= 1
+
+
 def test_secrets_of_awkward_rows(docs):
     assert S.scan_secrets(docs).count() == 14 and S.scan_secrets(docs.where("false")).count() == 0
 
