@@ -30,7 +30,22 @@ SHAPES = {
     "card": r"(?<![A-Za-z0-9+])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
 }
 KINDS = tuple(SHAPES)
-ANY_SHAPE = "|".join(f"(?:{p})" for p in SHAPES.values()).replace(r"\1", "[/.]")
+#: Shapes that end where their value does; IBANs and cards are looked for among the words of a run instead, as their shapes also hold words and numbers beside the value.
+OPEN_KINDS = ("iban", "card")
+CLOSED_SHAPE = "|".join(f"(?:{p})" for k, p in SHAPES.items() if k not in OPEN_KINDS).replace(r"\1", "[/.]")
+RUN = r"(?<![A-Za-z0-9])\+?(?=[A-Z -]*\d)[A-Z0-9][A-Z0-9 -]{10,}[A-Z0-9](?![A-Za-z0-9])"
+WORD = "[A-Z0-9]+"
+_WHOLE_IBAN, _WHOLE_CARD = r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$", r"^\d(?:[ -]?\d){12,18}$"
+_USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$"
+#: The most words of a value, and the length of IBANs by country.
+MOST_WORDS = 19
+IBAN_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+)
+#: Stands for a value that is done while runs are searched; a first character in a text is followed by the second meanwhile.
+_ESCAPE, _ESCAPED, _MARK = "\x01", "\x01\x02", "\x01\x03"
 
 
 def _digit_stream(key: str, kind: str, turn: Column, place: Column, other: Column) -> Column:
@@ -108,13 +123,27 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_permute_chars(F.substring_index(m, "@", 1), "email", key), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _iban_holds(m: Column) -> Column:
+    bare = F.regexp_replace(m, " ", "")
+    return _mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
+
+
+def _card_holds(m: Column) -> Column:
+    digits = _digits(m)
+    return _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
+
+
 def _iban(m: Column, key: str) -> Column:
     bare = F.regexp_replace(m, " ", "")
     country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
     new = _permute_chars(account, "iban", key)
     check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(account, country, F.substring(bare, 3, 2))) == 1
-    return F.when(valid, _refill(m, F.concat(country, check, new), "A-Z0-9"))
+    return F.when(_iban_holds(m), _refill(m, F.concat(country, check, new), "A-Z0-9"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -170,22 +199,68 @@ def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
     new = _permute_chars(payload, "card", key)
-    return F.when(_check_digit(payload) == F.substring(digits, -1, 1), _refill(m, F.concat(new, _check_digit(new)), "0-9"))
+    return F.when(_card_holds(m), _refill(m, F.concat(new, _check_digit(new)), "0-9"))
+
+
+def _rank(m: Column, whole: Column) -> Column:
+    """0 to 3 for what m is by its shape and check, the likeliest first: IBAN of its country's length, card as usually written, other IBAN, other card; null if it is none."""
+    bare = F.regexp_replace(m, " ", "")
+    usual = F.lit(IBAN_LENGTHS).contains(F.concat(F.substring(bare, 1, 2), F.length(bare).cast("string")))
+    # Groups with several kinds of marks between them are one card only if nothing is beside them.
+    alike = whole | ~(m.contains(" ") & m.contains("-"))
+    return F.when(m.rlike(_WHOLE_IBAN), F.when(_iban_holds(m), F.when(usual, 0).otherwise(2))).when(m.rlike(_WHOLE_CARD) & alike, F.when(_card_holds(m), F.when(m.rlike(_USUAL_CARD), 1).otherwise(3)))
+
+
+def _in_run(run: Column, key: str) -> Column:
+    """A run with the IBANs and cards among its words replaced, and how many they were: (new, n_iban, n_card).
+
+    All spans of words are checked; of those that overlap, the likeliest stays, then the first, then the longest.
+    """
+    parts = F.struct(F.regexp_extract_all(run, F.lit(WORD), F.lit(0)).alias("words"), F.split(run, WORD, -1).alias("marks"))
+
+    def of_words(x: Column) -> Column:
+        words, marks = x["words"], x["marks"]
+        n = F.size(words)
+
+        def spans(i: Column) -> Column:
+            ends = F.sequence(i, F.least(i + MOST_WORDS - 1, n - 1))
+            said = lambda j: F.concat(F.array_join(F.slice(x["spaced"], i + 1, j - i), ""), F.get(words, j))
+            rank = lambda j, m: F.when((i > 0) | (F.get(marks, F.lit(0)) == "") | m.rlike("^[A-Z]"), _rank(m, (i == 0) & (j == n - 1)))
+            every = F.transform(ends, lambda j: _with(said(j), lambda m: F.struct(rank(j, m).alias("rank"), i.alias("i"), (-j).alias("j"), m.alias("m"))))
+            return F.filter(every, lambda h: h["rank"].isNotNull())
+
+        hits = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spans)))
+        apart = lambda chosen, h: ~F.exists(chosen, lambda c: (c["i"] <= -h["j"]) & (h["i"] <= -c["j"]))
+        return F.aggregate(hits, F.slice(hits, F.lit(1), F.lit(0)), lambda chosen, h: F.when(apart(chosen, h), F.array_append(chosen, h)).otherwise(chosen))
+
+    def rebuilt(x: Column) -> Column:
+        kind = lambda ranks: F.size(F.filter(x["chosen"], lambda h: h["rank"].isin(*ranks)))
+        new = lambda h: F.when(h["rank"].isin(0, 2), _iban(h["m"], key)).otherwise(_card(h["m"], key))
+        between = lambda a, b: F.array_join(F.slice(x["spaced"], a + 1, F.greatest(b - a, F.lit(0))), "")
+        in_order = F.array_sort(F.transform(x["chosen"], lambda h: F.struct(h["i"].alias("i"), (-h["j"]).alias("j"), h["rank"].alias("rank"), h["m"].alias("m"))))
+        start = F.struct(F.lit(0).alias("at"), F.get(x["marks"], F.lit(0)).alias("out"))
+        step = lambda s, h: F.struct((h["j"] + 1).alias("at"), F.concat(s["out"], between(s["at"], h["i"]), new(h), F.get(x["marks"], h["j"] + 1)).alias("out"))
+        text = F.aggregate(in_order, start, step, lambda s: F.concat(s["out"], between(s["at"], F.size(x["words"]))))
+        return F.struct(text.alias("new"), kind((0, 2)).alias("n_iban"), kind((1, 3)).alias("n_card"))
+
+    with_spaced = lambda x: F.struct(x["words"].alias("words"), x["marks"].alias("marks"), F.zip_with(x["words"], F.slice(x["marks"], F.lit(2), F.size(x["words"])), lambda w, mark: F.concat(w, mark)).alias("spaced"))
+    with_chosen = lambda x: F.struct(x["words"].alias("words"), x["marks"].alias("marks"), x["spaced"].alias("spaced"), of_words(x).alias("chosen"))
+    return _with(parts, lambda p: _with(with_spaced(p), lambda x: _with(with_chosen(x), rebuilt)))
 
 
 def _kind(m: Column) -> Column:
-    """The name of the first shape that m has."""
+    """The name of the first closed shape that m has."""
     return (
-        F.when(m.contains("@"), "email").when(m.rlike("^[A-Z]"), "iban").when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date_iso")
-        .when(m.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$"), "date_local").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[ .-]?\d{4}$"), "phone").otherwise("card")
+        F.when(m.contains("@"), "email").when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date_iso")
+        .when(m.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$"), "date_local").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").otherwise("phone")
     )
 
 
 def _pseudonym(found: Column, key: str) -> Column:
     m, kind = found["m"], found["kind"]
     return (
-        F.when(kind == "email", _email(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date_iso", _date(_try_date(m, "yyyy-MM-dd"), "yyyy-MM-dd", "date", key))
-        .when(kind == "date_local", _date_local(m, key)).when(kind == "ssn", _ssn(m, key)).when(kind == "phone", _phone(m, key)).otherwise(_card(m, key))
+        F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date_iso", _date(_try_date(m, "yyyy-MM-dd"), "yyyy-MM-dd", "date", key))
+        .when(kind == "date_local", _date_local(m, key)).when(kind == "ssn", _ssn(m, key)).otherwise(_phone(m, key))
     )
 
 
@@ -194,22 +269,29 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts:
 
     E-mail addresses (the part before @), IBANs, IPv4 addresses, dates from
     1800 to 2199, US social security numbers, phone numbers of ten digits with
-    or without a country code, and payment cards. Values that fail their check
-    stay as they are. With counts, a column n_<kind> for each kind of SHAPES
+    or without a country code, and payment cards. IBANs and cards are found
+    beside numbers and capital words too. Values that fail their check stay as
+    they are. With counts, a column n_<kind> for each kind of SHAPES
     follows; such a column of df is replaced.
 
     A null text stays null, an empty one empty; repeated rows, ties and empty
     tables need nothing special, as rows are independent. Whole texts are read.
     """
-    text = text_of(text_col)
-    has = text.rlike(ANY_SHAPE)
-    found = F.transform(F.when(has, F.regexp_extract_all(text, F.lit(ANY_SHAPE), F.lit(0))), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    text = F.replace(text_of(text_col), F.lit(_ESCAPE), F.lit(_ESCAPED))
+    has = text_of(text_col).rlike(f"{CLOSED_SHAPE}|{RUN}")
+    found = F.transform(F.when(has, F.regexp_extract_all(text, F.lit(CLOSED_SHAPE), F.lit(0))), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
     done = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _pseudonym(x, key).alias("new")))
     taken = df.select("*", done.alias("__found"))
-    pieces = F.split(F.col(text_col), ANY_SHAPE, -1)
-    joined = F.array_join(F.zip_with(pieces, F.col("__found"), lambda a, x: F.concat(a, F.coalesce(x["new"], x["m"], F.lit("")))), "")
-    out = {text_col: F.when(F.col("__found").isNotNull(), joined).otherwise(F.col(text_col))}
+    joined = lambda pieces, news: F.array_join(F.zip_with(pieces, news, lambda a, x: F.concat(a, F.coalesce(x, F.lit("")))), "")
+    # What fails its check stays in the text that is searched for runs.
+    marked = joined(F.split(text, CLOSED_SHAPE, -1), F.transform("__found", lambda x: F.when(x["new"].isNull(), x["m"]).otherwise(_MARK)))
+    taken = taken.withColumn("__marked", F.when(F.col("__found").isNotNull(), marked))
+    taken = taken.withColumn("__runs", F.transform(F.regexp_extract_all("__marked", F.lit(RUN), F.lit(0)), lambda r: _in_run(r, key)))
+    unmarked = F.split(joined(F.split("__marked", RUN, -1), F.transform("__runs", lambda r: r["new"])), _MARK, -1)
+    whole = F.replace(joined(unmarked, F.transform(F.filter("__found", lambda x: x["new"].isNotNull()), lambda x: x["new"])), F.lit(_ESCAPED), F.lit(_ESCAPE))
+    out = {text_col: F.when(F.col("__found").isNotNull(), whole).otherwise(F.col(text_col))}
     if counts:
-        number = lambda k: F.coalesce(F.size(F.filter("__found", lambda x: (x["kind"] == k) & x["new"].isNotNull())), F.lit(0)).cast("long")
-        out |= {f"n_{k}": F.when(F.col("__found").isNotNull(), number(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
-    return taken.withColumns(out).drop("__found")
+        closed = lambda k: F.size(F.filter("__found", lambda x: (x["kind"] == k) & x["new"].isNotNull()))
+        opened = lambda k: F.aggregate("__runs", F.lit(0), lambda a, r: a + r[f"n_{k}"])
+        out |= {f"n_{k}": F.when(F.col("__found").isNotNull(), opened(k) if k in OPEN_KINDS else closed(k)).otherwise(F.lit(0)).cast("long") for k in KINDS}
+    return taken.withColumns(out).drop("__found", "__marked", "__runs")

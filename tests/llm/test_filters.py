@@ -181,6 +181,24 @@ def test_values_stay_linked_and_what_fails_its_check_stays(spark):
     assert masked(spark, "4041894974608795", key="another")[0] != masked(spark, "4041894974608795")[0]
 
 
+def test_values_beside_numbers_and_capital_words(spark):
+    card, iban, ip = "4041894974608795", "BE68 5390 0754 7034", "97.51.17.173"
+    alone = dict(zip((card, "4041 8949 7460 8795", iban, "BE68539007547034", ip, "123-45-6789", "2024-02-29"), masked(spark, card, "4041 8949 7460 8795", iban, "BE68539007547034", ip, "123-45-6789", "2024-02-29"), strict=True))
+    assert all(k != v for k, v in alone.items())
+    texts = [
+        f"{card} 12/27", "4041 8949 7460 8795 123", f"order 12 {card}", f"{card} {ip}", f"{iban} EUR", f"TO {iban} EUR 100", "BE68539007547034 EUR", f"1234 4041 8949 7460 8795 {ip}", f"AB12 3456 7890 {iban}", f"{card} {card} 77 {card}",
+        f"{card} 123-45-6789", f"{card} 2024-02-29 {iban}", f"\x01{card} \x01\x03 {ip}\x01", f"NO {card}-7",
+    ]
+    expected = texts
+    for k in sorted(alone, key=len, reverse=True):
+        expected = [t.replace(k, alone[k]) for t in expected]
+    assert masked(spark, *texts) == expected
+    df = spark.createDataFrame([(1, f"{card} 12 {ip} {iban} EUR {card}")], "doc_id long, text string")
+    row = F8.pseudonymise(df, counts=True).first()
+    assert (row["n_card"], row["n_ip"], row["n_iban"]) == (2, 1, 1)
+    assert masked(spark, f"+{card}", f"12 4041894974608796 13 {iban}1 x") == [f"+{card}", f"12 4041894974608796 13 {iban}1 x"]
+
+
 def test_every_planted_value_of_the_sample_is_gone(spark):
     docs = read_table(spark, SF, "documents")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
