@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from .library import Library
+from .library import MOST_TARGETS, Library
 
 #: Partial moments are merged in so many tasks before the driver adds them up.
 MERGE_TASKS = 32
@@ -180,7 +180,9 @@ def class_means(pixels: DataFrame, label: str = "label", column: str = "spectrum
 
 
 def class_library(pixels: DataFrame, names: dict[int, str] | None = None, label: str = "label", column: str = "spectrum") -> Library:
-    """A library of the class means in the order of labels."""
-    rows = class_means(pixels, label, column).orderBy("label").limit(4096).collect()
+    """A library of the class means in the order of labels; more labels than a library holds are refused."""
+    rows = class_means(pixels, label, column).orderBy("label").limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"a library holds at most {MOST_TARGETS} targets")
     names = names or {}
     return Library(tuple(names.get(r["label"], str(r["label"])) for r in rows), np.array([r["values"] for r in rows]))

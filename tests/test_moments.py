@@ -72,3 +72,10 @@ def test_no_pixels(spark):
         M.moments(pixel_table(spark, np.zeros((1, 1, 2))).where("false"))
     with pytest.raises(ValueError):
         M.Moments.none(3).mean()
+
+
+def test_more_labels_than_a_library_holds_are_refused(spark):
+    labelled = lambda n: spark.range(n).select(F.col("id").alias("label"), F.array(F.col("id").cast("float")).alias("spectrum"))
+    assert M.class_library(labelled(4096)).values.shape == (4096, 1)
+    with pytest.raises(ValueError, match="at most 4096"):
+        M.class_library(labelled(4097))
