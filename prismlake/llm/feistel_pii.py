@@ -268,8 +268,10 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts:
     """df with the personal data in text_col replaced; columns and rows as in df.
 
     E-mail addresses (the part before @), IBANs, IPv4 addresses, dates from
-    1800 to 2199, US social security numbers, phone numbers of ten digits with
-    or without a country code, and payment cards. IBANs and cards are found
+    1800 to 2199, US social security numbers, phone numbers, and payment cards.
+    A phone number has ten digits with or without a country code, its area code
+    in brackets or before '.' or '-', or it is '+' and 11 to 13 digits together;
+    grouped by spaces alone it stays. IBANs and cards are found
     beside numbers and capital words too. Values that fail their check stay as
     they are. With counts, a column n_<kind> for each kind of SHAPES
     follows; such a column of df is replaced.
