@@ -50,7 +50,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows whose text an earlier choice already holds; columns as in df."""
+    """df without the rows whose text an earlier choice already holds; columns as in df.
+
+    Rows with a null id go, even if their text has no copy. Repeated rows of one
+    id stay or go together.
+    """
     kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
     return df.join(kept, df[id_col].cast("long") == kept["__kept_id"], "left_semi")
 

@@ -314,6 +314,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df whose document stays; columns as in df."""
+    """The rows of df whose document stays; columns as in df.
+
+    Rows with a null id go, even if their text has no copy. Repeated rows of one
+    id stay or go together.
+    """
     kept = near_duplicates(df, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     return df.join(kept, df[id_col].cast("long") == kept["__kept_id"], "left_semi")
