@@ -25,11 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, is a temporary folder made.
+    as in tests on one machine, is a temporary folder made. On several machines
+    that would be no shared one, so the setting is needed there.
     """
     named = spark.conf.get(_SETTING, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="prismlake-"))
     return "file://" + _own_folder[0]
@@ -119,6 +122,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def exact_id(column: str) -> Column:
+    """The id as a string of decimals, for Python: beside a null, pandas would make all ids of a batch floats."""
+    return F.col(column).cast("long").cast("string")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
