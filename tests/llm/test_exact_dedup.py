@@ -47,3 +47,12 @@ def test_query_and_sql_agree(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted(tuple(r) for r in registry.queries()["op1_exact_dedup"](spark, sf).collect())
     assert got == sorted(duck(sf).sql(registry.oracle_sql()["op1_exact_dedup"]).fetchall())
+
+
+def test_rows_with_one_id_or_none_are_chosen_as_rows(spark):
+    rows = [(7, "x"), (7, "x"), (8, "x"), (7, "other"), (None, "x y"), (None, "alone"), (None, "alone"), (3, None), (4, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in E.keep_first_copies(df).collect())))
+    assert kept == sorted(map(str, [(7, "x"), (7, "other"), (None, "x y"), (None, "alone"), (4, " ")]))
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in E.exact_dedup(df).collect())
+    assert got == sorted([("7", "7", 3, True), ("7", "7", 3, True), ("8", "7", 3, False), ("7", "7", 1, True), ("None", "None", 1, True), ("None", "None", 2, True), ("None", "None", 2, True), ("3", "4", 2, False), ("4", "4", 2, True)])
