@@ -30,8 +30,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """links (a, b) -> (id, component) of every node that has a link; component is the smallest id reachable."""
-    edges = scratch.save(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), f"{label}-0")
+    """links (a, b) -> (id, component) of every node that has a link; component is the smallest id reachable. Ids are of any ordered type."""
+    edges = scratch.save(links.select("a", "b").where("a <> b").distinct(), f"{label}-0")
     seen = None
     for i in range(1, MOST_ROUNDS + 1):
         edges = scratch.save(_small_star(_large_star(edges)), f"{label}-{i}")

@@ -5,16 +5,19 @@ leading zeros of the least hash and a few bits of its mantissa. Bands of
 registers give buckets of candidates; a Jaccard estimate corrected for chance
 collisions thins them, and links are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. Equal sets are one representative; a
-bucket's members are first compared with one leader, the member that shares the
-most buckets with others. Followers of a leader that end in different components
-are then compared with one another: few by a join, many in blocks, of which only
-links come out. So no link between different components is left out.
+No bucket is expanded into all its pairs. Equal sets are one representative,
+known by their digest; a bucket's members are first compared with one leader, the
+member that shares the most buckets with others. Followers of a leader that end
+in different components are then compared with one another in blocks: first by
+registers alone, and where some pass the same test of the estimate, by full sets,
+which are fetched for those members only. Only links come out of a block, so no
+link between different components is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, enter, in_worker, release, text_of
+from .common import Scratch, enter, exact_id, in_worker, release, text_of
 from .components import components
 
 MANTISSA = 10
 #: (bands, registers of a band) up to a threshold: a pair at the threshold shares no band with a probability below 1e-6.
 BANDS = ((0.82, (30, 4)), (1.01, (24, 5)))
-#: Pairs whose estimate is so far below the threshold are left out: 4.5 standard errors of it.
-ERRORS = 4.5
-#: More followers of one leader are compared in blocks, fewer by a join.
-FEW_FOLLOWERS = 24
+#: A pair at the threshold is left out for its estimate with at most this probability.
+MISS = 1e-6
 #: Members of a block, minor members of a block, shingles of a block, and shingles that a block's table holds at a time.
 BLOCK, MINOR_BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 256, 400_000, 8192
+#: Small groups are handled several at a time: rows and shingles of such a lot.
+LOT_ROWS, LOT_SHINGLES = 1500, 600_000
 _M64 = (1 << 64) - 1
 
 
@@ -42,6 +45,16 @@ def _bands(threshold: float) -> tuple[int, int]:
     return next(shape for limit, shape in BANDS if threshold < limit)
 
 
+def least_estimate(threshold: float, count: int) -> float:
+    """The estimate below which pairs are left out: the binomial quantile at MISS of equal registers, and one register less for the correction."""
+    total = 0.0
+    for equal in range(count + 1):
+        total += math.comb(count, equal) * threshold**equal * (1 - threshold) ** (count - equal)
+        if total > MISS:
+            return (equal - 1) / count
+    return 1.0
+
+
 def _constants(n: int, seed: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:8], "little") | 1 for i in range(n)], dtype=np.uint64)
 
@@ -156,18 +169,23 @@ def _sign(width: int, bands: int, rows: int, frames: Iterator[pd.DataFrame]) ->
             place = {i: k for k, i in enumerate(some)}
             yield pd.DataFrame({
                 "id": lot["id"].to_numpy(),
+                "of_text": lot["of_text"].to_numpy(),
                 "n": [len(s) for s in sets],
-                "same": [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets],
+                "same": [_digest(s) for s in sets],
                 "regs": [regs[place[i]].tobytes() if i in place else b"" for i in range(len(sets))],
                 "bands": [keys[place[i]] if i in place else [] for i in range(len(sets))],
             })
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.md5(s.tobytes(), usedforsecurity=False).digest()
+
+
 @in_worker("near")
 def _collect_sets(width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for lot in _lots(frame):
-            yield pd.DataFrame({"id": lot["id"].to_numpy(), "grams": [g.view(np.int64) for g in shingle_sets(lot["text"].tolist(), width)]})
+            yield pd.DataFrame({"same": lot["same"].to_numpy(), "grams": [g.view(np.int64) for g in shingle_sets(lot["text"].tolist(), width)]})
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -190,94 +208,165 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _compare_block(percent: int, block: pd.DataFrame) -> pd.DataFrame:
-    """Links between minor members and the others, where their components differ."""
-    enter("near")
-    own, rest = block[block["minor"]], block[~block["minor"]]
-    if not len(own) or not len(rest):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def _matrix(raw) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
+
+
+def _likely(percent: int, least: float, own: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
+    """Which minor members may be linked to which others: components, sizes and estimates."""
     n, m = own["n"].to_numpy()[:, None], rest["n"].to_numpy()[None, :]
-    both = shared_counts([np.asarray(g) for g in own["grams"]], [np.asarray(g) for g in rest["grams"]])
-    linked = (100 * both >= percent * (n + m - both)) & (own["component"].to_numpy()[:, None] != rest["component"].to_numpy()[None, :])
-    i, j = np.nonzero(linked)
-    x, y = own["id"].to_numpy()[i], rest["id"].to_numpy()[j]
-    found = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}, dtype="int64")
-    if len(block) > MINOR_BLOCK:
-        del both, linked
+    out = (own["component"].to_numpy()[:, None] != rest["component"].to_numpy()[None, :]) & (100 * n >= percent * m) & (100 * m >= percent * n)
+    i, j = np.nonzero(out)
+    a, b, n, m = _matrix(own["regs"]), _matrix(rest["regs"]), n[:, 0], m[0]
+    for first in range(0, len(i), 1 << 16):
+        x, y = i[first : first + (1 << 16)], j[first : first + (1 << 16)]
+        out[x, y] = estimate(a[x], b[y], n[x], m[y]) >= least
+    return out
+
+
+def _blocks(lot: pd.DataFrame):
+    """(minor members, others) of each block of a lot."""
+    for _, block in lot.groupby(["unit", "i", "j"], sort=False):
+        own, rest = block[block["minor"]], block[~block["minor"]]
+        if len(own) and len(rest):
+            yield own, rest
+
+
+def _thin_blocks(percent: int, least: float, lot: pd.DataFrame) -> pd.DataFrame:
+    """The members of blocks that may be linked to another one there."""
+    enter("near")
+    kept = [lot.iloc[:0]]
+    for own, rest in _blocks(lot):
+        likely = _likely(percent, least, own, rest)
+        kept += [own[likely.any(axis=1)], rest[likely.any(axis=0)]]
+    return pd.concat(kept)[list(_MEMBER)]
+
+
+def _compare_blocks(percent: int, least: float, lot: pd.DataFrame) -> pd.DataFrame:
+    """Links between minor members and the others, where their components differ, by full sets."""
+    enter("near")
+    found = [pd.DataFrame({"a": [], "b": []}, dtype=object)]
+    for own, rest in _blocks(lot):
+        likely = _likely(percent, least, own, rest)
+        n, m = own["n"].to_numpy()[:, None], rest["n"].to_numpy()[None, :]
+        both = shared_counts([np.asarray(g) for g in own["grams"]], [np.asarray(g) for g in rest["grams"]])
+        i, j = np.nonzero(likely & (100 * both >= percent * (n + m - both)))
+        found.append(pd.DataFrame({"a": own["same"].to_numpy()[i], "b": rest["same"].to_numpy()[j]}))
+        del both, likely
+    if len(lot) > MINOR_BLOCK:
         release()
-    return found
+    return pd.concat(found)
+
+
+_LOT = ("lot", "unit", "i", "j", "minor")
+_MEMBER = (*_LOT, "same", "component", "n", "regs")
+_MEMBER_TYPES = "lot long, unit binary, i int, j int, minor boolean, same binary, component binary, n long, regs binary"
 
 
 class _Job:
-    """One call: the tables it writes and the settings it has."""
+    """One call: the tables it writes and the settings it has. A set of shingles is known by its digest, same."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.spark, self.width, self.percent = df.sparkSession, width, percent
         self.scratch = Scratch(self.spark, "near")
-        self.docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where(F.col("id").isNotNull())
-        self.threshold = percent / 100
-        self.bands, self.rows = _bands(self.threshold)
-        k = self.bands * self.rows
-        self.least = self.threshold - ERRORS * (self.threshold * (1 - self.threshold) / k) ** 0.5
+        self.docs = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"), F.md5(text_of(text_col)).alias("of_text"))
+        self.bands, self.rows = _bands(percent / 100)
+        self.least = least_estimate(percent / 100, self.bands * self.rows)
 
     def near(self, pairs: DataFrame, regs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that may be linked by their sizes and estimates."""
         least, percent = self.least, self.percent
-        left, right = (regs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
+        left, right = (regs.select(F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
         sized = pairs.join(left, "a").join(right, "b").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
 
         @in_worker("near")
         def thin(frames):
             for f in frames:
                 if len(f):
-                    a, b = (np.frombuffer(b"".join(f[f"regs_{x}"]), np.uint16).reshape(len(f), -1) for x in "ab")
-                    f = f[estimate(a, b, f["n_a"].to_numpy(), f["n_b"].to_numpy()) >= least]
+                    f = f[estimate(_matrix(f["regs_a"]), _matrix(f["regs_b"]), f["n_a"].to_numpy(), f["n_b"].to_numpy()) >= least]
                 yield f[["a", "b"]]
 
-        return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInPandas(thin, "a long, b long")
+        return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInPandas(thin, "a binary, b binary")
 
-    def collect_sets(self, ids: DataFrame) -> DataFrame:
-        """The full sets of the documents named; texts are moved once, and only here."""
-        texts = self.docs.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    def collect_sets(self, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The full sets of the digests wanted, from one document of each; texts are moved once, and only here."""
         width = self.width
-        made = texts.mapInPandas(lambda frames: _collect_sets(width, frames), "id long, grams array<long>")
-        return self.scratch.save(made.dropDuplicates(["id"]), "grams")
+        one = signed.select("same", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "of_text")
+        chosen = one.join(wanted, "same", "left_semi").groupBy("same").agg(F.min(F.struct("id", "of_text")).alias("one")).select("same", "one.*")
+        texts = self.docs.select(F.coalesce("id", F.lit("")).alias("id"), "text", "of_text").join(chosen.hint("shuffle_hash"), ["of_text", "id"])
+        made = texts.select("same", "text").mapInPandas(lambda frames: _collect_sets(width, frames), "same binary, grams array<long>")
+        return self.scratch.save(made.dropDuplicates(["same"]), "grams")
 
     def linked(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """Of pairs (a, b), those linked by their full sets; a comparison for each row."""
-        left, right = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        left, right = (sets.select(F.col("same").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("grams_a").cast("long").alias("n"), F.size("grams_b").cast("long").alias("m"), F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
         return self.scratch.save(both.where(100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), label)
 
-    def cross(self, followers: DataFrame, labels: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between followers (a: leader, b) of one leader that are in different components so far.
+    def blocks(self, followers: DataFrame, labels: DataFrame, regs: DataFrame) -> DataFrame:
+        """Followers (a: leader, b) of one leader that are in different components so far, dealt to blocks.
 
         A follower outside the component that most of them are in is minor;
-        pairs are minor ones with all others. The leader itself has been compared.
+        a block pairs some minor ones with some of all. Groups of one block are
+        put together to lots. The leader itself has been compared.
         """
-        rows = followers.join(labels.select(F.col("id").alias("b"), "component"), "b", "left").select(F.col("a").alias("unit"), F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
-        rows = self.scratch.save(rows, "rows")
-        mixed = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        rows = self.scratch.save(rows.join(mixed.select("unit", "size"), "unit"), "mixed")
-        few = rows.where(F.col("size") <= FEW_FOLLOWERS)
-        one, two = (few.select("unit", F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-        pairs = self.scratch.save(self.near(one.join(two, "unit").where("a < b and c_a <> c_b").select("a", "b").distinct(), regs), "few-pairs")
-        links = self.linked(pairs, sets, "few-links")
-
-        many = rows.where(F.col("size") > FEW_FOLLOWERS).join(regs.select("id", "n"), "id")
-        sizes = many.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-        units = sizes.groupBy("unit").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+        rows = followers.join(labels.select(F.col("id").alias("b"), "component"), "b", "left").select(F.col("a").alias("unit"), F.col("b").alias("same"), F.coalesce("component", "b").alias("component"))
+        rows = self.scratch.save(rows.join(regs.select("same", "n"), "same"), "rows")
+        sizes = rows.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        units = sizes.groupBy("unit").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1")
+        minor = F.col("k") - F.col("most.k")
         blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-        minors = F.greatest(F.ceil((F.col("k") - F.col("most.k")) / MINOR_BLOCK), F.ceil((F.col("k") - F.col("most.k")) / F.col("k") * F.col("n") / BLOCK_SHINGLES)).cast("int")
-        units = units.select("unit", F.col("most.component").alias("major"), minors.alias("minors"), blocks.alias("blocks"))
-        placed = many.join(units, "unit")
-        spread = F.xxhash64("id", "unit")
-        rest = ("minor", "id", "component", "n")
-        minor = placed.where("component <> major").select("unit", F.pmod(spread, F.col("minors")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), *rest[1:])
-        every = placed.select("unit", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.pmod(spread, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("minor"), *rest[1:])
-        percent = self.percent
-        found = minor.unionByName(every).join(sets, "id").groupBy("unit", "i", "j").applyInPandas(lambda block: _compare_block(percent, block), "a long, b long")
-        return links.unionByName(self.scratch.save(found.distinct(), "many-links"))
+        minors = F.greatest(F.ceil(minor / MINOR_BLOCK), F.ceil(minor / F.col("k") * F.col("n") / BLOCK_SHINGLES)).cast("int")
+        units = self.scratch.save(units.select("unit", F.col("most.component").alias("major"), minors.alias("minors"), blocks.alias("blocks"), "k", "n"), "units")
+        small = units.where("minors = 1 and blocks = 1").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
+        lots = 1 + max((small["k"] or 0) // LOT_ROWS, (small["n"] or 0) // LOT_SHINGLES)
+        placed = rows.join(units.drop("k", "n"), "unit")
+        spread = F.xxhash64("same", "unit")
+        rest = ("same", "component", "n")
+        every = F.explode(F.sequence(F.lit(0), F.col("minors") - 1)), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        own = placed.where("component <> major").select("unit", F.pmod(spread, F.col("minors")).cast("int").alias("i"), every[1].alias("j"), F.lit(True).alias("minor"), "minors", "blocks", *rest)
+        others = placed.select("unit", every[0].alias("i"), F.pmod(spread, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("minor"), "minors", "blocks", *rest)
+        one = (F.col("minors") == 1) & (F.col("blocks") == 1)
+        # Lots of small groups are numbered from 0, blocks of large ones by a hash below 0.
+        lot = F.when(one, F.pmod(F.xxhash64("unit"), F.lit(lots))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("unit", "i", "j"), 1))
+        dealt = own.unionByName(others).select(lot.alias("lot"), "unit", "i", "j", "minor", *rest)
+        return dealt.join(regs.select("same", "regs"), "same").select(*_MEMBER)
+
+    def cross(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between members of blocks."""
+        percent, least = self.percent, self.least
+        likely = self.scratch.save(blocks.groupBy("lot").applyInPandas(lambda lot: _thin_blocks(percent, least, lot), _MEMBER_TYPES), "likely")
+        found = likely.join(sets, "same").groupBy("lot").applyInPandas(lambda lot: _compare_blocks(percent, least, lot), "a binary, b binary")
+        return self.scratch.save(found.distinct(), "more-links")
+
+
+def _decide(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """For each row of df: id, of_text (a digest of the text), n, component (the smallest id of its component; null if there is none), group (what tells components apart)."""
+    job = _Job(df, id_col, text_col, width, percent)
+    scratch, bands, rows = job.scratch, job.bands, job.rows
+    signed = scratch.save(job.docs.mapInPandas(lambda frames: _sign(width, bands, rows, frames), "id string, of_text string, n long, same binary, regs binary, bands array<long>").withColumn("id", F.col("id").cast("long")), "signed")
+    some = signed.where("n > 0")
+    sets = scratch.save(some.groupBy("same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times")), "sets")
+    # Equal sets have equal registers: any row of them will do.
+    first = scratch.save(some.dropDuplicates(["same"]).select("same", "n", "regs", "bands"), "first")
+    members = first.select("same", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = scratch.save(members.join(sizes, "key"), "shared")
+    regs = first.select("same", "n", "regs")
+    degree = shared.groupBy("same").agg(F.sum("size").alias("degree"))
+    leaders = shared.join(degree, "same").groupBy("key").agg(F.max(F.struct("degree", "same")).alias("best")).select("key", F.col("best.same").alias("a"))
+    followers = scratch.save(shared.join(leaders, "key").where("a <> same").select("a", F.col("same").alias("b")).distinct(), "followers")
+    grams = job.collect_sets(some, shared.select("same").distinct())
+    links = job.linked(scratch.save(job.near(followers, regs), "leader-pairs"), grams, "leader-links")
+    labels = components(links, scratch, "components")
+    more = job.cross(job.blocks(followers, labels, regs), grams)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), scratch, "all-components")
+    placed = sets.join(labels.withColumnRenamed("id", "same"), "same", "left").select("same", "least", F.coalesce("component", "same").alias("group"))
+    least = placed.groupBy("group").agg(F.min("least").alias("component"))
+    decided = placed.select("same", "group").join(least, "group")
+    with_words = some.select("id", "of_text", "n", "same").join(decided, "same").select("id", "of_text", "n", "component", "group")
+    return with_words.unionByName(signed.where("n = 0").select("id", "of_text", "n", F.col("id").alias("component"), F.lit(None).cast("binary").alias("group")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -286,38 +375,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents are linked if 100 * shared shingles >= percent * all shingles of
     both; component_id is the smallest id that links reach, kept whether it is
     the document's own. Null, empty and white texts have no shingles and no
-    links. Repeated rows are equal sets and share a component; a null id gives
-    no row; an empty table gives none. Other columns are not read.
+    links. Repeated rows share a component; rows with one id and different texts
+    are documents of their own. A row with a null id links others, and gets
+    their smallest id; where no row of its component has an id, component_id is
+    null and kept is true. An empty table gives no rows. Other columns are not read.
     """
-    job = _Job(df, id_col, text_col, width, percent)
-    scratch, bands, rows = job.scratch, job.bands, job.rows
-    signed = scratch.save(job.docs.mapInPandas(lambda frames: _sign(width, bands, rows, frames), "id long, n long, same binary, regs binary, bands array<long>"), "signed")
-    # The smallest id of each set of shingles stands for it.
-    sets = scratch.save(signed.where("n > 0").groupBy("same").agg(F.min("id").alias("id")), "sets")
-    first = scratch.save(signed.where("n > 0").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "regs", "bands"), "first")
-    members = first.select("id", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = scratch.save(members.join(sizes, "key"), "shared")
-    regs = first.select("id", "n", "regs")
-    degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
-    leaders = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("best")).select("key", (-F.col("best.least")).alias("a"))
-    followers = scratch.save(shared.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "followers")
-    grams = job.collect_sets(shared.select("id").distinct())
-    links = job.linked(scratch.save(job.near(followers, regs), "leader-pairs"), grams, "leader-links")
-    labels = components(links, scratch, "components")
-    more = scratch.save(job.cross(followers, labels, regs, grams), "more-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), scratch, "all-components")
-    decided = sets.join(labels, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    own = signed.select("id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same"))
-    return own.join(decided, "same", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
+    rows = _decide(df, id_col, text_col, width, percent)
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df whose document stays; columns as in df.
+    """The rows of df that stay, columns as in df: all without words, and of each component one row, that with the smallest id.
 
-    Rows with a null id go, even if their text has no copy. Repeated rows of one
-    id stay or go together.
+    Null ids come last; of several rows with that id, the one stays whose text
+    has the least digest, and of rows that are equal in both, any one.
     """
-    kept = near_duplicates(df, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return df.join(kept, df[id_col].cast("long") == kept["__kept_id"], "left_semi")
+    rows = _decide(df, id_col, text_col, width, percent)
+    no_id = lambda c: c.isNull().alias("__none")
+    order = F.struct(no_id(F.col("id")), "id", "of_text")
+    best = rows.where("group is not null").groupBy("group").agg(F.min(order).alias("b"))
+    own = lambda c: F.coalesce(c, F.lit(0))
+    kept = best.select(own(F.col("b.id")).alias("__id"), F.col("b.__none").alias("__none"), F.col("b.of_text").alias("__of_text"))
+    keys = ["__id", "__none", "__of_text"]
+    ready = df.select("*", own(F.col(id_col).cast("long")).alias("__id"), no_id(F.col(id_col)), F.md5(text_of(text_col)).alias("__of_text"), text_of(text_col).rlike(r"[^\x20\x09-\x0D]").alias("__words"))
+    chosen = ready.where("__words").join(kept, keys, "left_semi")
+    # Whole rows are moved once more only where some are equal in id and text.
+    if not rows.where("n > 0").groupBy("id", "of_text").count().where("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(keys)
+    return chosen.unionByName(ready.where("not __words")).select(*df.columns)

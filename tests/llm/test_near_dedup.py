@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,3 +105,32 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(df, Scratch(spark, "t"), "c").collect()}
     assert got == {i: root(i) for i in up}
     assert components(df.where("false"), Scratch(spark, "t"), "e").count() == 0
+
+
+def test_an_id_with_several_texts_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    t = " ".join(words)
+    rows = [(1, "short"), (1, t), (2, t + " extra"), (3, t + " more"), (None, t + " other"), (None, "alone here"), (9, "same text now"), (9, "same text now"), (None, "same text now"), (7, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in N.near_duplicates(df, width=3, percent=85).collect())
+    assert got == sorted([("1", 1, "1", True), ("1", 58, "1", True), ("2", 59, "1", False), ("3", 59, "1", False), ("None", 59, "1", False), ("None", 1, "None", True), ("9", 1, "9", True), ("9", 1, "9", True), ("None", 1, "9", False), ("7", 0, "7", True), ("7", 0, "7", True)])
+    kept = sorted(str((r["doc_id"], r["text"])) for r in N.keep_one_of_each(df, width=3, percent=85).collect())
+    assert kept == sorted(map(str, [(1, "short"), (1, t), (None, "alone here"), (9, "same text now"), (7, ""), (7, None)]))
+
+
+def test_template_pages_that_are_half_alike(spark):
+    rng = np.random.default_rng(4)
+    frame = [f"t{i}" for i in range(80)]
+    texts = {i: " ".join(frame + [f"v{rng.integers(10**9)}" for _ in range(38)]) for i in range(600)}
+    for i in range(600, 640):  # some have a near copy
+        texts[i] = texts[i - 600] + f" tail{i}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert result(df, width=3, percent=85) == brute(texts, 3, 85)
+
+
+def test_estimates_are_cut_where_few_links_are_lost():
+    for threshold, count in ((0.85, 120), (0.8, 120)):
+        below = N.least_estimate(threshold, count) * count + 1
+        lost = sum(math.comb(count, x) * threshold**x * (1 - threshold) ** (count - x) for x in range(round(below)))
+        more = lost + math.comb(count, round(below)) * threshold ** round(below) * (1 - threshold) ** (count - round(below))
+        assert lost <= N.MISS < more
