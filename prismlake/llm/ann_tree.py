@@ -164,6 +164,15 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
 
 
+def _calibrated(needed: np.ndarray, recall: float) -> tuple[int, float]:
+    """The visits that reach recall with two standard errors to spare, and what they reach; needed: the visits that find each neighbour."""
+    if not len(needed):
+        return 1, 1.0
+    share = min(1.0, recall + 2 * (recall * (1 - recall) / len(needed)) ** 0.5)
+    visits = int(np.sort(needed)[max(0, int(np.ceil(share * len(needed))) - 1)])
+    return visits, float((needed <= visits).mean())
+
+
 def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, recall: float = RECALL, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
     """(result, what was measured). The result's rows: query_id, rank, vec_id, score.
 
@@ -207,19 +216,16 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
         for f in frames:
             if len(f):
                 got = _best(known.value, f, k + 1)
-                leaf = dict(zip(f["members"].map(lambda m: m[0]), f["leaf"], strict=True))
-                if got:
-                    yield pd.DataFrame([(q, m[0], s, leaf[m[0]], len(m)) for q, m, s in got], columns=["query", "id", "score", "leaf", "copies"])
+                own = {m[0]: (leaf, d) for m, leaf, d in zip(f["members"], f["leaf"], f["digest"], strict=True)}
+                # A query's own vector is no neighbour unless another row has it too.
+                rows = [(q, m[0], s, own[m[0]][0]) for q, m, s in got if len(m) > 1 or own[m[0]][1] != q]
+                yield pd.DataFrame(rows, columns=["query", "id", "score", "leaf"])
 
-    truth = placed.mapInPandas(brute, "query binary, id long, score double, leaf long, copies int")
+    truth = placed.mapInPandas(brute, "query binary, id long, score double, leaf long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    truth = truth.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).toPandas()
+    truth = truth.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).toPandas()
     ranks = {bytes(d): {leaf: i for i, leaf in enumerate(tree.visits(unit(_matrix([v]))[0], len(tree.children)))} for d, v in zip(chosen["digest"], chosen["vec"], strict=True)}
-    needed = np.sort([ranks[bytes(q)][leaf] + 1 for q, leaf in zip(truth["query"], truth["leaf"], strict=True)])
-    visits, reached = 1, 1.0
-    if len(needed):
-        visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
-        reached = float((needed <= visits).mean())
+    visits, reached = _calibrated(np.array([ranks[bytes(q)][leaf] + 1 for q, leaf in zip(truth["query"], truth["leaf"], strict=True)]), recall)
 
     def visit(frames):
         for f in frames:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import wraps
 
+from pyspark.sql import functions as F
+
 from . import ann_tree, bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, hmm_scoring, near_dedup, packing, secret_scan, wavelet
 from .common import Scratch, prepare, read_table
 
@@ -21,7 +23,8 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def op2_ann_kmeans_tree(spark, sf_dir):
-    return ann_tree.nearest(read_table(spark, sf_dir, "embeddings"))[0]
+    result, said = ann_tree.nearest(read_table(spark, sf_dir, "embeddings"))
+    return result.withColumn("calibrated_recall", F.lit(said.get("recall")).cast("double"))
 
 
 def op3_hyperminhash_near_dedup(spark, sf_dir):
