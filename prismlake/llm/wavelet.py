@@ -8,6 +8,9 @@ with a few reads and no decoding of the rest.
 
 from __future__ import annotations
 
+import bisect
+import mmap
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, in_worker, text_of
+from .common import Scratch, exact_id, in_worker, text_of
 
-MAGIC = b"PLWM0001"
-_HEADER = struct.Struct("<8sQIIQ")
+MAGIC = b"PLWM0002"
+_HEADER = struct.Struct("<8sQIIQQ")
 #: Bits between two entries of the rank directory.
 STEP = 512
 #: Ids after which a shard is closed.
@@ -29,14 +32,15 @@ SHARD_IDS = 1 << 20
 END_ID = 0
 
 
-def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
+def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, without_id: int = 0) -> bytes:
     """The file of one shard: header, documents, and for each plane its zeros, bits and ranks.
 
-    ids: all ids in order. doc_ids, ends: each document and where its ids end.
+    ids: all ids in order. doc_ids, ends: each document and where its ids end;
+    so many of the first documents have no id, whatever doc_ids says.
     """
     n, bits = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    parts = [_HEADER.pack(MAGIC, n, bits, STEP, len(doc_ids)), doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes()]
+    parts = [_HEADER.pack(MAGIC, n, bits, STEP, len(doc_ids), without_id), doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes()]
     for level in range(bits - 1, -1, -1):
         bit = (a & (1 << level)) != 0
         words = np.packbits(bit, bitorder="little")
@@ -54,7 +58,7 @@ class Shard:
     """Reads a shard from bytes, a memory map, or anything with the buffer protocol."""
 
     def __init__(self, raw):
-        magic, self.n, self.bits, self.step, docs = _HEADER.unpack_from(raw, 0)
+        magic, self.n, self.bits, self.step, docs, self.without_id = _HEADER.unpack_from(raw, 0)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
         at = _HEADER.size
@@ -71,6 +75,12 @@ class Shard:
             at += 4 * (steps + 1)
             self.planes.append((zeros, plane, ranks))
 
+    @staticmethod
+    def open(path: str) -> Shard:
+        """A shard's file, mapped into memory."""
+        with open(path, "rb") as f:
+            return Shard(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
     def _ones(self, plane, ranks, i: int) -> int:
         """Ones before place i."""
         k = i // self.step
@@ -80,10 +90,10 @@ class Shard:
 
     def _select(self, plane, ranks, k: int, one: bool) -> int:
         """The place of the k-th one or zero, from 0."""
-        before = ranks if one else np.arange(len(ranks), dtype=np.int64) * self.step - ranks
-        block = int(np.searchsorted(before, k, side="right")) - 1
+        before = lambda j: int(ranks[j]) if one else j * self.step - int(ranks[j])
+        block = bisect.bisect_right(range(len(ranks)), k, key=before) - 1
         bits = np.unpackbits(plane[block * self.step // 8 : (block + 1) * self.step // 8], bitorder="little")
-        return block * self.step + int(np.flatnonzero(bits == one)[k - int(before[block])])
+        return block * self.step + int(np.flatnonzero(bits == one)[k - before(block)])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -137,14 +147,14 @@ def _encode_shards(vocabulary: str, end_id: int, shard_ids: int, frames: Iterato
     part, number, own = TaskContext.get().partitionId(), 0, tokens.encoder(vocabulary)
     end = np.uint32(end_id).tobytes()
     held: list[bytes] = []
-    docs: list[int] = []
+    docs: list[str | None] = []
     size = before = 0
 
     def close():
         nonlocal held, docs, size, number, before
         ids = np.frombuffer(b"".join(held), "<u4")
         ends = np.cumsum([len(x) // 4 for x in held])
-        row = pd.DataFrame({"part": [part], "number": [number], "before": [before], "n_ids": [len(ids)], "shard": [pack_shard(ids, np.array(docs, np.int64), ends)]})
+        row = pd.DataFrame({"part": [part], "number": [number], "before": [before], "n_ids": [len(ids)], "shard": [pack_shard(ids, np.array([int(d or 0) for d in docs], np.int64), ends, docs.count(None))]})
         held, docs, size, number, before = [], [], 0, number + 1, before + len(ids)
         return row
 
@@ -169,7 +179,7 @@ def _read_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = shard.ends
             starts = np.concatenate(([0], ends[:-1]))
             view = memoryview(ids)
-            yield pd.DataFrame({"part": part, "id": shard.doc_ids, "at": before + starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]})
+            yield pd.DataFrame({"part": part, "id": [None] * shard.without_id + list(map(str, shard.doc_ids[shard.without_id :].tolist())), "at": before + starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]})
 
 
 def write_shards(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
@@ -179,12 +189,13 @@ def write_shards(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     before (ids of the same part in earlier shards), n_ids, shard (the file's bytes). Documents are dealt by ranges of ids, so a
     shard is closed inside one task and nothing but its own documents is held.
     A null text is an empty document, of the end id alone. Rows with a null id
-    are left out; repeated rows are written again, next to each other.
+    come first, dealt by a hash of their texts; repeated rows are written again,
+    next to each other.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where(F.col("id").isNotNull())
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.when(F.col("id").isNull(), F.xxhash64("text")))
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(partitions, "id").sortWithinPartitions("id", "text")
+    spread = rows.repartitionByRange(partitions, "id", "h").sortWithinPartitions("id", "h", "text").select(exact_id("id").alias("id"), "text")
     made = spread.mapInPandas(lambda frames: _encode_shards(vocabulary, end_id, shard_ids, frames), "part int, number int, before long, n_ids long, shard binary")
     return scratch.save(made, "shards")
 
@@ -202,5 +213,25 @@ def read_documents(shards: DataFrame) -> DataFrame:
         first.append((part, total))
         total += n
     places = spark.createDataFrame(first, "part int, first long")
-    docs = shards.select("part", "before", "shard").mapInPandas(_read_shards, "part int, id long, at long, n_tokens long, ids_crc32 long")
-    return docs.join(F.broadcast(places), "part").select(F.col("id").alias("doc_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = shards.select("part", "before", "shard").mapInPandas(_read_shards, "part int, id string, at long, n_tokens long, ids_crc32 long")
+    return docs.join(F.broadcast(places), "part").select(F.col("id").cast("long").alias("doc_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def export_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """Each shard as a file of its own in a folder that all machines have mounted; path, part, number. Shard.open maps such a file.
+
+    A file is written beside its place and then renamed, so a task that runs again leaves it whole.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            paths = [os.path.join(folder, f"{p:06d}-{n:06d}.wavelet") for p, n in zip(f["part"], f["number"], strict=True)]
+            for path, raw in zip(paths, f["shard"], strict=True):
+                own = f"{path}.{os.getpid()}"
+                with open(own, "wb") as out:
+                    out.write(raw)
+                os.replace(own, path)
+            yield pd.DataFrame({"path": paths, "part": f["part"], "number": f["number"]})
+
+    os.makedirs(folder, exist_ok=True)
+    return shards.select("part", "number", "shard").mapInPandas(write, "path string, part int, number int")
