@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_worker, text_of
+from .common import Scratch, exact_id, in_worker, text_of
 
 # The base shapes, in the order that breaks ties.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -216,7 +216,7 @@ def _scan(log_text: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["doc_id", "starts", "kinds", "ends", "x_starts", "x_ends", "x_log_p", "tested"])
 
 
-_SCANNED = "doc_id long, starts array<long>, kinds array<int>, ends array<long>, x_starts array<long>, x_ends array<long>, x_log_p array<double>, tested array<long>"
+_SCANNED = "doc_id string, starts array<long>, kinds array<int>, ends array<long>, x_starts array<long>, x_ends array<long>, x_log_p array<double>, tested array<long>"
 
 
 def thresholds(histogram: list[tuple[int, int, int]], tested: list[int], fdr: float = FDR) -> list[float]:
@@ -258,11 +258,11 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 without a name or path beside it. A random token that overlaps a base span isn't
     listed again. A null text is empty and has no spans; its digest is that of
     the empty string. Rows are independent but for the corpus's letter model and
-    thresholds; repeated rows count in both. An empty table gives no rows.
+    thresholds; repeated rows count in both. A null id is kept. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "secrets")
     log_text = letter_model(df, text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"))
     found = scratch.save(rows.mapInPandas(lambda frames: _scan(log_text, frames), _SCANNED), "found")
     tested = found.select(*[F.sum(F.get("tested", F.lit(k))).alias(f"t{k}") for k in range(len(BANDS))]).first()
     x = found.select(F.explode(F.arrays_zip("x_starts", "x_ends", "x_log_p")).alias("x"))
@@ -271,4 +271,5 @@ without a name or path beside it. A random token that overlaps a base span isn't
     steps = F.least(F.floor(-F.col("x.x_log_p") / STEP), F.lit(MOST_STEPS)).cast("int")
     histogram = [tuple(r) for r in x.groupBy(band.alias("band"), steps.alias("steps")).count().collect()]
     limits = thresholds(histogram, [int(n or 0) for n in tested], fdr)
-    return found.mapInPandas(lambda frames: _report(limits, frames), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    out = found.mapInPandas(lambda frames: _report(limits, frames), "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
