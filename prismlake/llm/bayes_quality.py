@@ -105,8 +105,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         for f in frames:
             yield pd.DataFrame({"i": f["__id"], "y": f["__y"], "x": list(_shapes(f["text"]))})
 
-    # An id that occurs in several rows counts once.
-    got = rows.mapInPandas(features, "i long, y int, x array<double>").dropDuplicates(["i"]).toPandas().sort_values("i")
+    # An id that occurs in several rows counts once: with its worse label, and of its texts the one with the least features.
+    got = rows.mapInPandas(features, "i long, y int, x array<double>").groupBy("i").agg(F.min(F.struct("y", "x")).alias("least")).select("i", "least.*").toPandas().sort_values("i")
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, FEATURES))
     y = got["y"].to_numpy(dtype=float)
     return fit_logistic(x, y), float((y.sum() + 1) / (len(y) + 2))
@@ -177,7 +177,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels has id_col and label_col (1: good). evidence is the model's log odds.
     A null text counts as empty, a null host or path as the empty name; null
-    labels are not used. Repeated rows are documents of their own. Without
+    labels are not used. Repeated rows are documents of their own; in the sample,
+    an id with several labels has the worst one. Without
     labels of both classes, all documents have the same evidence. An empty table
     gives no rows.
     """
