@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, in_worker, most_frequent, text_of, worker_caches
+from .common import Scratch, exact_id, in_worker, most_frequent, text_of, worker_caches
 
 #: Words that the automaton holds; at most about 10 MB.
 LEXICON_WORDS = 60_000
@@ -331,12 +331,12 @@ def _encode(raw: bytes, vocabulary: str, frames: Iterator[pd.DataFrame]) -> Iter
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, lexicon: bytes | None = None) -> DataFrame:
     """id and ids (little-endian unsigned 32-bit) of each row, as the library encodes without special tokens added.
 
-    A null text is empty and has no ids. Rows are independent: repeated rows
+    A null text is empty and has no ids; a null id is kept. Rows are independent: repeated rows
     give repeated rows, an empty table none. Other columns are not read.
     """
     raw = df.sparkSession.sparkContext.broadcast(build_lexicon(df, text_col, vocabulary) if lexicon is None else lexicon)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(lambda frames: _encode(raw.value, vocabulary, frames), "id long, ids binary")
+    rows = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"))
+    return rows.mapInPandas(lambda frames: _encode(raw.value, vocabulary, frames), "id string, ids binary").withColumn("id", F.col("id").cast("long"))
 
 
 @in_worker("lexicon")
@@ -356,5 +356,6 @@ def _digest(raw: bytes, vocabulary: str, frames: Iterator[pd.DataFrame]) -> Iter
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY) -> DataFrame:
     """Encode and decode each document: doc_id, n_tokens, ids_sha256, decoded_sha256; rows as in encode_documents."""
     raw = df.sparkSession.sparkContext.broadcast(build_lexicon(df, text_col, vocabulary))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(lambda frames: _digest(raw.value, vocabulary, frames), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"))
+    out = rows.mapInPandas(lambda frames: _digest(raw.value, vocabulary, frames), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
