@@ -132,3 +132,11 @@ def test_packed_documents(spark, docs, texts, library):
         assert ids == expected(library, texts[doc_id]) + (2).to_bytes(4, "little")
         assert all(zlib.crc32(p[4]) == p[3] for p in pieces) and [p[2] for p in sorted(pieces)][1:] == [16] * (len(pieces) - 1)
     assert P.pack_documents(docs.where("false")).count() == 0
+
+
+def test_sequences_of_the_sample_are_few(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = P.pack_documents(docs).select("sequence_id", "length").toPandas()
+    total = rows.groupby("sequence_id")["length"].sum()
+    least = -(-int(rows["length"].sum()) // P.CAPACITY)
+    assert total.max() <= P.CAPACITY and len(total) <= least * 1.002 + 1, (len(total), least)
