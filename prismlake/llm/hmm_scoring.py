@@ -6,6 +6,9 @@ bounded vocabulary. The most frequent words have emissions of their own in each
 state; the rest are a class in each state, and a rare word's share of the class
 comes from its count, joined by a shuffle that holds rare words only. So the
 model gives every text a probability, and no table of all words is broadcast.
+
+Texts are split and looked up once: their tokens' numbers are written to the
+shared folder, and the rounds and the scoring read those.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, in_worker, most_frequent, text_of
+from .common import Scratch, bounded_sample, exact_id, in_worker, most_frequent, text_of
 
 STATES, ROUNDS = 4, 3
 #: Words with emissions of their own, and documents that the first guess of the states is made from.
@@ -51,7 +54,7 @@ class Segments:
 
     def __init__(self, texts: list[np.ndarray]):
         sizes = np.array([len(t) for t in texts])
-        self.tokens = np.concatenate(texts)
+        self.tokens = np.concatenate(texts).astype(np.int64)
         ends = np.cumsum(sizes)
         rows = []
         for d, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
@@ -155,21 +158,20 @@ class Counts:
             if not len(rows):
                 continue
             if steps is None:
-                _, _, steps = _forward(model, seg, rows, before, keep=True)
+                _, last, steps = _forward(model, seg, rows, before, keep=True)
             beta = after[rows]
+            beta /= (last * beta).sum(axis=1, keepdims=True)
+            # Forward vectors add up to one, so products with these backward vectors do at every step.
             for t in range(len(steps) - 1, -1, -1):
                 x, b, total = steps[t]
                 n = len(x)
                 g = x * beta[:n]
-                g /= g.sum(axis=1, keepdims=True)
                 posterior[seg.at[rows[:n]] + t] = g
-                right = b * beta[:n] / total[:, None]
                 if t or prior is not None:
+                    right = b * beta[:n] / total[:, None]
                     left = steps[t - 1][0][:n] if t else prior[rows[:n]]
-                    pairs = left.T @ (right / np.maximum(((left @ model.move) * right).sum(axis=1), 1e-300)[:, None])
-                    self.move += pairs * model.move
+                    self.move += (left.T @ right) * model.move
                     beta[:n] = right @ model.move.T
-                    beta[:n] *= k / beta[:n].sum(axis=1, keepdims=True)
                 else:
                     self.start += g.sum(axis=0)
         for j in range(k):
@@ -196,18 +198,23 @@ class Vocabulary:
         return n / n.sum()
 
     def encode(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of the words and of the text's end, in 16 bits where they fit."""
         get, tail = self.index.get, self.tail
         ids = list(map(get, words, repeat(tail)))
         ids.append(get(END.encode(), tail))
-        return np.array(ids, dtype=np.int64)
+        return np.array(ids, dtype=self.kind)
+
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.tail < 1 << 16 else "<u4"
 
 
-def _lots(texts: Iterator[tuple[object, list[bytes]]]):
+def _lots(texts: Iterator[tuple[object, np.ndarray]]):
     """Lots of texts with about LOT_TOKENS tokens."""
     lot, size = [], 0
     for x in texts:
         lot.append(x)
-        size += len(x[1]) + 1
+        size += len(x[1])
         if size >= LOT_TOKENS:
             yield lot
             lot, size = [], 0
@@ -277,27 +284,54 @@ def _first_guess(train: DataFrame, vocabulary: Vocabulary, states: int, seeds: i
     return Model(np.full(states, 1 / states), move, emit)
 
 
-def train_model(train: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS, seeds: int = SEED_DOCUMENTS) -> tuple[Model, list[float]]:
-    """Baum-Welch over train (id, text); the model, and the log likelihood before each round."""
+def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their times.
+
+    part and nth tell rows apart; id stays as it comes, so it is best a string where it may be null.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @in_worker("hmm")
+    def encode(frames):
+        from pyspark import TaskContext
+
+        part, nth, v = TaskContext.get().partitionId(), 0, shared.value
+        base = np.append(np.log10((v.counts + 1) / (v.total + v.distinct + 1)), 0.0)
+        for frame in frames:
+            out = []
+            for doc_id, held, text in zip(frame["id"], frame["held_out"], frame["text"], strict=True):
+                words = words_of(text)
+                own = v.encode(words)
+                rare = np.flatnonzero(own == v.tail).tolist()
+                seen = Counter(words[i] if i < len(words) else END.encode() for i in rare)
+                out.append((part, nth, doc_id, held, own.tobytes(), len(own), len(own) - len(rare), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], list(seen.values())))
+                nth += 1
+            yield pd.DataFrame(out, columns=["part", "nth", "id", "held_out", "ids", "n_tokens", "head_known", "head_base", "rare", "rare_n"])
+
+    id_type = dict(rows.dtypes)["id"]
+    return rows.select("id", "text", "held_out").mapInPandas(encode, f"part int, nth long, id {id_type}, held_out boolean, ids binary, n_tokens long, head_known long, head_base double, rare array<string>, rare_n array<long>")
+
+
+def train_model(train: DataFrame, vocabulary: Vocabulary, first: Model, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """Baum-Welch over train (ids, as encode_documents writes them); the model, and the log likelihood before each round."""
     spark: SparkSession = train.sparkSession
-    model, history = _first_guess(train, vocabulary, states, seeds), []
-    shared = spark.sparkContext.broadcast(vocabulary)
-    size = vocabulary.tail + 1
+    model, history = first, []
+    states, size, kind = len(first.start), vocabulary.tail + 1, vocabulary.kind
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
         @in_worker("hmm")
         def expect(frames, now=now):
             own, m = Counts(states, size), now.value
-            for lot in _lots((None, words_of(t)) for frame in frames for t in frame["text"]):
-                own.add(m, [shared.value.encode(w) for _, w in lot])
+            for lot in _lots((None, np.frombuffer(raw, kind)) for frame in frames for raw in frame["ids"]):
+                own.add(m, [ids for _, ids in lot])
             at = np.flatnonzero(own.emit.any(axis=1))
             # Rows below 0: the log likelihood, the start, the moves.
             rest = np.vstack((np.append(own.log, np.zeros(states - 1)), own.start, own.move))
             values = np.vstack((own.emit[at], rest))
             yield pd.DataFrame({"row": np.append(at, -1 - np.arange(len(rest))), **{f"v{k}": values[:, k] for k in range(states)}})
 
-        sums = train.select("text").mapInPandas(expect, "row long, " + ", ".join(f"v{k} double" for k in range(states))).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(states)]).toPandas()
+        sums = train.select("ids").mapInPandas(expect, "row long, " + ", ".join(f"v{k} double" for k in range(states))).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(states)]).toPandas()
         total = np.zeros((size + 2 + states, states))
         total[np.where(sums["row"] >= 0, sums["row"], size - 1 - sums["row"])] = sums.drop(columns="row").to_numpy()
         history.append(float(total[size, 0]))
@@ -307,26 +341,12 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, states: int = STATES,
 
 
 @in_worker("hmm")
-def _score(vocabulary, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
-
-    part, nth, v, m = TaskContext.get().partitionId(), 0, vocabulary.value, model.value
-    base = np.append(np.log10((v.counts + 1) / (v.total + v.distinct + 1)), 0.0)
-
-    def read():
-        for frame in frames:
-            yield from ((x, words_of(t)) for x, t in zip(zip(frame["id"], frame["held_out"], strict=True), frame["text"], strict=True))
-
-    for lot in _lots(read()):
-        ids = [v.encode(w) for _, w in lot]
-        logs = log_likelihood(m, ids) / math.log(10)
-        rows = []
-        for ((doc_id, held), words), own, log in zip(lot, ids, logs.tolist(), strict=True):
-            rare = np.flatnonzero(own == v.tail).tolist()
-            seen = Counter(words[i] if i < len(words) else END.encode() for i in rare)
-            rows.append((part, nth, doc_id, held, len(own), len(own) - len(rare), float(base[own].sum()), log, [w.decode("utf-8", "replace") for w in seen], list(seen.values())))
-            nth += 1
-        yield pd.DataFrame(rows, columns=["part", "nth", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare", "rare_n"])
+def _score(kind: str, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    m, columns = model.value, ["part", "nth", "id", "held_out", "n_tokens", "head_known", "head_base"]
+    for frame in frames:
+        for lot in _lots((k, np.frombuffer(raw, kind)) for k, raw in enumerate(frame["ids"])):
+            logs = log_likelihood(m, [ids for _, ids in lot]) / math.log(10)
+            yield frame[columns].iloc[[k for k, _ in lot]].assign(head_score=logs)
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -336,24 +356,27 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the text's tokens with its end: a rare word's is that of its class in the
     hidden state times (count + 1) / (tokens + words + 1) within the class,
     which leaves one share for words never seen. A null text is empty and has
-    the end alone. Rows are scored one by one, repeated ones too. Without
-    training rows all words are unseen. An empty table gives no rows.
+    the end alone. A null id is kept, and its row is trained on. Rows are scored
+    one by one, repeated ones too. Without training rows all words are unseen.
+    An empty table gives no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "hmm")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
+    rows = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
     train = rows.where(~F.col("held_out")).select("id", "text")
     counts = scratch.save(train.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # Words that occur once stand for those that never did: they are left to the class of rare words.
     head = [(w, n) for w, n in most_frequent(counts, head_words) if n > 1]
     vocabulary = Vocabulary(head, total["n"], total["v"])
-    model, _ = train_model(train, vocabulary, states, rounds)
-    shared, done = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(model)
-    schema = "part int, nth long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rare array<string>, rare_n array<long>"
-    scored = scratch.save(rows.mapInPandas(lambda frames: _score(shared, done, frames), schema), "scored")
-
-    pairs = scored.select("part", "nth", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("part", "nth", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
+    encoded = scratch.save(encode_documents(rows, vocabulary), "encoded")
+    first = _first_guess(train, vocabulary, states, SEED_DOCUMENTS)
+    model, _ = train_model(encoded.where(~F.col("held_out")), vocabulary, first, rounds)
+    done, kind = spark.sparkContext.broadcast(model), vocabulary.kind
+    schema = "part int, nth long, id string, held_out boolean, n_tokens long, head_known long, head_base double, head_score double"
+    scored = encoded.drop("rare", "rare_n").mapInPandas(lambda frames: _score(kind, done, frames), schema)
+
+    pairs = encoded.select("part", "nth", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("part", "nth", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
     log10 = lambda least, most: F.log10((c + 1) / F.lit(float(least + most + 1)))
     rare = pairs.join(counts, "word", "left").groupBy("part", "nth").agg(
@@ -362,7 +385,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sum(F.col("k") * log10(vocabulary.tail_total, vocabulary.tail_distinct)).alias("rare_score"),
     )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.drop("rare", "rare_n").join(rare, ["part", "nth"], "left").select(
-        "doc_id", "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),
+    return scored.join(rare, ["part", "nth"], "left").select(
+        F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),
         add("head_base", "rare_base").alias("base_score"), add("head_score", "rare_score").alias("score"),
     )

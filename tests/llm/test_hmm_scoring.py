@@ -52,7 +52,9 @@ def test_rounds_raise_the_likelihood(spark, sample):
     counts = Counter(w for r in train.collect() for w in H.words_of(r["text"]))
     counts[H.END.encode()] = train.count()
     head = [(w.decode(), n) for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:400]]
-    _, history = H.train_model(train, H.Vocabulary(head, sum(counts.values()), len(counts)), rounds=4)
+    vocabulary = H.Vocabulary(head, sum(counts.values()), len(counts))
+    encoded = H.encode_documents(train.withColumn("held_out", H.F.lit(False)), vocabulary)
+    _, history = H.train_model(encoded, vocabulary, H._first_guess(train, vocabulary, H.STATES, H.SEED_DOCUMENTS), rounds=4)
     assert all(b > a for a, b in zip(history, history[1:]))
 
 
