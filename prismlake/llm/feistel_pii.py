@@ -5,10 +5,16 @@ vector of small numbers with a modulus for each place, and permuted by a keyed
 Feistel network over that mixed-radix domain. Equal values get equal pseudonyms
 in every document and on every executor, without a table of values: nothing is
 shuffled, and a pseudonym has the punctuation, length and validity of the value.
+
+Values hold digits or @, so a text is first cut into zones of words that do, and
+of words in capitals beside them, by a pattern that reads each character about once;
+the shapes are looked for in zones only. No value reaches beyond its zone.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +29,10 @@ SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "date_iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
+    "date_iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?=T\d|[^\w-]|\z)",
     "date_local": r"(?<![\w/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\w/])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{11,13}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{11,13}(?!\d)|(?<![\w+])(?<!\d[ -])\d{3} \d{3} \d{4}(?![ -]?\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5}(?!\d)",
     "card": r"(?<![A-Za-z0-9+])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
 }
 KINDS = tuple(SHAPES)
@@ -35,6 +41,9 @@ OPEN_KINDS = ("iban", "card")
 CLOSED_SHAPE = "|".join(f"(?:{p})" for k, p in SHAPES.items() if k not in OPEN_KINDS).replace(r"\1", "[/.]")
 RUN = r"(?<![A-Za-z0-9])\+?(?=[A-Z -]*\d)[A-Z0-9][A-Z0-9 -]{10,}[A-Z0-9](?![A-Za-z0-9])"
 WORD = "[A-Z0-9]+"
+#: A word with a digit or @ and what follows it with spaces between: such words, and words in capitals.
+_TELLING, _CAPITALS = r"\S*?[0-9@]\S*+", r"[A-Z-]++(?![a-z0-9@])[^\s0-9@]*+(?!\S)"
+ZONE = rf"{_TELLING}(?: ++(?:{_CAPITALS}|{_TELLING}))*+"
 _WHOLE_IBAN, _WHOLE_CARD = r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$", r"^\d(?:[ -]?\d){12,18}$"
 _USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$"
 #: The most words of a value, and the length of IBANs by country.
@@ -48,50 +57,47 @@ IBAN_LENGTHS = (
 _ESCAPE, _ESCAPED, _MARK = "\x01", "\x01\x02", "\x01\x03"
 
 
-def _digit_stream(key: str, kind: str, turn: Column, place: Column, other: Column) -> Column:
-    """A number below 2**48 from the other half, the round and the place."""
-    said = F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), place.cast("string"), F.array_join(other.cast("array<string>"), ","))
+def _with(value: Column, use) -> Column:
+    """use(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _digit_stream(key: str, kind: Column, turn: Column, place: Column, other: Column) -> Column:
+    """A number below 2**48 from the other half (joined by commas), the round and the place."""
+    said = F.concat_ws("|", F.lit(key), kind, turn.cast("string"), place.cast("string"), other)
     return F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(values: Column, moduli: Column, kind: str, key: str = KEY) -> Column:
+def feistel(values: Column, moduli: Column, kind: str | Column, key: str = KEY) -> Column:
     """Permute an array of longs, place j within [0, moduli[j]); a bijection for each key and kind."""
-    half = F.floor(F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-    m_left, m_right = F.slice(moduli, F.lit(1), half), F.slice(moduli, half + 1, rest)
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+
+    def rounds(x: Column) -> Column:
+        half = F.floor(F.size(x["v"]) / 2).cast("int")
+        piece = lambda c: (F.slice(c, F.lit(1), half), F.slice(c, half + 1, F.size(c) - half))
+        (left, right), (m_left, m_right) = piece(x["v"]), piece(x["m"])
 
-    def shifted(x: Column, m: Column, other: Column, turn: Column) -> Column:
-        return F.transform(x, lambda v, j: F.pmod(v + _digit_stream(key, kind, turn, j, other), F.get(m, j)))
+        def step(state: Column, turn: Column) -> Column:
+            # a moves by what b says, then they change places.
+            moved = lambda said: F.transform(state["a"], lambda v, j: F.pmod(v + _digit_stream(key, kind, turn, j, said), F.get(state["ma"], j)))
+            return F.struct(state["b"].alias("a"), state["mb"].alias("ma"), _with(F.array_join(state["b"].cast("array<string>"), ","), moved).alias("b"), state["ma"].alias("mb"))
 
-    def step(state: Column, turn: Column) -> Column:
-        left, right = state["l"], state["r"]
-        even = turn % 2 == 0
-        return F.struct(
-            F.when(even, shifted(left, m_left, right, turn)).otherwise(left).alias("l"),
-            F.when(even, right).otherwise(shifted(right, m_right, left, turn)).alias("r"),
-        )
+        start = F.struct(left.alias("a"), m_left.alias("ma"), right.alias("b"), m_right.alias("mb"))
+        # After an even number of rounds the halves are in their places again.
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda t: F.concat(t["a"], t["b"]))
 
-    start = F.struct(F.slice(values, F.lit(1), half).alias("l"), F.slice(values, half + 1, rest).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
+    return _with(F.struct(values.alias("v"), moduli.alias("m")), rounds)
 
 
 def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def _base(c: Column) -> Column:
-    return F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65).otherwise(F.ascii(c))
-
-
-def _modulus(c: Column) -> Column:
-    return F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1)
-
-
-def _permute_chars(s: Column, kind: str, key: str) -> Column:
-    """Permute letters among letters of the same case and digits among digits; other characters stay."""
-    chars = _chars(s)
-    new = feistel(F.transform(chars, lambda c: (F.ascii(c) - _base(c)).cast("long")), F.transform(chars, lambda c: _modulus(c).cast("long")), kind, key)
-    return F.array_join(F.zip_with(chars, new, lambda c, v: F.chr((_base(c) + v).cast("long"))), "")
+def _class(c: Column) -> Column:
+    """(base, size): digits and letters of one case are numbers from a base, other characters stay."""
+    code = F.ascii(c)
+    row = lambda base, size: F.struct(F.lit(base).alias("base"), F.lit(size).alias("size"))
+    return F.when(code.between(48, 57), row(48, 10)).when(code.between(97, 122), row(97, 26)).when(code.between(65, 90), row(65, 26)).otherwise(F.struct(code.alias("base"), F.lit(1).alias("size")))
 
 
 def _digits(s: Column) -> Column:
@@ -119,15 +125,6 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
 
 
-def _email(m: Column, key: str) -> Column:
-    return F.concat(_permute_chars(F.substring_index(m, "@", 1), "email", key), F.lit("@"), F.substring_index(m, "@", -1))
-
-
-def _with(value: Column, use) -> Column:
-    """use(value), with the value evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _iban_holds(m: Column) -> Column:
     bare = F.regexp_replace(m, " ", "")
     return _mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
@@ -138,69 +135,27 @@ def _card_holds(m: Column) -> Column:
     return _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
 
 
-def _iban(m: Column, key: str) -> Column:
-    bare = F.regexp_replace(m, " ", "")
-    country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
-    new = _permute_chars(account, "iban", key)
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_iban_holds(m), _refill(m, F.concat(country, check, new), "A-Z0-9"))
-
-
-def _ip(m: Column, key: str) -> Column:
-    return F.array_join(feistel(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), F.array(*[F.lit(256).cast("long")] * 4), "ip", key), ".")
-
-
 #: A Gregorian cycle of 400 years has 146097 = 189 x 773 days.
 _CYCLE, _CYCLE_START = (189, 773), "1800-01-01"
 
 
-def _date(day: Column, pattern: Column | str, kind: str, key: str) -> Column:
-    """Another day of the same 400 years; null outside them."""
-    nth = F.date_diff(day, F.lit(_CYCLE_START).cast("date")).cast("long")
-    new = feistel(F.array(F.floor(nth / _CYCLE[1]), nth % _CYCLE[1]), F.array(*[F.lit(x).cast("long") for x in _CYCLE]), kind, key)
-    moved = F.date_add(F.lit(_CYCLE_START).cast("date"), (F.get(new, F.lit(0)) * _CYCLE[1] + F.get(new, F.lit(1))).cast("int"))
-    return F.when((nth >= 0) & (nth < _CYCLE[0] * _CYCLE[1]), F.date_format(moved, pattern))
-
-
 def _try_date(s: Column, pattern: str) -> Column:
     return F.try_to_timestamp(s, F.lit(pattern)).cast("date")
 
 
-def _date_local(m: Column, key: str) -> Column:
-    same = F.regexp_replace(m, r"\.", "/")
-    first, second = _try_date(same, "d/M/yyyy"), _try_date(same, "M/d/yyyy")
-    # Dots: day first. Slashes: month first where that is a date.
-    new = F.when(m.contains("."), _date(first, "dd.MM.yyyy", "date", key)).when(second.isNotNull(), _date(second, "MM/dd/yyyy", "date", key)).otherwise(_date(first, "dd/MM/yyyy", "date", key))
-    return new
-
-
-def _ssn(m: Column, key: str) -> Column:
-    area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
-    valid = (area != 0) & (area != 666) & (area < 900) & (group != 0) & (serial != 0)
-    values = F.array(F.when(area < 666, area - 1).otherwise(area - 2), group - 1, serial - 1)
-    new = feistel(values, F.array(*[F.lit(x).cast("long") for x in (898, 99, 9999)]), "ssn", key)
-    a, g, s = (F.get(new, F.lit(i)) for i in range(3))
-    return F.when(valid, F.concat(F.lpad((a + F.when(a < 665, 1).otherwise(2)).cast("string"), 3, "0"), F.lit("-"), F.lpad((g + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s + 1).cast("string"), 4, "0")))
-
-
-def _phone(m: Column, key: str) -> Column:
-    """The last ten digits; area and exchange keep whether they start with 2 to 9."""
-    digits = _digits(m)
-    prefix, own = F.substring(digits, F.lit(1), F.length(digits) - 10), F.substring(digits, F.length(digits) - 9, F.lit(10))
-    low = lambda c, i: F.when(i.isin(0, 3) & (c.cast("int") >= 2), 2).otherwise(0)
-    size = lambda c, i: F.when(~i.isin(0, 3), 10).when(c.cast("int") >= 2, 8).otherwise(2)
-    chars = _chars(own)
-    new = feistel(F.transform(chars, lambda c, i: (c.cast("int") - low(c, i)).cast("long")), F.transform(chars, lambda c, i: size(c, i).cast("long")), "phone", key)
-    pairs = F.arrays_zip(chars.alias("c"), new.alias("v"))
-    return _refill(m, F.concat(prefix, F.array_join(F.transform(pairs, lambda p, i: (p["c"].cast("int") * 0 + p["v"] + low(p["c"], i)).cast("string")), "")), "0-9")
-
+def _day(m: Column) -> Column:
+    """(day, pattern) of a date. Dots: day first. Slashes: month first where that is a date."""
+    dated = lambda day, pattern: F.struct(day.alias("day"), F.lit(pattern).alias("pattern"))
+    second = _try_date(m, "M/d/yyyy")
+    return (
+        F.when(m.contains("-"), dated(_try_date(m, "yyyy-MM-dd"), "yyyy-MM-dd")).when(m.contains("."), dated(_try_date(m, "d.M.yyyy"), "dd.MM.yyyy"))
+        .when(second.isNotNull(), dated(second, "MM/dd/yyyy")).otherwise(dated(_try_date(m, "d/M/yyyy"), "dd/MM/yyyy"))
+    )
 
-def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = _permute_chars(payload, "card", key)
-    return F.when(_card_holds(m), _refill(m, F.concat(new, _check_digit(new)), "0-9"))
 
+#: A number with its country code apart, in groups that aren't those of ten digits.
+_GROUPED = r"^\+\d{1,3}[ .-]"
+_TEN = r"^(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}$"
 
 def _rank(m: Column, whole: Column) -> Column:
     """0 to 3 for what m is by its shape and check, the likeliest first: IBAN of its country's length, card as usually written, other IBAN, other card; null if it is none."""
@@ -235,7 +190,7 @@ def _in_run(run: Column, key: str) -> Column:
 
     def rebuilt(x: Column) -> Column:
         kind = lambda ranks: F.size(F.filter(x["chosen"], lambda h: h["rank"].isin(*ranks)))
-        new = lambda h: F.when(h["rank"].isin(0, 2), _iban(h["m"], key)).otherwise(_card(h["m"], key))
+        new = lambda h: _pseudonym(h["m"], F.when(h["rank"].isin(0, 2), "iban").otherwise("card"), key)
         between = lambda a, b: F.array_join(F.slice(x["spaced"], a + 1, F.greatest(b - a, F.lit(0))), "")
         in_order = F.array_sort(F.transform(x["chosen"], lambda h: F.struct(h["i"].alias("i"), (-h["j"]).alias("j"), h["rank"].alias("rank"), h["m"].alias("m"))))
         start = F.struct(F.lit(0).alias("at"), F.get(x["marks"], F.lit(0)).alias("out"))
@@ -256,23 +211,105 @@ def _kind(m: Column) -> Column:
     )
 
 
-def _pseudonym(found: Column, key: str) -> Column:
-    m, kind = found["m"], found["kind"]
+def _lettered(m: Column, kind: Column) -> Column:
+    """What is permuted character by character: the name of an e-mail address, an IBAN after its check digits, a card without its check digit, a grouped phone number after its country code."""
+    digits = _digits(m)
+    return (
+        F.when(kind == "email", F.substring_index(m, "@", 1)).when(kind == "iban", F.substring(F.regexp_replace(m, " ", ""), 5, 64))
+        .when(kind == "card", F.substring(digits, F.lit(1), F.length(digits) - 1)).when(kind == "grouped", F.regexp_replace(m, r"^\+\d{1,3}", ""))
+    )
+
+
+def _numbers(m: Column, kind: Column) -> Column:
+    """(values, moduli) of what isn't permuted character by character; null where the value is none of its kind."""
+    row = lambda values, moduli: F.struct(values.alias("v"), moduli.alias("m"))
+    fixed = lambda *sizes: F.array(*[F.lit(x).cast("long") for x in sizes])
+    nth = F.date_diff(_day(m)["day"], F.lit(_CYCLE_START).cast("date")).cast("long")
+    date = _with(nth, lambda n: F.when((n >= 0) & (n < _CYCLE[0] * _CYCLE[1]), row(F.array(F.floor(n / _CYCLE[1]), n % _CYCLE[1]), fixed(*_CYCLE))))
+    area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    valid = (area != 0) & (area != 666) & (area < 900) & (group != 0) & (serial != 0)
+    ssn = F.when(valid, row(F.array(F.when(area < 666, area - 1).otherwise(area - 2), group - 1, serial - 1), fixed(898, 99, 9999)))
+    ten = F.transform(_chars(F.substring(_digits(m), -10, 10)), lambda c, i: F.struct(c.cast("long").alias("c"), F.when(~i.isin(0, 3), 10).when(c.cast("int") >= 2, 8).otherwise(2).cast("long").alias("size")))
+    # Area and exchange keep whether they start with 2 to 9.
+    phone = _with(ten, lambda t: row(F.transform(t, lambda d: d["c"] - F.when(d["size"] == 8, 2).otherwise(0)), F.transform(t, lambda d: d["size"])))
+    ip = row(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), fixed(256, 256, 256, 256))
+    return F.when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "phone", phone).when(kind == "ip", ip)
+
+
+def _letters(s: Column) -> Column:
+    """(values, moduli) of a text's characters."""
+    of = lambda t: F.struct(F.transform(t, lambda x: (F.ascii(x["c"]) - x["k"]["base"]).cast("long")).alias("v"), F.transform(t, lambda x: x["k"]["size"].cast("long")).alias("m"))
+    return _with(F.transform(_chars(s), lambda c: F.struct(c.alias("c"), _class(c).alias("k"))), of)
+
+
+def _written(m: Column, kind: Column, s: Column, old: Column, new: Column) -> Column:
+    """The pseudonym of m from its new numbers, in m's format. s: what was permuted character by character; old: the numbers before."""
+    text = F.array_join(F.zip_with(_chars(s), F.zip_with(old, new, lambda a, b: b - a), lambda c, d: F.chr((F.ascii(c) + d).cast("long"))), "")
+    number = lambda i: F.get(new, F.lit(i))
+    day = F.date_add(F.lit(_CYCLE_START).cast("date"), (number(0) * _CYCLE[1] + number(1)).cast("int"))
+    ssn = F.format_string("%03d-%02d-%04d", number(0) + F.when(number(0) < 665, 1).otherwise(2), number(1) + 1, number(2) + 1)
+    digits, country = _digits(m), F.substring(m, 1, 2)
+    first = F.transform(F.split(F.substring(digits, -10, 10), ""), lambda c, i: F.when(i.isin(0, 3) & (c >= "2"), 2).otherwise(0))
+    ten = F.array_join(F.transform(new, lambda v, i: (v + F.get(first, i)).cast("string")), "")
+    check = lambda t: F.lpad((98 - _mod97(F.concat(t, country, F.lit("00")))).cast("string"), 2, "0")
     return (
-        F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date_iso", _date(_try_date(m, "yyyy-MM-dd"), "yyyy-MM-dd", "date", key))
-        .when(kind == "date_local", _date_local(m, key)).when(kind == "ssn", _ssn(m, key)).otherwise(_phone(m, key))
+        F.when(kind == "email", F.concat(text, F.lit("@"), F.substring_index(m, "@", -1))).when(kind == "grouped", F.concat(F.regexp_extract(m, r"^\+\d{1,3}", 0), text))
+        .when(kind == "iban", _with(text, lambda t: _refill(m, F.concat(country, check(t), t), "A-Z0-9"))).when(kind == "card", _with(text, lambda t: _refill(m, F.concat(t, _check_digit(t)), "0-9")))
+        .when(kind == "date", F.call_function("date_format", day, _day(m)["pattern"])).when(kind == "ssn", ssn).when(kind == "ip", F.array_join(new, "."))
+        .when(kind == "phone", _refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), ten), "0-9"))
     )
 
 
+def _pseudonym(m: Column, kind: Column, key: str) -> Column:
+    """The pseudonym of a value; null where it fails its check. IBANs and cards have been checked."""
+    phone = F.when(~m.rlike(_GROUPED) | m.rlike(_TEN), F.when(F.length(_digits(m)) >= 10, "phone")).when(F.length(_digits(m)).between(8, 15), "grouped")
+    kind = F.when(kind.isin("date_iso", "date_local"), "date").when(kind == "phone", phone).otherwise(kind)
+    said = lambda k: F.when(k == "grouped", "phone").otherwise(k)
+    ready = lambda k: F.struct(k.alias("k"), _lettered(m, k).alias("s"))
+    sized = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), F.when(x["s"].isNotNull(), _letters(x["s"])).otherwise(_numbers(m, x["k"])).alias("n"))
+    moved = lambda x: _with(feistel(x["n"]["v"], x["n"]["m"], said(x["k"]), key), lambda new: _written(m, x["k"], x["s"], x["n"]["v"], new))
+    return _with(kind, lambda k: _with(ready(k), lambda x: _with(sized(x), lambda y: F.when(y["n"].isNotNull(), moved(y)))))
+
+
+def _in_zone(zone: Column, key: str) -> Column:
+    """A zone with its values replaced, and how many of each kind: (new, n_<kind>...)."""
+    joined = lambda pieces, news: F.array_join(F.zip_with(pieces, news, lambda a, x: F.concat(a, F.coalesce(x, F.lit("")))), "")
+
+    def closed(z: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(z, F.lit(CLOSED_SHAPE), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+        done = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _pseudonym(x["m"], x["kind"], key).alias("new")))
+        return F.struct(z.alias("zone"), done.alias("found"))
+
+    def opened(x: Column) -> Column:
+        # What fails its check stays in the text that is searched for runs.
+        marked = joined(F.split(x["zone"], CLOSED_SHAPE, -1), F.transform(x["found"], lambda v: F.when(v["new"].isNull(), v["m"]).otherwise(_MARK)))
+        runs = lambda m: F.struct(m.alias("marked"), F.transform(F.regexp_extract_all(m, F.lit(RUN), F.lit(0)), lambda r: _in_run(r, key)).alias("runs"))
+        return F.struct(F.filter(x["found"], lambda v: v["new"].isNotNull()).alias("found"), _with(marked, runs).alias("open"))
+
+    def rebuilt(x: Column) -> Column:
+        unmarked = F.split(joined(F.split(x["open"]["marked"], RUN, -1), F.transform(x["open"]["runs"], lambda r: r["new"])), _MARK, -1)
+        new = joined(unmarked, F.transform(x["found"], lambda v: v["new"]))
+        number = lambda k: F.aggregate(x["open"]["runs"], F.lit(0), lambda a, r: a + r[f"n_{k}"]) if k in OPEN_KINDS else F.size(F.filter(x["found"], lambda v: v["kind"] == k))
+        return F.struct(new.alias("new"), *[number(k).alias(f"n_{k}") for k in KINDS])
+
+    return _with(closed(zone), lambda x: _with(opened(x), rebuilt))
+
+
+@lru_cache(maxsize=8)
+def _zones(key: str, application: str) -> Column:
+    """The zones of __text with their values replaced; null without a digit or @. Kept for an application, as it takes seconds to put together."""
+    replaced = F.transform(F.regexp_extract_all("__text", F.lit(ZONE), F.lit(0)), lambda z: _in_zone(z, key))
+    return F.when(F.col("__text").rlike("[0-9@]"), replaced)
+
+
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts: bool = False) -> DataFrame:
     """df with the personal data in text_col replaced; columns and rows as in df.
 
-    E-mail addresses (the part before @), IBANs, IPv4 addresses, dates from
-    1800 to 2199, US social security numbers, phone numbers, and payment cards.
-    A phone number has ten digits with or without a country code, its area code
-    in brackets or before '.' or '-', or it is '+' and 11 to 13 digits together;
-    grouped by spaces alone it stays. IBANs and cards are found
-    beside numbers and capital words too. Values that fail their check stay as
+    E-mail addresses (the part before @; the domain stays), IBANs, IPv4 addresses, dates from
+    1800 to 2199 (with a time after them too), US social security numbers, phone numbers, and payment cards.
+    A phone number has ten digits in groups of three, three and four with or without a country code,
+    or a '+' with its country code and two to five groups of digits, eight to fifteen in all, or it is '+' and 11 to 13 digits together.
+    IBANs and cards are found beside numbers and capital words too. Values that fail their check stay as
     they are. With counts, a column n_<kind> for each kind of SHAPES
     follows; such a column of df is replaced.
 
@@ -280,20 +317,11 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts:
     tables need nothing special, as rows are independent. Whole texts are read.
     """
     text = F.replace(text_of(text_col), F.lit(_ESCAPE), F.lit(_ESCAPED))
-    has = text_of(text_col).rlike(f"{CLOSED_SHAPE}|{RUN}")
-    found = F.transform(F.when(has, F.regexp_extract_all(text, F.lit(CLOSED_SHAPE), F.lit(0))), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
-    done = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _pseudonym(x, key).alias("new")))
-    taken = df.select("*", done.alias("__found"))
-    joined = lambda pieces, news: F.array_join(F.zip_with(pieces, news, lambda a, x: F.concat(a, F.coalesce(x, F.lit("")))), "")
-    # What fails its check stays in the text that is searched for runs.
-    marked = joined(F.split(text, CLOSED_SHAPE, -1), F.transform("__found", lambda x: F.when(x["new"].isNull(), x["m"]).otherwise(_MARK)))
-    taken = taken.withColumn("__marked", F.when(F.col("__found").isNotNull(), marked))
-    taken = taken.withColumn("__runs", F.transform(F.regexp_extract_all("__marked", F.lit(RUN), F.lit(0)), lambda r: _in_run(r, key)))
-    unmarked = F.split(joined(F.split("__marked", RUN, -1), F.transform("__runs", lambda r: r["new"])), _MARK, -1)
-    whole = F.replace(joined(unmarked, F.transform(F.filter("__found", lambda x: x["new"].isNotNull()), lambda x: x["new"])), F.lit(_ESCAPED), F.lit(_ESCAPE))
-    out = {text_col: F.when(F.col("__found").isNotNull(), whole).otherwise(F.col(text_col))}
+    taken = df.select("*", text.alias("__text")).withColumn("__zones", _zones(key, df.sparkSession.sparkContext.applicationId))
+    some = F.col("__zones").isNotNull()
+    around = F.zip_with(F.split("__text", ZONE, -1), "__zones", lambda a, z: F.concat(a, F.coalesce(z["new"], F.lit(""))))
+    out = {text_col: F.when(some, F.replace(F.array_join(around, ""), F.lit(_ESCAPED), F.lit(_ESCAPE))).otherwise(F.col(text_col))}
     if counts:
-        closed = lambda k: F.size(F.filter("__found", lambda x: (x["kind"] == k) & x["new"].isNotNull()))
-        opened = lambda k: F.aggregate("__runs", F.lit(0), lambda a, r: a + r[f"n_{k}"])
-        out |= {f"n_{k}": F.when(F.col("__found").isNotNull(), opened(k) if k in OPEN_KINDS else closed(k)).otherwise(F.lit(0)).cast("long") for k in KINDS}
-    return taken.withColumns(out).drop("__found", "__marked", "__runs")
+        total = lambda k: F.aggregate(F.coalesce("__zones", F.array()), F.lit(0).cast("long"), lambda a, z: a + z[f"n_{k}"])
+        out |= {f"n_{k}": total(k) for k in KINDS}
+    return taken.withColumns(out).drop("__text", "__zones")
