@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, in_worker, text_of
+from .common import Scratch, exact_id, in_worker, text_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -277,8 +277,9 @@ def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids holds the ids as unsigned little-endian integers, of 16 bits where the
     vocabulary allows; part and nth number the pieces of a length within a task.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(lambda frames: _cut(vocabulary, end_id, capacity, kept, frames), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary")
+    rows = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"))
+    made = rows.mapInPandas(lambda frames: _cut(vocabulary, end_id, capacity, kept, frames), "doc_id string, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, kept: int = tokens.CACHED_PIECES) -> DataFrame:
@@ -306,8 +307,10 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     full = pieces.where(F.col("length") >= capacity).select(*_OUT, (-1 - F.col("part") * F.lit(1 << 40) - F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    ranked = pieces.where(F.col("length") < capacity).join(before, ["part", "length"]).select(*_OUT, (F.col("before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return full.unionByName(ranked.mapInPandas(lambda frames: _place(places, frames), ranked.schema))
+    # Both sides by a shuffle: before has a row for each task and length, so it grows with the corpus.
+    ranked = pieces.where(F.col("length") < capacity).join(before.hint("merge"), ["part", "length"]).select(*_OUT, (F.col("before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    text_ids = ranked.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return full.unionByName(text_ids.mapInPandas(lambda frames: _place(places, frames), text_ids.schema).withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 _OUT = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
