@@ -38,6 +38,8 @@ MISS = 1e-6
 BLOCK, MINOR_BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 256, 400_000, 8192
 #: Small groups are handled several at a time: rows and shingles of such a lot.
 LOT_ROWS, LOT_SHINGLES = 1500, 600_000
+#: At most so many sets, those with the most rows, are broadcast at the end.
+HOT_SHARE = 2000
 _M64 = (1 << 64) - 1
 
 
@@ -288,11 +290,10 @@ class _Job:
 
         return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInPandas(thin, "a binary, b binary")
 
-    def collect_sets(self, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    def collect_sets(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
         """The full sets of the digests wanted, from one document of each; texts are moved once, and only here."""
         width = self.width
-        one = signed.select("same", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "of_text")
-        chosen = one.join(wanted, "same", "left_semi").groupBy("same").agg(F.min(F.struct("id", "of_text")).alias("one")).select("same", "one.*")
+        chosen = sets.join(wanted, "same", "left_semi").select("same", "one.*")
         texts = self.docs.select(F.coalesce("id", F.lit("")).alias("id"), "text", "of_text").join(chosen.hint("shuffle_hash"), ["of_text", "id"])
         made = texts.select("same", "text").mapInPandas(lambda frames: _collect_sets(width, frames), "same binary, grams array<long>")
         return self.scratch.save(made.dropDuplicates(["same"]), "grams")
@@ -346,7 +347,8 @@ def _decide(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     scratch, bands, rows = job.scratch, job.bands, job.rows
     signed = scratch.save(job.docs.mapInPandas(lambda frames: _sign(width, bands, rows, frames), "id string, of_text string, n long, same binary, regs binary, bands array<long>").withColumn("id", F.col("id").cast("long")), "signed")
     some = signed.where("n > 0")
-    sets = scratch.save(some.groupBy("same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times")), "sets")
+    one = F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "of_text")
+    sets = scratch.save(some.groupBy("same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"), F.min(one).alias("one")), "sets")
     # Equal sets have equal registers: any row of them will do.
     first = scratch.save(some.dropDuplicates(["same"]).select("same", "n", "regs", "bands"), "first")
     members = first.select("same", F.explode("bands").alias("key"))
@@ -356,16 +358,23 @@ def _decide(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     degree = shared.groupBy("same").agg(F.sum("size").alias("degree"))
     leaders = shared.join(degree, "same").groupBy("key").agg(F.max(F.struct("degree", "same")).alias("best")).select("key", F.col("best.same").alias("a"))
     followers = scratch.save(shared.join(leaders, "key").where("a <> same").select("a", F.col("same").alias("b")).distinct(), "followers")
-    grams = job.collect_sets(some, shared.select("same").distinct())
+    grams = job.collect_sets(sets, shared.select("same").distinct())
     links = job.linked(scratch.save(job.near(followers, regs), "leader-pairs"), grams, "leader-links")
     labels = components(links, scratch, "components")
     more = job.cross(job.blocks(followers, labels, regs), grams)
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch, "all-components")
-    placed = sets.join(labels.withColumnRenamed("id", "same"), "same", "left").select("same", "least", F.coalesce("component", "same").alias("group"))
+    placed = sets.join(labels.withColumnRenamed("id", "same"), "same", "left").select("same", "least", "times", F.coalesce("component", "same").alias("group"))
     least = placed.groupBy("group").agg(F.min("least").alias("component"))
-    decided = placed.select("same", "group").join(least, "group")
-    with_words = some.select("id", "of_text", "n", "same").join(decided, "same").select("id", "of_text", "n", "component", "group")
+    decided = scratch.save(placed.select("same", "times", "group").join(least, "group"), "decided")
+    # Sets with more than one row in HOT_SHARE are fewer than HOT_SHARE: those are broadcast, so their many rows stay where they are.
+    rows_with_words = decided.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("times") > rows_with_words // HOT_SHARE
+    common = F.broadcast(decided.where(hot & (F.col("times") > 1)).select("same", F.struct("component", "group").alias("hot")))
+    marked = some.select("id", "of_text", "n", "same").join(common, "same", "left")
+    out = ("id", "of_text", "n", "component", "group")
+    rest = marked.where("hot is null").drop("hot").join(decided.where(~(hot & (F.col("times") > 1))), "same").select(*out)
+    with_words = rest.unionByName(marked.where("hot is not null").select("id", "of_text", "n", "hot.component", "hot.group"))
     return with_words.unionByName(signed.where("n = 0").select("id", "of_text", "n", F.col("id").alias("component"), F.lit(None).cast("binary").alias("group")))
 
 
