@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +99,26 @@ def build_statistics(moments: Moments, library: Library | None = None, loading:
     return Statistics(*parts)
 
 
+def dense(column: pa.Array) -> np.ndarray:
+    """The spectra that a batch has, as rows of doubles. Null ones are left out; ragged ones and null values within are refused."""
+    some = column.drop_null()
+    sizes = pc.unique(pc.list_value_length(some)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"spectra differ in their number of bands: {sorted(sizes)}")
+    flat = some.flatten()
+    if flat.null_count:
+        raise ValueError("a spectrum has bands without a value")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), sizes[0] if sizes else 0)
+
+
 def partial_moments(pixels: DataFrame, column: str = "spectrum", reference: np.ndarray | None = None) -> DataFrame:
-    """One row (n, s, o) for each task: a matrix product for each Arrow batch, added up."""
+    """One row (n, s, o) for each task: a matrix product for each Arrow batch, added up. Null spectra are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            x = dense(b.column(0))
+            if len(x):
                 one = Moments.of(x, reference)
                 total = one if total is None else total.merge(one)
         if total is not None:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from .moments import Statistics
 
 #: Bands up to which "auto" takes the expression form.
 FEW_BANDS = 8
+_OTHER_BANDS = "pixels have another number of bands"
 
 
 def _choose(strategy: str, bands: int) -> str:
@@ -28,20 +30,32 @@ def _choose(strategy: str, bands: int) -> str:
     return named if named != "auto" else "sql" if bands <= FEW_BANDS else "arrow"
 
 
-def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Spectra of a batch as rows of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def _stack(column: pa.Array, bands: int) -> np.ndarray:
+    """Spectra of a batch as rows of doubles; a null one, or a null in one, is NaN. Spectra of another length are refused."""
+    out, here = np.full((len(column), bands), np.nan), column.is_valid().to_numpy(zero_copy_only=False)
+    some = column.drop_null()
+    sizes = set(pc.unique(pc.list_value_length(some)).to_pylist())
+    if sizes - {bands}:
+        raise ValueError(f"{_OTHER_BANDS}: {sorted(sizes)}, {bands} are expected")
+    out[here] = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, bands)
+    return out
+
+
+def _checked(column: str, bands: int) -> Column:
+    """The spectrum of the expression forms: null if it or one of its values is null; of another length, it is refused."""
+    c = F.col(column)
+    usable = F.when(~F.exists(c, lambda v: v.isNull()), c)
+    return F.when(F.size(c) == bands, usable).when(c.isNotNull(), F.raise_error(F.lit(_OTHER_BANDS)))
 
 
-def _project(pixels: DataFrame, column: str, schema: str, compute: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+def _project(pixels: DataFrame, column: str, bands: int, schema: str, compute: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """Replace the spectra by computed columns, batch by batch."""
     rest = [c for c in pixels.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                got = compute(_stack(b.column(b.schema.get_field_index(column))))
+                got = compute(_stack(b.column(b.schema.get_field_index(column)), bands))
                 arrays = [b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(v) for v in got.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *got])
 
@@ -70,11 +84,16 @@ def _first_best(scores: np.ndarray, lower: bool, none: float) -> dict[str, np.nd
     return {"target": np.where(valid, at, -1).astype(np.int32), "score": np.where(valid, best, none)}
 
 
+def _or_nan(column: str, score: Column) -> Column:
+    return F.when(F.col(column).isNotNull(), score).otherwise(F.lit(float("nan")))
+
+
 def sam_all(pixels: DataFrame, library: Library, column: str = "spectrum") -> DataFrame:
-    """One row for each pixel and target: target, angle."""
+    """One row for each pixel and target: target, angle. The angle of a null spectrum is NaN."""
     lib = library.literal()
+    pixels = pixels.withColumn(column, _checked(column, library.bands))
     energy = pixels.withColumn("__xx", spectral.energy(F.col(column)))
-    angles = F.transform(lib, lambda t: F.struct(t["id"].alias("target"), spectral.angle(spectral.dot(F.col(column), t["values"]), F.col("__xx"), t["norm"]).alias("angle")))
+    angles = F.transform(lib, lambda t: F.struct(t["id"].alias("target"), _or_nan(column, spectral.angle(spectral.dot(F.col(column), t["values"]), F.col("__xx"), t["norm"])).alias("angle")))
     rest = [c for c in pixels.columns if c != column]
     return energy.select(*rest, F.inline(angles))
 
@@ -94,15 +113,15 @@ def _unless_missing(candidates: Column, lower: bool, none: float) -> tuple[Colum
 
 
 def sam_best(pixels: DataFrame, library: Library, column: str = "spectrum", strategy: str = "auto") -> DataFrame:
-    """The nearest target of each pixel: target, score (its angle); (-1, infinity) without targets."""
+    """The nearest target of each pixel: target, score (its angle); (-1, infinity) without targets and for null spectra."""
     if not len(library.names):
         return pixels.drop(column).withColumns({"target": F.lit(-1), "score": F.lit(float("inf"))})
     if _choose(strategy, library.bands) == "arrow":
         targets, norms = library.values.astype(np.float64), library.norms()
-        return _project(pixels, column, "target int, score double", lambda x: _first_best(_angles(x, targets, norms), True, np.inf))
+        return _project(pixels, column, library.bands, "target int, score double", lambda x: _first_best(_angles(x, targets, norms), True, np.inf))
     rest = [c for c in pixels.columns if c != column]
-    ready = pixels.withColumn("__xx", spectral.energy(F.col(column)))
-    each = F.transform(library.literal(), lambda t: F.struct(spectral.angle(spectral.dot(F.col(column), t["values"]), F.col("__xx"), t["norm"]).alias("score"), t["id"].alias("target")))
+    ready = pixels.withColumn(column, _checked(column, library.bands)).withColumn("__xx", spectral.energy(F.col(column)))
+    each = F.transform(library.literal(), lambda t: F.struct(_or_nan(column, spectral.angle(spectral.dot(F.col(column), t["values"]), F.col("__xx"), t["norm"])).alias("score"), t["id"].alias("target")))
     return ready.select(*rest, *_unless_missing(each, True, float("inf")))
 
 
@@ -117,18 +136,18 @@ def _whitened(column: str, stats: Statistics) -> Column:
 
 
 def rx(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy: str = "auto") -> DataFrame:
-    """The squared Mahalanobis distance to the scene's mean: score."""
+    """The squared Mahalanobis distance to the scene's mean: score; NaN for null spectra."""
     rest = [c for c in pixels.columns if c != column]
     if _choose(strategy, len(stats.mean)) == "arrow":
         mean, w = stats.mean, stats.whitener
-        return _project(pixels, column, "score double", lambda x: {"score": (((x - mean) @ w.T) ** 2).sum(axis=1)})
-    return pixels.withColumn("__z", _whitened(column, stats)).select(*rest, spectral.energy(F.col("__z")).alias("score"))
+        return _project(pixels, column, len(mean), "score double", lambda x: {"score": (((x - mean) @ w.T) ** 2).sum(axis=1)})
+    return pixels.withColumn(column, _checked(column, len(stats.mean))).withColumn("__z", _whitened(column, stats)).select(*rest, _or_nan(column, spectral.energy(F.col("__z"))).alias("score"))
 
 
 def ace_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy: str = "auto", with_rx: bool = False) -> DataFrame:
     """The target with the largest squared cosine in whitened space: target, score in [0, 1], and rx if asked for.
 
-    Targets or pixels without energy there are left out; where nothing is left, (-1, 0).
+    Targets or pixels without energy there are left out, null spectra too; where nothing is left, (-1, 0).
     """
     rest = [c for c in pixels.columns if c != column]
     u, uu = stats.target_white, stats.target_norm2
@@ -145,29 +164,29 @@ def ace_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", str
             out = _first_best(s, False, 0.0)
             return out | {"rx": zz} if with_rx else out
 
-        return _project(pixels, column, "target int, score double" + ", rx double" * with_rx, compute)
+        return _project(pixels, column, len(mean), "target int, score double" + ", rx double" * with_rx, compute)
     usable = [i for i in range(len(u)) if uu[i] > 0]
-    ready = pixels.withColumn("__z", _whitened(column, stats)).withColumn("__zz", spectral.energy(F.col("__z")))
+    ready = pixels.withColumn(column, _checked(column, len(stats.mean))).withColumn("__z", _whitened(column, stats)).withColumn("__zz", spectral.energy(F.col("__z")))
     if usable:
         lib = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(v)) for v in u[i]]).alias("u"), F.lit(float(uu[i])).alias("uu")) for i in usable])
         scored = F.transform(lib, lambda t: F.struct(F.when((F.col("__zz") > 0) & ~F.isnan("__zz"), F.least(F.lit(1.0), spectral.dot(F.col("__z"), t["u"]) ** 2 / (F.col("__zz") * t["uu"]))).otherwise(F.lit(float("nan"))).alias("score"), t["id"].alias("target")))
         best = _unless_missing(scored, False, 0.0)
     else:
         best = (F.lit(-1).alias("target"), F.lit(0.0).alias("score"))
-    return ready.select(*rest, *best, *([F.col("__zz").alias("rx")] if with_rx else []))
+    return ready.select(*rest, *best, *([_or_nan(column, F.col("__zz")).alias("rx")] if with_rx else []))
 
 
 def cem_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy: str = "auto") -> DataFrame:
-    """The target whose filter responds most to the pixel: target, score."""
+    """The target whose filter responds most to the pixel: target, score; (-1, 0) for null spectra."""
     w = stats.cem_weight
     if not len(w):
         return pixels.drop(column).withColumns({"target": F.lit(-1), "score": F.lit(0.0)})
     if _choose(strategy, len(stats.mean)) == "arrow":
-        return _project(pixels, column, "target int, score double", lambda x: _first_best(x @ w.T, False, 0.0))
+        return _project(pixels, column, w.shape[1], "target int, score double", lambda x: _first_best(x @ w.T, False, 0.0))
     rest = [c for c in pixels.columns if c != column]
     lib = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(v)) for v in row]).alias("w")) for i, row in enumerate(w)])
-    scored = F.transform(lib, lambda t: F.struct(spectral.dot(F.col(column), t["w"]).alias("score"), t["id"].alias("target")))
-    return pixels.select(*rest, *_unless_missing(scored, False, 0.0))
+    scored = F.transform(lib, lambda t: F.struct(_or_nan(column, spectral.dot(F.col(column), t["w"])).alias("score"), t["id"].alias("target")))
+    return pixels.withColumn(column, _checked(column, w.shape[1])).select(*rest, *_unless_missing(scored, False, 0.0))
 
 
 def score(pixels: DataFrame, detector: str, library: Library | None = None, stats: Statistics | None = None, column: str = "spectrum", strategy: str = "auto") -> DataFrame:

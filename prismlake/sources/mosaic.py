@@ -19,7 +19,9 @@ _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 def _decode(period: int, bands: int, order: list[int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, path, raw in zip(b["frame_index"].to_pylist(), b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+            for k, path, raw, first in zip(*(b[c].to_pylist() for c in ("frame_index", "path", "content", "first")), strict=True):
+                if first and png.size(raw, path) != png.size(first, "the first frame"):
+                    raise ValueError(f"{path}: {png.size(raw, path)} differs from the first frame's {png.size(first, 'the first frame')}")
                 cube = demosaic(png.decode(raw, path), period, bands, order)
                 yield pixel_batch(k, 0, cube)
 
@@ -38,11 +40,14 @@ def read_mosaic(spark: SparkSession, folder: str, period: int, bands: int, order
     numbered = frame_table(spark, folder).select("frame_index", "path")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  listings differ in the slashes of file:
     joined = images.select(plain("path").alias("key"), "path", "content").join(numbered.select("frame_index", plain("path").alias("key")), "key")
-    return joined.select("frame_index", "path", "content").mapInArrow(_decode(period, bands, order), PIXELS)
+    # The start of the first image: enough to read its size, and no more goes with each frame.
+    first = images.where(plain("path") == plain(F.lit(numbered.orderBy("frame_index").first()["path"]))).select(F.substring("content", 1, 64).alias("first"))
+    return joined.crossJoin(F.broadcast(first)).select("frame_index", "path", "content", "first").mapInArrow(_decode(period, bands, order), PIXELS)
 
 
 def stream_mosaic(spark: SparkSession, folder: str, period: int, bands: int, order: list[int] | None = None, frames_per_trigger: int = 1) -> DataFrame:
-    """Pixels of frames as they arrive. A frame's index is the number in its name."""
+    """Pixels of frames as they arrive. A frame's index is the number in its name; a file without one is refused."""
     images = spark.readStream.format("binaryFile").schema(_SCHEMA).option("pathGlobFilter", "*.[pP][nN][gG]").option("maxFilesPerTrigger", frames_per_trigger).load(folder)
-    number = F.coalesce(F.regexp_extract("path", r"(\d+)\D*$", 1).try_cast("long"), F.lit(0))
-    return images.select(number.alias("frame_index"), "path", "content").mapInArrow(_decode(period, bands, order), PIXELS)
+    found = F.regexp_extract("path", r"(\d+)[^\d/]*$", 1).try_cast("long")
+    number = F.coalesce(found, F.raise_error(F.concat(F.lit("a frame's name needs a number: "), "path")).cast("long"))
+    return images.select(number.alias("frame_index"), "path", "content", F.lit(None).cast("binary").alias("first")).mapInArrow(_decode(period, bands, order), PIXELS)

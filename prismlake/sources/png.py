@@ -45,6 +45,14 @@ def _restore(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nda
     return out.astype(np.uint8).reshape(-1)
 
 
+def size(raw: bytes, source: str = "image") -> tuple[int, int]:
+    """(height, width) from the image header, which comes first."""
+    if not raw.startswith(_SIGNATURE) or raw[12:16] != b"IHDR":
+        raise ValueError(f"{source}: not a PNG file")
+    width, height = struct.unpack(">II", raw[16:24])
+    return height, width
+
+
 def decode(raw: bytes, source: str = "image") -> np.ndarray:
     """(height, width) of 32-bit floats in [0, 1]."""
     if not raw.startswith(_SIGNATURE):

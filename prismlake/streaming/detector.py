@@ -53,8 +53,8 @@ def run_stream(
     """Start detection on a stream of pixels.
 
     sink gets each batch's detections, its frame results (frame_index,
-    detections_found, detections_kept, ms: time elapsed for the batch) in the
-    order of frames, and the batch's number. A batch that runs again after a
+    detections_found, detections_kept, ms: the batch's time for scores,
+    suppression and counts, by its number of frames) in the order of frames, and the batch's number. A batch that runs again after a
     failure has the same number. keep_scores, if given, gets the whole score maps.
     """
     traits = detector(detector_name)
@@ -72,9 +72,14 @@ def run_stream(
                 if keep_scores is not None:
                     keep_scores(scores, number)
                 counted = found.groupBy("frame_index").agg(F.max("detections_found").alias("detections_found"), F.count(F.lit(1)).alias("detections_kept"))
-                frames = scores.select("frame_index").distinct().join(counted, "frame_index", "left").na.fill(0)
-                frames = frames.withColumn("ms", F.lit(1000 * (time.perf_counter() - began))).orderBy("frame_index")
-                sink(found, frames, number)
+                frames = scores.select("frame_index").distinct().join(counted, "frame_index", "left").na.fill(0).persist()
+                # Scored, suppressed and counted here, so that the time is that of the work.
+                n = max(1, frames.count())
+                ms = 1000 * (time.perf_counter() - began) / n
+                try:
+                    sink(found, frames.withColumn("ms", F.lit(ms)).orderBy("frame_index"), number)
+                finally:
+                    frames.unpersist()
             finally:
                 scores.unpersist()
         finally:

@@ -79,3 +79,31 @@ def test_more_labels_than_a_library_holds_are_refused(spark):
     assert M.class_library(labelled(4096)).values.shape == (4096, 1)
     with pytest.raises(ValueError, match="at most 4096"):
         M.class_library(labelled(4097))
+
+
+def test_null_and_ragged_spectra(spark):
+    import numpy as np
+    import pytest
+
+    from prismlake.operators import moments as M
+    from prismlake.operators import scoring as S
+    from prismlake.operators.library import Library
+
+    rng = np.random.default_rng(8)
+    x = rng.random((64, 12))
+    rows = [(0, k, [float(v) for v in x[k]] if k != 5 else None) for k in range(64)]
+    df = spark.createDataFrame(rows, "frame_index long, p long, spectrum array<double>")
+    got, want = M.moments(df), M.Moments.of(np.delete(x, 5, axis=0))
+    assert got.n == 63 and np.allclose(got.s, want.s) and np.allclose(got.o, want.o)
+    lib = Library(("a", "b"), rng.random((2, 12)))
+    stats = M.build_statistics(got, lib, 1e-3)
+    for name, lost in (("sam", (-1, float("inf"))), ("ace", (-1, 0.0)), ("cem", (-1, 0.0)), ("rx", (-1, float("nan")))):
+        forms = [{r["p"]: (r["target"], r["score"]) for r in S.score(df, name, lib, stats, strategy=form).collect()} for form in ("sql", "arrow")]
+        assert all(np.allclose(forms[0][p], forms[1][p], equal_nan=True) for p in range(64)), name
+        assert np.allclose(forms[0][5], lost, equal_nan=True), name
+    ragged = df.union(spark.createDataFrame([(0, 64, [1.0, 2.0])], df.schema)).coalesce(1)
+    with pytest.raises(Exception, match="number of bands"):
+        M.moments(ragged)
+    for form in ("sql", "arrow"):
+        with pytest.raises(Exception, match="number of bands"):
+            S.sam_best(ragged, lib, strategy=form).collect()

@@ -204,3 +204,13 @@ def test_planted_targets_are_found(spark):
     assert wrong.count() == 0 and hits.select("frame_index", "target").distinct().count() == 6 and found.count() < 48
     background = scores.join(truth, ["frame_index", "p"]).where("label = 0").groupBy().min("score").first()[0]
     assert background > 0.05
+
+
+def test_mosaic_frames_of_another_size_are_refused(spark, tmp_path):
+    from prismlake.plans.scene_queries import _png
+    from prismlake.sources import mosaic
+
+    for k, shape in enumerate(((8, 8), (8, 10))):
+        (tmp_path / f"f{k}.png").write_bytes(_png(np.zeros(shape, np.uint16)))
+    with pytest.raises(Exception, match="differs from the first frame"):
+        mosaic.read_mosaic(spark, str(tmp_path), 2, 4).count()
