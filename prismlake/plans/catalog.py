@@ -351,6 +351,8 @@ _QUERIES = (
 
 
 def queries():
+    from . import scene_queries
+
     def shipped(f):
         @wraps(f)
         def run(spark, sf_dir):
@@ -358,7 +360,7 @@ def queries():
 
         return run
 
-    return {f.__name__: shipped(f) for f in _QUERIES}
+    return {f.__name__: shipped(f) for f in (*_QUERIES, *scene_queries.QUERIES)}
 
 
 # SQL
@@ -386,27 +388,27 @@ _ITEMS = "it AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l
 _N = len(SCALE)
 
 
-def _item_moments() -> str:
-    sums = [f"sum(b{i}) AS s{i}" for i in range(_N)] + [f"sum(b{i} * b{j}) AS o{i}{j}" for i in range(_N) for j in range(i + 1)]
+def _item_moments(size: int = _N) -> str:
+    sums = [f"sum(b{i}) AS s{i}" for i in range(size)] + [f"sum(b{i} * b{j}) AS o{i}{j}" for i in range(size) for j in range(i + 1)]
     return f"mo AS (SELECT CAST(count(*) AS DOUBLE) AS n, {', '.join(sums)} FROM it)"
 
 
-def _factor(name: str, source: str, entry) -> str:
+def _factor(name: str, source: str, entry, size: int = _N) -> str:
     """The lower Cholesky factor of a matrix of columns, one column of the factor for each nested query."""
-    sql = f"SELECT *, {', '.join(f'{entry(i, j)} AS a{i}{j}' for i in range(_N) for j in range(i + 1))} FROM {source}"
-    for j in range(_N):
+    sql = f"SELECT *, {', '.join(f'{entry(i, j)} AS a{i}{j}' for i in range(size) for j in range(i + 1))} FROM {source}"
+    for j in range(size):
         inner = lambda i, j=j: "".join(f" - {name}{i}{k} * {name}{j}{k}" for k in range(j))
         sql = f"SELECT *, sqrt(a{j}{j}{inner(j)}) AS {name}{j}{j} FROM ({sql})"
-        if j + 1 < _N:
-            below = ", ".join(f"(a{i}{j}{inner(i)}) / {name}{j}{j} AS {name}{i}{j}" for i in range(j + 1, _N))
+        if j + 1 < size:
+            below = ", ".join(f"(a{i}{j}{inner(i)}) / {name}{j}{j} AS {name}{i}{j}" for i in range(j + 1, size))
             sql = f"SELECT *, {below} FROM ({sql})"
-    drop = ", ".join(f"a{i}{j}" for i in range(_N) for j in range(i + 1))
+    drop = ", ".join(f"a{i}{j}" for i in range(size) for j in range(i + 1))
     return f"SELECT * EXCLUDE ({drop}) FROM ({sql})"
 
 
-def _forward(out: str, factor: str, value) -> list[str]:
+def _forward(out: str, factor: str, value, size: int = _N) -> list[str]:
     """Forward substitution as expressions, each a level of nesting."""
-    return [f"({value(i)}{''.join(f' - {factor}{i}{k} * {out}{k}' for k in range(i))}) / {factor}{i}{i} AS {out}{i}" for i in range(_N)]
+    return [f"({value(i)}{''.join(f' - {factor}{i}{k} * {out}{k}' for k in range(i))}) / {factor}{i}{i} AS {out}{i}" for i in range(size)]
 
 
 def _nested(source: str, columns: list[str]) -> str:
@@ -424,26 +426,33 @@ def _correlation(i: int, j: int) -> str:
     return f"(o{i}{j} / n{f' + {LOADING}' if i == j else ''})"
 
 
-_ITEM_LIB = "il AS (SELECT row_number() OVER (ORDER BY l_returnflag) - 1 AS target, * FROM (SELECT l_returnflag, " + ", ".join(f"avg(b{k}) AS d{k}" for k in range(_N)) + " FROM it GROUP BY l_returnflag))"
-_DOT = lambda a, b: " + ".join(f"{a}{k} * {b}{k}" for k in range(_N))
+def second_order(start: str, size: int, key: str, label: str) -> dict[str, str]:
+    """RX, ACE and CEM by definition. start: a WITH clause up to it (rid, the key, the label, b0 ...); the classes' means are the targets."""
+    every = range(size)
+    dot = lambda a, b: " + ".join(f"{a}{k} * {b}{k}" for k in every)
+    lib = f"il AS (SELECT row_number() OVER (ORDER BY {label}) - 1 AS target, * FROM (SELECT {label}, {', '.join(f'avg(b{k}) AS d{k}' for k in every)} FROM it GROUP BY {label}))"
+    start = f"{start}, {_item_moments(size)}"
+    white = f"{start}, fc AS ({_factor('f', 'mo', _covariance, size)})"
+    z = f"z AS ({_nested('(SELECT * FROM it, fc)', _forward('z', 'f', lambda i: f'b{i} - s{i} / n', size))})"
+    u = f"u AS (SELECT target, {', '.join(f'u{k}' for k in every)} FROM ({_nested('(SELECT * FROM il, fc)', _forward('u', 'f', lambda i: f'd{i} - s{i} / n', size))}))"
+    rx_sql = f"{white}, {z} SELECT {key}, -1 AS target, round({dot('z', 'z')}, 5) AS score FROM z"
+    best = f"SELECT {key}, CAST(arg_min(target, (-a, target)) AS INTEGER) AS target, round(max(a), 5) AS score FROM s GROUP BY rid, {key}"
+    ace = f"{white}, {lib}, {z}, {u}, s AS (SELECT rid, {key}, u.target, least(1.0, ({dot('z', 'u')}) * ({dot('z', 'u')}) / (({dot('z', 'z')}) * ({dot('u', 'u')}))) AS a FROM z, u) {best}"
+    back = [f"(y{i}{''.join(f' - g{k}{i} * w{k}' for k in range(i + 1, size))}) / g{i}{i} AS w{i}" for i in reversed(every)]
+    cem = f"""{start}, gc AS ({_factor('g', 'mo', _correlation, size)}), {lib},
+      w AS (SELECT target, {', '.join(f'w{k} / ({dot("w", "d")}) AS w{k}' for k in every)} FROM ({_nested('(SELECT * FROM il, gc)', _forward('y', 'g', lambda i: f'd{i}', size) + back)})),
+      s AS (SELECT rid, {key}, w.target, {dot('b', 'w')} AS a FROM it, w) {best}"""
+    return {"rx": rx_sql, "ace": ace, "cem": cem}
 
 
 def _second_order() -> dict[str, str]:
-    start = f"WITH {_ITEMS}, {_item_moments()}, fc AS ({_factor('f', 'mo', _covariance)})"
-    z = f"z AS ({_nested('(SELECT * FROM it, fc)', _forward('z', 'f', lambda i: f'b{i} - s{i} / n'))})"
-    u = f"u AS (SELECT target, {', '.join(f'u{k}' for k in range(_N))} FROM ({_nested('(SELECT * FROM il, fc)', _forward('u', 'f', lambda i: f'd{i} - s{i} / n'))}))"
-    rx_sql = f"{start}, {z} SELECT l_orderkey, l_linenumber, round({_DOT('z', 'z')}, 5) AS score FROM z"
-    ace = f"""{start}, {_ITEM_LIB}, {z}, {u}, s AS (SELECT rid, l_orderkey, l_linenumber, u.target, least(1.0, ({_DOT('z', 'u')}) * ({_DOT('z', 'u')}) / (({_DOT('z', 'z')}) * ({_DOT('u', 'u')}))) AS a FROM z, u)
-      SELECT l_orderkey, l_linenumber, CAST(arg_min(target, (-a, target)) AS INTEGER) AS target, round(max(a), 5) AS score FROM s GROUP BY rid, l_orderkey, l_linenumber"""
-    back = [f"(y{i}{''.join(f' - g{k}{i} * w{k}' for k in range(i + 1, _N))}) / g{i}{i} AS w{i}" for i in reversed(range(_N))]
-    cem = f"""WITH {_ITEMS}, {_item_moments()}, gc AS ({_factor('g', 'mo', _correlation)}), {_ITEM_LIB},
-      w AS (SELECT target, {', '.join(f'w{k} / ({_DOT("w", "d")}) AS w{k}' for k in range(_N))} FROM ({_nested('(SELECT * FROM il, gc)', _forward('y', 'g', lambda i: f'd{i}') + back)})),
-      s AS (SELECT rid, l_orderkey, l_linenumber, w.target, {_DOT('b', 'w')} AS a FROM it, w)
-      SELECT l_orderkey, l_linenumber, CAST(arg_min(target, (-a, target)) AS INTEGER) AS target, round(max(a), 5) AS score FROM s GROUP BY rid, l_orderkey, l_linenumber"""
-    return {"rx_small": rx_sql, "ace_small": ace, "cem_small": cem}
+    made = second_order(f"WITH {_ITEMS}", _N, "l_orderkey, l_linenumber", "l_returnflag")
+    return {"rx_small": made["rx"].replace("-1 AS target, ", ""), "ace_small": made["ace"], "cem_small": made["cem"]}
 
 
 def oracle_sql():
+    from . import scene_queries
+
     pairs = "SELECT i, j, count(*) AS n, sum(e[i + 1] * e[j + 1]) AS product, avg(e[i + 1]) AS mi, avg(e[j + 1]) AS mj FROM px, range(64) a(i), range(64) b(j) WHERE j <= i GROUP BY i, j"
     ij = "CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j"
     triangle = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, n, round(s{i}, 4) AS sum_i, round(o{i}{j}, 4) AS product FROM mo" for i in range(_N) for j in range(i + 1))
@@ -451,7 +460,7 @@ def oracle_sql():
     best = "SELECT p, CAST(target AS INTEGER) AS target, round(score, 6) AS score"
     place = "SELECT p, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(target AS INTEGER) AS target FROM sv"
     height = f"(SELECT (max(vec_id) + {WIDTH}) // {WIDTH} AS h FROM embeddings)"
-    return {
+    return scene_queries.oracle_sql() | {
         "class_mean_library": f"WITH {_PX}, {_LONG}, {_MEANS} SELECT label, n, band, round(m, 6) AS value FROM cm",
         "library_norms": f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB} SELECT CAST(target AS INTEGER) AS target_id, CAST(label AS VARCHAR) AS name, round(sqrt(list_dot_product(r, r)), 5) AS norm FROM lib",
         "library_flatten": f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB} SELECT target * 64 + b AS position, CAST(target AS INTEGER) AS target_id, CAST(b AS INTEGER) AS band, round(CAST(v AS FLOAT)::DOUBLE, 5) AS value FROM (SELECT target, unnest(range(64)) AS b, unnest(r) AS v FROM lib)",
