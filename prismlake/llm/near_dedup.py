@@ -341,6 +341,20 @@ class _Job:
         return self.scratch.save(found.distinct(), "more-links")
 
 
+def _join_spread(rows: DataFrame, keyed: DataFrame, key: str, times: str) -> DataFrame:
+    """rows joined with a written table of one row for each key, in which times is how often rows have the key.
+
+    Keys with more than one row in HOT_SHARE are fewer than HOT_SHARE: those are
+    broadcast, so that their many rows stay where they are.
+    """
+    total = keyed.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).first()["n"]
+    hot = (F.col(times) > total // HOT_SHARE) & (F.col(times) > 1)
+    values = [c for c in keyed.columns if c not in rows.columns and c != times]
+    marked = rows.join(F.broadcast(keyed.where(hot).select(key, F.struct(*values).alias("hot"))), key, "left")
+    rest = marked.where("hot is null").drop("hot").join(keyed.where(~hot).select(key, *values), key)
+    return rest.unionByName(marked.where("hot is not null").select(*rows.columns, "hot.*"))
+
+
 def _decide(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """For each row of df: id, of_text (a digest of the text), n, component (the smallest id of its component; null if there is none), group (what tells components apart)."""
     job = _Job(df, id_col, text_col, width, percent)
@@ -364,17 +378,10 @@ def _decide(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     more = job.cross(job.blocks(followers, labels, regs), grams)
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch, "all-components")
-    placed = sets.join(labels.withColumnRenamed("id", "same"), "same", "left").select("same", "least", "times", F.coalesce("component", "same").alias("group"))
-    least = placed.groupBy("group").agg(F.min("least").alias("component"))
-    decided = scratch.save(placed.select("same", "times", "group").join(least, "group"), "decided")
-    # Sets with more than one row in HOT_SHARE are fewer than HOT_SHARE: those are broadcast, so their many rows stay where they are.
-    rows_with_words = decided.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
-    hot = F.col("times") > rows_with_words // HOT_SHARE
-    common = F.broadcast(decided.where(hot & (F.col("times") > 1)).select("same", F.struct("component", "group").alias("hot")))
-    marked = some.select("id", "of_text", "n", "same").join(common, "same", "left")
-    out = ("id", "of_text", "n", "component", "group")
-    rest = marked.where("hot is null").drop("hot").join(decided.where(~(hot & (F.col("times") > 1))), "same").select(*out)
-    with_words = rest.unionByName(marked.where("hot is not null").select("id", "of_text", "n", "hot.component", "hot.group"))
+    placed = scratch.save(sets.join(labels.withColumnRenamed("id", "same"), "same", "left").select("same", "least", "times", F.coalesce("component", "same").alias("group")), "placed")
+    least = placed.groupBy("group").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
+    decided = scratch.save(_join_spread(placed.select("same", "times", "group"), scratch.save(least, "least"), "group", "members"), "decided")
+    with_words = _join_spread(some.select("id", "of_text", "n", "same"), decided, "same", "times").select("id", "of_text", "n", "component", "group")
     return with_words.unionByName(signed.where("n = 0").select("id", "of_text", "n", F.col("id").alias("component"), F.lit(None).cast("binary").alias("group")))
 
 
