@@ -1,10 +1,13 @@
 import importlib
+import re
 
 import numpy as np
+from test_near_dedup import brute
 
 import corpus_pipeline as P
 from prismlake.llm import registry
 from prismlake.llm.common import Scratch
+from prismlake.llm.tokens import PieceEncoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +54,33 @@ def test_everything_is_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names) and set(registry.oracle_sql()) == {"op1_exact_dedup"}
+
+
+def test_deduplication_stages_keep_what_brute_force_keeps(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages, best = dict(P.STAGES), {}
+    for r in docs.collect():
+        bare = re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")
+        best[bare] = min(best.get(bare, (0, 1 << 62)), (-len(r["text"] or ""), r["doc_id"]))
+    exact = Scratch(spark, "t").save(stages["exact_dedup"](spark, docs, SF), "exact")
+    assert sorted(r["doc_id"] for r in exact.collect()) == sorted(i for _, i in best.values())
+    texts = {r["doc_id"]: r["text"] or "" for r in exact.collect()}
+    near = stages["near_dedup"](spark, exact, SF)
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted(i for i, (_, c) in brute(texts, 5, 80).items() if i == c)
+
+
+def test_packed_sequences_hold_the_library_s_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    library, pieces = PieceEncoder().library, {}
+    rows = P.STAGES[-1][1](spark, docs, SF).collect()
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], np.frombuffer(r["ids"], "<u2").tolist()))
+    for r in docs.collect():
+        got = [i for _, x in sorted(pieces[r["doc_id"]]) for i in x]
+        assert got == [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(places[-1]) <= 1024
