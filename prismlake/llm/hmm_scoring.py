@@ -3,9 +3,11 @@
 Baum-Welch runs over all training documents: each partition adds up its expected
 counts, Spark sums them by word, and the driver gets one row for each word of a
 bounded vocabulary. The most frequent words have emissions of their own in each
-state; the rest are a class in each state, and a rare word's share of the class
-comes from its count, joined by a shuffle that holds rare words only. So the
-model gives every text a probability, and no table of all words is broadcast.
+state from the first round on; the rest are a class until the last round, which
+also adds up each rare word's expected counts by state. These stay a table with
+a row for each rare word of the corpus, and a shuffle joins them to the texts,
+so all words have emissions of their own, however many there are. The model
+gives every text a probability, and no table of all words is broadcast.
 
 Texts are split and looked up once: their tokens' numbers are written to the
 shared folder, and the rounds and the scoring read those.
@@ -33,6 +35,8 @@ SEGMENT = 512
 LOT_TOKENS = 600_000
 #: What each count of starts and moves gets in addition; the counts of words get a prior of so many words that follow the corpus.
 SMOOTHING, PRIOR = 0.01, 60.0
+#: How often a rare word's expected counts by state weigh its count in the whole corpus: once for each state.
+OWN_WEIGHT = float(STATES)
 #: Stands for the end of a text in the table of counts; no word holds white space.
 END = "\n"
 
@@ -143,8 +147,8 @@ class Counts:
     def __init__(self, k: int, rows: int):
         self.start, self.move, self.emit, self.log = np.zeros(k), np.zeros((k, k)), np.zeros((rows, k)), 0.0
 
-    def add(self, model: Model, texts: list[np.ndarray]) -> None:
-        """Forward and backward over whole texts; segments take the exact vectors at their ends."""
+    def add(self, model: Model, texts: list[np.ndarray]) -> np.ndarray:
+        """Forward and backward over whole texts; segments take the exact vectors at their ends. The states' probabilities at each token."""
         seg = Segments(texts)
         k = len(model.start)
         first, later = seg.order(np.flatnonzero(seg.nth == 0)), seg.order(np.flatnonzero(seg.nth > 0))
@@ -176,6 +180,7 @@ class Counts:
                     self.start += g.sum(axis=0)
         for j in range(k):
             self.emit[:, j] += np.bincount(seg.tokens, weights=posterior[:, j], minlength=len(self.emit))
+        return posterior
 
 
 def estimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
@@ -285,7 +290,7 @@ def _first_guess(train: DataFrame, vocabulary: Vocabulary, states: int, seeds: i
 
 
 def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their times.
+    """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their times and order.
 
     part and nth tell rows apart; id stays as it comes, so it is best a string where it may be null.
     """
@@ -302,14 +307,31 @@ def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for doc_id, held, text in zip(frame["id"], frame["held_out"], frame["text"], strict=True):
                 words = words_of(text)
                 own = v.encode(words)
-                rare = np.flatnonzero(own == v.tail).tolist()
-                seen = Counter(words[i] if i < len(words) else END.encode() for i in rare)
-                out.append((part, nth, doc_id, held, own.tobytes(), len(own), len(own) - len(rare), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], list(seen.values())))
+                seen: dict[bytes, int] = {}
+                at = [seen.setdefault(words[i] if i < len(words) else END.encode(), len(seen)) for i in np.flatnonzero(own == v.tail).tolist()]
+                at = np.array(at, dtype="<u4")
+                out.append((part, nth, doc_id, held, own.tobytes(), len(own), len(own) - len(at), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], np.bincount(at, minlength=len(seen)), at.tobytes()))
                 nth += 1
-            yield pd.DataFrame(out, columns=["part", "nth", "id", "held_out", "ids", "n_tokens", "head_known", "head_base", "rare", "rare_n"])
+            yield pd.DataFrame(out, columns=["part", "nth", "id", "held_out", "ids", "n_tokens", "head_known", "head_base", "rare", "rare_n", "rare_at"])
 
     id_type = dict(rows.dtypes)["id"]
-    return rows.select("id", "text", "held_out").mapInPandas(encode, f"part int, nth long, id {id_type}, held_out boolean, ids binary, n_tokens long, head_known long, head_base double, rare array<string>, rare_n array<long>")
+    return rows.select("id", "text", "held_out").mapInPandas(encode, f"part int, nth long, id {id_type}, held_out boolean, ids binary, n_tokens long, head_known long, head_base double, rare array<string>, rare_n array<long>, rare_at binary")
+
+
+def _sums(own: Counts, states: int) -> pd.DataFrame:
+    """A partition's expected counts as rows; those below 0 are the log likelihood, the start, the moves."""
+    at = np.flatnonzero(own.emit.any(axis=1))
+    rest = np.vstack((np.append(own.log, np.zeros(states - 1)), own.start, own.move))
+    values = np.vstack((own.emit[at], rest))
+    return pd.DataFrame({"row": np.append(at, -1 - np.arange(len(rest))), **{f"v{k}": values[:, k] for k in range(states)}})
+
+
+def _maximise(sums: pd.DataFrame, vocabulary: Vocabulary, states: int) -> tuple[Model, float, np.ndarray]:
+    """The next model, the log likelihood of the last one, and the class's expected counts by state."""
+    size = vocabulary.tail + 1
+    total = np.zeros((size + 2 + states, states))
+    total[np.where(sums["row"] >= 0, sums["row"], size - 1 - sums["row"])] = sums[[f"v{k}" for k in range(states)]].to_numpy()
+    return estimate(total[size + 1], total[size + 2 :], total[:size], vocabulary.unigram()), float(total[size, 0]), total[size - 1]
 
 
 def train_model(train: DataFrame, vocabulary: Vocabulary, first: Model, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
@@ -322,43 +344,76 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, first: Model, rounds:
 
         @in_worker("hmm")
         def expect(frames, now=now):
-            own, m = Counts(states, size), now.value
+            own = Counts(states, size)
             for lot in _lots((None, np.frombuffer(raw, kind)) for frame in frames for raw in frame["ids"]):
-                own.add(m, [ids for _, ids in lot])
-            at = np.flatnonzero(own.emit.any(axis=1))
-            # Rows below 0: the log likelihood, the start, the moves.
-            rest = np.vstack((np.append(own.log, np.zeros(states - 1)), own.start, own.move))
-            values = np.vstack((own.emit[at], rest))
-            yield pd.DataFrame({"row": np.append(at, -1 - np.arange(len(rest))), **{f"v{k}": values[:, k] for k in range(states)}})
+                own.add(now.value, [ids for _, ids in lot])
+            yield _sums(own, states)
 
         sums = train.select("ids").mapInPandas(expect, "row long, " + ", ".join(f"v{k} double" for k in range(states))).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(states)]).toPandas()
-        total = np.zeros((size + 2 + states, states))
-        total[np.where(sums["row"] >= 0, sums["row"], size - 1 - sums["row"])] = sums.drop(columns="row").to_numpy()
-        history.append(float(total[size, 0]))
-        model = estimate(total[size + 1], total[size + 2 :], total[:size], vocabulary.unigram())
+        model, log, _ = _maximise(sums, vocabulary, states)
+        history.append(log)
         now.unpersist()
     return model, history
 
 
+def last_round(train: DataFrame, vocabulary: Vocabulary, model: Model, scratch: Scratch) -> tuple[Model, np.ndarray, DataFrame]:
+    """One round that counts rare words too: the model, the class's expected counts by state, and a written table (word, n, v0, v1, ...) of all rare words."""
+    states, size, kind = len(model.start), vocabulary.tail + 1, vocabulary.kind
+    now = train.sparkSession.sparkContext.broadcast(model)
+
+    @in_worker("hmm")
+    def expect(frames):
+        own = Counts(states, size)
+        for lot in _lots(((rare, np.frombuffer(at, "<u4")), np.frombuffer(raw, kind)) for frame in frames for raw, rare, at in zip(frame["ids"], frame["rare"], frame["rare_at"], strict=True)):
+            texts = [ids for _, ids in lot]
+            posterior = own.add(now.value, texts)[np.concatenate(texts) == size - 1]
+            words = np.concatenate([rare for (rare, _), _ in lot])
+            before = np.cumsum([0] + [len(rare) for (rare, _), _ in lot])
+            at = np.concatenate([at + start for ((_, at), _), start in zip(lot, before[:-1], strict=True)])
+            yield pd.DataFrame({"row": size, "word": words, "n": np.bincount(at, minlength=len(words)), **{f"v{k}": np.bincount(at, weights=posterior[:, k], minlength=len(words)) for k in range(states)}})
+        yield _sums(own, states).assign(word=None, n=0)
+
+    columns = ["n", *(f"v{k}" for k in range(states))]
+    schema = "row long, word string, n long, " + ", ".join(f"v{k} double" for k in range(states))
+    rows = train.select("ids", "rare", "rare_at").mapInPandas(expect, schema).groupBy("row", "word").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = scratch.save(rows, "expected")
+    model, _, tail = _maximise(sums.where(F.col("word").isNull()).drop("word", "n").toPandas(), vocabulary, states)
+    now.unpersist()
+    return model, tail, sums.where(F.col("word").isNotNull()).drop("row")
+
+
 @in_worker("hmm")
 def _score(kind: str, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    m, columns = model.value, ["part", "nth", "id", "held_out", "n_tokens", "head_known", "head_base"]
+    m, columns = model.value, ["part", "nth", "id", "held_out", "n_tokens", "n_known", "base_score"]
+    tail, states = len(m.emit) - 1, len(m.start)
     for frame in frames:
         for lot in _lots((k, np.frombuffer(raw, kind)) for k, raw in enumerate(frame["ids"])):
-            logs = log_likelihood(m, [ids for _, ids in lot]) / math.log(10)
-            yield frame[columns].iloc[[k for k, _ in lot]].assign(head_score=logs)
+            # Rare words get rows after the frequent ones, for this lot alone.
+            rows, texts, size = [m.emit], [], tail + 1
+            for k, ids in lot:
+                if frame["shares"].iloc[k] is not None:
+                    own = m.emit[tail] * np.asarray(frame["shares"].iloc[k], dtype=np.float64).reshape(-1, states)
+                    ids = ids.astype(np.int64)
+                    ids[ids == tail] = np.frombuffer(frame["rare_at"].iloc[k], "<u4") + size
+                    rows.append(own)
+                    size += len(own)
+                texts.append(ids)
+            logs = log_likelihood(Model(m.start, m.move, np.vstack(rows)), texts) / math.log(10)
+            yield frame[columns].iloc[[k for k, _ in lot]].assign(score=logs)
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row for each row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trained on the rows that aren't held out. score is log10 of the probability
-    of the text's tokens with its end: a rare word's is that of its class in the
-    hidden state times (count + 1) / (tokens + words + 1) within the class,
-    which leaves one share for words never seen. A null text is empty and has
-    the end alone. A null id is kept, and its row is trained on. Rows are scored
-    one by one, repeated ones too. Without training rows all words are unseen.
-    An empty table gives no rows.
+    Trained on the rows that aren't held out, in at least one round. score is
+    log10 of the probability of the text's tokens with its end: a rare word's is
+    that of its class in the hidden state times its share of the class there,
+    (w * expected count in the state + count + 1) / (w * class's expected count
+    in the state + tokens + words + 1), which leaves one share for words never
+    seen; w is OWN_WEIGHT, and shares are kept in 32 bits. A null text is empty
+    and has the end alone. A null id is kept, and its row is trained on. Rows are
+    scored one by one, repeated ones too. Without training rows all words are
+    unseen. An empty table gives no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "hmm")
@@ -370,22 +425,25 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     head = [(w, n) for w, n in most_frequent(counts, head_words) if n > 1]
     vocabulary = Vocabulary(head, total["n"], total["v"])
     encoded = scratch.save(encode_documents(rows, vocabulary), "encoded")
-    first = _first_guess(train, vocabulary, states, SEED_DOCUMENTS)
-    model, _ = train_model(encoded.where(~F.col("held_out")), vocabulary, first, rounds)
+    trained = encoded.where(~F.col("held_out"))
+    model, _ = train_model(trained, vocabulary, _first_guess(train, vocabulary, states, SEED_DOCUMENTS), rounds - 1)
+    model, tail, expected = last_round(trained, vocabulary, model, scratch)
     done, kind = spark.sparkContext.broadcast(model), vocabulary.kind
-    schema = "part int, nth long, id string, held_out boolean, n_tokens long, head_known long, head_base double, head_score double"
-    scored = encoded.drop("rare", "rare_n").mapInPandas(lambda frames: _score(kind, done, frames), schema)
 
-    pairs = encoded.select("part", "nth", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("part", "nth", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
+    pairs = encoded.select("part", "nth", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("at", "x")).select("part", "nth", "at", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
-    log10 = lambda least, most: F.log10((c + 1) / F.lit(float(least + most + 1)))
-    rare = pairs.join(counts, "word", "left").groupBy("part", "nth").agg(
-        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("k") * log10(vocabulary.total, vocabulary.distinct)).alias("rare_base"),
-        F.sum(F.col("k") * log10(vocabulary.tail_total, vocabulary.tail_distinct)).alias("rare_score"),
-    )
+    rest = float(vocabulary.tail_total + vocabulary.tail_distinct + 1)
+    shares = [((F.coalesce(F.col(f"v{j}"), F.lit(0.0)) * OWN_WEIGHT + c + 1) / F.lit(float(tail[j]) * OWN_WEIGHT + rest)).cast("float") for j in range(states)]
+    rare = pairs.join(expected, "word", "left").select("part", "nth", "at", "k", c.alias("c"), F.array(*shares).alias("share")).groupBy("part", "nth").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(vocabulary.total + vocabulary.distinct + 1)))).alias("rare_base"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "share"))), lambda x: x["share"])).alias("shares"),
+    )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.join(rare, ["part", "nth"], "left").select(
-        F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),
-        add("head_base", "rare_base").alias("base_score"), add("head_score", "rare_score").alias("score"),
+    known = encoded.join(rare, ["part", "nth"], "left").select(
+        "part", "nth", "id", "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), add("head_base", "rare_base").alias("base_score"), "ids", "rare_at", "shares"
+    )
+    scored = known.mapInPandas(lambda frames: _score(kind, done, frames), "part int, nth long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"), "base_score", "score"
     )
