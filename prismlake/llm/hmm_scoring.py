@@ -37,6 +37,8 @@ LOT_TOKENS = 600_000
 SMOOTHING, PRIOR = 0.01, 60.0
 #: How often a rare word's expected counts by state weigh its count in the whole corpus: once for each state.
 OWN_WEIGHT = float(STATES)
+#: Rare words' expected counts in a document are kept in steps of 1 / FINE, so their sums are exact in any order and take little room.
+FINE = 32
 #: Stands for the end of a text in the table of counts; no word holds white space.
 END = "\n"
 
@@ -292,7 +294,7 @@ def _first_guess(train: DataFrame, vocabulary: Vocabulary, states: int, seeds: i
 def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their times and order.
 
-    part and nth tell rows apart; id stays as it comes, so it is best a string where it may be null.
+    row tells rows apart; id stays as it comes, so it is best a string where it may be null.
     """
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -300,7 +302,7 @@ def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def encode(frames):
         from pyspark import TaskContext
 
-        part, nth, v = TaskContext.get().partitionId(), 0, shared.value
+        row, v = TaskContext.get().partitionId() << 33, shared.value
         base = np.append(np.log10((v.counts + 1) / (v.total + v.distinct + 1)), 0.0)
         for frame in frames:
             out = []
@@ -310,12 +312,12 @@ def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 seen: dict[bytes, int] = {}
                 at = [seen.setdefault(words[i] if i < len(words) else END.encode(), len(seen)) for i in np.flatnonzero(own == v.tail).tolist()]
                 at = np.array(at, dtype="<u4")
-                out.append((part, nth, doc_id, held, own.tobytes(), len(own), len(own) - len(at), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], np.bincount(at, minlength=len(seen)), at.tobytes()))
-                nth += 1
-            yield pd.DataFrame(out, columns=["part", "nth", "id", "held_out", "ids", "n_tokens", "head_known", "head_base", "rare", "rare_n", "rare_at"])
+                out.append((row, doc_id, held, own.tobytes(), len(own), len(own) - len(at), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], np.bincount(at, minlength=len(seen)), at.tobytes()))
+                row += 1
+            yield pd.DataFrame(out, columns=["row", "id", "held_out", "ids", "n_tokens", "head_known", "head_base", "rare", "rare_n", "rare_at"])
 
     id_type = dict(rows.dtypes)["id"]
-    return rows.select("id", "text", "held_out").mapInPandas(encode, f"part int, nth long, id {id_type}, held_out boolean, ids binary, n_tokens long, head_known long, head_base double, rare array<string>, rare_n array<long>, rare_at binary")
+    return rows.select("id", "text", "held_out").mapInPandas(encode, f"row long, id {id_type}, held_out boolean, ids binary, n_tokens long, head_known long, head_base double, rare array<string>, rare_n array<long>, rare_at binary")
 
 
 def _sums(own: Counts, states: int) -> pd.DataFrame:
@@ -326,12 +328,12 @@ def _sums(own: Counts, states: int) -> pd.DataFrame:
     return pd.DataFrame({"row": np.append(at, -1 - np.arange(len(rest))), **{f"v{k}": values[:, k] for k in range(states)}})
 
 
-def _maximise(sums: pd.DataFrame, vocabulary: Vocabulary, states: int) -> tuple[Model, float, np.ndarray]:
-    """The next model, the log likelihood of the last one, and the class's expected counts by state."""
+def _maximise(sums: pd.DataFrame, vocabulary: Vocabulary, states: int) -> tuple[Model, float]:
+    """The next model, and the log likelihood of the last one."""
     size = vocabulary.tail + 1
     total = np.zeros((size + 2 + states, states))
     total[np.where(sums["row"] >= 0, sums["row"], size - 1 - sums["row"])] = sums[[f"v{k}" for k in range(states)]].to_numpy()
-    return estimate(total[size + 1], total[size + 2 :], total[:size], vocabulary.unigram()), float(total[size, 0]), total[size - 1]
+    return estimate(total[size + 1], total[size + 2 :], total[:size], vocabulary.unigram()), float(total[size, 0])
 
 
 def train_model(train: DataFrame, vocabulary: Vocabulary, first: Model, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
@@ -350,14 +352,14 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, first: Model, rounds:
             yield _sums(own, states)
 
         sums = train.select("ids").mapInPandas(expect, "row long, " + ", ".join(f"v{k} double" for k in range(states))).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(states)]).toPandas()
-        model, log, _ = _maximise(sums, vocabulary, states)
+        model, log = _maximise(sums, vocabulary, states)
         history.append(log)
         now.unpersist()
     return model, history
 
 
-def last_round(train: DataFrame, vocabulary: Vocabulary, model: Model, scratch: Scratch) -> tuple[Model, np.ndarray, DataFrame]:
-    """One round that counts rare words too: the model, the class's expected counts by state, and a written table (word, n, v0, v1, ...) of all rare words."""
+def last_round(train: DataFrame, vocabulary: Vocabulary, model: Model, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """One round that counts rare words too: the model, and a written table (word, v0, v1, ...) of all rare words; over all states v add up to the word's count."""
     states, size, kind = len(model.start), vocabulary.tail + 1, vocabulary.kind
     now = train.sparkSession.sparkContext.broadcast(model)
 
@@ -370,21 +372,23 @@ def last_round(train: DataFrame, vocabulary: Vocabulary, model: Model, scratch:
             words = np.concatenate([rare for (rare, _), _ in lot])
             before = np.cumsum([0] + [len(rare) for (rare, _), _ in lot])
             at = np.concatenate([at + start for ((_, at), _), start in zip(lot, before[:-1], strict=True)])
-            yield pd.DataFrame({"row": size, "word": words, "n": np.bincount(at, minlength=len(words)), **{f"v{k}": np.bincount(at, weights=posterior[:, k], minlength=len(words)) for k in range(states)}})
-        yield _sums(own, states).assign(word=None, n=0)
+            v = [np.rint(np.bincount(at, weights=posterior[:, k], minlength=len(words)) * FINE) / FINE for k in range(states - 1)]
+            v.append(np.bincount(at, minlength=len(words)) - sum(v))
+            yield pd.DataFrame({"row": size, "word": words, **{f"v{k}": x for k, x in enumerate(v)}})
+        yield _sums(own, states).assign(word=None)
 
-    columns = ["n", *(f"v{k}" for k in range(states))]
-    schema = "row long, word string, n long, " + ", ".join(f"v{k} double" for k in range(states))
+    columns = [f"v{k}" for k in range(states)]
+    schema = "row long, word string, " + ", ".join(f"{c} double" for c in columns)
     rows = train.select("ids", "rare", "rare_at").mapInPandas(expect, schema).groupBy("row", "word").agg(*[F.sum(c).alias(c) for c in columns])
     sums = scratch.save(rows, "expected")
-    model, _, tail = _maximise(sums.where(F.col("word").isNull()).drop("word", "n").toPandas(), vocabulary, states)
+    model, _ = _maximise(sums.where(F.col("word").isNull()).drop("word").toPandas(), vocabulary, states)
     now.unpersist()
-    return model, tail, sums.where(F.col("word").isNotNull()).drop("row")
+    return model, sums.where(F.col("word").isNotNull()).drop("row")
 
 
 @in_worker("hmm")
 def _score(kind: str, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    m, columns = model.value, ["part", "nth", "id", "held_out", "n_tokens", "n_known", "base_score"]
+    m, columns = model.value, ["row", "id", "held_out", "n_tokens", "n_known", "base_score"]
     tail, states = len(m.emit) - 1, len(m.start)
     for frame in frames:
         for lot in _lots((k, np.frombuffer(raw, kind)) for k, raw in enumerate(frame["ids"])):
@@ -408,9 +412,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Trained on the rows that aren't held out, in at least one round. score is
     log10 of the probability of the text's tokens with its end: a rare word's is
     that of its class in the hidden state times its share of the class there,
-    (w * expected count in the state + count + 1) / (w * class's expected count
-    in the state + tokens + words + 1), which leaves one share for words never
-    seen; w is OWN_WEIGHT, and shares are kept in 32 bits. A null text is empty
+    (w * expected count in the state + count + 1) / (w * rare words' expected
+    counts in the state + tokens + words + 1), which leaves one share for words
+    never seen; w is OWN_WEIGHT, expected counts are in steps of 1 / FINE for
+    each document, and shares are kept in 32 bits. A null text is empty
     and has the end alone. A null id is kept, and its row is trained on. Rows are
     scored one by one, repeated ones too. Without training rows all words are
     unseen. An empty table gives no rows.
@@ -424,26 +429,30 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Words that occur once stand for those that never did: they are left to the class of rare words.
     head = [(w, n) for w, n in most_frequent(counts, head_words) if n > 1]
     vocabulary = Vocabulary(head, total["n"], total["v"])
+    scratch.drop("counts")
     encoded = scratch.save(encode_documents(rows, vocabulary), "encoded")
     trained = encoded.where(~F.col("held_out"))
     model, _ = train_model(trained, vocabulary, _first_guess(train, vocabulary, states, SEED_DOCUMENTS), rounds - 1)
-    model, tail, expected = last_round(trained, vocabulary, model, scratch)
+    model, expected = last_round(trained, vocabulary, model, scratch)
     done, kind = spark.sparkContext.broadcast(model), vocabulary.kind
 
-    pairs = encoded.select("part", "nth", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("at", "x")).select("part", "nth", "at", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
-    c = F.coalesce(F.col("n"), F.lit(0))
+    pairs = encoded.select("row", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
+    v = [F.coalesce(F.col(f"v{j}"), F.lit(0.0)) for j in range(states)]
+    own = [F.greatest(x, F.lit(0.0)) * OWN_WEIGHT for x in v]  # steps of 1 / FINE may leave the last a little below 0
+    c = sum(v[1:], v[0])
+    tail = expected.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in own]).first()
     rest = float(vocabulary.tail_total + vocabulary.tail_distinct + 1)
-    shares = [((F.coalesce(F.col(f"v{j}"), F.lit(0.0)) * OWN_WEIGHT + c + 1) / F.lit(float(tail[j]) * OWN_WEIGHT + rest)).cast("float") for j in range(states)]
-    rare = pairs.join(expected, "word", "left").select("part", "nth", "at", "k", c.alias("c"), F.array(*shares).alias("share")).groupBy("part", "nth").agg(
+    shares = [((x + c + 1) / F.lit(tail[j] + rest)).cast("float") for j, x in enumerate(own)]
+    rare = pairs.join(expected, "word", "left").select("row", "at", "k", c.alias("c"), F.array(*shares).alias("share")).groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(vocabulary.total + vocabulary.distinct + 1)))).alias("rare_base"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "share"))), lambda x: x["share"])).alias("shares"),
     )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    known = encoded.join(rare, ["part", "nth"], "left").select(
-        "part", "nth", "id", "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), add("head_base", "rare_base").alias("base_score"), "ids", "rare_at", "shares"
+    known = encoded.join(rare, "row", "left").select(
+        "row", "id", "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), add("head_base", "rare_base").alias("base_score"), "ids", "rare_at", "shares"
     )
-    scored = known.mapInPandas(lambda frames: _score(kind, done, frames), "part int, nth long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = known.mapInPandas(lambda frames: _score(kind, done, frames), "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"), "base_score", "score"
     )
