@@ -18,11 +18,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_sample, exact_id, in_worker, most_frequent, text_of
@@ -39,6 +40,8 @@ SMOOTHING, PRIOR = 0.01, 60.0
 OWN_WEIGHT = float(STATES)
 #: Rare words' expected counts in a document are kept in steps of 1 / FINE, so their sums are exact in any order and take little room.
 FINE = 32
+#: Rare words' shares are rounded down to steps of 1 / OCTAVE of a factor 2 and kept in 16 bits, four to a long: 64 factors of 2 are beyond any corpus.
+OCTAVE = 1024
 #: Stands for the end of a text in the table of counts; no word holds white space.
 END = "\n"
 
@@ -396,7 +399,8 @@ def _score(kind: str, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.Data
             rows, texts, size = [m.emit], [], tail + 1
             for k, ids in lot:
                 if frame["shares"].iloc[k] is not None:
-                    own = m.emit[tail] * np.asarray(frame["shares"].iloc[k], dtype=np.float64).reshape(-1, states)
+                    steps = np.asarray(frame["shares"].iloc[k], dtype="<i8").view("<u2").reshape(-1, 4 * -(-states // 4))[:, :states]
+                    own = m.emit[tail] * np.exp2(steps / -OCTAVE)
                     ids = ids.astype(np.int64)
                     ids[ids == tail] = np.frombuffer(frame["rare_at"].iloc[k], "<u4") + size
                     rows.append(own)
@@ -415,7 +419,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (w * expected count in the state + count + 1) / (w * rare words' expected
     counts in the state + tokens + words + 1), which leaves one share for words
     never seen; w is OWN_WEIGHT, expected counts are in steps of 1 / FINE for
-    each document, and shares are kept in 32 bits. A null text is empty
+    each document, and shares are rounded down to steps of 1 / OCTAVE. A null text is empty
     and has the end alone. A null id is kept, and its row is trained on. Rows are
     scored one by one, repeated ones too. Without training rows all words are
     unseen. An empty table gives no rows.
@@ -442,11 +446,13 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     c = sum(v[1:], v[0])
     tail = expected.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in own]).first()
     rest = float(vocabulary.tail_total + vocabulary.tail_distinct + 1)
-    shares = [((x + c + 1) / F.lit(tail[j] + rest)).cast("float") for j, x in enumerate(own)]
-    rare = pairs.join(expected, "word", "left").select("row", "at", "k", c.alias("c"), F.array(*shares).alias("share")).groupBy("row").agg(
+    steps = [F.ceil(F.log2(F.lit(tail[j] + rest) / (x + c + 1)) * OCTAVE).cast("long") for j, x in enumerate(own)]
+    packed = [reduce(Column.bitwiseOR, [F.shiftleft(x, 16 * i) for i, x in enumerate(steps[j : j + 4])]).alias(f"p{j}") for j in range(0, states, 4)]
+    names = [f"p{j}" for j in range(0, states, 4)]
+    rare = pairs.join(expected, "word", "left").select("row", "at", "k", c.alias("c"), *packed).groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(vocabulary.total + vocabulary.distinct + 1)))).alias("rare_base"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "share"))), lambda x: x["share"])).alias("shares"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", *names))), lambda x: F.array(*[x[p] for p in names]))).alias("shares"),
     )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     known = encoded.join(rare, "row", "left").select(
