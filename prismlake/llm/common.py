@@ -101,9 +101,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return the written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        """Write df as Parquet, compressed as the session says if nothing is named, and return the written table."""
+        df.write.mode("overwrite").parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,7 +296,7 @@ def _first_guess(train: DataFrame, vocabulary: Vocabulary, states: int, seeds: i
 
 
 def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their times and order.
+    """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their order.
 
     row tells rows apart; id stays as it comes, so it is best a string where it may be null.
     """
@@ -315,12 +316,12 @@ def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 seen: dict[bytes, int] = {}
                 at = [seen.setdefault(words[i] if i < len(words) else END.encode(), len(seen)) for i in np.flatnonzero(own == v.tail).tolist()]
                 at = np.array(at, dtype="<u4")
-                out.append((row, doc_id, held, own.tobytes(), len(own), len(own) - len(at), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], np.bincount(at, minlength=len(seen)), at.tobytes()))
+                out.append((row, doc_id, held, own.tobytes(), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], at.tobytes()))
                 row += 1
-            yield pd.DataFrame(out, columns=["row", "id", "held_out", "ids", "n_tokens", "head_known", "head_base", "rare", "rare_n", "rare_at"])
+            yield pd.DataFrame(out, columns=["row", "id", "held_out", "ids", "head_base", "rare", "rare_at"])
 
     id_type = dict(rows.dtypes)["id"]
-    return rows.select("id", "text", "held_out").mapInPandas(encode, f"row long, id {id_type}, held_out boolean, ids binary, n_tokens long, head_known long, head_base double, rare array<string>, rare_n array<long>, rare_at binary")
+    return rows.select("id", "text", "held_out").mapInPandas(encode, f"row long, id {id_type}, held_out boolean, ids binary, head_base double, rare array<string>, rare_at binary")
 
 
 def _sums(own: Counts, states: int) -> pd.DataFrame:
@@ -383,31 +384,63 @@ def last_round(train: DataFrame, vocabulary: Vocabulary, model: Model, scratch:
     columns = [f"v{k}" for k in range(states)]
     schema = "row long, word string, " + ", ".join(f"{c} double" for c in columns)
     rows = train.select("ids", "rare", "rare_at").mapInPandas(expect, schema).groupBy("row", "word").agg(*[F.sum(c).alias(c) for c in columns])
-    sums = scratch.save(rows, "expected")
+    sums = scratch.save(rows, "expected", "zstd")
     model, _ = _maximise(sums.where(F.col("word").isNull()).drop("word").toPandas(), vocabulary, states)
     now.unpersist()
     return model, sums.where(F.col("word").isNotNull()).drop("row")
 
 
+SCORED = pa.schema([("id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _score_lot(kind: str, denominator: int, model: Model, docs: list[dict], shares: np.ndarray) -> pa.RecordBatch:
+    """Scores of some texts; shares has a row (c, steps of each state) for each rare word of each text, in order. denominator is the base's."""
+    tail, states = len(model.emit) - 1, len(model.start)
+    packed = np.ascontiguousarray(shares[:, 1:]).view("<u2")[:, :states]
+    # Rare words get rows after the frequent ones, for this lot alone.
+    emit = np.vstack((model.emit, model.emit[tail] * np.exp2(packed / -OCTAVE)))
+    texts, start = [], 0
+    for doc in docs:
+        ids = np.frombuffer(doc["ids"], kind).astype(np.int64)
+        ids[ids == tail] = np.frombuffer(doc["rare_at"], "<u4") + np.int64(tail + 1 + start)
+        texts.append(ids)
+        start += doc["n_rare"]
+    flat = np.concatenate(texts)
+    times = np.bincount(flat[flat > tail] - tail - 1, minlength=len(shares))
+    of = np.repeat(np.arange(len(docs)), [doc["n_rare"] for doc in docs])
+    known = np.bincount(of, weights=times * (shares[:, 0] > 0), minlength=len(docs)).astype(np.int64)
+    base = np.bincount(of, weights=times * np.log10((shares[:, 0] + 1) / denominator), minlength=len(docs))
+    sizes = np.array([len(ids) for ids in texts])
+    rare = np.array([len(doc["rare_at"]) // 4 for doc in docs])
+    logs = log_likelihood(Model(model.start, model.move, emit), texts) / math.log(10)
+    columns = [[doc["id"] for doc in docs], [doc["held_out"] for doc in docs], sizes, sizes - rare + known, base + [doc["head_base"] for doc in docs], logs]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORED, strict=True)], schema=SCORED)
+
+
 @in_worker("hmm")
-def _score(kind: str, model, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    m, columns = model.value, ["row", "id", "held_out", "n_tokens", "n_known", "base_score"]
-    tail, states = len(m.emit) - 1, len(m.start)
-    for frame in frames:
-        for lot in _lots((k, np.frombuffer(raw, kind)) for k, raw in enumerate(frame["ids"])):
-            # Rare words get rows after the frequent ones, for this lot alone.
-            rows, texts, size = [m.emit], [], tail + 1
-            for k, ids in lot:
-                if frame["shares"].iloc[k] is not None:
-                    steps = np.asarray(frame["shares"].iloc[k], dtype="<i8").view("<u2").reshape(-1, 4 * -(-states // 4))[:, :states]
-                    own = m.emit[tail] * np.exp2(steps / -OCTAVE)
-                    ids = ids.astype(np.int64)
-                    ids[ids == tail] = np.frombuffer(frame["rare_at"].iloc[k], "<u4") + size
-                    rows.append(own)
-                    size += len(own)
-                texts.append(ids)
-            logs = log_likelihood(Model(m.start, m.move, np.vstack(rows)), texts) / math.log(10)
-            yield frame[columns].iloc[[k for k, _ in lot]].assign(score=logs)
+def _score(kind: str, denominator: int, model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by row and at: a text (at -1), then its rare words' shares. A lot ends with a text whose shares are all there."""
+    docs, parts, size, needed, have = [], [], 0, 0, 0
+    for batch in batches:
+        is_text = batch.column("at").to_numpy() < 0
+        shares = batch.select(["c", *[name for name in batch.schema.names if name.startswith("p")]]).filter(pa.array(~is_text))
+        parts.append(np.stack([x.to_numpy() for x in shares.columns], axis=1).astype("<i8"))
+        have += len(parts[-1])
+        for doc in batch.select(["id", "held_out", "head_base", "ids", "rare_at", "n_rare"]).filter(pa.array(is_text)).to_pylist():
+            docs.append(doc)
+            size += len(doc["ids"])
+            needed += doc["n_rare"]
+        if size < LOT_TOKENS * np.dtype(kind).itemsize:
+            continue
+        open_text = docs[-1:] if have < needed else []
+        ready = docs[: len(docs) - len(open_text)]
+        if ready:
+            shares, n = np.concatenate(parts), sum(doc["n_rare"] for doc in ready)
+            yield _score_lot(kind, denominator, model.value, ready, shares[:n])
+            docs, parts, have = open_text, [shares[n:]], len(shares) - n
+            size, needed = sum(len(doc["ids"]) for doc in docs), sum(doc["n_rare"] for doc in docs)
+    if docs:
+        yield _score_lot(kind, denominator, model.value, docs, np.concatenate(parts))
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -434,31 +467,33 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     head = [(w, n) for w, n in most_frequent(counts, head_words) if n > 1]
     vocabulary = Vocabulary(head, total["n"], total["v"])
     scratch.drop("counts")
-    encoded = scratch.save(encode_documents(rows, vocabulary), "encoded")
+    encoded = scratch.save(encode_documents(rows, vocabulary), "encoded", "zstd")
     trained = encoded.where(~F.col("held_out"))
     model, _ = train_model(trained, vocabulary, _first_guess(train, vocabulary, states, SEED_DOCUMENTS), rounds - 1)
     model, expected = last_round(trained, vocabulary, model, scratch)
     done, kind = spark.sparkContext.broadcast(model), vocabulary.kind
-
-    pairs = encoded.select("row", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
-    v = [F.coalesce(F.col(f"v{j}"), F.lit(0.0)) for j in range(states)]
+    names = [f"p{j}" for j in range(0, states, 4)]
+    v = [F.col(f"v{j}") for j in range(states)]
     own = [F.greatest(x, F.lit(0.0)) * OWN_WEIGHT for x in v]  # steps of 1 / FINE may leave the last a little below 0
-    c = sum(v[1:], v[0])
     tail = expected.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in own]).first()
     rest = float(vocabulary.tail_total + vocabulary.tail_distinct + 1)
-    steps = [F.ceil(F.log2(F.lit(tail[j] + rest) / (x + c + 1)) * OCTAVE).cast("long") for j, x in enumerate(own)]
-    packed = [reduce(Column.bitwiseOR, [F.shiftleft(x, 16 * i) for i, x in enumerate(steps[j : j + 4])]).alias(f"p{j}") for j in range(0, states, 4)]
-    names = [f"p{j}" for j in range(0, states, 4)]
-    rare = pairs.join(expected, "word", "left").select("row", "at", "k", c.alias("c"), *packed).groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(vocabulary.total + vocabulary.distinct + 1)))).alias("rare_base"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", *names))), lambda x: F.array(*[x[p] for p in names]))).alias("shares"),
-    )
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    known = encoded.join(rare, "row", "left").select(
-        "row", "id", "held_out", "n_tokens", add("head_known", "rare_known").alias("n_known"), add("head_base", "rare_base").alias("base_score"), "ids", "rare_at", "shares"
+
+    def packed(own: list[Column], c: Column) -> list[Column]:
+        steps = [F.ceil(F.log2(F.lit(tail[j] + rest) / (x + c + 1)) * OCTAVE).cast("long") for j, x in enumerate(own)]
+        return [reduce(Column.bitwiseOR, [F.shiftleft(x, 16 * i) for i, x in enumerate(steps[j : j + 4])]) for j in range(0, states, 4)]
+
+    # Shares are made once for each word, before they are joined to the texts that hold it.
+    c = sum(v[1:], v[0])
+    shares = expected.select("word", c.cast("long").alias("c"), *[x.alias(name) for x, name in zip(packed(own, c), names, strict=True)])
+    unseen = packed([F.lit(0.0)] * states, F.lit(0.0))
+    pairs = encoded.select("row", F.posexplode("rare").alias("at", "word")).join(shares, "word", "left").select(
+        "row", "at", F.coalesce("c", F.lit(0)).alias("c"), *[F.coalesce(name, x).alias(name) for name, x in zip(names, unseen, strict=True)]
     )
-    scored = known.mapInPandas(lambda frames: _score(kind, done, frames), "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # A text and the shares of its rare words meet by one shuffle and one sort; the text comes first.
+    texts = encoded.select("row", F.lit(-1).alias("at"), "id", "held_out", "head_base", "ids", "rare_at", F.size("rare").alias("n_rare"))
+    together = texts.unionByName(pairs, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "at")
+    denominator = int(vocabulary.total + vocabulary.distinct + 1)
+    scored = together.mapInArrow(lambda batches: _score(kind, denominator, done, batches), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -111,3 +112,31 @@ def test_most_frequent_words(spark):
     for limit in (1, 7, 100, 499, 500, 1000):
         assert most_frequent(counts, limit) == order[:limit]
     assert most_frequent(counts.where("false"), 5) == []
+
+
+@pytest.mark.parametrize("rows_a_batch, lot", [(1, 1), (3, 12), (1000, 1)])
+def test_shares_reach_their_texts_across_batches_and_lots(monkeypatch, rows_a_batch, lot):
+    """Texts scored in lots of any size, from batches cut anywhere, get what each gets alone."""
+    rng = np.random.default_rng(3)
+    emit = rng.dirichlet(np.ones(5), size=2).T
+    model = H.Model(np.array([0.5, 0.5]), np.array([[0.7, 0.3], [0.2, 0.8]]), emit)
+    rows, wanted = [], []
+    for d in range(9):
+        n_rare = [0, 3, 1, 0, 7][d % 5]
+        ids = np.array([0, 1, 4, 2] * 2 + [4] * n_rare + [3]) if n_rare else np.array([0, 1, 3])
+        at = np.arange((ids == 4).sum()) % n_rare if n_rare else np.array([], dtype=int)
+        steps, c = rng.integers(0, 5000, (n_rare, 2)), rng.integers(0, 4, n_rare)
+        rows.append({"row": d, "at": -1, "id": str(d), "held_out": d == 2, "head_base": -1.0 * d, "ids": ids.astype("<u2").tobytes(), "rare_at": at.astype("<u4").tobytes(), "n_rare": n_rare, "c": None, "p0": None})
+        rows += [{"row": d, "at": i, "c": int(c[i]), "p0": int(steps[i, 0] | steps[i, 1] << 16)} for i in range(n_rare)]
+        own = np.vstack((emit, emit[4] * np.exp2(-steps / H.OCTAVE)))
+        ids[ids == 4] = at + 5
+        score = H.log_likelihood(H.Model(model.start, model.move, own), [ids])[0] / math.log(10)
+        base = -1.0 * d + sum(math.log10((c[a] + 1) / 100) for a in at)
+        wanted.append((str(d), d == 2, len(ids), len(ids) - sum(int(c[a] == 0) for a in at), base, score))
+    kinds = {"row": "int64", "at": "int32", "id": "string", "held_out": "bool", "head_base": "float64", "ids": "binary", "rare_at": "binary", "n_rare": "int32", "c": "int64", "p0": "int64"}
+    schema = H.pa.schema([(k, H.pa.type_for_alias(v)) for k, v in kinds.items()])
+    batches = [H.pa.RecordBatch.from_pylist(rows[i : i + rows_a_batch], schema=schema) for i in range(0, len(rows), rows_a_batch)]
+    monkeypatch.setattr(H, "LOT_TOKENS", lot)
+    got = [r for batch in H._score("<u2", 100, SimpleNamespace(value=model), iter(batches)) for r in batch.to_pylist()]
+    assert [(r["id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in got] == [w[:4] for w in wanted]
+    assert [(r["base_score"], r["score"]) for r in got] == [pytest.approx(w[4:], rel=1e-12) for w in wanted]
