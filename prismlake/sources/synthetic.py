@@ -30,6 +30,13 @@ class Scene:
     noise: float = 0.002
     seed: int = 4242
     length: int = 0
+    #: Each pixel's gain lies within 1 - gain_jitter and 1 + gain_jitter and is the same in all frames.
+    gain_jitter: float = 0.1
+    backgrounds: int = 3
+
+    def __post_init__(self):
+        if self.backgrounds < 1 or not 0 <= self.gain_jitter <= 1:
+            raise ValueError("a scene needs a background and a gain_jitter of 0 to 1")
 
     @property
     def shape(self) -> CubeShape:
@@ -37,7 +44,7 @@ class Scene:
 
     @staticmethod
     def of(options) -> Scene:
-        known = {"height": int, "width": int, "bands": int, "targets": int, "radius": int, "noise": float, "seed": int, "length": int}
+        known = {"height": int, "width": int, "bands": int, "targets": int, "radius": int, "noise": float, "seed": int, "length": int, "gain_jitter": float, "backgrounds": int}
         return Scene(**{k: cast(options[k]) for k, cast in known.items() if k in options})
 
 
@@ -52,7 +59,7 @@ def random_spectrum(bands: int, rng: np.random.Generator) -> np.ndarray:
 
 def _spectra(scene: Scene) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([scene.seed, 1])
-    return np.stack([random_spectrum(scene.bands, rng) for _ in range(3)]), np.stack([random_spectrum(scene.bands, rng) for _ in range(scene.targets)]) if scene.targets else np.zeros((0, scene.bands), np.float32)
+    return np.stack([random_spectrum(scene.bands, rng) for _ in range(scene.backgrounds)]), np.stack([random_spectrum(scene.bands, rng) for _ in range(scene.targets)]) if scene.targets else np.zeros((0, scene.bands), np.float32)
 
 
 def library(scene: Scene) -> Library:
@@ -84,7 +91,8 @@ def frame(scene: Scene, index: int) -> tuple[np.ndarray, np.ndarray]:
         inside = ((y - cy) ** 2 + (x - cx) ** 2 <= r * r) & (truth == 0)
         cube[inside] = spectrum
         truth[inside] = k + 1
-    cube = cube * own.uniform(0.9, 1.1, (scene.height, scene.width, 1)) + own.normal(0, scene.noise, cube.shape)
+    gain = np.random.default_rng([scene.seed, 5]).uniform(1 - scene.gain_jitter, 1 + scene.gain_jitter, (scene.height, scene.width, 1))
+    cube = cube * gain + own.normal(0, scene.noise, cube.shape)
     return np.maximum(cube, 0).astype(np.float32), truth
 
 

@@ -185,6 +185,17 @@ def test_rasters_and_annotations(tmp_path, spark):
     assert [r["m"] for r in got] == [0, 1, 255, 2, 3, 4] and got[3]["scene"] == "F_1"
 
 
+def test_synthetic_gain_is_the_same_in_all_frames():
+    still = {"targets": 0, "noise": 0.0, "backgrounds": 1}
+    even, s = synthetic.Scene(**still, gain_jitter=0.0), synthetic.Scene(**still, gain_jitter=0.3)
+    gain = [synthetic.frame(s, k)[0] / synthetic.frame(even, k)[0] for k in (0, 7)]
+    assert np.allclose(gain[0], gain[1]) and np.allclose(gain[0], gain[0][..., :1])
+    assert 0.7 <= gain[0].min() < 0.75 and 1.25 < gain[0].max() <= 1.3
+    assert synthetic.Scene.of({"gain_jitter": "0.2", "backgrounds": "5"}) == synthetic.Scene(gain_jitter=0.2, backgrounds=5)
+    with pytest.raises(ValueError):
+        synthetic.Scene(backgrounds=0)
+
+
 def test_synthetic_frames():
     s = synthetic.Scene()
     (a, t), (b, _), (_, later) = synthetic.frame(s, 0), synthetic.frame(s, 0), synthetic.frame(s, 4)
