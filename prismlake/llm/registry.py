@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import ann_tree, bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, hmm_scoring, near_dedup, packing, secret_scan, wavelet
+from . import ann_tree, bayes_quality, bpe_lexicon, exact_dedup, feistel_pii, filter_audit, hmm_scoring, near_dedup, packing, prefix_tokens, secret_scan, spelling_variants, wavelet
 from .common import Scratch, prepare, read_table
 
 
@@ -60,9 +60,21 @@ def op10_hmm_scoring(spark, sf_dir):
     return hmm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_token_counts(spark, sf_dir):
+    return prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op12_parity_spelling_variants(spark, sf_dir):
+    return spelling_variants.group_spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark, sf_dir):
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op2_ann_kmeans_tree, op3_hyperminhash_near_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op6_randomness_secret_scan, op7_bayes_quality, op8_feistel_pii, op9_lexicon_bpe, op10_hmm_scoring)}
+    return {f.__name__: _shipped(f) for f in (op1_exact_dedup, op2_ann_kmeans_tree, op3_hyperminhash_near_dedup, op4_wavelet_token_shards, op5_grouping_ga_packing, op6_randomness_secret_scan, op7_bayes_quality, op8_feistel_pii, op9_lexicon_bpe, op10_hmm_scoring, op11_prefix_token_counts, op12_parity_spelling_variants, op13_filter_interaction_audit)}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op12_parity_spelling_variants": spelling_variants.ORACLE_SQL, "op13_filter_interaction_audit": filter_audit.ORACLE_SQL}
