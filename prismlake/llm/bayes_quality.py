@@ -3,9 +3,11 @@
 A logistic model on the shape of a text gives each document's evidence. Expected
 numbers of good documents, summed for each host and each path of a host, give
 posterior rates that shrink toward the global rate where a site has few
-documents; how strongly is estimated from how much hosts differ. A document's
+documents; how strongly is estimated from how much hosts differ, and paths of a
+host, beyond what the scatter of their documents explains. A document's
 posterior combines its own evidence with the rate of the other documents of its
-path.
+path. Where a table has no addresses, other columns stand for them: by default
+its source is the host, and its language the path.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BROADCAST_PATHS = 100_000
 #: Documents at or above this posterior stay.
 THRESHOLD = 0.5
 SALTS = 32
+#: A prior's strength where sites don't differ.
+MOST_STRENGTH = 1e6
 
 _MARKS = "!$%&*#|.,;:?-_/\\'\"()[]{}<>=+@~^`"
 _COLUMN = np.zeros(256, dtype=np.int64)
@@ -123,29 +127,48 @@ def evidence_udf(model: Logistic):
     return evidence
 
 
-def _strength(rows: list[tuple[float, float]], rate: float) -> float:
-    """Documents that the prior counts for, from sums over sites: (sites' sum of n * (mean - rate)**2, sum of n - sum of n**2 / sum of n, sites)."""
-    between, spread = rows
-    excess = between / spread if spread > 0 else 0.0
-    return float(np.clip(rate * (1 - rate) / excess - 1 if excess > 0 else 1e6, 1.0, 1e6))
+def _variance(scatter: float, noise: float, spread: float, freedom: float) -> float:
+    """How much sites differ: what their scatter has beyond the noise, by the method of moments; 0 where two standard errors of noise explain it."""
+    if spread <= 0 or freedom <= 0 or scatter - noise <= 2 * noise * math.sqrt(2 / freedom):
+        return 0.0
+    return (scatter - noise) / spread
+
+
+def _strength(variance: float, rate: float) -> float:
+    """Documents that a prior of this variance counts for."""
+    return float(np.clip(rate * (1 - rate) / variance - 1 if variance > 0 else MOST_STRENGTH, 1.0, MOST_STRENGTH))
 
 
 def site_rates(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
     """For each host and path: n, good, host_n, host_good and the two strengths; and the global rate.
 
-    Aggregated within tasks before the shuffle, so a host with a third of all
-    documents arrives as one row from each task.
+    The noise is the scatter of documents within their path; where no path has
+    two, within their host. What path means scatter beyond it is the paths'
+    variance, and what host means scatter beyond both is the hosts'. Aggregated
+    within tasks before the shuffle, so a host with a third of all documents
+    arrives as one row from each task.
     """
-    paths = scratch.save(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good"), F.count(F.lit(1)).alias("sites"), F.sum(F.col("host_n").cast("double") ** 2).alias("nn")).first()
-    n = total["n"] or 0
-    rate = float(np.clip((total["good"] or 0.0) / n if n else 0.5, 1e-4, 1 - 1e-4))
-    at_host = hosts.agg(F.sum(F.col("host_n") * (F.col("host_good") / F.col("host_n") - rate) ** 2).alias("b")).first()["b"] or 0.0
+    paths = scratch.save(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") * F.col("p")).alias("squares")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.sum("squares").alias("host_squares"))
     joined = paths.join(hosts, "host")
-    at_path = joined.agg(F.sum(F.col("n") * (F.col("good") / F.col("n") - F.col("host_good") / F.col("host_n")) ** 2).alias("b"), F.sum(F.col("n") - F.col("n").cast("double") ** 2 / F.col("host_n")).alias("s")).first()
-    host_k = _strength((max(0.0, at_host - (total["sites"] or 1) * rate * (1 - rate)), n - (total["nn"] or 0.0) / n if n else 0.0), rate)
-    path_k = _strength((max(0.0, (at_path["b"] or 0.0)), at_path["s"] or 0.0), rate)
+    n, good, host_n, host_good = (F.col(c).cast("double") for c in ("n", "good", "host_n", "host_good"))
+    at_path = joined.agg(
+        F.sum(n).alias("n"), F.count(F.lit(1)).alias("sites"), F.sum(good).alias("good"), F.sum(F.col("squares") - good * good / n).alias("within"),
+        F.sum(n * (good / n - host_good / host_n) ** 2).alias("scatter"), F.sum(n * n / host_n).alias("shares"), F.sum(n * n).alias("nn"),
+    ).first()
+    total = at_path["n"] or 0.0
+    mean = (at_path["good"] or 0.0) / total if total else 0.5
+    rate = float(np.clip(mean, 1e-4, 1 - 1e-4))
+    at_host = hosts.agg(F.count(F.lit(1)).alias("sites"), F.sum(F.col("host_squares") - host_good * host_good / host_n).alias("within"), F.sum(host_n * (host_good / host_n - mean) ** 2).alias("scatter"), F.sum(host_n * host_n).alias("nn")).first()
+    host_var = path_var = 0.0
+    if total:
+        alone = total == at_path["sites"]
+        noise = max(0.0, at_host["within"] / max(1.0, total - at_host["sites"]) if alone else at_path["within"] / (total - at_path["sites"]))
+        freedom = at_path["sites"] - at_host["sites"]
+        path_var = 0.0 if alone else _variance(at_path["scatter"], freedom * noise, total - at_path["shares"], freedom)
+        freedom = at_host["sites"] - 1
+        host_var = _variance(at_host["scatter"], freedom * noise + path_var * (at_path["shares"] - at_path["nn"] / total), total - at_host["nn"] / total, freedom)
+    host_k, path_k = _strength(host_var, rate), _strength(path_var, rate)
     return joined.select("host", "path", "n", "good", "host_n", "host_good", F.lit(host_k).alias("host_k"), F.lit(path_k).alias("path_k")), rate
 
 

@@ -48,12 +48,19 @@ def plain(rows, labels):
     rate = min(max(sum(p.values()) / n, 1e-4), 1 - 1e-4)
     avg = lambda ids: sum(p[i] for i in ids) / len(ids)
 
-    def strength(between, spread):
-        excess = between / spread if spread > 0 else 0
-        return min(max(rate * (1 - rate) / excess - 1, 1), 1e6) if excess > 0 else 1e6
-
-    host_k = strength(max(0, sum(len(d) * (avg(d) - rate) ** 2 for d in host.values()) - len(host) * rate * (1 - rate)), n - sum(len(d) ** 2 for d in host.values()) / n)
-    path_k = strength(sum(len(d) * (avg(d) - avg(host[h])) ** 2 for (h, _), d in path.items()), sum(len(d) - len(d) ** 2 / len(host[h]) for (h, _), d in path.items()))
+    # Nested analysis of variance, by loops over documents.
+    within = sum((p[j] - avg(d)) ** 2 for d in path.values() for j in d)
+    noise = within / (n - len(path))
+    between = sum((avg(path[h or "", q or ""]) - avg(host[h or ""])) ** 2 for _, _, h, q in rows)
+    free = len(path) - len(host)
+    spread = n - sum(len(d) ** 2 / len(host[h]) for (h, _), d in path.items())
+    at_path = (between - free * noise) / spread if free and spread > 0 and between - free * noise > 2 * free * noise * math.sqrt(2 / free) else 0
+    between = sum((avg(host[h or ""]) - sum(p.values()) / n) ** 2 for _, _, h, _ in rows)
+    free = len(host) - 1
+    expected = free * noise + at_path * sum(len(d) ** 2 * (1 / len(host[h]) - 1 / n) for (h, _), d in path.items())
+    at_host = (between - expected) / (n - sum(len(d) ** 2 for d in host.values()) / n) if free and between - expected > 2 * expected * math.sqrt(2 / free) else 0
+    strength = lambda v: min(max(rate * (1 - rate) / v - 1, 1), 1e6) if v > 0 else 1e6
+    host_k, path_k = strength(at_host), strength(at_path)
     inside = lambda v: min(max(v, 1e-6), 1 - 1e-6)
     logit = lambda v: math.log(v / (1 - v))
     out = {}
@@ -94,3 +101,36 @@ def test_an_id_with_several_labels_has_the_worst(spark):
     twice = once + [(k, 1) for k in range(20)]
     a, b = (sorted((r["doc_id"], round(r["posterior"], 9)) for r in Q.classify(docs, spark.createDataFrame(x, "doc_id long, quality int")).collect()) for x in (once, twice))
     assert a == b
+
+
+def strengths(spark, hosts, paths, documents, host_sd=0.0, path_sd=0.0, seed=3):
+    from prismlake.llm.common import Scratch
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for h in range(hosts):
+        at_host = rng.normal(0, host_sd)
+        for q in range(paths):
+            at_path = rng.normal(0, path_sd)
+            rows += [(f"h{h}", f"p{q}", float(np.clip(0.5 + at_host + at_path + rng.normal(0, 0.15), 0.01, 0.99))) for _ in range(documents)]
+    rates, rate = Q.site_rates(spark.createDataFrame(rows, "host string, path string, p double"), Scratch(spark, "test-strengths"))
+    first = rates.first()
+    return first["host_k"], first["path_k"], rate
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_sites_that_do_not_differ_are_not_told_apart(spark, seed):
+    host_k, path_k, rate = strengths(spark, 60, 20, 3, seed=seed)
+    assert host_k > 1000 and path_k > 1000 and rate == pytest.approx(0.5, abs=0.02)
+
+
+def test_strengths_follow_what_differs(spark):
+    # A prior of variance v counts for rate * (1 - rate) / v - 1 documents.
+    host_k, path_k, _ = strengths(spark, 200, 5, 4, host_sd=0.1)
+    assert host_k == pytest.approx(0.25 / 0.1**2 - 1, rel=0.35) and path_k > 1000
+    host_k, path_k, _ = strengths(spark, 60, 20, 4, path_sd=0.1)
+    assert host_k > 1000 and path_k == pytest.approx(0.25 / 0.1**2 - 1, rel=0.25)
+    host_k, path_k, _ = strengths(spark, 200, 8, 4, host_sd=0.12, path_sd=0.1)
+    assert host_k == pytest.approx(0.25 / 0.12**2 - 1, rel=0.4) and path_k == pytest.approx(0.25 / 0.1**2 - 1, rel=0.3)
+    assert strengths(spark, 40, 10, 1)[1] == Q.MOST_STRENGTH  # one document a path says nothing of paths
+    assert strengths(spark, 1, 1, 1)[:2] == (Q.MOST_STRENGTH, Q.MOST_STRENGTH)
