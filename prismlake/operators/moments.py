@@ -20,11 +20,15 @@ MERGE_TASKS = 32
 
 @dataclass(frozen=True)
 class Moments:
-    """Count, sums of bands and sums of products of bands, in double precision."""
+    """Count, mean and sums of products of differences from the mean, in double precision.
+
+    Partial ones merge by the difference of their means, so no large sums are
+    subtracted from one another and data far from zero keep their digits.
+    """
 
     n: float
-    s: np.ndarray
-    o: np.ndarray
+    centre: np.ndarray
+    products: np.ndarray
 
     @staticmethod
     def none(bands: int) -> Moments:
@@ -34,28 +38,45 @@ class Moments:
     def of(x: np.ndarray, reference: np.ndarray | None = None) -> Moments:
         x = np.asarray(x, dtype=np.float64)
         x = x if reference is None else x - reference
-        return Moments(float(len(x)), x.sum(axis=0), x.T @ x)
+        if not len(x):
+            return Moments.none(x.shape[1])
+        centre = x.mean(axis=0)
+        d = x - centre
+        return Moments(float(len(x)), centre, d.T @ d)
 
     def merge(self, other: Moments) -> Moments:
-        return Moments(self.n + other.n, self.s + other.s, self.o + other.o)
+        n = self.n + other.n
+        if not self.n or not other.n:
+            return other if other.n else self
+        apart = other.centre - self.centre
+        return Moments(n, self.centre + apart * (other.n / n), self.products + other.products + np.outer(apart, apart) * (self.n * other.n / n))
 
     def unshifted(self, reference: np.ndarray) -> Moments:
         """The moments of x from those of x - reference."""
-        cross = np.outer(self.s, reference)
-        return Moments(self.n, self.s + self.n * reference, self.o + cross + cross.T + self.n * np.outer(reference, reference))
+        return Moments(self.n, self.centre + reference, self.products)
+
+    @property
+    def s(self) -> np.ndarray:
+        """Sums of bands."""
+        return self.n * self.centre
+
+    @property
+    def o(self) -> np.ndarray:
+        """Sums of products of bands."""
+        return self.products + self.n * np.outer(self.centre, self.centre)
 
     def mean(self) -> np.ndarray:
         self._some()
-        return self.s / self.n
+        return self.centre
 
     def correlation(self, loading: float = 0.0) -> np.ndarray:
         self._some()
-        return self.o / self.n + loading * np.eye(len(self.s))
+        return self.products / self.n + np.outer(self.centre, self.centre) + loading * np.eye(len(self.centre))
 
     def covariance(self, loading: float = 0.0) -> np.ndarray:
         """Of the population: divided by the count."""
-        m = self.mean()
-        return self.o / self.n - np.outer(m, m) + loading * np.eye(len(m))
+        self._some()
+        return self.products / self.n + loading * np.eye(len(self.centre))
 
     def _some(self) -> None:
         if self.n <= 0:
@@ -79,7 +100,7 @@ def build_statistics(moments: Moments, library: Library | None = None, loading:
     A library of other bands is refused; so is a matrix that isn't positive
     definite, with a hint at the loading. narrow rounds the results to 32 bits.
     """
-    bands = len(moments.s)
+    bands = len(moments.centre)
     targets = np.zeros((0, bands))
     if library is not None and len(library.names):
         library.require_bands(bands)
@@ -111,8 +132,15 @@ def dense(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), sizes[0] if sizes else 0)
 
 
+PARTIAL = "n double, mean array<double>, products array<double>"
+
+
+def _row(total: Moments) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.n]), pa.array([total.centre]), pa.array([total.products.reshape(-1)])], names=["n", "mean", "products"])
+
+
 def partial_moments(pixels: DataFrame, column: str = "spectrum", reference: np.ndarray | None = None) -> DataFrame:
-    """One row (n, s, o) for each task: a matrix product for each Arrow batch, added up. Null spectra are left out."""
+    """One row (n, mean, products) for each task: a matrix product for each Arrow batch, merged. Null spectra are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -122,38 +150,38 @@ def partial_moments(pixels: DataFrame, column: str = "spectrum", reference: np.n
                 one = Moments.of(x, reference)
                 total = one if total is None else total.merge(one)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.n]), pa.array([total.s]), pa.array([total.o.reshape(-1)])], names=["n", "s", "o"])
+            yield _row(total)
 
-    return pixels.select(column).mapInArrow(run, "n double, s array<double>, o array<double>")
+    return pixels.select(column).mapInArrow(run, PARTIAL)
 
 
 def _added(rows: Iterator[tuple[float, list, list]]) -> Moments | None:
     total = None
-    for n, s, o in rows:
-        s = np.asarray(s, dtype=np.float64)
-        one = Moments(n, s, np.asarray(o, dtype=np.float64).reshape(len(s), len(s)))
+    for n, mean, products in rows:
+        mean = np.asarray(mean, dtype=np.float64)
+        one = Moments(n, mean, np.asarray(products, dtype=np.float64).reshape(len(mean), len(mean)))
         total = one if total is None else total.merge(one)
     return total
 
 
-def merge_moments(partials: DataFrame) -> DataFrame:
-    """Partial rows merged into at most MERGE_TASKS rows, in tasks that each hold one running total."""
+def merge_moments(partials: DataFrame, tasks: int = MERGE_TASKS) -> DataFrame:
+    """Partial rows merged into at most so many rows, in tasks that each hold one running total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            one = _added(zip(b["n"].to_pylist(), b["s"].to_pylist(), b["o"].to_pylist(), strict=True))
+            one = _added(zip(b["n"].to_pylist(), b["mean"].to_pylist(), b["products"].to_pylist(), strict=True))
             total = one if total is None else total if one is None else total.merge(one)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.n]), pa.array([total.s]), pa.array([total.o.reshape(-1)])], names=["n", "s", "o"])
+            yield _row(total)
 
-    return partials.repartition(MERGE_TASKS).mapInArrow(run, "n double, s array<double>, o array<double>")
+    return partials.repartition(tasks).mapInArrow(run, PARTIAL)
 
 
 def moments(pixels: DataFrame, column: str = "spectrum", reference: np.ndarray | None = None) -> Moments:
-    """The moments of all pixels. With a reference spectrum, sums are taken of differences from it, which keeps digits."""
+    """The moments of all pixels. With a reference spectrum, they are taken of differences from it."""
     partials = partial_moments(pixels, column, reference)
-    total = _added((r["n"], r["s"], r["o"]) for r in merge_moments(partials).collect())
+    total = _added((r["n"], r["mean"], r["products"]) for r in merge_moments(partials).collect())
     if total is None:
         raise ValueError("no pixels to take statistics from")
     return total if reference is None else total.unshifted(np.asarray(reference, dtype=np.float64))
@@ -163,20 +191,36 @@ def band_means(pixels: DataFrame, column: str = "spectrum") -> DataFrame:
     return pixels.select(F.posexplode(column).alias("band", "v")).groupBy("band").agg(F.avg(F.col("v").cast("double")).alias("mean"))
 
 
+def _triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lower triangle of one row of moments."""
+    for b in batches:
+        total = _added(zip(b["n"].to_pylist(), b["mean"].to_pylist(), b["products"].to_pylist(), strict=True))
+        if total is not None:
+            i, j = np.tril_indices(len(total.centre))
+            columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), int(total.n)), total.o[i, j], total.products[i, j] / total.n, total.centre[i], total.centre[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "product", "covariance", "mean_i", "mean_j"])
+
+
 def moments_long(pixels: DataFrame, column: str = "spectrum") -> DataFrame:
-    """The lower triangle as rows (i, j, n, product, mean_i, mean_j): products within a pixel, then one aggregation by pair of bands."""
-    lower = F.expr(f"flatten(transform(`{column}`, (v, i) -> transform(slice(`{column}`, 1, i + 1), (w, j) -> named_struct('i', i, 'j', j, 'a', double(v), 'b', double(w)))))")
-    return pixels.select(F.inline(lower)).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * F.col("b")).alias("product"), F.avg("a").alias("mean_i"), F.avg("b").alias("mean_j"))
+    """The lower triangle as rows (i, j, n, product, covariance, mean_i, mean_j), from merged matrices: pixels are not multiplied by pairs of bands.
+
+    The last merge is of MERGE_TASKS rows at most. Without pixels there are no rows.
+    """
+    merged = merge_moments(merge_moments(partial_moments(pixels, column)), 1)
+    return merged.mapInArrow(_triangle, "i int, j int, n long, product double, covariance double, mean_i double, mean_j double")
+
+
+def _loaded(value: str, loading: float) -> Column:
+    return F.col(value) + F.when(F.col("i") == F.col("j"), loading).otherwise(0.0)
 
 
 def covariance_long(pixels: DataFrame, column: str = "spectrum", loading: float = 0.0) -> DataFrame:
-    m = moments_long(pixels, column)
-    return m.select("i", "j", (F.col("product") / F.col("n") - F.col("mean_i") * F.col("mean_j") + F.when(F.col("i") == F.col("j"), loading).otherwise(0.0)).alias("covariance"))
+    return moments_long(pixels, column).select("i", "j", _loaded("covariance", loading).alias("covariance"))
 
 
 def correlation_long(pixels: DataFrame, column: str = "spectrum", loading: float = 0.0) -> DataFrame:
-    m = moments_long(pixels, column)
-    return m.select("i", "j", (F.col("product") / F.col("n") + F.when(F.col("i") == F.col("j"), loading).otherwise(0.0)).alias("correlation"))
+    m = moments_long(pixels, column).withColumn("mean_product", F.col("product") / F.col("n"))
+    return m.select("i", "j", _loaded("mean_product", loading).alias("correlation"))
 
 
 def mean_spectrum(pixels: DataFrame, mask: Column, column: str = "spectrum") -> DataFrame:

@@ -107,3 +107,25 @@ def test_null_and_ragged_spectra(spark):
     for form in ("sql", "arrow"):
         with pytest.raises(Exception, match="number of bands"):
             S.sam_best(ragged, lib, strategy=form).collect()
+
+
+def test_data_far_from_zero_keep_their_digits(spark):
+    """Offset 1e6, without a reference: partial results of many tasks merge to the covariance of the centred data."""
+    x = np.random.default_rng(11).normal(size=(4000, 4))
+    far = x + 1e6
+    df = spark.createDataFrame([(v.tolist(),) for v in far], "spectrum array<double>").repartition(7)
+    want = np.cov((far - 1e6).T, bias=True)
+    assert np.abs(M.moments(df).covariance() - want).max() < 1e-9
+    for r in M.covariance_long(df).collect():
+        assert abs(r["covariance"] - want[r["i"], r["j"]]) < 1e-9
+    raw = (far.T @ far) / len(far) - np.outer(far.mean(axis=0), far.mean(axis=0))
+    assert np.abs(raw - want).max() > 1e-6  # what sums alone would give
+
+
+def test_merging_with_nothing_and_long_form_of_nothing(spark):
+    x = np.random.default_rng(12).uniform(size=(9, 3))
+    a, none = M.Moments.of(x), M.Moments.none(3)
+    assert a.merge(none) is a and none.merge(a) is a and M.Moments.of(x[:0]).n == 0
+    assert M.moments_long(spark.createDataFrame([], "spectrum array<double>")).count() == 0
+    plan = M.moments_long(spark.createDataFrame([(v.tolist(),) for v in x], "spectrum array<double>"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan
