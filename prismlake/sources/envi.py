@@ -15,11 +15,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition
+from pyspark.sql.types import StringType, StructType
 
-from ..model import FRAMES, PIXELS, CubeShape, Interleave
+from ..model import PIXELS, CubeShape, Interleave
 from ..operators import layout
+from .placed import PlacedWriter, local_path
 
 # Fixed values of the format: sample types by code, and the endings of data files in the order they are tried.
 SAMPLE_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4"}
@@ -174,61 +177,123 @@ class _Lines(InputPartition):
     last: int
 
 
+#: Comparisons that choose frames, scenes and lines, by the value of a frame, a scene or a pixel's line.
+_COMPARED = {
+    ds.EqualTo: lambda v, x: v == x, ds.GreaterThan: lambda v, x: v > x, ds.GreaterThanOrEqual: lambda v, x: v >= x, ds.LessThan: lambda v, x: v < x, ds.LessThanOrEqual: lambda v, x: v <= x,
+    ds.In: lambda v, x: v in x, ds.StringStartsWith: lambda v, x: v.startswith(x), ds.StringEndsWith: lambda v, x: v.endswith(x), ds.StringContains: lambda v, x: x in v,
+}
+
+
+def scene_name(path: str) -> str:
+    """A scene is named by its header's file without the ending."""
+    return os.path.splitext(os.path.basename(path))[0]
+
+
 class _Reader(DataSourceReader):
+    """Plans from the first header and the names of the others; a task that reads a file checks that its shape is the same.
+
+    Filters on frame_index, scene and y are met by the choice of files and lines,
+    and those on p narrow the lines, so that nothing else is opened.
+    """
+
     def __init__(self, options):
-        paths = header_paths(options["path"])
+        paths = header_paths(local_path(options["path"]))
         most = int(options.get("max_resident", 0))
-        loops = int(options.get("loops", 1))
         self.paths = paths[:most] if most else paths
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
-        self.loops, self.lines = loops, int(options.get("lines_per_partition", 0))
+        self.loops, self.lines = int(options.get("loops", 1)), int(options.get("lines_per_partition", 0))
+        self.named = str(options.get("scene_column", "")).lower() == "true"
+        self.shape = read_header(self.paths[0]).shape
+        self.tests: dict[str, list] = {"frame_index": [], "scene": [], "y": [], "p": []}
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, ds.IsNotNull) and column in self.tests:
+                continue  # none of these is ever null
+            if column in self.tests and type(f) in _COMPARED and f.value is not None:
+                self.tests[column].append((type(f), f.value))
+                if column == "p":
+                    yield f
+            else:
+                yield f
+
+    def _frame(self, k: int, path: str) -> bool:
+        return all(_COMPARED[kind](k, v) for kind, v in self.tests["frame_index"]) and all(_COMPARED[kind](scene_name(path), v) for kind, v in self.tests["scene"])
+
+    def _line(self, y: int) -> bool:
+        first, last = y * self.shape.width, (y + 1) * self.shape.width - 1
+        may = {ds.EqualTo: lambda v: first <= v <= last, ds.In: lambda v: any(first <= x <= last for x in v), ds.GreaterThan: lambda v: last > v, ds.GreaterThanOrEqual: lambda v: last >= v, ds.LessThan: lambda v: first < v, ds.LessThanOrEqual: lambda v: first <= v}
+        return all(_COMPARED[kind](y, v) for kind, v in self.tests["y"]) and all(may[kind](v) for kind, v in self.tests["p"])
+
+    def _ranges(self) -> list[tuple[int, int]]:
+        """Runs of the lines asked for, in steps of a partition."""
+        step = self.lines or max(1, (64 << 20) // (self.shape.width * self.shape.bands * 4))
+        out: list[tuple[int, int]] = []
+        for y in filter(self._line, range(self.shape.height)):
+            if out and out[-1][1] == y and y % step:
+                out[-1] = (out[-1][0], y + 1)
+            else:
+                out.append((y, y + 1))
+        return out
 
     def partitions(self):
-        headers = [read_header(p) for p in self.paths]
-        for p, h in zip(self.paths, headers, strict=True):
-            if h.shape != headers[0].shape:
-                raise ValueError(f"{p}: {h.shape} differs from the first frame's {headers[0].shape}")
-        out = []
-        for loop in range(self.loops):
-            for k, (p, h) in enumerate(zip(self.paths, headers, strict=True)):
-                step = self.lines or max(1, (64 << 20) // (h.shape.width * h.shape.bands * 4))
-                out += [_Lines(p, loop * len(self.paths) + k, y, min(y + step, h.shape.height)) for y in range(0, h.shape.height, step)]
-        return out
+        ranges, n = self._ranges(), len(self.paths)
+        return [_Lines(p, loop * n + k, a, b) for loop in range(self.loops) for k, p in enumerate(self.paths) if self._frame(loop * n + k, p) for a, b in ranges]
 
-    def read(self, part: _Lines) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Lines | None) -> Iterator[pa.RecordBatch]:
+        if not isinstance(part, _Lines):  # where there is nothing to read, Spark asks once, without a partition
+            return
         header = read_header(part.path)
+        if header.shape != self.shape:
+            raise ValueError(f"{part.path}: {header.shape} differs from the first frame's {self.shape}")
         data = find_data_file(part.path)
         if not data:
             raise ValueError(f"no data file beside {part.path}")
         step = max(1, BATCH_BYTES // (header.shape.width * header.shape.bands * 4))
         for y in range(part.first, part.last, step):
             cube = _lines(part.path, data, header, y, min(y + step, part.last))
-            yield pixel_batch(part.frame_index, y, cube if self.bands is None else cube[:, :, self.bands])
+            batch = pixel_batch(part.frame_index, y, cube if self.bands is None else cube[:, :, self.bands])
+            yield batch.append_column("scene", pa.array([scene_name(part.path)] * batch.num_rows)) if self.named else batch
 
 
 class _Replay(DataSourceStreamReader):
-    """The frames of a path one after another, loops times; loops of 0 never end."""
+    """The frames of a path one after another, loops times; loops of 0 never end.
+
+    By default a bounded stream offers all its frames at once, so a query that
+    takes what is available ends by itself with all of them. With
+    frames_per_batch, each batch gets so many; the offer moves on when a batch is
+    planned, not when it is asked for. For a restart, the place is kept in the
+    file that the option progress names.
+    """
 
     def __init__(self, options):
         self.inner = _Reader(options)
-        self.per_batch = int(options.get("frames_per_batch", 1))
-        self.next = 0
+        self.most = self.inner.loops * len(self.inner.paths)
+        self.per_batch = int(options.get("frames_per_batch", 0 if self.most else 1))
+        self.progress = local_path(options.get("progress", ""))
+        self.planned = 0
+        if self.progress and os.path.exists(self.progress):
+            with open(self.progress, encoding="ascii") as f:
+                self.planned = int(f.read() or 0)
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
     def latestOffset(self) -> dict:
-        self.next += self.per_batch
-        most = self.inner.loops * len(self.inner.paths)
-        return {"frame": min(self.next, most) if most else self.next}
+        if not self.per_batch:
+            return {"frame": self.most}
+        return {"frame": min(self.planned + self.per_batch, self.most) if self.most else self.planned + self.per_batch}
 
     def partitions(self, start: dict, end: dict):
-        self.next = max(self.next, end["frame"])
-        n, loops = len(self.inner.paths), self.inner.loops
-        self.inner.loops = 1
-        once = self.inner.partitions()
-        self.inner.loops = loops
-        return [_Lines(p.path, k, p.first, p.last) for k in range(start["frame"], end["frame"]) for p in once if p.frame_index == k % n]
+        if end["frame"] > self.planned:
+            self.planned = end["frame"]
+            if self.progress:
+                with open(self.progress + ".new", "w", encoding="ascii") as f:
+                    f.write(str(self.planned))
+                os.replace(self.progress + ".new", self.progress)
+        n, ranges = len(self.inner.paths), self.inner._ranges()
+        return [_Lines(self.inner.paths[k % n], k, a, b) for k in range(start["frame"], end["frame"]) for a, b in ranges]
 
     def read(self, part: _Lines) -> Iterator[pa.RecordBatch]:
         return self.inner.read(part)
@@ -237,15 +302,79 @@ class _Replay(DataSourceStreamReader):
         pass
 
 
+class _Sink(PlacedWriter):
+    """One frame in any interleave and sample type; integers are the reader's values times their full scale, rounded half up."""
+
+    def __init__(self, options):
+        path = local_path(options["path"])
+        self.stem = os.path.splitext(path)[0] if path.endswith(".hdr") else path
+        self.header = Header(
+            CubeShape(int(options["lines"]), int(options["samples"]), int(options["bands"])), int(options.get("data_type", 4)), Interleave(options.get("interleave", "bsq").lower()),
+            int(options.get("header_offset", 0)), str(options.get("byte_order", "0")) == "1", tuple(float(w) for w in options.get("wavelengths", "").split(",") if w),
+        )
+        if not self.header.shape.valid:
+            raise ValueError("lines, samples and bands must be positive")
+        s = self.header.shape
+        super().__init__(self.stem + options.get("ending", ".float"), self.header.header_offset + s.pixels * s.bands * self.header.sample_size, s.pixels, "spectrum")
+
+    def values(self, column: pa.Array) -> np.ndarray:
+        if column.null_count or column.flatten().null_count:
+            raise ValueError("a pixel has no spectrum, or a band without a value")
+        x = column.flatten().to_numpy(zero_copy_only=False)
+        if len(x) != len(column) * self.header.shape.bands or (np.diff(column.offsets.to_numpy()) != self.header.shape.bands).any():
+            raise ValueError(f"a pixel lies outside {self.header.shape}: it has other bands")
+        kind = self.header.kind
+        if kind in FULL_SCALE:
+            x = np.floor(x.astype(np.float64) * FULL_SCALE[kind] + 0.5)
+            limits = np.iinfo(kind)
+            if not (np.isfinite(x).all() and limits.min <= x.min(initial=0) and x.max(initial=0) <= limits.max):
+                raise ValueError(f"a value doesn't fit into type {self.header.data_type}")
+        return x.astype(kind).reshape(len(column), -1)
+
+    def place(self, f, p: int, values: np.ndarray) -> None:
+        s, size = self.header.shape, self.header.sample_size
+        values = values.astype(self.header.dtype)  # arrays that were joined have the machine's byte order
+        at = lambda y, x, band: self.header.header_offset + size * int(layout.offset(self.header.interleave, s, y, x, band))
+        if self.header.interleave is Interleave.BIP:
+            f.seek(at(*divmod(p, s.width), 0))
+            f.write(values.tobytes())
+            return
+        # A piece is a whole run for bands one after another, and the part of a line for bands within lines.
+        pieces = [(p, values)] if self.header.interleave is Interleave.BSQ else []
+        if not pieces:
+            cuts = [0, *range(s.width - p % s.width, len(values), s.width), len(values)]
+            pieces = [(p + a, values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for first, part in pieces:
+            y, x = divmod(first, s.width)
+            for band in range(s.bands):
+                f.seek(at(y, x, band))
+                f.write(part[:, band].tobytes())
+
+    def finish(self) -> None:
+        """Whoever finds the header finds its data: the old header goes first, the new one comes last."""
+        path = self.stem + ".hdr"
+        if os.path.exists(path):
+            os.unlink(path)
+        super().finish()
+        with open(self.staging + ".hdr", "w", encoding="ascii") as f:
+            f.write(header_text(self.header))
+        os.replace(self.staging + ".hdr", path)
+
+
 class EnviSource(DataSource):
-    """spark.read or readStream.format("prismlake_envi").load(path): options bands, max_resident (the first so many frames), loops, lines_per_partition, frames_per_batch."""
+    """spark.read or readStream.format("prismlake_envi").load(path): options bands, max_resident (the first so many frames), loops, lines_per_partition,
+    scene_column (true: the scene's name as a column), frames_per_batch, progress.
+
+    df.write.format("prismlake_envi").mode("append").save(stem) writes one frame (p, spectrum): options lines, samples, bands, data_type, interleave,
+    byte_order, header_offset, wavelengths (by commas), ending.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "prismlake_envi"
 
     def schema(self) -> StructType:
-        return PIXELS
+        return StructType([*PIXELS.fields]).add("scene", StringType()) if str(self.options.get("scene_column", "")).lower() == "true" else PIXELS
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -253,58 +382,65 @@ class EnviSource(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Replay(self.options)
 
+    def writer(self, schema, overwrite) -> DataSourceWriter:
+        return _Sink(self.options)
+
+
+CATALOGUE = "path string, scene string, lines int, samples int, bands int, data_type int, interleave string, header_offset int, big_endian boolean, wavelengths_nm array<float>, fields map<string,string>"
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each header of a folder or pattern, with all its fields as a map; headers are read by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, raw in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                h = parse_header(raw.decode("latin-1"), name)
+                rows.append({"path": local_path(name), "scene": scene_name(name), "lines": h.shape.height, "samples": h.shape.width, "bands": h.shape.bands, "data_type": h.data_type, "interleave": h.interleave.value,
+                             "header_offset": h.header_offset, "big_endian": h.big_endian, "wavelengths_nm": list(h.wavelengths_nm) or None, "fields": list(h.fields.items())})
+            kinds = {"lines": pa.int32(), "samples": pa.int32(), "bands": pa.int32(), "data_type": pa.int32(), "header_offset": pa.int32(), "big_endian": pa.bool_(), "wavelengths_nm": pa.list_(pa.float32()), "fields": pa.map_(pa.string(), pa.string())}
+            names = [part.split(" ")[0] for part in CATALOGUE.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+
+    found = path if not os.path.isdir(local_path(path)) else os.path.join(path, "*.hdr")
+    return spark.read.format("binaryFile").load(found).select("path", "content").mapInArrow(run, CATALOGUE)
+
 
 def frames(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
-    """One row for each header of a path."""
-    rows = []
-    for k, p in enumerate(header_paths(path)):
-        h = read_header(p)
-        rows.append((k, k / fps, p, h.shape.height, h.shape.width, h.shape.bands, list(h.wavelengths_nm) or None))
-    return spark.createDataFrame(rows, FRAMES)
+    """One row for each header of a path, in the order of names."""
+    order = spark.createDataFrame([(k, p) for k, p in enumerate(header_paths(local_path(path)))], "frame_index long, path string")
+    rows = catalogue(spark, path).select(F.regexp_replace("path", "^/+", "/").alias("path"), *[c for c in ("lines", "samples", "bands", "wavelengths_nm")])
+    return order.join(rows, "path").select("frame_index", (F.col("frame_index") / fps).alias("timestamp_s"), F.col("path").alias("source"), F.col("lines").alias("height"), F.col("samples").alias("width"), "bands", "wavelengths_nm").orderBy("frame_index")
 
 
-def format_header(shape: CubeShape, wavelengths_nm: tuple[float, ...] = ()) -> str:
-    lines = ["ENVI", f"samples = {shape.width}", f"lines = {shape.height}", f"bands = {shape.bands}", "header offset = 0", "file type = ENVI Standard", "data type = 4", "interleave = bsq", "byte order = 0"]
-    if len(wavelengths_nm):
-        lines += ["wavelength units = nm", "wavelength = { " + ", ".join(repr(float(w)) for w in wavelengths_nm) + " }"]
+def header_text(header: Header) -> str:
+    s = header.shape
+    lines = ["ENVI", f"samples = {s.width}", f"lines = {s.height}", f"bands = {s.bands}", f"header offset = {header.header_offset}", "file type = ENVI Standard", f"data type = {header.data_type}", f"interleave = {header.interleave.value}", f"byte order = {int(header.big_endian)}"]
+    if len(header.wavelengths_nm):
+        lines += ["wavelength units = nm", "wavelength = { " + ", ".join(repr(float(w)) for w in header.wavelengths_nm) + " }"]
     return "\n".join(lines) + "\n"
 
 
-def write_cube(stem: str, pixels: DataFrame, shape: CubeShape, wavelengths_nm: tuple[float, ...] = (), frame_index: int = 0) -> str:
-    """Write one frame as band-sequential floats; the path of its header.
+def format_header(shape: CubeShape, wavelengths_nm: tuple[float, ...] = ()) -> str:
+    return header_text(Header(shape, 4, Interleave.BSQ, wavelengths_nm=tuple(wavelengths_nm)))
+
+
+def write_cube(
+    stem: str, pixels: DataFrame, shape: CubeShape, wavelengths_nm: tuple[float, ...] = (), frame_index: int = 0, data_type: int = 4, interleave: str = "bsq", big_endian: bool = False, header_offset: int = 0,
+) -> str:
+    """Write one frame as a cube; the path of its header. The cube appears whole or not at all.
 
-    The folder must be shared by driver and executors. Tasks write their pixels
-    at the places these have in the file, so a task that runs again writes the
-    same bytes.
+    Pixels are dealt into ranges of places first, so a task's are together in the file.
     """
-    with open(stem + ".float", "wb") as f:
-        f.truncate(shape.pixels * shape.bands * 4)
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(stem + ".float", "r+b") as f:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                p = b["p"].to_numpy()
-                x = b["spectrum"].flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(p), -1)
-                if x.shape[1] != shape.bands or p.min() < 0 or p.max() >= shape.pixels:
-                    raise ValueError(f"a pixel lies outside {shape}")
-                order = np.argsort(p, kind="stable")
-                p, x = p[order], x[order]
-                runs = np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) != 1) + 1)
-                for band in range(shape.bands):
-                    for r in runs:
-                        f.seek(4 * int(layout.offset("bsq", shape, 0, int(p[r[0]]), band)))
-                        f.write(x[r, band].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([len(p)], pa.int64())], names=["n"])
-
-    written = pixels.where(f"frame_index = {int(frame_index)}").select("p", "spectrum").mapInArrow(put, "n long").groupBy().sum("n").first()[0] or 0
-    if written != shape.pixels:
-        raise ValueError(f"{written} pixels written, {shape} has {shape.pixels}")
-    with open(stem + ".hdr", "w", encoding="ascii") as f:
-        f.write(format_header(shape, wavelengths_nm))
+    register(pixels.sparkSession)
+    one = pixels.where(F.col("frame_index") == frame_index).select("p", "spectrum").repartitionByRange("p").sortWithinPartitions("p")
+    options = {"lines": shape.height, "samples": shape.width, "bands": shape.bands, "data_type": data_type, "interleave": interleave, "byte_order": int(big_endian), "header_offset": header_offset, "wavelengths": ",".join(repr(float(w)) for w in wavelengths_nm)}
+    one.write.format("prismlake_envi").mode("append").options(**options).save(stem)
     return stem + ".hdr"
 
 
 def register(spark: SparkSession) -> None:
+    """The source and sink, and Spark's setting that hands filters to sources in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(EnviSource)

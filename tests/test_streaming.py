@@ -70,7 +70,7 @@ def test_replay_of_cubes_as_a_stream(spark, tmp_path):
         (tmp_path / f"f{k}.float").write_bytes(np.full(6, 10 + k, "<f4").tobytes())
     envi.register(spark)
     seen = []
-    df = spark.readStream.format("prismlake_envi").options(loops=2, lines_per_partition=2).load(str(tmp_path))
+    df = spark.readStream.format("prismlake_envi").options(loops=2, lines_per_partition=2, frames_per_batch=1).load(str(tmp_path))
     q = df.writeStream.foreachBatch(lambda b, n: seen.extend((r["frame_index"], r["spectrum"][0]) for r in b.where("p = 5").collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
     for _ in range(100):
         q.processAllAvailable()
