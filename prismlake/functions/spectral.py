@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,31 @@ def spectral_angle(a: Column, b: Column) -> Column:
     return angle(dot(a, b), energy(a), norm(b))
 
 
+def _gamma_p(a, x):
+    return chi2.gamma_pq(a, x)[0]
+
+
+def _gamma_q(a, x):
+    return chi2.gamma_pq(a, x)[1]
+
+
+def _rx_threshold(bands, rate):
+    return chi2.rx_thresholds(bands, rate)
+
+
+def _of_pairs(function):
+    """A function of two arrays, computed once for each pair of values that a batch has."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        code, pairs = pd.MultiIndex.from_arrays([a.astype(float), b.astype(float)]).factorize(use_na_sentinel=False)
+        values = function(pairs.get_level_values(0).to_numpy(dtype=float), pairs.get_level_values(1).to_numpy(dtype=float))
+        return pd.Series(values, dtype=float)[code].reset_index(drop=True).where(a.notna() & b.notna())
+
+    return run
+
+
 def register(spark: SparkSession) -> None:
-    """spectral_angle(a, b) as a SQL function of expressions; gamma_p(a, x) and rx_threshold(bands, rate) as UDFs."""
+    """spectral_angle(a, b) as a SQL function of expressions; gamma_p(a, x), gamma_q(a, x) and rx_threshold(bands, rate) as UDFs over Arrow batches. Null gives null."""
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION spectral_angle(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
         CASE WHEN aggregate(a, 0D, (s, v) -> s + v * v) > 0 AND aggregate(b, 0D, (s, v) -> s + v * v) > 0
@@ -46,5 +70,5 @@ def register(spark: SparkSession) -> None:
              / (sqrt(aggregate(a, 0D, (s, v) -> s + v * v)) * sqrt(aggregate(b, 0D, (s, v) -> s + v * v))))))
         ELSE {RIGHT_ANGLE!r}D END"""
     )
-    spark.udf.register("gamma_p", chi2.gamma_p, "double")
-    spark.udf.register("rx_threshold", chi2.rx_threshold, "double")
+    for name, function in (("gamma_p", _gamma_p), ("gamma_q", _gamma_q), ("rx_threshold", _rx_threshold)):
+        spark.udf.register(name, F.pandas_udf(_of_pairs(function), "double"))
