@@ -6,7 +6,9 @@ truth), lineitem for four-band pixels in number, events for results of frames.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from functools import wraps
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from ..model import CubeShape, DetectionParams, Polarity
 from ..operators import detect, evaluate, layout, library, moments, scoring
 from ..session import ship_package
+from ..sources.placed import local_path
 
 WIDTH = 25
 #: Angles to the nearest class mean lie about 1.35; a tenth of the pixels passes LOW and HIGH, a third WIDE.
@@ -202,10 +205,13 @@ def cem_full(spark, sf_dir):
 
 
 def rx_threshold(spark, sf_dir):
+    """The rates are the discounts and taxes of lineitem."""
     from ..functions.spectral import register
 
     register(spark)
-    return spark.sql("SELECT rate, round(rx_threshold(2, rate), 6) AS threshold FROM VALUES (0.5D), (0.1D), (0.001D), (0.000001D) AS t(rate)")
+    t = _table(spark, sf_dir, "lineitem")
+    rates = t.select("l_discount").union(t.select("l_tax")).toDF("rate").where("rate > 0 and rate < 1").select(F.col("rate").cast("double").alias("rate")).groupBy("rate").count()
+    return rates.selectExpr("rate", "count AS n", "round(rx_threshold(2, rate), 6) AS threshold")
 
 
 # Evaluation
@@ -296,18 +302,30 @@ def latency_percentiles(spark, sf_dir):
 
 
 def synthetic_detect(spark, sf_dir):
+    """Discs with the spectra of the pixels' class means move over a synthetic background; three frames."""
     from ..sources import synthetic
 
     synthetic.register(spark)
-    scene = synthetic.Scene()
-    px = spark.read.format("prismlake_synthetic").option("frames", 3).load()
+    lib = _class_library(spark, sf_dir)
+    scene = synthetic.Scene(bands=lib.bands, targets=len(lib.names), spectra=tuple(tuple(map(float, v)) for v in lib.values))
+    px = spark.read.format("prismlake_synthetic").options(**scene.options()).option("frames", 3).load()
     return detect.detect(scoring.sam_best(px, synthetic.library(scene)), DetectionParams(0.05, 4))
 
 
+_folders: list[str] = []
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: in the shared one if that is a path, else a temporary one on this machine."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    return tempfile.mkdtemp(prefix="prismlake-", dir=shared if os.path.isdir(shared) else None)
+    """A new folder that driver and executors see: in the shared one, else, on one machine only, a temporary one. It goes when the process ends."""
+    shared = local_path(spark.conf.get("spark.checkpoint.dir", None) or "")
+    if not os.path.isdir(shared):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = None
+    if not _folders:
+        atexit.register(lambda: [shutil.rmtree(f, ignore_errors=True) for f in _folders])
+    _folders.append(tempfile.mkdtemp(prefix="prismlake-", dir=shared))
+    return _folders[-1]
 
 
 def envi_roundtrip(spark, sf_dir):
@@ -320,26 +338,28 @@ def envi_roundtrip(spark, sf_dir):
     return _rounded(back.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
 
 
+#: What each frame of the stream below adds to the pixels' values.
+FRAME_SHIFT = 0.05
+
+
 def stream_detect(spark, sf_dir):
-    """Detections of a stream of three synthetic frames; each batch is written under its number, so a repeated one replaces itself."""
-    from ..sources import synthetic
+    """Three cubes made from the pixels are replayed as a stream that ends by itself; each batch is written under its number, so a repeated one replaces itself."""
+    from ..sources import envi
     from ..streaming.detector import run_stream
 
-    synthetic.register(spark)
-    out, length, seen = _folder(spark), 3, []
+    folder, out = _folder(spark), _folder(spark)
+    px, lib, shape = pixels(spark, sf_dir), _class_library(spark, sf_dir), _shape(spark, sf_dir)
+    for k in range(3):
+        shifted = F.expr(f"transform(spectrum, v -> float(double(v) + {FRAME_SHIFT * k}D))")
+        envi.write_cube(os.path.join(folder, f"frame{k}"), px.withColumn("spectrum", shifted), shape)
+    envi.register(spark)
 
     def sink(found, frames, number):
         found.write.mode("overwrite").parquet(f"{out}/detections/batch={number}")
-        seen.extend(r["frame_index"] for r in frames.collect())
 
-    stream = spark.readStream.format("prismlake_synthetic").options(length=length).load()
-    query = run_stream(stream, synthetic.library(synthetic.Scene()), DetectionParams(0.05, 4), sink, checkpoint=f"{out}/checkpoint", trigger={"processingTime": "0 seconds"})
-    try:
-        while len(set(seen)) < length:
-            query.processAllAvailable()
-    finally:
-        query.stop()
-    return spark.read.parquet(f"{out}/detections").drop("batch")
+    stream = spark.readStream.format("prismlake_envi").load(folder)
+    run_stream(stream, lib, DetectionParams(WIDE, 1), sink, checkpoint=f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/detections").select("frame_index", "y", "x", "target")
 
 
 _QUERIES = (
@@ -375,6 +395,10 @@ _SAM = f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB}, {_ANGLE}, {_BEST}"
 _JUDGED = f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB}, {_ANGLE}, j AS (SELECT p, label, a AS score FROM ang WHERE lib_label = 3 AND label <= 8)"
 
 
+_FRAMES = f"fx AS (SELECT f, p, y, x, list_transform(e, lambda v: CAST(CAST(v + {FRAME_SHIFT} * f AS FLOAT) AS DOUBLE)) AS e FROM px, range(3) r(f))"
+_STREAM = f"WITH {_PX}, {_LONG}, {_MEANS}, {_LIB}, {_FRAMES}, fa AS (SELECT f, p, y, x, target, acos(greatest(-1.0, least(1.0, list_dot_product(e, r) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(r, r)))))) AS a FROM fx, lib), best AS (SELECT f, p, any_value(y) AS y, any_value(x) AS x, arg_min(target, (a, target)) AS target, min(a) AS score FROM fa GROUP BY f, p)"
+
+
 def _survivors(radius: int, limit: float, higher: bool = False) -> str:
     """The definition: no neighbour is strictly better, and no equal one comes first."""
     better = ">" if higher else "<"
@@ -482,7 +506,8 @@ def oracle_sql():
         "moments_merge": f"WITH {_ITEMS}, {_item_moments()} {triangle}",
         "moments_shifted": f"WITH {_ITEMS}, {_item_moments()} {triangle}",
         **_second_order(),
-        "rx_threshold": "SELECT rate, round(-2 * ln(rate), 6) AS threshold FROM (VALUES (0.5::DOUBLE), (0.1::DOUBLE), (0.001::DOUBLE), (0.000001::DOUBLE)) t(rate)",
+        "rx_threshold": "SELECT rate, count(*) AS n, round(-2 * ln(rate), 6) AS threshold FROM (SELECT CAST(l_discount AS DOUBLE) AS rate FROM lineitem UNION ALL SELECT CAST(l_tax AS DOUBLE) FROM lineitem) WHERE rate > 0 AND rate < 1 GROUP BY rate",
+        "stream_detect": f"{_STREAM}, {_survivors(1, WIDE).replace('o.p <> b.p', 'o.f = b.f AND o.p <> b.p')} SELECT CAST(f AS BIGINT) AS frame_index, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(target AS INTEGER) AS target FROM sv",
         "confusion": f"{_JUDGED} {counts}",
         "precision_recall_f1": f"{_JUDGED}, c AS ({counts}) SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, CASE WHEN tp = 0 THEN 'NaN'::DOUBLE ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM c",
         "roc_auc": f"{_JUDGED} SELECT round(sum(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auc, count(DISTINCT a.p) AS positives, count(DISTINCT b.p) AS negatives FROM j a, j b WHERE a.label = 3 AND b.label <> 3",

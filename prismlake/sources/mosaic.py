@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from ..model import PIXELS
 from ..operators.layout import demosaic
 from . import png
 from .envi import pixel_batch
+from .placed import local_path
 
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,6 +33,28 @@ def _decode(period: int, bands: int, order: list[int] | None):
     return run
 
 
+def write_mosaic(samples: DataFrame, folder: str, width: int, height: int) -> int:
+    """Write 16-bit frames from rows (frame_index, x, y, value); each frame is a file of its own, made by a task. How many there are.
+
+    Places without a row are 0; rows outside of width x height are left out, and of several for a place the largest value is taken.
+    """
+    folder = local_path(folder)
+
+    def put(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["frame_index"].iloc[0])
+        image = np.zeros((height, width), np.uint16)
+        image[frame["y"].to_numpy(), frame["x"].to_numpy()] = frame["value"].to_numpy()
+        path = os.path.join(folder, f"frame{k:09d}.png")
+        with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
+            f.write(png.encode(image))
+        os.replace(f.name, path)
+        return pd.DataFrame({"n": [1]})
+
+    inside = samples.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    one = inside.groupBy("frame_index", "x", "y").agg(F.max("value").alias("value"))
+    return one.groupBy("frame_index").applyInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def frame_table(spark: SparkSession, folder: str, fps: float = 25.0) -> DataFrame:
     """frame_index, timestamp_s, path of each frame in the order of names. The driver lists the folder, as for any read."""
     files = sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][nN][gG]").load(folder).inputFiles())

@@ -6,8 +6,9 @@ frame, and a stream that starts anew shows the same frames.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ class Scene:
     #: Each pixel's gain lies within 1 - gain_jitter and 1 + gain_jitter and is the same in all frames.
     gain_jitter: float = 0.1
     backgrounds: int = 3
+    #: Spectra of the targets, scaled as random ones are; without them, targets random ones.
+    spectra: tuple[tuple[float, ...], ...] = ()
 
     def __post_init__(self):
+        if self.spectra and (len(self.spectra) != self.targets or {len(s) for s in self.spectra} != {self.bands}):
+            raise ValueError("a scene needs a spectrum of its bands for each target")
         if self.backgrounds < 1 or not 0 <= self.gain_jitter <= 1:
             raise ValueError("a scene needs a background and a gain_jitter of 0 to 1")
 
@@ -45,7 +50,12 @@ class Scene:
     @staticmethod
     def of(options) -> Scene:
         known = {"height": int, "width": int, "bands": int, "targets": int, "radius": int, "noise": float, "seed": int, "length": int, "gain_jitter": float, "backgrounds": int}
-        return Scene(**{k: cast(options[k]) for k, cast in known.items() if k in options})
+        own = tuple(tuple(s) for s in json.loads(options["spectra"])) if options.get("spectra") else ()
+        return Scene(**{k: cast(options[k]) for k, cast in known.items() if k in options}, spectra=own)
+
+    def options(self) -> dict[str, str]:
+        """What the data source takes for this scene."""
+        return {k: json.dumps(v) if k == "spectra" else str(v) for k, v in asdict(self).items() if k != "spectra" or v}
 
 
 def random_spectrum(bands: int, rng: np.random.Generator) -> np.ndarray:
@@ -59,6 +69,11 @@ def random_spectrum(bands: int, rng: np.random.Generator) -> np.ndarray:
 
 def _spectra(scene: Scene) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([scene.seed, 1])
+    if scene.spectra:
+        x = np.array(scene.spectra)
+        low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
+        own = (0.05 + 0.85 * (x - low) / np.maximum(high - low, 1e-12)).astype(np.float32)
+        return np.stack([random_spectrum(scene.bands, rng) for _ in range(scene.backgrounds)]), own
     return np.stack([random_spectrum(scene.bands, rng) for _ in range(scene.backgrounds)]), np.stack([random_spectrum(scene.bands, rng) for _ in range(scene.targets)]) if scene.targets else np.zeros((0, scene.bands), np.float32)
 
 
@@ -110,7 +125,6 @@ class _Made:
     def __init__(self, options, schema):
         self.scene, self.count = Scene.of(options), int(options.get("frames", options.get("length", 1)))
         self.wants_truth = "label" in schema.fieldNames()
-        self.per_batch = int(options.get("frames_per_batch", 1))
 
     def read(self, part: _Frame) -> Iterator[pa.RecordBatch]:
         cube, truth = frame(self.scene, part.index)
@@ -123,21 +137,23 @@ class _Batch(_Made, DataSourceReader):
 
 
 class _Stream(_Made, DataSourceStreamReader):
-    """One or more frames for each micro-batch; a length of 0 never ends."""
+    """A length of 0 never ends. A bounded one offers all its frames at once unless frames_per_batch is given; the offer moves on when a batch is planned."""
 
     def __init__(self, options, schema):
         super().__init__(options, schema)
-        self.next = 0
+        self.per_batch = int(options.get("frames_per_batch", 0 if self.scene.length else 1))
+        self.planned = 0
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
     def latestOffset(self) -> dict:
-        self.next += self.per_batch
-        return {"frame": min(self.next, self.scene.length) if self.scene.length else self.next}
+        if not self.per_batch:
+            return {"frame": self.scene.length}
+        return {"frame": min(self.planned + self.per_batch, self.scene.length) if self.scene.length else self.planned + self.per_batch}
 
     def partitions(self, start: dict, end: dict):
-        self.next = max(self.next, end["frame"])
+        self.planned = max(self.planned, end["frame"])
         return [_Frame(i) for i in range(start["frame"], end["frame"])]
 
     def commit(self, end: dict) -> None:

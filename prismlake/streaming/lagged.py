@@ -23,26 +23,39 @@ from ..operators.moments import Moments, dense
 
 #: The state store that Spark's stateful operator needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Frames that a task holds moments of at once.
+OPEN_FRAMES = 64
+#: Shares in which a frame's rows are merged first.
+SHARES = 32
 PARTIAL = "stream string, frame_index long, n double, mean array<double>, products array<double>"
 LAGGED = "stream string, frame_index long, n double, mean array<double>, covariance array<double>, lagged_mean array<double>, lagged_products array<double>"
 _STATE = "frame_index long, n double, mean array<double>, products array<double>, lagged_mean array<double>"
 
 
+def _rows(held: dict[tuple[str, int], Moments]) -> pa.RecordBatch:
+    parts, doubles = list(held.values()), pa.list_(pa.float64())
+    columns = [pa.array([k[0] for k in held], pa.string()), pa.array([int(k[1]) for k in held], pa.int64()), pa.array([m.n for m in parts], pa.float64()), pa.array([m.centre for m in parts], doubles), pa.array([m.products.reshape(-1) for m in parts], doubles)]
+    return pa.RecordBatch.from_arrays(columns, names=["stream", "frame_index", "n", "mean", "products"])
+
+
 def frame_moments(pixels: DataFrame, stream_col: str = "stream", column: str = "spectrum") -> DataFrame:
-    """One row (stream, frame_index, n, mean, products) for each stream and frame of an Arrow batch; works on tables and streams. Null spectra are left out."""
+    """One row (stream, frame_index, n, mean, products) for each stream and frame of a task, more only if it has many frames; works on tables and streams. Null spectra are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], Moments] = {}
         for b in batches:
             b = b.filter(b["spectrum"].is_valid())
             keys = pd.MultiIndex.from_arrays([b["stream"].to_pandas(), b["frame_index"].to_numpy(zero_copy_only=False)])
             codes, found = pd.factorize(keys)
             x = dense(b["spectrum"])
-            parts = [Moments.of(x[codes == k]) for k in range(len(found))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array([m.n for m in parts], pa.float64()),
-                 pa.array([m.centre for m in parts], pa.list_(pa.float64())), pa.array([m.products.reshape(-1) for m in parts], pa.list_(pa.float64()))],
-                names=["stream", "frame_index", "n", "mean", "products"],
-            )
+            for k, key in enumerate(found):
+                one = Moments.of(x[codes == k])
+                held[key] = held[key].merge(one) if key in held else one
+            if len(held) > OPEN_FRAMES:
+                yield _rows(held)
+                held.clear()
+        if held:
+            yield _rows(held)
 
     named = pixels.select(F.coalesce(F.col(stream_col).cast("string"), F.lit("")).alias("stream"), "frame_index", F.col(column).alias("spectrum"))
     return named.mapInArrow(run, PARTIAL)
@@ -116,14 +129,35 @@ def lagged_stream(pixels: DataFrame, stream_col: str = "stream", column: str = "
     return frame_moments(pixels, stream_col, column).groupBy("stream").transformWithStateInPandas(LaggedProcessor(), LAGGED, "append", "none")
 
 
-def _whole(frames: pd.DataFrame) -> pd.DataFrame:
-    (m,) = _merged([frames]).values()
-    return pd.DataFrame([(frames["stream"].iloc[0], int(frames["frame_index"].iloc[0]), m.n, m.centre, m.covariance().reshape(-1), m.products.reshape(-1))], columns=["stream", "frame_index", "n", "mean", "covariance", "products"])
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows, those of a frame together, to one row for each frame; a frame is held at a time, and finished ones until a batch ends."""
+    done: dict[tuple[str, int], Moments] = {}
+    key = current = None
+    for b in batches:
+        for name, frame, n, mean, products in zip(*(b[c].to_pylist() for c in ("stream", "frame_index", "n", "mean", "products")), strict=True):
+            one = _moments(n, mean, products)
+            if key == (name, frame):
+                current = current.merge(one)
+            else:
+                if key is not None:
+                    done[key] = current
+                key, current = (name, frame), one
+        if done:
+            yield _rows(done)
+            done.clear()
+    if key is not None:
+        yield _rows({key: current})
 
 
 def lagged_table(pixels: DataFrame, stream_col: str = "stream", column: str = "spectrum") -> DataFrame:
-    """The same rows from a table: frames are merged apart, and each looks at the one before it by a window over rows of frames."""
-    whole = frame_moments(pixels, stream_col, column).groupBy("stream", "frame_index").applyInPandas(_whole, "stream string, frame_index long, n double, mean array<double>, covariance array<double>, products array<double>")
+    """The same rows from a table: frames are merged apart, and each looks at the one before it by a window over rows of frames.
+
+    A frame of many tasks is merged in SHARES shares first, so its rows don't all meet in one task.
+    """
+    frame = ("stream", "frame_index")
+    parts = frame_moments(pixels, stream_col, column).withColumn("share", F.spark_partition_id() % SHARES)
+    some = parts.repartition(*frame, "share").sortWithinPartitions(*frame).drop("share").mapInArrow(_merge_runs, PARTIAL)
+    whole = some.repartition(*frame).sortWithinPartitions(*frame).mapInArrow(_merge_runs, PARTIAL).withColumn("covariance", F.transform("products", lambda v: v / F.col("n")))
     with_lag = whole.withColumn("lagged_mean", F.lag("mean").over(Window.partitionBy("stream").orderBy("frame_index")))
     apart = F.zip_with("mean", "lagged_mean", lambda a, b: a - b)
     cross = F.flatten(F.transform(apart, lambda a: F.transform(apart, lambda b: a * b)))
