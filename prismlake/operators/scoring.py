@@ -98,18 +98,16 @@ def sam_all(pixels: DataFrame, library: Library, column: str = "spectrum") -> Da
     return energy.select(*rest, F.inline(angles))
 
 
-def _best_of(candidates: Column, lower: bool, none: float) -> Column:
-    """(score, target) from an array of (score, target) structs; ties go to the lower id, NaN never wins."""
+def _with_best(df: DataFrame, candidates: Column, lower: bool, none: float) -> DataFrame:
+    """df with target and score, the best of an array of (score, target) structs; ties go to the lower id, NaN never wins, and (none, -1) stands for nothing.
+
+    The struct goes through a generator as a whole, so that it is computed once, not once for each of its fields.
+    """
     sign = 1 if lower else -1
     usable = F.filter(candidates, lambda s: ~F.isnan(s["score"]))
-    best = F.array_min(F.transform(usable, lambda s: F.struct((s["score"] * sign).alias("score"), s["target"].alias("target"))))
-    return F.coalesce(F.struct((best["score"] * sign).alias("score"), best["target"].alias("target")), F.struct(F.lit(none).alias("score"), F.lit(-1).alias("target")))
-
-
-def _unless_missing(candidates: Column, lower: bool, none: float) -> tuple[Column, Column]:
-    best = _best_of(candidates, lower, none)
-    score, target = best["score"], best["target"]
-    return F.coalesce(target, F.lit(-1)).cast("int").alias("target"), F.coalesce(score, F.lit(none)).alias("score")
+    best = F.array_min(F.transform(usable, lambda s: F.struct((s["score"] * sign).alias("__s"), s["target"].alias("__t"))))
+    one = F.coalesce(best, F.struct(F.lit(float(none) * sign).alias("__s"), F.lit(-1).alias("__t")))
+    return df.select("*", F.inline(F.array(one))).withColumns({"target": F.col("__t").cast("int"), "score": F.col("__s") * sign}).drop("__s", "__t")
 
 
 def sam_best(pixels: DataFrame, library: Library, column: str = "spectrum", strategy: str = "auto") -> DataFrame:
@@ -122,17 +120,19 @@ def sam_best(pixels: DataFrame, library: Library, column: str = "spectrum", stra
     rest = [c for c in pixels.columns if c != column]
     ready = pixels.withColumn(column, _checked(column, library.bands)).withColumn("__xx", spectral.energy(F.col(column)))
     each = F.transform(library.literal(), lambda t: F.struct(_or_nan(column, spectral.angle(spectral.dot(F.col(column), t["values"]), F.col("__xx"), t["norm"])).alias("score"), t["id"].alias("target")))
-    return ready.select(*rest, *_unless_missing(each, True, float("inf")))
+    return _with_best(ready, each, True, float("inf")).select(*rest, "target", "score")
 
 
 def _matrix_literal(m: np.ndarray) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in np.atleast_2d(m)])
 
 
-def _whitened(column: str, stats: Statistics) -> Column:
-    """Whitened, centred spectrum as an array."""
-    centred = F.zip_with(F.col(column), F.array(*[F.lit(float(v)) for v in stats.mean]), lambda x, m: x.cast("double") - m)
-    return F.transform(_matrix_literal(stats.whitener), lambda row: F.aggregate(F.zip_with(row, centred, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+def _whitened(pixels: DataFrame, column: str, stats: Statistics) -> DataFrame:
+    """pixels with __z, the centred and whitened spectrum. A generator keeps the centring out of the loop over the whitener's rows."""
+    centred = F.zip_with(_checked(column, len(stats.mean)), F.array(*[F.lit(float(v)) for v in stats.mean]), lambda x, m: x.cast("double") - m)
+    ready = pixels.select("*", F.explode(F.array(centred)).alias("__c"))
+    dot = lambda row: F.aggregate(F.zip_with(row, F.col("__c"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return ready.withColumn("__z", F.transform(_matrix_literal(stats.whitener), dot)).withColumn("__z", F.when(F.col("__c").isNotNull(), F.col("__z")))
 
 
 def rx(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy: str = "auto") -> DataFrame:
@@ -141,7 +141,7 @@ def rx(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy:
     if _choose(strategy, len(stats.mean)) == "arrow":
         mean, w = stats.mean, stats.whitener
         return _project(pixels, column, len(mean), "score double", lambda x: {"score": (((x - mean) @ w.T) ** 2).sum(axis=1)})
-    return pixels.withColumn(column, _checked(column, len(stats.mean))).withColumn("__z", _whitened(column, stats)).select(*rest, _or_nan(column, spectral.energy(F.col("__z"))).alias("score"))
+    return _whitened(pixels, column, stats).select(*rest, _or_nan("__z", spectral.energy(F.col("__z"))).alias("score"))
 
 
 def ace_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy: str = "auto", with_rx: bool = False) -> DataFrame:
@@ -166,14 +166,14 @@ def ace_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", str
 
         return _project(pixels, column, len(mean), "target int, score double" + ", rx double" * with_rx, compute)
     usable = [i for i in range(len(u)) if uu[i] > 0]
-    ready = pixels.withColumn(column, _checked(column, len(stats.mean))).withColumn("__z", _whitened(column, stats)).withColumn("__zz", spectral.energy(F.col("__z")))
+    ready = _whitened(pixels, column, stats).select(*rest, F.explode(F.array(F.struct("__z", spectral.energy(F.col("__z")).alias("__zz")))).alias("__w")).select(*rest, "__w.*")
     if usable:
         lib = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(v)) for v in u[i]]).alias("u"), F.lit(float(uu[i])).alias("uu")) for i in usable])
         scored = F.transform(lib, lambda t: F.struct(F.when((F.col("__zz") > 0) & ~F.isnan("__zz"), F.least(F.lit(1.0), spectral.dot(F.col("__z"), t["u"]) ** 2 / (F.col("__zz") * t["uu"]))).otherwise(F.lit(float("nan"))).alias("score"), t["id"].alias("target")))
-        best = _unless_missing(scored, False, 0.0)
+        ready = _with_best(ready, scored, False, 0.0)
     else:
-        best = (F.lit(-1).alias("target"), F.lit(0.0).alias("score"))
-    return ready.select(*rest, *best, *([_or_nan(column, F.col("__zz")).alias("rx")] if with_rx else []))
+        ready = ready.withColumns({"target": F.lit(-1), "score": F.lit(0.0)})
+    return ready.select(*rest, "target", "score", *([_or_nan("__z", F.col("__zz")).alias("rx")] if with_rx else []))
 
 
 def cem_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", strategy: str = "auto") -> DataFrame:
@@ -186,7 +186,7 @@ def cem_best(pixels: DataFrame, stats: Statistics, column: str = "spectrum", str
     rest = [c for c in pixels.columns if c != column]
     lib = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(v)) for v in row]).alias("w")) for i, row in enumerate(w)])
     scored = F.transform(lib, lambda t: F.struct(_or_nan(column, spectral.dot(F.col(column), t["w"])).alias("score"), t["id"].alias("target")))
-    return pixels.withColumn(column, _checked(column, w.shape[1])).select(*rest, *_unless_missing(scored, False, 0.0))
+    return _with_best(pixels.withColumn(column, _checked(column, w.shape[1])), scored, False, 0.0).select(*rest, "target", "score")
 
 
 def score(pixels: DataFrame, detector: str, library: Library | None = None, stats: Statistics | None = None, column: str = "spectrum", strategy: str = "auto") -> DataFrame:

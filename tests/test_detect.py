@@ -91,3 +91,48 @@ def test_cap_counts_on_and_zero_counts_show(spark):
     assert D.detect(score_table(spark, g), DetectionParams(0.1, 0, None)).count() == 20
     assert D.choose_plan(score_table(spark, g), DetectionParams(0.1)) == "dense"
     assert D.detect(score_table(spark, g).where("false"), DetectionParams()).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2, 10])
+def test_tiles_and_their_halos_by_definition(spark, monkeypatch, radius):
+    """Small tiles: windows cross many borders, ties included."""
+    monkeypatch.setattr(D, "TILE", 16)
+    grid = np.random.default_rng(radius).integers(0, 40, (150, 131)) / 40.0
+    params = DetectionParams(0.8, radius)
+    got = [r["p"] for r in D.nms(score_table(spark, grid), params).orderBy("p").collect()]
+    assert got == by_definition(grid, params)
+
+
+def test_tiles_get_at_most_twice_the_candidates(spark):
+    spread = spark.range(200_000).selectExpr("0L AS frame_index", "id AS p", "cast(id / 500 as int) AS y", "cast(id % 500 as int) AS x", "0 AS target", "rand(3) AS score")
+    for radius in (2, 10, 40):
+        df = D.nms_candidates(spread, DetectionParams(0.5, radius))
+        df.write.format("noop").mode("overwrite").save()
+        dealt = spread.where("score <= 0.5")
+        side = max(D.TILE, 8 * radius)
+        copies = dealt.selectExpr(f"(floor((y + {radius}) / {side}) - floor((y - {radius}) / {side}) + 1) * (floor((x + {radius}) / {side}) - floor((x - {radius}) / {side}) + 1) AS k").agg({"k": "avg"}).first()[0]
+        assert copies <= 2
+
+
+def test_running_minimum():
+    rng = np.random.default_rng(0)
+    for n, r in ((1, 1), (7, 2), (30, 10), (5, 10), (9, 4)):
+        a = rng.integers(0, 99, (3, n))
+        want = [[a[i, max(0, k - r) : k + r + 1].min() for k in range(n)] for i in range(3)]
+        assert (D.running_minimum(a, r, 1) == want).all() and (D.running_minimum(a.T.copy(), r, 0).T == want).all()
+
+
+def test_repeated_rows_and_negative_places(spark):
+    rows = [(0, 5, 1, 1, 0, 0.1), (0, 5, 1, 1, 0, 0.1), (0, 6, -1, -1, 0, 0.05), (1, 5, 1, 1, 0, 0.2)]
+    df = spark.createDataFrame(rows, "frame_index long, p long, y int, x int, target int, score double")
+    assert sorted((r["frame_index"], r["p"]) for r in D.nms(df, DetectionParams(0.5, 1)).collect()) == [(0, 5), (0, 6), (1, 5)]
+    assert D.nms(df.where("false"), DetectionParams(0.5, 1)).count() == 0
+
+
+def test_the_cap_of_a_frame_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 100)
+    df = spark.range(20_000).selectExpr("id % 2 AS frame_index", "div(id, 2) * 3 AS p", "cast(div(id, 2) as int) AS y", "cast(0 as int) AS x", "0 AS target", "0.01D AS score")
+    for cap in (1, 99, 3333, None):
+        got = D.detect(df, DetectionParams(0.1, 0, cap)).collect()
+        kept = {f: sorted(r["y"] for r in got if r["frame_index"] == f) for f in (0, 1)}
+        assert kept == {f: list(range(min(10_000, cap or 10_000))) for f in (0, 1)} and {r["detections_found"] for r in got} == {10_000}

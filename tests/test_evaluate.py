@@ -63,3 +63,44 @@ def test_run_statistics(spark):
     row = E.run_statistics(df, 1000, 400).first()
     assert (row["frames"], row["fps"], row["max_ms"], row["total_detections"]) == (2, 50.0, 30.0, 4)
     assert row["mpixels_per_s"] == pytest.approx(0.05) and row["gb_per_s"] == pytest.approx(0.02)
+
+
+def test_percentiles_of_hot_groups_nulls_and_ties(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", 1, float(v)) for v in rng.normal(size=3000)] + [("ties", 1, 2.0)] * 50 + [("one", 2, 7.5), (None, None, 1.0), (None, None, 2.0), ("none", 3, None), ("hot", 1, None)]
+    df = spark.createDataFrame(rows, "kind string, number int, value double").repartition(9)
+    shares = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {(r["kind"], r["number"]): r for r in E.percentiles(df, "value", shares, ["kind", "number"]).collect()}
+    assert set(got) == {(k, n) for k, n, _ in rows}
+    for key, r in got.items():
+        values = [v for k, n, v in rows if (k, n) == key and v is not None]
+        for q in shares:
+            assert r[f"p{round(100 * q)}"] == (None if not values else pytest.approx(np.percentile(values, 100 * q), abs=1e-12)), (key, q)
+    whole = E.percentiles(df, "value", [0.5]).first()
+    assert whole["p50"] == pytest.approx(np.percentile([v for *_, v in rows if v is not None], 50))
+    assert E.percentiles(df.where("false"), "value", [0.5]).first()["p50"] is None and E.percentiles(df.where("false"), "value", [0.5], ["kind"]).count() == 0
+
+
+def test_no_task_holds_a_whole_group(spark):
+    """One group with all rows is dealt to all ranges about evenly."""
+    df = spark.range(40_000).selectExpr("1 AS g", "rand(1) AS value")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        counted = df.groupBy("g", "value").count()
+        sizes = counted.repartitionByRange(8, "g", "value").rdd.glom().map(len).collect()
+        assert max(sizes) < 40_000 / 4 and E.percentiles(df, "value", [0.5], ["g"]).first()["p50"] == pytest.approx(np.percentile([r["value"] for r in df.collect()], 50))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_auc_with_an_outlier_is_spread_over_tasks(spark):
+    df = spark.range(30_000).selectExpr("0L AS frame_index", "id AS p", "CASE WHEN id = 0 THEN 1e9 ELSE rand(2) END AS score", "cast(id % 3 as int) AS label")
+    rows = df.collect()
+    s, y = np.array([r["score"] for r in rows]), np.array([r["label"] for r in rows])
+    order = np.argsort(np.argsort(-s)) + 1.0  # lower is better: ranks from the worst
+    pos = y == 1
+    want = (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert E.roc_auc(df, 1).first()["auc"] == pytest.approx(want, abs=1e-12)
+    keys = df.select((-E.F.col("score")).alias("k")).repartitionByRange(4, "k").rdd.glom().map(len).collect()
+    assert max(keys) < 15_000
