@@ -32,6 +32,7 @@ from .components import components
 MANTISSA = 10
 #: (bands, registers of a band) up to a threshold: a pair at the threshold shares no band with a probability below 1e-6.
 BANDS = ((0.82, (30, 4)), (1.01, (24, 5)))
+LEAST_SIMILARITY = 0.8
 #: A pair at the threshold is left out for its estimate with at most this probability.
 MISS = 1e-6
 #: Members of a block, minor members of a block, shingles of a block, and shingles that a block's table holds at a time.
@@ -44,6 +45,8 @@ _M64 = (1 << 64) - 1
 
 
 def _bands(threshold: float) -> tuple[int, int]:
+    if threshold < LEAST_SIMILARITY:
+        raise ValueError(f"near duplicates are found from a similarity of {LEAST_SIMILARITY} on; below, the bands would miss links")
     return next(shape for limit, shape in BANDS if threshold < limit)
 
 
@@ -244,8 +247,28 @@ def _thin_blocks(percent: int, least: float, lot: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(kept)[list(_MEMBER)]
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Of links between numbered components, the places of those that join what the ones before left apart: one fewer than there are components, at most."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    _, first = np.unique(np.minimum(a, b) * (1 + max(a.max(initial=0), b.max(initial=0))) + np.maximum(a, b), return_index=True)
+    for k in np.sort(first).tolist():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            above[y] = x
+            out.append(k)
+    return out
+
+
 def _compare_blocks(percent: int, least: float, lot: pd.DataFrame) -> pd.DataFrame:
-    """Links between minor members and the others, where their components differ, by full sets."""
+    """Links between minor members and the others, where their components differ, by full sets: of each block, those that span what its links join."""
     enter("near")
     found = [pd.DataFrame({"a": [], "b": []}, dtype=object)]
     for own, rest in _blocks(lot):
@@ -253,7 +276,9 @@ def _compare_blocks(percent: int, least: float, lot: pd.DataFrame) -> pd.DataFra
         n, m = own["n"].to_numpy()[:, None], rest["n"].to_numpy()[None, :]
         both = shared_counts([np.asarray(g) for g in own["grams"]], [np.asarray(g) for g in rest["grams"]])
         i, j = np.nonzero(likely & (100 * both >= percent * (n + m - both)))
-        found.append(pd.DataFrame({"a": own["same"].to_numpy()[i], "b": rest["same"].to_numpy()[j]}))
+        parts = pd.factorize(np.concatenate((own["component"].to_numpy(), rest["component"].to_numpy())))[0].astype(np.int64)
+        some = _spanning(parts[: len(own)][i], parts[len(own) :][j])
+        found.append(pd.DataFrame({"a": own["same"].to_numpy()[i[some]], "b": rest["same"].to_numpy()[j[some]]}))
         del both, likely
     if len(lot) > MINOR_BLOCK:
         release()

@@ -134,3 +134,41 @@ def test_estimates_are_cut_where_few_links_are_lost():
         lost = sum(math.comb(count, x) * threshold**x * (1 - threshold) ** (count - x) for x in range(round(below)))
         more = lost + math.comb(count, round(below)) * threshold ** round(below) * (1 - threshold) ** (count - round(below))
         assert lost <= N.MISS < more
+
+
+def test_a_block_puts_out_a_spanning_forest():
+    """200 alike members, none in a component yet: 199 links, not one for each pair."""
+    import pandas as pd
+
+    grams = np.sort(N.shingle_sets(["one two three four five six seven eight nine ten"], 3)[0])
+    same = [bytes([k]) * 16 for k in range(200)]
+    regs = np.zeros(120, np.uint16).tobytes()
+    member = {"lot": 0, "unit": b"u", "i": 0, "j": 0}
+    rows = [member | {"minor": m, "same": s, "component": s, "n": len(grams), "regs": regs, "grams": grams} for m in (True, False) for s in same]
+    got = N._compare_blocks(85, 0.0, pd.DataFrame(rows))
+    assert len(got) == 199
+    joined = {s: s for s in same}
+    for a, b in zip(got["a"], got["b"], strict=True):
+        old, new = joined[b], joined[a]
+        joined = {k: new if v == old else v for k, v in joined.items()}
+    assert len(set(joined.values())) == 1
+
+
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 0), (10, 5), (60, 200), (300, 250)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+
+        def groups(pairs):
+            at = list(range(n))
+            for x, y in pairs:
+                at = [at[x] if v == at[y] else v for v in at]
+            return [[i for i in range(n) if at[i] == at[k]] for k in range(n)]
+
+        some = N._spanning(a, b)
+        assert groups(zip(a, b, strict=True)) == groups(zip(a[some], b[some], strict=True)) and len(some) < max(n, 1)
+
+
+def test_a_similarity_below_the_bands_is_refused(docs):
+    with pytest.raises(ValueError, match="0.8"):
+        N.near_duplicates(docs, width=5, percent=79)
