@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,13 +109,19 @@ def drop_rows(df: DataFrame, rows: list[int], width: int) -> DataFrame:
 
 
 def quantize_half(df: DataFrame, column: str = "spectrum") -> DataFrame:
-    """Values rounded to 16-bit floats and back, over Arrow batches."""
+    """Values rounded to 16-bit floats and back, all of an Arrow batch at once; null spectra and null values stay null."""
     at = df.columns.index(column)
 
-    def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f.copy()
-            f.iloc[:, at] = pd.Series([np.asarray(v, dtype=np.float32).astype(np.float16).astype(np.float32) for v in f.iloc[:, at]], dtype=object)
-            yield f
-
-    return df.mapInPandas(narrow, df.schema)
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spectra = b.column(at)
+            flat = spectra.flatten()
+            with np.errstate(over="ignore"):
+                values = flat.to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float16).astype(np.float32)
+            rounded = pa.array(values, mask=flat.is_null().to_numpy(zero_copy_only=False)).cast(spectra.type.value_type)
+            sizes = pc.fill_null(pc.list_value_length(spectra), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            new = pa.ListArray.from_arrays(ends, rounded, type=spectra.type, mask=spectra.is_null() if spectra.null_count else None)
+            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(narrow, df.schema)

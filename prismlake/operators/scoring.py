@@ -22,6 +22,8 @@ from .moments import Statistics
 
 #: Bands up to which "auto" takes the expression form.
 FEW_BANDS = 8
+#: Targets that a pass over an Arrow batch compares its pixels with.
+TARGET_BLOCK = 256
 _OTHER_BANDS = "pixels have another number of bands"
 
 
@@ -84,6 +86,20 @@ def _first_best(scores: np.ndarray, lower: bool, none: float) -> dict[str, np.nd
     return {"target": np.where(valid, at, -1).astype(np.int32), "score": np.where(valid, best, none)}
 
 
+def _nearest(x: np.ndarray, targets: np.ndarray, norms: np.ndarray) -> dict[str, np.ndarray]:
+    """The best target of each row by passes over blocks of targets: no more than a block's angles are held at a time."""
+    best = None
+    for first in range(0, len(targets), TARGET_BLOCK):
+        one = _first_best(_angles(x, targets[first : first + TARGET_BLOCK], norms[first : first + TARGET_BLOCK]), True, np.inf)
+        one["target"] = np.where(one["target"] >= 0, one["target"] + first, -1).astype(np.int32)
+        if best is None:
+            best = one
+        else:  # an equal target of a later block doesn't win
+            better = one["score"] < best["score"]
+            best = {c: np.where(better, one[c], best[c]) for c in best}
+    return best
+
+
 def _or_nan(column: str, score: Column) -> Column:
     return F.when(F.col(column).isNotNull(), score).otherwise(F.lit(float("nan")))
 
@@ -116,7 +132,7 @@ def sam_best(pixels: DataFrame, library: Library, column: str = "spectrum", stra
         return pixels.drop(column).withColumns({"target": F.lit(-1), "score": F.lit(float("inf"))})
     if _choose(strategy, library.bands) == "arrow":
         targets, norms = library.values.astype(np.float64), library.norms()
-        return _project(pixels, column, library.bands, "target int, score double", lambda x: _first_best(_angles(x, targets, norms), True, np.inf))
+        return _project(pixels, column, library.bands, "target int, score double", lambda x: _nearest(x, targets, norms))
     rest = [c for c in pixels.columns if c != column]
     ready = pixels.withColumn(column, _checked(column, library.bands)).withColumn("__xx", spectral.energy(F.col(column)))
     each = F.transform(library.literal(), lambda t: F.struct(_or_nan(column, spectral.angle(spectral.dot(F.col(column), t["values"]), F.col("__xx"), t["norm"])).alias("score"), t["id"].alias("target")))

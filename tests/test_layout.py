@@ -70,3 +70,13 @@ def test_libraries(spark):
     ragged = spark.createDataFrame([(0, "a", [1.0]), (1, "b", [1.0, 2.0])], "target_id int, name string, values array<float>")
     with pytest.raises(ValueError, match="bands"):
         collect_library(ragged)
+
+
+def test_half_precision_of_nulls_and_ragged_rows(spark):
+    from prismlake.operators.layout import quantize_half
+
+    rows = [(0, [0.1, 2.5, None]), (1, None), (2, []), (3, [1e6, -3.14159])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"p long, spectrum array<{kind}>").coalesce(1)
+        got = {r["p"]: r["spectrum"] for r in quantize_half(df).collect()}
+        assert got[1] is None and got[2] == [] and got[0][2] is None and got[0][0] == float(np.float16(0.1)) and got[3] == [float("inf"), float(np.float16(-3.14159))]

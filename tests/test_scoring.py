@@ -156,3 +156,17 @@ def test_singular_scenes_and_other_bands_are_refused():
         scoring.score(None, "sam")
     with pytest.raises(ValueError, match="statistics"):
         scoring.score(None, "rx")
+
+
+def test_blocks_of_targets_give_the_best_of_all(monkeypatch):
+    from prismlake.operators import scoring as S
+
+    rng = np.random.default_rng(8)
+    x, targets = rng.normal(size=(50, 6)), rng.normal(size=(97, 6))
+    targets[90] = targets[3]  # a tie over blocks goes to the lower id
+    x[0], x[1], x[2] = np.nan, 0, targets[3]
+    norms = np.sqrt((targets * targets).sum(axis=1))
+    whole = S._first_best(S._angles(x, targets, norms), True, np.inf)
+    monkeypatch.setattr(S, "TARGET_BLOCK", 10)
+    parts = S._nearest(x, targets, norms)
+    assert (parts["target"] == whole["target"]).all() and (parts["score"] == whole["score"]).all() and parts["target"][0] == -1 and parts["target"][2] == 3
