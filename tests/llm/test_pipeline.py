@@ -52,8 +52,8 @@ def test_run_gives_the_last_stage(spark):
 def test_everything_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
-    assert set(entry.oracle_sql()) <= set(names) and set(registry.oracle_sql()) == {"op1_exact_dedup"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert set(entry.oracle_sql()) <= set(names) and set(registry.oracle_sql()) == {"op1_exact_dedup", "op12_parity_spelling_variants", "op13_filter_interaction_audit"}
 
 
 def test_deduplication_stages_keep_what_brute_force_keeps(spark):
