@@ -28,6 +28,8 @@ CAP = 7
 #: lineitem's four bands, each brought to a range of about one.
 SCALE = (("l_quantity", 50.0), ("l_extendedprice", 100000.0), ("l_discount", 0.1), ("l_tax", 0.08))
 LOADING = 1e-3
+#: The same for the pixels' 64 bands.
+FULL_LOADING = 1e-6
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,8 +190,8 @@ def cem_small(spark, sf_dir):
 def _full(spark, sf_dir, name):
     px = pixels(spark, sf_dir)
     lib = _class_library(spark, sf_dir)
-    stats = moments.build_statistics(moments.moments(px), lib, 1e-6)
-    return scoring.score(px, name, lib, stats).select("p", "target", "score")
+    stats = moments.build_statistics(moments.moments(px), lib, FULL_LOADING)
+    return _rounded(scoring.score(px, name, lib, stats).select("p", "target", "score"), "score", digits=5)
 
 
 def rx_full(spark, sf_dir):
@@ -474,6 +476,33 @@ def _second_order() -> dict[str, str]:
     return {"rx_small": made["rx"].replace("-1 AS target, ", ""), "ace_small": made["ace"], "cem_small": made["cem"]}
 
 
+def _inverse(name: str, entry: str) -> str:
+    """The inverse of a 64 x 64 matrix by elimination in a recursive query: name holds it as a list of rows, entry is the element at i, j of the pixels' sums."""
+    step = "list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] / a[k][k] * a[k][j]) END)"
+    unit = "list_transform(range(64), lambda c: CASE WHEN c = i THEN 1.0 ELSE 0.0 END)"
+    return f"""{name}_e AS (SELECT i, j, {entry} + CASE WHEN i = j THEN {FULL_LOADING} ELSE 0 END AS v FROM sums),
+      {name}_0 AS (SELECT list(list_concat(r, {unit}) ORDER BY i) AS a FROM (SELECT i, list(v ORDER BY j) AS r FROM {name}_e GROUP BY i)),
+      {name}_k AS (SELECT 1 AS k, a FROM {name}_0 UNION ALL SELECT k + 1, {step} FROM {name}_k WHERE k <= 64),
+      {name} AS (SELECT list_transform(a, lambda r: r[65:]) AS {name} FROM {name}_k WHERE k = 65)"""
+
+
+def _full_second_order() -> dict[str, str]:
+    """RX, ACE and CEM over the pixels' 64 bands by definition, with inverse matrices."""
+    sums = "sums AS (SELECT i, j, sum(e[i + 1] * e[j + 1]) / count(*) AS o, avg(e[i + 1]) AS mi, avg(e[j + 1]) AS mj FROM px, range(64) a(i), range(64) b(j) GROUP BY i, j)"
+    start = f"WITH RECURSIVE {_PX}, {_LONG}, {_MEANS}, {_LIB}, {sums}, mu AS (SELECT list(m ORDER BY band) AS mean FROM (SELECT band, avg(v) AS m FROM lg GROUP BY band))"
+    times = lambda m, v: f"list_transform({m}, lambda row: list_dot_product(row, {v}))"
+    centred = lambda v: f"list_transform({v}, lambda v, b: v - mean[b])"
+    white = f"{start}, {_inverse('g', 'o - mi * mj')}, z AS (SELECT p, z, list_dot_product(z, {times('g', 'z')}) AS zz FROM (SELECT p, g, {centred('e')} AS z FROM px, mu, g))"
+    u = f"u AS (SELECT target, u, list_dot_product(u0, u) AS uu FROM (SELECT target, u0, {times('g', 'u0')} AS u FROM (SELECT target, g, {centred('r')} AS u0 FROM lib, mu, g)))"
+    w = f"w AS (SELECT target, r, list_transform(w, lambda v: v / list_dot_product(w, r)) AS w FROM (SELECT target, r, {times('h', 'r')} AS w FROM lib, h))"
+    best = "SELECT p, CAST(arg_min(target, (-a, target)) AS INTEGER) AS target, round(max(a), 5) AS score FROM s GROUP BY p"
+    return {
+        "rx_full": f"{white} SELECT p, -1 AS target, round(zz, 5) AS score FROM z",
+        "ace_full": f"{white}, {u}, s AS (SELECT p, target, least(1.0, list_dot_product(z, u) ** 2 / (zz * uu)) AS a FROM z, u) {best}",
+        "cem_full": f"{start}, {_inverse('h', 'o')}, {w}, s AS (SELECT p, target, list_dot_product(e, w) AS a FROM px, w) {best}",
+    }
+
+
 def oracle_sql():
     from . import scene_queries
 
@@ -506,6 +535,7 @@ def oracle_sql():
         "moments_merge": f"WITH {_ITEMS}, {_item_moments()} {triangle}",
         "moments_shifted": f"WITH {_ITEMS}, {_item_moments()} {triangle}",
         **_second_order(),
+        **_full_second_order(),
         "rx_threshold": "SELECT rate, count(*) AS n, round(-2 * ln(rate), 6) AS threshold FROM (SELECT CAST(l_discount AS DOUBLE) AS rate FROM lineitem UNION ALL SELECT CAST(l_tax AS DOUBLE) FROM lineitem) WHERE rate > 0 AND rate < 1 GROUP BY rate",
         "stream_detect": f"{_STREAM}, {_survivors(1, WIDE).replace('o.p <> b.p', 'o.f = b.f AND o.p <> b.p')} SELECT CAST(f AS BIGINT) AS frame_index, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(target AS INTEGER) AS target FROM sv",
         "confusion": f"{_JUDGED} {counts}",
