@@ -68,6 +68,137 @@ def from_elements(long: DataFrame, shape: CubeShape, layout: Interleave | str) -
     return whole.select("frame_index", (F.col("y").cast("long") * shape.width + F.col("x")).alias("p"), "y", "x", F.transform("e", lambda e: e["v"]).alias("spectrum"))
 
 
+STRIPS = "frame_index long, start long, data binary"
+#: Bytes of a block of whole lines, the unit that is transposed at once; a longer line is a block by itself.
+BLOCK_BYTES = 4 << 20
+
+
+def block_lines(shape: CubeShape) -> int:
+    """Lines of a block."""
+    return max(1, min(shape.height, BLOCK_BYTES // (shape.width * shape.bands * 4)))
+
+
+def _block(shape: CubeShape, first: int, lines: int) -> CubeShape:
+    return CubeShape(min(lines, shape.height - first), shape.width, shape.bands)
+
+
+def _runs(shape: CubeShape, layout: Interleave, first: int, lines: int) -> list[tuple[int, int]]:
+    """Where the elements of a block lie in storage order: (start, length) of each run."""
+    part = _block(shape, first, lines)
+    if layout is Interleave.BSQ:
+        return [(band * shape.pixels + first * shape.width, part.pixels) for band in range(shape.bands)]
+    return [(first * shape.width * shape.bands, part.pixels * shape.bands)]
+
+
+def _strips_of(frame: int, cube: np.ndarray, shape: CubeShape, layout: Interleave, first: int, lines: int) -> pa.Table:
+    """A block of (lines, width, bands) as rows of STRIPS."""
+    flat, at, rows = from_bip(cube.astype("<f4"), layout), 0, []
+    for start, length in _runs(shape, layout, first, lines):
+        rows.append((frame, start, flat[at : at + length].tobytes()))
+        at += length
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("frame_index", "start", "data"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+
+def strips(pixels: DataFrame, shape: CubeShape, layout: Interleave | str, lines: int | None = None) -> DataFrame:
+    """A pixel table as runs of storage order in 32 bits, little-endian: frame_index, start (position of the first element), data.
+
+    Pixels are shuffled once, by blocks of whole lines, and a block is transposed
+    in one piece. Every pixel must be there exactly once; null values are NaN.
+    """
+    layout, lines = Interleave(layout), lines or block_lines(shape)
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        frame, number = (k.as_py() for k in key)
+        first = number * lines
+        part = _block(shape, first, lines)
+        at = rows.column("p").to_numpy() - first * shape.width
+        if len(at) != part.pixels or (np.bincount(at, minlength=part.pixels) != 1).any():
+            raise ValueError(f"frame {frame}: lines {first} to {first + part.height - 1} need each pixel once")
+        spectra = rows.column("spectrum").combine_chunks()
+        if spectra.null_count or set(pc.unique(pc.list_value_length(spectra)).to_pylist()) != {shape.bands}:
+            raise ValueError(f"frame {frame}: a spectrum doesn't have {shape.bands} bands")
+        cube = np.empty((part.pixels, shape.bands), "<f4")
+        cube[at] = spectra.flatten().to_numpy(zero_copy_only=False).reshape(part.pixels, shape.bands)
+        return _strips_of(frame, cube.reshape(part.height, shape.width, shape.bands), shape, layout, first, lines)
+
+    inside = F.when((F.col("p") >= 0) & (F.col("p") < shape.pixels), F.col("p")).otherwise(F.raise_error(F.lit(f"pixels outside of {shape}")).cast("long"))
+    keyed = pixels.select("frame_index", inside.alias("p"), F.col("spectrum").cast("array<float>").alias("spectrum"), F.floor(inside / (shape.width * lines)).alias("block"))
+    return keyed.groupBy("frame_index", "block").applyInArrow(build, STRIPS)
+
+
+def _cut(found: DataFrame, shape: CubeShape, layout: Interleave, lines: int) -> DataFrame:
+    """Strips of any length cut where blocks end, with the number of the block: what is shuffled is the cube's bytes, in long rows."""
+    size = lines * shape.width * (1 if layout is Interleave.BSQ else shape.bands)
+    whole, within = shape.pixels * shape.bands, shape.pixels if layout is Interleave.BSQ else shape.pixels * shape.bands
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for frame, start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                data = memoryview(data.as_buffer())
+                if len(data) % 4 or start < 0 or start + len(data) // 4 > whole:
+                    raise ValueError(f"frame {frame}: a strip at {start} of {len(data)} bytes isn't within {shape}")
+                rows, end = [], start + len(data) // 4
+                at = start
+                while at < end:
+                    run, place = divmod(at, within)
+                    number = place // size
+                    stop = min(end, run * within + min((number + 1) * size, within))
+                    rows.append((frame, at, bytes(data[(at - start) * 4 : (stop - start) * 4]), number))
+                    at = stop
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["frame_index", "start", "data", "block"])
+
+    return found.select("frame_index", "start", "data").mapInArrow(cut, f"{STRIPS}, block long")
+
+
+def _gather(rows: pa.Table, frame: int, shape: CubeShape, layout: Interleave, first: int, lines: int) -> np.ndarray:
+    """The block of (lines, width, bands) that its strips fill; each element must be there exactly once."""
+    runs = _runs(shape, layout, first, lines)
+    part, starts = _block(shape, first, lines), np.array([s for s, _ in runs])
+    flat, filled = np.empty(part.pixels * shape.bands, "<f4"), 0
+    ends = []
+    for start, data in zip(rows.column("start").to_pylist(), rows.column("data"), strict=True):
+        values = np.frombuffer(data.as_buffer(), "<f4")
+        run = int(np.searchsorted(starts, start, "right")) - 1
+        at = run * runs[0][1] + start - runs[run][0]
+        flat[at : at + len(values)] = values
+        filled += len(values)
+        ends.append((at, at + len(values)))
+    ends.sort()
+    if filled != len(flat) or any(a[1] != b[0] for a, b in zip(ends, ends[1:], strict=False)):
+        raise ValueError(f"frame {frame}: strips don't fill lines {first} to {first + part.height - 1} exactly once")
+    return to_bip(flat, part, layout)
+
+
+def convert_strips(found: DataFrame, shape: CubeShape, source: Interleave | str, target: Interleave | str, lines: int | None = None) -> DataFrame:
+    """Strips of one interleave from those of another, out of core: one shuffle of the cube's bytes, a block in memory at a time.
+
+    Strips may have any length and order, and must fill a block of lines exactly once; a block without any gives none.
+    """
+    source, target, lines = Interleave(source), Interleave(target), lines or block_lines(shape)
+
+    def turn(key: tuple, rows: pa.Table) -> pa.Table:
+        frame, number = (k.as_py() for k in key)
+        return _strips_of(frame, _gather(rows, frame, shape, source, number * lines, lines), shape, target, number * lines, lines)
+
+    return _cut(found, shape, source, lines).groupBy("frame_index", "block").applyInArrow(turn, STRIPS)
+
+
+def from_strips(found: DataFrame, shape: CubeShape, layout: Interleave | str, lines: int | None = None) -> DataFrame:
+    """A pixel table from strips; one shuffle of the cube's bytes."""
+    layout, lines = Interleave(layout), lines or block_lines(shape)
+
+    def unfold(key: tuple, rows: pa.Table) -> pa.Table:
+        frame, number = (k.as_py() for k in key)
+        first = number * lines
+        cube = _gather(rows, frame, shape, layout, first, lines).reshape(-1, shape.bands)
+        p = first * shape.width + np.arange(len(cube))
+        spectra = pa.ListArray.from_arrays(pa.array(np.arange(len(cube) + 1, dtype=np.int32) * shape.bands), pa.array(np.ascontiguousarray(cube).reshape(-1)))
+        return pa.table({"frame_index": pa.array(np.full(len(cube), frame)), "p": pa.array(p), "y": pa.array((p // shape.width).astype(np.int32)), "x": pa.array((p % shape.width).astype(np.int32)), "spectrum": spectra})
+
+    return _cut(found, shape, layout, lines).groupBy("frame_index", "block").applyInArrow(unfold, "frame_index long, p long, y int, x int, spectrum array<float>")
+
+
 def demosaic(raw: np.ndarray, period: int, bands: int, order: list[int] | None = None) -> np.ndarray:
     """A (height, width, bands) cube from a mosaic image; a remainder at the right and bottom is left out.
 

@@ -268,8 +268,10 @@ def interleave_bip(spark, sf_dir):
 
 
 def bsq_roundtrip(spark, sf_dir):
+    """Pixels to bands, to lines of bands and back, in blocks of lines."""
     shape = _shape(spark, sf_dir)
-    back = layout.from_elements(layout.elements(pixels(spark, sf_dir), shape, "bsq"), shape, "bsq")
+    bands = layout.strips(pixels(spark, sf_dir), shape, "bsq")
+    back = layout.from_strips(layout.convert_strips(bands, shape, "bsq", "bil"), shape, "bil")
     return _rounded(back.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import pixel_table
+from pyspark.sql import functions as F
 
 from prismlake.model import CubeShape, Interleave
 from prismlake.operators import layout as L
@@ -29,6 +30,46 @@ def test_tables_and_arrays_agree(spark, layout):
     assert [r["spectrum"] for r in back] == CUBE.reshape(-1, 3).tolist()
 
 
+@pytest.mark.parametrize("a", list(Interleave))
+@pytest.mark.parametrize("b", list(Interleave))
+def test_strips_of_blocks_are_transposed(spark, a, b):
+    """Blocks of two lines, the last of one; strips come in any order and length."""
+    made = L.strips(pixel_table(spark, CUBE), SHAPE, a, lines=2)
+    flat = L.from_bip(CUBE, a)
+    for r in made.collect():
+        values = np.frombuffer(r["data"], "<f4")
+        assert (values == flat[r["start"] : r["start"] + len(values)]).all()
+    odd = spark.createDataFrame([(0, s, flat[s : s + 11].astype("<f4").tobytes()) for s in range(0, 105, 11)][::-1], L.STRIPS)
+    for source in (made, odd):
+        there = L.convert_strips(source, SHAPE, a, b, lines=2)
+        rows = sorted((r["start"], bytes(r["data"])) for r in there.collect())
+        assert b"".join(d for _, d in rows) == L.from_bip(CUBE, b).astype("<f4").tobytes()
+    back = L.from_strips(there, SHAPE, b, lines=2).orderBy("p").collect()
+    assert [r["spectrum"] for r in back] == CUBE.reshape(-1, 3).tolist() and [(r["p"], r["y"], r["x"]) for r in back] == [(p, p // 7, p % 7) for p in range(35)]
+
+
+def test_what_strips_shuffle_is_the_cube(spark):
+    """A conversion shuffles a row for each band of a block, all together the cube's bytes."""
+    cube = np.random.default_rng(1).normal(size=(24, 50, 20)).astype(np.float32)
+    shape = CubeShape(24, 50, 20)
+    cut = L._cut(L.strips(pixel_table(spark, cube), shape, "bsq", lines=8), shape, Interleave.BSQ, 8)
+    rows = cut.selectExpr("count(*) AS n", "sum(length(data)) AS bytes").first()
+    assert rows["n"] == 3 * 20 and rows["bytes"] == cube.nbytes
+    assert L.block_lines(shape) == 24 and L.block_lines(CubeShape(10_000, 1000, 500)) == 2 and L.block_lines(CubeShape(10, 100_000, 500)) == 1
+
+
+def test_strips_that_do_not_fill_a_cube_are_refused(spark):
+    px = pixel_table(spark, CUBE)
+    for bad in (px.where("p <> 9"), px.union(px.where("p = 9")), px.withColumn("p", px["p"] + 40), px.withColumn("spectrum", F.slice("spectrum", 1, 2))):
+        with pytest.raises(Exception, match="need each pixel once|outside of|bands"):
+            L.strips(bad, SHAPE, "bsq", lines=2).collect()
+    good = L.strips(px, SHAPE, "bsq", lines=2)
+    for bad in (good.where("start <> 0"), good.union(good.where("start = 0")), good.withColumn("start", F.col("start") + 100), good.withColumn("data", F.expr("substr(data, 1, length(data) - 1)"))):
+        with pytest.raises(Exception, match="exactly once|isn't within"):
+            L.convert_strips(bad, SHAPE, "bsq", "bip", lines=2).collect()
+    assert L.strips(px.where("false"), SHAPE, "bil").count() == 0 and L.from_strips(good.where("false"), SHAPE, "bsq").count() == 0
+
+
 def test_wrong_sizes_are_refused():
     with pytest.raises(ValueError):
         L.convert_interleave(np.zeros(5), SHAPE, "bsq", "bip")
