@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral
 from ..model import DETECTORS, DetectionParams, Polarity
-from ..operators import detect, evaluate, layout, moments, scoring
+from ..operators import detect, evaluate, layout, moments, scoring, search
 from ..sources import envi, library_csv, mosaic, raster
 from ..streaming import lagged
 from . import catalog as C
@@ -276,9 +276,17 @@ def lagged_streams(spark, sf_dir):
     return _lagged_rows(lagged.last_of_each(spark, f"{out}/rows"))
 
 
+def sam_large_library(spark, sf_dir):
+    """The mean spectra of all parts are a library that is searched by clusters, for the nearest to each item."""
+    items = C.items(spark, sf_dir).drop("l_returnflag")
+    parts = C._table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("label"), F.array(*[(F.col(c) / s).cast("double") for c, s in C.SCALE]).alias("spectrum"))
+    library = moments.class_means(parts, "label").select(F.col("label").alias("target_id"), "values")
+    return C._rounded(search.sam_nearest(items, library, folder=C._folder(spark)).select("l_orderkey", "l_linenumber", "target", "score"), "score", digits=5)
+
+
 QUERIES = (
     envi_bil_int16_big, envi_bip_uint16, envi_bsq_double, envi_replay, library_csv_roundtrip, mosaic_video, raster_roundtrip, scene_with_annotation, prepared_signatures, masked_mean, background_minimum,
-    scores_with_truth, detections_on_target, first_detections, missing_spectra, rx_matrix, ace_matrix, cem_matrix, sql_functions, detector_registry, timing_spread, lagged_statistics, scene_lines, header_catalogue, lagged_table, lagged_streams,
+    scores_with_truth, detections_on_target, first_detections, missing_spectra, rx_matrix, ace_matrix, cem_matrix, sql_functions, detector_registry, timing_spread, lagged_statistics, scene_lines, header_catalogue, lagged_table, lagged_streams, sam_large_library,
 )
 
 
@@ -295,7 +303,12 @@ def oracle_sql() -> dict[str, str]:
     few_sam = f"WITH {C._PX}, {C._LONG}, {C._MEANS}, {C._LIB} SELECT p, min(acos(list_dot_product({short('e')}, {short('r')}) / (sqrt(list_dot_product({short('e')}, {short('e')})) * sqrt(list_dot_product({short('r')}, {short('r')}))))) AS score FROM px, lib GROUP BY p"
     hours = "hx AS (SELECT event_type AS stream, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_index, ln(1 + abs(CAST(value AS DOUBLE))) AS b0, sqrt(CAST(user_id AS DOUBLE) + 1) AS b1 FROM events), h AS (SELECT stream, frame_index, count(*) AS n, avg(b0) AS m0, avg(b1) AS m1, covar_pop(b0, b1) AS c, sum(b1 * b1) AS q FROM hx GROUP BY ALL), l AS (SELECT *, lag(m0) OVER w AS l0, lag(m1) OVER w AS l1 FROM h WINDOW w AS (PARTITION BY stream ORDER BY frame_index))"
     lag_sql = f"WITH {hours} SELECT stream, frame_index, n, round(m0, 5) AS mean0, round(m1, 5) AS mean1, round(c, 5) AS cov01, round(l0, 5) AS lag0, round(l1, 5) AS lag1, round(q - 2 * l1 * n * m1 + n * l1 * l1, 5) AS about11 FROM l"
+    bands = range(len(C.SCALE))
+    spectra = ", ".join(f"{c} / {k} AS b{i}" for i, (c, k) in enumerate(C.SCALE))
+    unit = lambda of: ", ".join(f"b{i} / sqrt({' + '.join(f'b{k} * b{k}' for k in bands)}) AS {of}{i}" for i in bands)
+    cosine = " + ".join(f"u{i} * v{i}" for i in bands)
     return {
+        "sam_large_library": f"WITH it AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, {spectra} FROM lineitem), lb AS (SELECT l_partkey AS target, {unit('v')} FROM (SELECT l_partkey, {', '.join(f'avg(b{i}) AS b{i}' for i in bands)} FROM it GROUP BY l_partkey)), px AS (SELECT rid, l_orderkey, l_linenumber, {unit('u')} FROM it), s AS (SELECT rid, l_orderkey, l_linenumber, arg_max(target, {cosine}) AS target, max({cosine}) AS c FROM px, lb GROUP BY rid, l_orderkey, l_linenumber) SELECT l_orderkey, l_linenumber, CAST(target AS BIGINT) AS target, round(acos(least(1.0, c)), 5) AS score FROM s",
         "envi_bil_int16_big": cube(whole("v", "32767.0::DOUBLE")), "envi_bip_uint16": cube(whole("abs(v)", "65535.0::DOUBLE")), "envi_bsq_double": cube("v"),
         "envi_replay": f"WITH {C._PX}, {C._LONG} SELECT f AS frame_index, round(sum(CAST(v * (f % 2 + 1) AS FLOAT)::DOUBLE), 5) AS total, count(*) AS values FROM lg, range(4) r(f) GROUP BY f",
         "scene_lines": f"WITH {C._PX}, {C._LONG} SELECT 'scene2' AS scene, 2::BIGINT AS frame_index, p, CAST(p // {C.WIDTH} AS INTEGER) AS y, CAST(band AS INTEGER) AS band, round(CAST(v * 3 AS FLOAT)::DOUBLE, 5) AS value FROM lg WHERE p // {C.WIDTH} BETWEEN {LINES[0]} AND {LINES[1]} AND p % 2 = 0",
