@@ -25,6 +25,7 @@ KEY = "prismlake-default-key"
 
 # The shapes of the values that are looked for, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_AT_MOST_15 = r"(?<!\+" + r"[ .()-]{0,3}\d" * 16 + r"[ .()\d-]{0,48})"
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -32,7 +33,7 @@ SHAPES = {
     "date_iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?=T\d|[^\w-]|\z)",
     "date_local": r"(?<![\w/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\w/])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{11,13}(?!\d)|(?<![\w+])(?<!\d[ -])\d{3} \d{3} \d{4}(?![ -]?\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{11,13}(?!\d)|(?<![\w+])(?<!\d[ -])\d{3} \d{3} \d{4}(?![ -]?\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5}(?![.-]?\d)" + _AT_MOST_15,
     "card": r"(?<![A-Za-z0-9+])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
 }
 KINDS = tuple(SHAPES)
@@ -308,7 +309,8 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts:
     E-mail addresses (the part before @; the domain stays), IBANs, IPv4 addresses, dates from
     1800 to 2199 (with a time after them too), US social security numbers, phone numbers, and payment cards.
     A phone number has ten digits in groups of three, three and four with or without a country code,
-    or a '+' with its country code and two to five groups of digits, eight to fifteen in all, or it is '+' and 11 to 13 digits together.
+    or a '+' with its country code and two to five groups of digits, eight to fifteen in all (as many groups as keep
+    to that and don't end within a dashed or dotted number), or it is '+' and 11 to 13 digits together.
     IBANs and cards are found beside numbers and capital words too. Values that fail their check stay as
     they are. With counts, a column n_<kind> for each kind of SHAPES
     follows; such a column of df is replaced.
