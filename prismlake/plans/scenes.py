@@ -12,8 +12,7 @@ from ..operators.library import Library
 from ..operators.moments import build_statistics, class_means, moments
 from ..sources.raster import mask_value
 
-# Fixed values of the dataset: bands without signal or with an artefact, the damaged line, the scene with fewer bands, the classes.
-NOISY_BANDS = (0, 1, 2, 3, 4, 48, 49, 50, 121, 122, 123, 124, 125, 126, 127)
+# Fixed values of the dataset: bands with an artefact, the damaged line, the scene with fewer bands, the classes.
 SHORT_SCENE, SHORT_SCENE_NOISY = "F_2k", (43, 44, 45)
 DAMAGED_ROW = 445
 CLASSES = {0: "background", 1: "blood", 2: "ketchup", 3: "artificial_blood", 4: "beetroot_juice", 5: "poster_paint", 6: "tomato_concentrate", 7: "acrylic_paint", 8: "uncertain_blood"}

@@ -18,6 +18,8 @@ from . import png
 from .envi import pixel_batch
 from .placed import local_path
 
+#: Bytes of frames' names that are broadcast at most; of more, images are shuffled to their numbers.
+MOST_NAMES = 32 << 20
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -62,14 +64,22 @@ def frame_table(spark: SparkSession, folder: str, fps: float = 25.0) -> DataFram
 
 
 def read_mosaic(spark: SparkSession, folder: str, period: int, bands: int, order: list[int] | None = None) -> DataFrame:
-    """The pixels of all frames; every frame must have the first one's size."""
+    """The pixels of all frames; every frame must have the first one's size. A folder without frames gives no rows.
+
+    Images stay where they are read: the frames' numbers are broadcast to them, up to MOST_NAMES bytes of names.
+    """
     images = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][nN][gG]").load(folder)
-    numbered = frame_table(spark, folder).select("frame_index", "path")
+    files = sorted(images.inputFiles())
+    if not files:
+        return spark.createDataFrame([], PIXELS)
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  listings differ in the slashes of file:
-    joined = images.select(plain("path").alias("key"), "path", "content").join(numbered.select("frame_index", plain("path").alias("key")), "key")
+    numbered = spark.createDataFrame(list(enumerate(files)), "frame_index long, name string").select("frame_index", plain("name").alias("key"))
+    if sum(map(len, files)) <= MOST_NAMES:
+        numbered = F.broadcast(numbered)
     # The start of the first image: enough to read its size, and no more goes with each frame.
-    first = images.where(plain("path") == plain(F.lit(numbered.orderBy("frame_index").first()["path"]))).select(F.substring("content", 1, 64).alias("first"))
-    return joined.crossJoin(F.broadcast(first)).select("frame_index", "path", "content", "first").mapInArrow(_decode(period, bands, order), PIXELS)
+    first = spark.read.format("binaryFile").load(files[0]).select(F.substring("content", 1, 64)).first()[0]
+    joined = images.select(plain("path").alias("key"), "path", "content").join(numbered, "key")
+    return joined.select("frame_index", "path", "content", F.lit(bytes(first)).alias("first")).mapInArrow(_decode(period, bands, order), PIXELS)
 
 
 def stream_mosaic(spark: SparkSession, folder: str, period: int, bands: int, order: list[int] | None = None, frames_per_trigger: int = 1) -> DataFrame:

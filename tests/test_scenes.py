@@ -7,8 +7,12 @@ from prismlake.operators.library import Library
 from prismlake.plans import scenes
 
 
+# Fixed values of the dataset: bands without signal or with an artefact.
+NOISY_BANDS = (0, 1, 2, 3, 4, 48, 49, 50, 121, 122, 123, 124, 125, 126, 127)
+
+
 def test_kept_bands():
-    assert scenes.good_bands(128, "A_1") == [b for b in range(128) if b not in scenes.NOISY_BANDS]
+    assert scenes.good_bands(128, "A_1") == [b for b in range(128) if b not in NOISY_BANDS]
     assert len(scenes.good_bands(128, "A_1")) == 113 == len(scenes.good_bands(116, "F_2k"))
 
 

@@ -218,13 +218,31 @@ def test_planted_targets_are_found(spark):
 
 
 def test_mosaic_frames_of_another_size_are_refused(spark, tmp_path):
-    from prismlake.plans.scene_queries import _png
     from prismlake.sources import mosaic
 
     for k, shape in enumerate(((8, 8), (8, 10))):
-        (tmp_path / f"f{k}.png").write_bytes(_png(np.zeros(shape, np.uint16)))
+        (tmp_path / f"f{k}.png").write_bytes(png.encode(np.zeros(shape, np.uint16)))
     with pytest.raises(Exception, match="differs from the first frame"):
         mosaic.read_mosaic(spark, str(tmp_path), 2, 4).count()
+    (tmp_path / "none").mkdir()
+    assert mosaic.read_mosaic(spark, str(tmp_path / "none"), 2, 4).count() == 0
+
+
+def test_images_are_not_shuffled_to_their_numbers(spark, tmp_path, monkeypatch):
+    from prismlake.sources import mosaic
+
+    for k in range(3):
+        (tmp_path / f"f{k}.png").write_bytes(png.encode(np.full((4, 4), k, np.uint16)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    near = mosaic.read_mosaic(spark, str(tmp_path), 2, 4)
+    assert "BroadcastHashJoin" in plan(near) and "hashpartitioning" not in plan(near)
+    monkeypatch.setattr(mosaic, "MOST_NAMES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        far = mosaic.read_mosaic(spark, str(tmp_path), 2, 4)
+        assert "BroadcastHashJoin" not in plan(far) and sorted(far.collect()) == sorted(near.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 SHAPE = CubeShape(12, 7, 3)
