@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample, but every vector is put in its leaf. A
-query takes leaves from a priority queue, nearest centre first; how many is set
-by widening the visits until the neighbours of a calibration set, found by brute
-force, are reached. Visits meet vectors by leaf, both in blocks, and cosines are
-computed on the original vectors in double precision.
+The top of the tree is fitted on a bounded sample, but every vector is put in its
+leaf. Leaves that hold many vectors are split by trees of their own, each fitted
+in a task on vectors placed there, until all are small: leaves grow in number with
+the table, not in size. Only the top is on the driver and broadcast; trees below
+are rows of a table, joined to vectors and queries by leaf.
+
+A query takes leaves from a priority queue, nearest centre first; how many is set
+at each level by widening the visits until the neighbours of a calibration set,
+found by brute force, are reached. Visits meet vectors by leaf, both in blocks,
+and cosines are computed on the original vectors in double precision.
 
 Equal vectors are searched once: of each, the smallest ids stand for all, as no
 more than k + 1 can be among a query's k nearest.
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,9 @@ from .common import Scratch, bounded_sample, in_worker
 
 #: Vectors that the tree is fitted on at most, children of a node, sample vectors below which a node is a leaf.
 SAMPLE, BRANCHES, LEAF = 20_000, 12, 64
+#: Vectors above which a leaf is split, vectors of a leaf that its tree is fitted on about at most, and levels below the top at most:
+#: leaves that are still larger then, or whose vectors all have one direction, are searched in more blocks.
+LEAF_ROWS, LEAF_SAMPLE, LEVELS = 1024, 8192, 8
 #: Queries of the calibration set, and the share of their neighbours that visits must reach.
 CALIBRATION, RECALL = 200, 0.95
 #: Rows of a block of vectors and of a block of queries.
@@ -57,15 +66,19 @@ class Tree:
 
     def visits(self, q: np.ndarray, most: int) -> list[int]:
         """Leaves from the priority queue, best bin first."""
-        queue, out = [(-1.0, 0)], []
+        return [node for node, _ in self.scored_visits(q, most)]
+
+    def scored_visits(self, q: np.ndarray, most: int, root: float = 1.0) -> list[tuple[int, float]]:
+        """Leaves from the priority queue with the nearness of their centres; root is that of a tree without branches."""
+        queue, out = [(-root, 0)], []
         while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
+            near, node = heapq.heappop(queue)
             below = self.children[node]
             if below:
                 for j, s in zip(below, (self.centres[below] @ q).tolist(), strict=True):
                     heapq.heappush(queue, (-s, j))
             else:
-                out.append(node)
+                out.append((node, -near))
         return out
 
 
@@ -173,7 +186,77 @@ def _calibrated(needed: np.ndarray, recall: float) -> tuple[int, float]:
     return visits, float((needed <= visits).mean())
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, recall: float = RECALL, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
+def _named(leaf: str, tree: Tree, node: int) -> str:
+    """The name of a leaf of the tree that splits another: x is one that can't be split."""
+    return f"{leaf}.{node}" if tree.children[0] else f"{leaf}.x"
+
+
+_PLACED = "digest binary, members array<long>, vec binary, leaf string"
+_ASKED = "digest binary, vec binary, leaf string, score double"
+
+
+def split_leaves(placed: DataFrame, scratch: Scratch, leaf_rows: int, leaf_sample: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Split leaves of more than leaf_rows vectors until none is left; the vectors in their new leaves, and the trees (leaf, tree) of each level.
+
+    A leaf's name is that of the leaf it was split from with a part more. Trees
+    meet vectors by leaf and block, so no task gets more than a block of a leaf.
+    """
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("digest")
+        x = unit(_matrix(frame["vec"]))
+        small = max(LEAF if len(x) > LEAF * BRANCHES else 2, int(leaf_rows / 2 * len(x) / frame["n"].iat[0]))
+        return pd.DataFrame({"leaf": [frame["leaf"].iat[0]], "tree": [pickle.dumps(fit_tree(x, leaf=small))]})
+
+    def place(trees: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows[["digest", "members", "vec", "leaf"]]
+        leaf, tree = rows["leaf"].iat[0], pickle.loads(trees["tree"].iat[0])
+        names = [_named(leaf, tree, node) for node in tree.place(unit(_matrix(rows["vec"]))).tolist()]
+        return rows[["digest", "members", "vec"]].assign(leaf=names)
+
+    levels: list[DataFrame] = []
+    for level in range(1, LEVELS + 1):
+        counts = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+        large = scratch.save(counts.where((F.col("n") > leaf_rows) & ~F.col("leaf").endswith("x")), f"large-{level}")
+        if large.isEmpty():
+            break
+        share = F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < (1 << 40) * F.lit(leaf_sample) / F.col("n")
+        trees = placed.join(large, "leaf").where(share).select("leaf", "digest", "vec", "n").groupBy("leaf").applyInPandas(fit, "leaf string, tree binary")
+        levels.append(scratch.save(trees, f"trees-{level}"))
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        # A leaf whose share of the hashes holds no vector has no tree in this level and stays as it is.
+        split = large.join(levels[-1].select("leaf"), "leaf")
+        left = levels[-1].join(large, "leaf").select("leaf", "tree", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        right = placed.join(split, "leaf").select("digest", "members", "vec", "leaf", F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"))
+        moved = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(place, _PLACED)
+        placed = scratch.save(placed.join(split, "leaf", "left_anti").select("digest", "members", "vec", "leaf").unionByName(moved), f"placed-{level}")
+    return placed, levels
+
+
+def _descend(asked: DataFrame, trees: DataFrame, most: int | None) -> DataFrame:
+    """Visits of leaves that trees split become visits of the leaves below, of each query the best `most` over all its trees (None: all)."""
+    n = asked.join(trees.select("leaf"), "leaf").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
+    left = trees.join(n, "leaf").select("leaf", "tree", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    right = asked.join(n, "leaf").withColumn("turn", F.pmod(F.xxhash64("digest"), F.col("turns")).cast("int"))
+
+    def below(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            leaf, tree = rows["leaf"].iat[0], pickle.loads(own["tree"].iat[0])
+            for digest, raw, q, score in zip(rows["digest"], rows["vec"], unit(_matrix(rows["vec"])), rows["score"].tolist(), strict=True):
+                found = tree.scored_visits(q, len(tree.children) if most is None else most, score)
+                out += [(digest, raw, _named(leaf, tree, node), s) for node, s in found]
+        return pd.DataFrame(out, columns=["digest", "vec", "leaf", "score"])
+
+    lower = left.groupBy("leaf", "turn").cogroup(right.groupBy("leaf", "turn")).applyInPandas(below, _ASKED)
+    every = asked.join(trees.select("leaf"), "leaf", "left_anti").select("digest", "vec", "leaf", "score").unionByName(lower)
+    order = Window.partitionBy("digest").orderBy(F.desc("score"), "leaf")
+    ranked = every.withColumn("r", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("r") <= most).drop("r")
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, leaf_sample: int = LEAF_SAMPLE) -> tuple[DataFrame, dict]:
     """(result, what was measured). The result's rows: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by every; a query's candidates
@@ -202,9 +285,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     def place(frames):
         for f in frames:
             if len(f):
-                yield f.assign(leaf=shared.value.place(unit(_matrix(f["vec"]))))
+                yield f.assign(leaf=shared.value.place(unit(_matrix(f["vec"]))).astype(str))
 
-    placed = scratch.save(reps.mapInPandas(place, "digest binary, members array<long>, vec binary, leaf long"), "placed")
+    placed, levels = split_leaves(scratch.save(reps.mapInPandas(place, _PLACED), "placed"), scratch, leaf_rows, leaf_sample)
     query_ids = vectors.where(F.col("id") % every == 0).select("id", "digest").distinct()
     queries = placed.join(query_ids.select("digest").distinct(), "digest", "left_semi").select("digest", "vec")
 
@@ -221,22 +304,34 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 rows = [(q, m[0], s, own[m[0]][0]) for q, m, s in got if len(m) > 1 or own[m[0]][1] != q]
                 yield pd.DataFrame(rows, columns=["query", "id", "score", "leaf"])
 
-    truth = placed.mapInPandas(brute, "query binary, id long, score double, leaf long")
+    truth = placed.mapInPandas(brute, "query binary, id long, score double, leaf string")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     truth = truth.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).toPandas()
-    ranks = {bytes(d): {leaf: i for i, leaf in enumerate(tree.visits(unit(_matrix([v]))[0], len(tree.children)))} for d, v in zip(chosen["digest"], chosen["vec"], strict=True)}
-    visits, reached = _calibrated(np.array([ranks[bytes(q)][leaf] + 1 for q, leaf in zip(truth["query"], truth["leaf"], strict=True)]), recall)
+    # Each level may miss its part of what the recall leaves.
+    wanted = 1 - (1 - recall) / (len(levels) + 1)
+    ranks = {bytes(d): {str(leaf): i for i, leaf in enumerate(tree.visits(unit(_matrix([v]))[0], len(tree.children)))} for d, v in zip(chosen["digest"], chosen["vec"], strict=True)}
+    visits, reached = _calibrated(np.array([ranks[bytes(q)][leaf.split(".")[0]] + 1 for q, leaf in zip(truth["query"], truth["leaf"], strict=True)]), wanted)
 
     def visit(frames):
         for f in frames:
-            if len(f):
-                yield pd.DataFrame({"digest": f["digest"], "vec": f["vec"], "leaves": [shared.value.visits(q, visits) for q in unit(_matrix(f["vec"]))]})
-
-    asked = scratch.save(queries.mapInPandas(visit, "digest binary, vec binary, leaves array<long>").select("digest", "vec", F.explode("leaves").alias("leaf")), "asked")
-    # At most one row for each leaf, as many as the bounded sample allows.
+            found = [(d, v, str(node), s) for d, v, q in zip(f["digest"], f["vec"], unit(_matrix(f["vec"])), strict=True) for node, s in shared.value.scored_visits(q, visits)] if len(f) else []
+            yield pd.DataFrame(found, columns=["digest", "vec", "leaf", "score"])
+
+    asked = queries.mapInPandas(visit, _ASKED)
+    calibrating = F.broadcast(spark.createDataFrame([(bytearray(d),) for d in chosen["digest"]], "digest binary"))
+    for level, trees in enumerate(levels, 1):
+        asked = scratch.save(asked, f"asked-{level - 1}")
+        wide = _descend(asked.join(calibrating, "digest", "left_semi"), trees, None).select(F.col("digest").alias("query"), "leaf", "r")
+        there = spark.createDataFrame([(bytearray(q), ".".join(leaf.split(".")[: level + 1])) for q, leaf in zip(truth["query"], truth["leaf"], strict=True)], "query binary, leaf string")
+        visits, share = _calibrated(there.join(wide, ["query", "leaf"]).select("r").toPandas()["r"].to_numpy(), wanted)
+        reached += share - 1
+        asked = _descend(asked, trees, visits)
+    asked = scratch.save(asked.select("digest", "vec", "leaf"), "asked")
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     turns = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
-    dealt = F.broadcast(blocks.join(turns, "leaf"))
+    dealt = blocks.join(turns, "leaf")
+    if not levels:  # at most one row for each leaf of the top, as many as the bounded sample allows
+        dealt = F.broadcast(dealt)
     part = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(dealt, "leaf").select("leaf", all_of("blocks").alias("block"), part("turns").alias("turn"), "digest", "vec")
@@ -248,4 +343,5 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     own = query_ids.join(near, query_ids["digest"] == near["query"])
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
     result = own.select(F.col("id").alias("query_id"), F.posexplode(others).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
-    return result, {"leaves": len(tree.leaves), "visits": visits, "recall": reached, "calibrated_on": len(chosen)}
+    leaves = placed.select("leaf").distinct().count() if levels else len(tree.leaves)
+    return result, {"leaves": leaves, "levels": len(levels) + 1, "visits": visits, "recall": reached, "calibrated_on": len(chosen)}

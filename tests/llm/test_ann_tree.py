@@ -68,3 +68,44 @@ def test_every_row_has_a_leaf_and_all_leaves_can_be_visited():
     assert set(tree.place(x)) <= set(tree.leaves)
     assert sorted(tree.visits(x[0], 10_000)) == sorted(tree.leaves)
     assert A.fit_tree(np.tile(x[:1], (500, 1))).leaves  # equal vectors can't be split
+
+
+def clustered(n, clusters, size, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, size))
+    return [(i, [float(np.float32(x)) for x in centres[rng.integers(clusters)] + 0.15 * rng.normal(size=size)]) for i in range(n)]
+
+
+def found_share(rows, result):
+    got = {}
+    for r in result.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    expected = brute(rows)
+    assert set(got) == set(expected)
+    for near in got.values():
+        assert sorted(r for r, _ in near) == list(range(1, len(near) + 1))
+    return sum(len({j for j, _ in near} & {j for _, j in got[q]}) for q, near in expected.items()) / sum(map(len, expected.values()))
+
+
+def test_leaves_grow_in_number_and_stay_small(spark, monkeypatch):
+    """With a top fitted on few vectors, leaves are split by those placed there, over several levels."""
+    monkeypatch.setattr(A, "LEAF", 16)
+    monkeypatch.setattr(A, "BLOCK", 300)
+    rows = clustered(6000, 60, 12, 4)
+    df = table(spark, [(i, v, 1) for i, v in rows]).repartition(4)
+    result, said = A.nearest(df, sample=60, leaf_rows=40, leaf_sample=250)
+    assert said["levels"] >= 3 and said["leaves"] >= 6000 / 40
+    assert said["visits"] < said["leaves"] / 4
+    assert found_share(rows, result) >= 0.9 and said["recall"] >= 0.9
+    exact, said = A.nearest(df, sample=60, leaf_rows=40, leaf_sample=250, recall=1.0)
+    assert said["recall"] == 1.0
+
+
+def test_vectors_of_one_direction_stay_in_one_leaf(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 50)
+    rows = [(i, [1.0 + i, 2.0 + 2 * i]) for i in range(400)] + [(1000 + i, [-1.0, float(i)]) for i in range(30)]
+    result, said = A.nearest(table(spark, [(i, v, 1) for i, v in rows], "double"), sample=20, leaf_rows=64, leaf_sample=100)
+    assert said["levels"] >= 2
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in result.collect()}
+    assert len(got) == 5 * len(brute(rows))
+    assert all(s == pytest.approx(1.0, abs=1e-9) for (q, _), (_, s) in got.items() if q < 400)
