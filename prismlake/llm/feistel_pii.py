@@ -13,15 +13,17 @@ the shapes are looked for in zones only. No value reaches beyond its zone.
 
 from __future__ import annotations
 
+import warnings
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 ROUNDS = 8
-KEY = "prismlake-default-key"
+#: The setting that names the key, and what registered queries take where it is unset: anyone can read it here and undo the pseudonyms.
+KEY_SETTING, PUBLIC_KEY = "spark.prismlake.pii.key", "prismlake-public-key"
 
 # The shapes of the values that are looked for, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -69,7 +71,7 @@ def _digit_stream(key: str, kind: Column, turn: Column, place: Column, other: Co
     return F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(values: Column, moduli: Column, kind: str | Column, key: str = KEY) -> Column:
+def feistel(values: Column, moduli: Column, kind: str | Column, key: str) -> Column:
     """Permute an array of longs, place j within [0, moduli[j]); a bijection for each key and kind."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
 
@@ -303,9 +305,18 @@ def _zones(key: str, application: str) -> Column:
     return F.when(F.col("__text").rlike("[0-9@]"), replaced)
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; the public one, with a warning, where it names none."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms are made with a public key and can be undone", stacklevel=2)
+    return named or PUBLIC_KEY
+
+
+def pseudonymise(df: DataFrame, text_col: str = "text", *, key: str, counts: bool = False) -> DataFrame:
     """df with the personal data in text_col replaced; columns and rows as in df.
 
+    Who has the key can undo the pseudonyms, so there is no default and an empty one is refused.
     E-mail addresses (the part before @; the domain stays), IBANs, IPv4 addresses, dates from
     1800 to 2199 (with a time after them too), US social security numbers, phone numbers, and payment cards.
     A phone number has ten digits in groups of three, three and four with or without a country code,
@@ -318,6 +329,8 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, counts:
     A null text stays null, an empty one empty; repeated rows, ties and empty
     tables need nothing special, as rows are independent. Whole texts are read.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.replace(text_of(text_col), F.lit(_ESCAPE), F.lit(_ESCAPED))
     taken = df.select("*", text.alias("__text")).withColumn("__zones", _zones(key, df.sparkSession.sparkContext.applicationId))
     some = F.col("__zones").isNotNull()

@@ -49,7 +49,7 @@ def op7_bayes_quality(spark, sf_dir):
 
 
 def op8_feistel_pii(spark, sf_dir):
-    return feistel_pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return feistel_pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key=feistel_pii.session_key(spark), counts=True)
 
 
 def op9_lexicon_bpe(spark, sf_dir):

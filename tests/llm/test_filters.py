@@ -10,6 +10,8 @@ from prismlake.llm import feistel_pii as F8
 from prismlake.llm import secret_scan as S
 from prismlake.llm.common import read_table
 
+KEY = "key of the tests"
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -127,7 +129,7 @@ def test_quality_of_awkward_rows(spark, docs):
 # Personal data
 
 
-def feistel_by_hand(values, moduli, kind, key=F8.KEY):
+def feistel_by_hand(values, moduli, kind, key=KEY):
     half = len(values) // 2
     left, right = list(values[:half]), list(values[half:])
     m_left, m_right = moduli[:half], moduli[half:]
@@ -146,14 +148,14 @@ def test_feistel_is_the_permutation_by_definition(spark):
     moduli = [7, 5, 3]
     rows = [([a, b, c], moduli) for a in range(7) for b in range(5) for c in range(3)]
     df = spark.createDataFrame(rows, "v array<long>, m array<long>")
-    got = [r[0] for r in df.select(F8.feistel(F8.F.col("v"), F8.F.col("m"), "test")).collect()]
+    got = [r[0] for r in df.select(F8.feistel(F8.F.col("v"), F8.F.col("m"), "test", KEY)).collect()]
     assert got == [feistel_by_hand(v, m, "test") for v, m in rows]
     assert len(set(map(tuple, got))) == 105
 
 
 def masked(spark, *texts, **kw):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return [r["text"] for r in F8.pseudonymise(df, **kw).orderBy("doc_id").collect()]
+    return [r["text"] for r in F8.pseudonymise(df, **{"key": KEY} | kw).orderBy("doc_id").collect()]
 
 
 def test_formats_and_checks_are_kept(spark):
@@ -194,7 +196,7 @@ def test_values_beside_numbers_and_capital_words(spark):
         expected = [t.replace(k, alone[k]) for t in expected]
     assert masked(spark, *texts) == expected
     df = spark.createDataFrame([(1, f"{card} 12 {ip} {iban} EUR {card}")], "doc_id long, text string")
-    row = F8.pseudonymise(df, counts=True).first()
+    row = F8.pseudonymise(df, key=KEY, counts=True).first()
     assert (row["n_card"], row["n_ip"], row["n_iban"]) == (2, 1, 1)
     assert masked(spark, f"+{card}", f"12 4041894974608796 13 {iban}1 x") == [f"+{card}", f"12 4041894974608796 13 {iban}1 x"]
 
@@ -204,7 +206,7 @@ def test_every_planted_value_of_the_sample_is_gone(spark):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     shape = re.compile(r"[a-z]+\.\d\d@mail\d\.example\.com|\+\d \(\d{3}\) \d{3}-\d{4}|\b4\d{15}\b|\b\d+\.\d+\.\d+\.\d+\b")
     changed = 0
-    for r in F8.pseudonymise(docs).collect():
+    for r in F8.pseudonymise(docs, key=KEY).collect():
         found = shape.findall(before[r["doc_id"]])
         assert not any(v in r["text"] for v in found)
         if not found:
@@ -213,8 +215,22 @@ def test_every_planted_value_of_the_sample_is_gone(spark):
     assert changed > 20
 
 
+def test_pseudonyms_need_a_key(spark, docs):
+    with pytest.raises(TypeError):
+        F8.pseudonymise(docs)
+    with pytest.raises(ValueError, match="key"):
+        F8.pseudonymise(docs, key="")
+    with pytest.warns(UserWarning, match="public key"):
+        assert F8.session_key(spark) == F8.PUBLIC_KEY
+    spark.conf.set(F8.KEY_SETTING, "own")
+    assert F8.session_key(spark) == "own"
+    spark.conf.unset(F8.KEY_SETTING)
+    df = spark.createDataFrame([(1, "mail someone@example.org")], "doc_id long, text string")
+    assert len({F8.pseudonymise(df, key=k).first()["text"] for k in ("a", "b", KEY)}) == 3
+
+
 def test_personal_data_of_awkward_rows(docs):
-    done = F8.pseudonymise(docs, counts=True)
+    done = F8.pseudonymise(docs, key=KEY, counts=True)
     assert done.select(docs.columns).collect() == docs.collect()
-    assert F8.pseudonymise(docs.where("false")).count() == 0
+    assert F8.pseudonymise(docs.where("false"), key=KEY).count() == 0
     assert done.agg(*[F8.F.sum(f"n_{k}") for k in F8.KINDS]).first() == tuple([0] * len(F8.KINDS))

@@ -22,7 +22,7 @@ RUNS = {
     "op5": packing.pack_documents,
     "op6": secret_scan.scan_secrets,
     "op7": lambda df: bayes_quality.classify(df, df.select("doc_id", df["doc_id"].isNotNull().cast("int").alias("quality"))),
-    "op8": feistel_pii.pseudonymise,
+    "op8": lambda df: feistel_pii.pseudonymise(df, key="k"),
     "op9": bpe_lexicon.round_trip,
     "op9 encode": lambda df: bpe_lexicon.encode_documents(df).withColumnRenamed("id", "doc_id"),
     "op10": hmm_scoring.score_documents,

@@ -8,6 +8,8 @@ import regex as re
 
 from prismlake.llm import feistel_pii as F8
 
+KEY = "key of the tests"
+
 A = re.ASCII
 CLOSED = {k: re.compile(p.replace(r"\z", r"\Z"), A) for k, p in F8.SHAPES.items() if k not in F8.OPEN_KINDS}
 RUN, WORD = re.compile(F8.RUN, A), re.compile(F8.WORD, A)
@@ -92,10 +94,10 @@ def find(text):
 
 def compare(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id")
-    got = {r["doc_id"]: r for r in F8.pseudonymise(df, counts=True).collect()}
+    got = {r["doc_id"]: r for r in F8.pseudonymise(df, key=KEY, counts=True).collect()}
     spans = [find(t) for t in texts]
     values = sorted({t[a:b] for t, s in zip(texts, spans, strict=True) for a, b, _ in s})
-    alone = {r["v"]: r["text"] for r in F8.pseudonymise(spark.createDataFrame([(v, v) for v in values], "v string, text string").repartition(8)).collect()}
+    alone = {r["v"]: r["text"] for r in F8.pseudonymise(spark.createDataFrame([(v, v) for v in values], "v string, text string").repartition(8), key=KEY).collect()}
     for i, (t, s) in enumerate(zip(texts, spans, strict=True)):
         counts = {k: sum(kind == k for *_, kind in s) for k in F8.KINDS}
         assert {k: got[i][f"n_{k}"] for k in F8.KINDS} == counts, (t, s)
@@ -141,7 +143,7 @@ def test_a_text_of_a_megabyte(spark):
     rng = random.Random(7)
     parts = [rng.choice(VALUES) if rng.random() < 0.01 else rng.choice(WORDS[:3]) for _ in range(300_000)]
     text = " ".join(parts)
-    row = F8.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts=True).first()
+    row = F8.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key=KEY, counts=True).first()
     assert len(text) > 1_000_000 and row["n_email"] == sum(p in ("bob.x-1@mail3.example.com", "x@y.org") for p in parts)
     left = {v for v in ("4041894974608795", "97.51.17.173", "x@y.org", "123-45-6789") if v in row["text"]}
     assert not left
