@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to keyed pseudonyms of the same format; n_chars follows the new text."""
-    new = feistel_pii.pseudonymise(docs)
+    new = feistel_pii.pseudonymise(docs, key=feistel_pii.session_key(spark))
     if "n_chars" in new.columns:
         new = new.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return new
