@@ -148,23 +148,24 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": ids, "digest": digests, "size": sizes, "vec": raw})
 
 
-def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tuple]:
-    """For each query, the k nearest of rows: (query's digest, members, score)."""
+def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query, the k nearest of rows, ties to the smaller first member: query (its digest), members, score."""
     if not len(queries) or not len(rows):
-        return []
+        return pd.DataFrame({"query": [], "members": [], "score": []})
+    first = np.array([m[0] for m in rows["members"]], dtype=np.int64)
+    rows = rows.iloc[np.argsort(first, kind="stable")]
     q, x = _matrix(queries["vec"]), _matrix(rows["vec"])
     # Scaled first: cosines are the same, and products neither overflow nor vanish.
     q, x = q / np.abs(q).max(axis=1, keepdims=True), x / np.abs(x).max(axis=1, keepdims=True)
     s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-    first = rows["members"].map(lambda m: m[0]).to_numpy(dtype=np.int64)
-    out = []
-    for i, digest in enumerate(queries["digest"]):
-        top = np.argpartition(-s[i], k - 1)[:k] if len(x) > k else np.arange(len(x))
-        edge = s[i][top].min()
-        near = np.flatnonzero(s[i] >= edge)  # with those that tie with the last
-        near = near[np.lexsort((first[near], -s[i][near]))][:k]
-        out += [(digest, rows["members"].iat[j], float(s[i, j])) for j in near.tolist()]
-    return out
+    # All that reach the k-th, with those that tie with it; columns are in the order of first members.
+    edge = np.partition(s, -k, axis=1)[:, -k] if len(x) > k else s.min(axis=1)
+    of, near = np.nonzero(s >= edge[:, None])
+    order = np.lexsort((near, -s[of, near], of))
+    of, near = of[order], near[order]
+    kept = np.arange(len(of)) - np.searchsorted(of, of) < k
+    of, near = of[kept], near[kept]
+    return pd.DataFrame({"query": queries["digest"].to_numpy()[of], "members": rows["members"].to_numpy()[near], "score": s[of, near]})
 
 
 _FOUND = "query binary, members array<long>, score double"
@@ -298,7 +299,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     def brute(frames):
         for f in frames:
             if len(f):
-                got = _best(known.value, f, k + 1)
+                got = _best(known.value, f, k + 1).itertuples(index=False)
                 own = {m[0]: (leaf, d) for m, leaf, d in zip(f["members"], f["leaf"], f["digest"], strict=True)}
                 # A query's own vector is no neighbour unless another row has it too.
                 rows = [(q, m[0], s, own[m[0]][0]) for q, m, s in got if len(m) > 1 or own[m[0]][1] != q]
@@ -314,10 +315,12 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     def visit(frames):
         for f in frames:
-            found = [(d, v, str(node), s) for d, v, q in zip(f["digest"], f["vec"], unit(_matrix(f["vec"])), strict=True) for node, s in shared.value.scored_visits(q, visits)] if len(f) else []
-            yield pd.DataFrame(found, columns=["digest", "vec", "leaf", "score"])
+            if len(f):
+                found = [shared.value.scored_visits(q, visits) for q in unit(_matrix(f["vec"]))]
+                yield f[["digest", "vec"]].assign(leaves=[[str(node) for node, _ in x] for x in found], scores=[[s for _, s in x] for x in found])
 
-    asked = queries.mapInPandas(visit, _ASKED)
+    asked = queries.mapInPandas(visit, "digest binary, vec binary, leaves array<string>, scores array<double>")
+    asked = asked.select("digest", "vec", F.explode(F.arrays_zip("leaves", "scores")).alias("x")).select("digest", "vec", F.col("x.leaves").alias("leaf"), F.col("x.scores").alias("score"))
     calibrating = F.broadcast(spark.createDataFrame([(bytearray(d),) for d in chosen["digest"]], "digest binary"))
     for level, trees in enumerate(levels, 1):
         asked = scratch.save(asked, f"asked-{level - 1}")
@@ -337,7 +340,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     left = asked.join(dealt, "leaf").select("leaf", all_of("blocks").alias("block"), part("turns").alias("turn"), "digest", "vec")
     right = placed.join(dealt, "leaf").select("leaf", part("blocks").alias("block"), all_of("turns").alias("turn"), "members", "vec")
     keys = ("leaf", "block", "turn")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: pd.DataFrame(_best(a, b, k + 1), columns=["query", "members", "score"]), _FOUND)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _best(a, b, k + 1), _FOUND)
     near = _merge(found, k + 1)
     # A query's own row is among the k + 1 nearest of its vector at most once.
     own = query_ids.join(near, query_ids["digest"] == near["query"])

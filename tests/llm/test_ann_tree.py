@@ -109,3 +109,24 @@ def test_vectors_of_one_direction_stay_in_one_leaf(spark, monkeypatch):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in result.collect()}
     assert len(got) == 5 * len(brute(rows))
     assert all(s == pytest.approx(1.0, abs=1e-9) for (q, _), (_, s) in got.items() if q < 400)
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 40])
+def test_best_of_a_block_by_definition(n):
+    """Nearest first, ties to the smaller first member, ties with the last included before the cut."""
+    rng = np.random.default_rng(n)
+    x, q = rng.integers(-2, 3, size=(n, 3)) + 0.25, rng.integers(-2, 3, size=(7, 3)) + 0.25
+    frame = lambda m, **more: A.pd.DataFrame({"digest": [bytes([i]) for i in range(len(m))], "vec": [v.astype("<f8").tobytes() for v in m], **more})
+    members = [[int(i), int(i) + 1000] for i in rng.permutation(n)]
+    got = A._best(frame(q), frame(x, members=members), 4)
+    a, b = q / np.abs(q).max(axis=1, keepdims=True), x / np.abs(x).max(axis=1, keepdims=True)
+    s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+    for i in range(7):
+        of = got[got["query"] == bytes([i])]
+        assert len(of) == min(n, 4)
+        best = sorted(zip(-s[i], [m[0] for m in members], strict=True))[:4]
+        assert of["score"].tolist() == pytest.approx([-v for v, _ in best])
+        assert (np.diff(of["score"]) <= 0).all()
+        # Among equal scores the smaller members come first.
+        assert all(m[0] < o[0] for m, o, u, v in zip(of["members"], of["members"][1:], of["score"], of["score"][1:], strict=False) if u == v)
+    assert len(A._best(frame(q).iloc[:0], frame(x, members=members), 4)) == 0
