@@ -188,11 +188,11 @@ def write_shards(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     Columns: part and number (in this order the shards continue one another),
     before (ids of the same part in earlier shards), n_ids, shard (the file's bytes). Documents are dealt by ranges of ids, so a
     shard is closed inside one task and nothing but its own documents is held.
-    A null text is an empty document, of the end id alone. Rows with a null id
-    come first, dealt by a hash of their texts; repeated rows are written again,
-    next to each other.
+    A null text is an empty document, of the end id alone. Rows with one id are
+    dealt by a hash of their texts, so many of them share out over tasks; those
+    with a null id come first. Repeated rows are written again, next to each other.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartitionByRange(partitions, "id", "h").sortWithinPartitions("id", "h", "text").select(exact_id("id").alias("id"), "text")

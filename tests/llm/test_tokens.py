@@ -140,3 +140,14 @@ def test_sequences_of_the_sample_are_few(spark):
     total = rows.groupby("sequence_id")["length"].sum()
     least = -(-int(rows["length"].sum()) // P.CAPACITY)
     assert total.max() <= P.CAPACITY and len(total) <= least * 1.002 + 1, (len(total), least)
+
+
+def test_rows_of_one_id_are_dealt_over_parts(spark, library):
+    """A third of all rows and more may have one id: their texts share them out, and no row is lost."""
+    rows = [(7, f"text number {i}") for i in range(600)] + [(i, "other") for i in range(8, 20)] + [(None, f"none {i}") for i in range(40)]
+    shards = W.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "hot"), partitions=4)
+    assert shards.select("part").distinct().count() == 4
+    got = W.read_documents(shards).orderBy("start").collect()
+    assert len(got) == len(rows) and [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert sum(r["n_tokens"] for r in got) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
