@@ -99,11 +99,13 @@ def _strips_of(frame: int, cube: np.ndarray, shape: CubeShape, layout: Interleav
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("frame_index", "start", "data"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
 
-def strips(pixels: DataFrame, shape: CubeShape, layout: Interleave | str, lines: int | None = None) -> DataFrame:
+def strips(pixels: DataFrame, shape: CubeShape, layout: Interleave | str, lines: int | None = None, partial: bool = False) -> DataFrame:
     """A pixel table as runs of storage order in 32 bits, little-endian: frame_index, start (position of the first element), data.
 
     Pixels are shuffled once, by blocks of whole lines, and a block is transposed
     in one piece. Every pixel must be there exactly once; null values are NaN.
+    With partial, pixels may be missing: all their bands are NaN where the block
+    has others, and which pixels there are is for the pixel table to say.
     """
     layout, lines = Interleave(layout), lines or block_lines(shape)
 
@@ -112,13 +114,14 @@ def strips(pixels: DataFrame, shape: CubeShape, layout: Interleave | str, lines:
         first = number * lines
         part = _block(shape, first, lines)
         at = rows.column("p").to_numpy() - first * shape.width
-        if len(at) != part.pixels or (np.bincount(at, minlength=part.pixels) != 1).any():
+        often = np.bincount(at, minlength=part.pixels)
+        if (often > 1).any() or not (partial or often.all()):
             raise ValueError(f"frame {frame}: lines {first} to {first + part.height - 1} need each pixel once")
         spectra = rows.column("spectrum").combine_chunks()
         if spectra.null_count or set(pc.unique(pc.list_value_length(spectra)).to_pylist()) != {shape.bands}:
             raise ValueError(f"frame {frame}: a spectrum doesn't have {shape.bands} bands")
-        cube = np.empty((part.pixels, shape.bands), "<f4")
-        cube[at] = spectra.flatten().to_numpy(zero_copy_only=False).reshape(part.pixels, shape.bands)
+        cube = np.full((part.pixels, shape.bands), np.nan, "<f4")
+        cube[at] = spectra.flatten().to_numpy(zero_copy_only=False).reshape(len(at), shape.bands)
         return _strips_of(frame, cube.reshape(part.height, shape.width, shape.bands), shape, layout, first, lines)
 
     inside = F.when((F.col("p") >= 0) & (F.col("p") < shape.pixels), F.col("p")).otherwise(F.raise_error(F.lit(f"pixels outside of {shape}")).cast("long"))

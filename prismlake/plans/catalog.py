@@ -268,10 +268,10 @@ def interleave_bip(spark, sf_dir):
 
 
 def bsq_roundtrip(spark, sf_dir):
-    """Pixels to bands, to lines of bands and back, in blocks of lines."""
-    shape = _shape(spark, sf_dir)
-    bands = layout.strips(pixels(spark, sf_dir), shape, "bsq")
-    back = layout.from_strips(layout.convert_strips(bands, shape, "bsq", "bil"), shape, "bil")
+    """Pixels to bands, to lines of bands and back, in blocks of lines; places without a pixel (the last line's end) give no rows."""
+    shape, px = _shape(spark, sf_dir), pixels(spark, sf_dir)
+    bands = layout.strips(px, shape, "bsq", partial=True)
+    back = layout.from_strips(layout.convert_strips(bands, shape, "bsq", "bil"), shape, "bil").join(px.select("p"), "p", "left_semi")
     return _rounded(back.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
 
 
