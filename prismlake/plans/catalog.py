@@ -337,7 +337,7 @@ def envi_roundtrip(spark, sf_dir):
     from ..sources import envi
 
     envi.register(spark)
-    header = envi.write_cube(os.path.join(_folder(spark), "scene"), pixels(spark, sf_dir), _shape(spark, sf_dir))
+    header = envi.write_cube(os.path.join(_folder(spark), "scene"), pixels(spark, sf_dir), _shape(spark, sf_dir), partial=True)
     back = spark.read.format("prismlake_envi").load(header)
     return _rounded(back.select("p", F.posexplode("spectrum").alias("band", "value")), "value")
 

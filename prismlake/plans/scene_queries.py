@@ -30,12 +30,13 @@ FEW = 8
 def _cube(spark, sf_dir, value=lambda v: v, name="cube", folder=None, **kind) -> str:
     """The pixels written as a cube of some layout and type; the path of its header."""
     px = C.pixels(spark, sf_dir).withColumn("spectrum", F.transform("spectrum", lambda v: value(v.cast("double"))))
-    return envi.write_cube(os.path.join(folder or C._folder(spark), name), px, C._shape(spark, sf_dir), **kind)
+    return envi.write_cube(os.path.join(folder or C._folder(spark), name), px, C._shape(spark, sf_dir), partial=True, **kind)
 
 
 def _envi(spark, sf_dir, value=lambda v: v, **kind) -> DataFrame:
     header = _cube(spark, sf_dir, value, **kind)
-    got = spark.read.format("prismlake_envi").option("lines_per_partition", 4).load(header)
+    step = max(4, envi.read_header(header).shape.height // 64)
+    got = spark.read.format("prismlake_envi").option("lines_per_partition", step).load(header)
     return got.select("p", "y", "x", F.posexplode("spectrum").alias("band", "v")).select("p", "y", "x", "band", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 

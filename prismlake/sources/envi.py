@@ -30,6 +30,8 @@ DATA_ENDINGS = ("", ".float", ".dat", ".img", ".bin", ".raw", ".bsq", ".bil", ".
 #: What integers are divided by; unsigned 32-bit ones by the signed limit too, so they can exceed 1.
 FULL_SCALE = {"u1": 255.0, "i2": 32767.0, "i4": 2147483647.0, "u2": 65535.0, "u4": 2147483647.0}
 BATCH_BYTES = 8 << 20
+#: The ending of the file beside a cube that lacks pixels, a byte for each: 1 where there is one.
+MARKS_ENDING = ".there"
 
 
 @dataclass(frozen=True)
@@ -143,8 +145,18 @@ def _lines(path: str, data: str, header: Header, first: int, last: int) -> np.nd
     return scaled(np.ascontiguousarray(part), header.kind)
 
 
+def _marked(path: str, shape: CubeShape, first: int, last: int) -> np.ndarray | None:
+    """Which pixels of lines [first, last) are there; None if all are."""
+    marks = os.path.splitext(path)[0] + MARKS_ENDING
+    if not os.path.exists(marks):
+        return None
+    if os.path.getsize(marks) != shape.pixels:
+        raise ValueError(f"{marks}: {os.path.getsize(marks)} bytes, {shape.pixels} are expected")
+    return np.fromfile(marks, "u1", (last - first) * shape.width, offset=first * shape.width) != 0
+
+
 def read_cube(path: str) -> tuple[np.ndarray, Header]:
-    """A whole cube as (height, width, bands), for small files."""
+    """A whole cube as (height, width, bands), for small files; pixels that are missing are zero."""
     header = read_header(path)
     data = find_data_file(path)
     if not data:
@@ -254,7 +266,9 @@ class _Reader(DataSourceReader):
         for y in range(part.first, part.last, step):
             cube = _lines(part.path, data, header, y, min(y + step, part.last))
             batch = pixel_batch(part.frame_index, y, cube if self.bands is None else cube[:, :, self.bands])
-            yield batch.append_column("scene", pa.array([scene_name(part.path)] * batch.num_rows)) if self.named else batch
+            there = _marked(part.path, header.shape, y, min(y + step, part.last))
+            batch = batch if there is None else batch.filter(pa.array(there))
+            yield batch.append_column("scene", pa.array([scene_name(part.path)] * batch.num_rows, pa.string())) if self.named else batch
 
 
 class _Replay(DataSourceStreamReader):
@@ -315,7 +329,8 @@ class _Sink(PlacedWriter):
         if not self.header.shape.valid:
             raise ValueError("lines, samples and bands must be positive")
         s = self.header.shape
-        super().__init__(self.stem + options.get("ending", ".float"), self.header.header_offset + s.pixels * s.bands * self.header.sample_size, s.pixels, "spectrum")
+        self.partial = str(options.get("partial", "")).lower() == "true"
+        super().__init__(self.stem + options.get("ending", ".float"), self.header.header_offset + s.pixels * s.bands * self.header.sample_size, s.pixels, "spectrum", self.stem + MARKS_ENDING if self.partial else "")
 
     def values(self, column: pa.Array) -> np.ndarray:
         if column.null_count or column.flatten().null_count:
@@ -353,8 +368,9 @@ class _Sink(PlacedWriter):
     def finish(self) -> None:
         """Whoever finds the header finds its data: the old header goes first, the new one comes last."""
         path = self.stem + ".hdr"
-        if os.path.exists(path):
-            os.unlink(path)
+        for old in (path, self.stem + MARKS_ENDING):
+            if os.path.exists(old):
+                os.unlink(old)
         super().finish()
         with open(self.staging + ".hdr", "w", encoding="ascii") as f:
             f.write(header_text(self.header))
@@ -366,7 +382,7 @@ class EnviSource(DataSource):
     scene_column (true: the scene's name as a column), frames_per_batch, progress.
 
     df.write.format("prismlake_envi").mode("append").save(stem) writes one frame (p, spectrum): options lines, samples, bands, data_type, interleave,
-    byte_order, header_offset, wavelengths (by commas), ending.
+    byte_order, header_offset, wavelengths (by commas), ending, partial (true: pixels may be missing; they are no rows when the cube is read).
     """
 
     @classmethod
@@ -428,14 +444,15 @@ def format_header(shape: CubeShape, wavelengths_nm: tuple[float, ...] = ()) -> s
 
 def write_cube(
     stem: str, pixels: DataFrame, shape: CubeShape, wavelengths_nm: tuple[float, ...] = (), frame_index: int = 0, data_type: int = 4, interleave: str = "bsq", big_endian: bool = False, header_offset: int = 0,
+    partial: bool = False,
 ) -> str:
-    """Write one frame as a cube; the path of its header. The cube appears whole or not at all.
+    """Write one frame as a cube; the path of its header. The cube appears whole or not at all; every pixel must be there, unless it is partial.
 
     Pixels are dealt into ranges of places first, so a task's are together in the file.
     """
     register(pixels.sparkSession)
     one = pixels.where(F.col("frame_index") == frame_index).select("p", "spectrum").repartitionByRange("p").sortWithinPartitions("p")
-    options = {"lines": shape.height, "samples": shape.width, "bands": shape.bands, "data_type": data_type, "interleave": interleave, "byte_order": int(big_endian), "header_offset": header_offset, "wavelengths": ",".join(repr(float(w)) for w in wavelengths_nm)}
+    options = {"lines": shape.height, "samples": shape.width, "bands": shape.bands, "data_type": data_type, "interleave": interleave, "byte_order": int(big_endian), "header_offset": header_offset, "partial": str(partial).lower(), "wavelengths": ",".join(repr(float(w)) for w in wavelengths_nm)}
     one.write.format("prismlake_envi").mode("append").options(**options).save(stem)
     return stem + ".hdr"
 

@@ -51,3 +51,35 @@ def test_strips_with_pixels_missing(spark):
     assert all(np.isnan(v).all() if p in (9, 34) or p < 7 else v == cube.reshape(-1, 3)[p].tolist() for p, v in back.items()) and len(back) == 35
     with pytest.raises(Exception, match="need each pixel once"):
         L.strips(px.union(px.where("p = 8")), shape, "bsq", lines=2, partial=True).collect()
+
+
+@pytest.mark.parametrize("kind", [{}, {"data_type": 2, "interleave": "bil", "big_endian": True, "header_offset": 16}, {"data_type": 12, "interleave": "bip"}])
+def test_cubes_with_pixels_missing(spark, tmp_path, kind):
+    """Pixels that were not written are no rows, though the file has a place for them; a zero pixel stays."""
+    shape, cube = CubeShape(5, 7, 3), np.linspace(0, 1, 105, dtype=np.float32).reshape(5, 7, 3)
+    cube[2, 3] = 0
+    px, stem = pixel_table(spark, cube), str(tmp_path / "scene")
+    some = px.where("p NOT IN (9, 34)")
+    with pytest.raises(Exception, match="pixels written"):
+        envi.write_cube(stem, some, shape, **kind)
+    header = envi.write_cube(stem, some, shape, partial=True, **kind)
+    rows = spark.read.format("prismlake_envi").option("lines_per_partition", 2).load(header).orderBy("p").collect()
+    assert [r["p"] for r in rows] == [p for p in range(35) if p not in (9, 34)] and [r["y"] * 7 + r["x"] for r in rows] == [r["p"] for r in rows]
+    assert np.abs(np.array([r["spectrum"] for r in rows]) - np.delete(cube.reshape(-1, 3), (9, 34), axis=0)).max() < 1e-4
+    with pytest.raises(Exception, match="one is double"):
+        envi.write_cube(stem, some.union(some.where("p = 8")), shape, partial=True, **kind)
+    assert sorted(os.listdir(tmp_path)) == ["scene.float", "scene.hdr", "scene.there"]
+    envi.write_cube(stem, px, shape, partial=True, **kind)  # nothing is missing now, so nothing is marked
+    assert spark.read.format("prismlake_envi").load(header).count() == 35 and sorted(os.listdir(tmp_path)) == ["scene.float", "scene.hdr"]
+    envi.write_cube(stem, some, shape, partial=True, **kind)
+    envi.write_cube(stem, px, shape, **kind)
+    assert spark.read.format("prismlake_envi").load(header).count() == 35
+    with open(tmp_path / "scene.there", "wb") as f:
+        f.write(b"\1")
+    with pytest.raises(Exception, match="35 are expected"):
+        spark.read.format("prismlake_envi").load(header).count()
+
+
+@pytest.mark.parametrize("name", ["envi_bil_int16_big", "envi_bip_uint16", "envi_bsq_double", "envi_replay", "envi_roundtrip", "header_catalogue", "scene_lines"])
+def test_files_of_a_ragged_table(spark, ragged, name):
+    same(spark, name, ragged)
