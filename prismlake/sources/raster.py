@@ -96,15 +96,17 @@ def read_raster(spark: SparkSession, path: str, kind: str, pixels: int, frame_in
 
 
 def read_annotations(spark: SparkSession, path: str, key: str = "gt") -> DataFrame:
-    """scene, y, x, label from NumPy archives; the scene is the file's name without its ending."""
+    """scene, y, x, label from NumPy archives, by blocks of lines; the scene is the file's name without its ending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 gt = np.load(io.BytesIO(raw), allow_pickle=False)[key]
-                y, x = np.divmod(np.arange(gt.size), gt.shape[1])
-                scene = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([scene] * gt.size), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(gt.reshape(-1).astype(np.int16))], names=["scene", "y", "x", "label"])
+                scene, step = name.rsplit("/", 1)[-1].rsplit(".", 1)[0], max(1, _BATCH // max(1, gt.shape[1]))
+                for first in range(0, len(gt), step):
+                    part = gt[first : first + step]
+                    y, x = np.divmod(np.arange(part.size), part.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array([scene] * part.size, pa.string()), pa.array((y + first).astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(part.reshape(-1).astype(np.int16))], names=["scene", "y", "x", "label"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "scene string, y int, x int, label short")
 

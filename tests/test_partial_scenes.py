@@ -80,6 +80,6 @@ def test_cubes_with_pixels_missing(spark, tmp_path, kind):
         spark.read.format("prismlake_envi").load(header).count()
 
 
-@pytest.mark.parametrize("name", ["envi_bil_int16_big", "envi_bip_uint16", "envi_bsq_double", "envi_replay", "envi_roundtrip", "header_catalogue", "scene_lines"])
+@pytest.mark.parametrize("name", ["envi_bil_int16_big", "envi_bip_uint16", "envi_bsq_double", "envi_replay", "envi_roundtrip", "header_catalogue", "scene_lines", "scene_with_annotation"])
 def test_files_of_a_ragged_table(spark, ragged, name):
     same(spark, name, ragged)
