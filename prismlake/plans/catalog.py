@@ -355,14 +355,14 @@ def stream_detect(spark, sf_dir):
     px, lib, shape = pixels(spark, sf_dir), _class_library(spark, sf_dir), _shape(spark, sf_dir)
     for k in range(3):
         shifted = F.expr(f"transform(spectrum, v -> float(double(v) + {FRAME_SHIFT * k}D))")
-        envi.write_cube(os.path.join(folder, f"frame{k}"), px.withColumn("spectrum", shifted), shape)
+        envi.write_cube(os.path.join(folder, f"frame{k}"), px.withColumn("spectrum", shifted), shape, partial=True)
     envi.register(spark)
 
     def sink(found, frames, number):
         found.write.mode("overwrite").parquet(f"{out}/detections/batch={number}")
 
     stream = spark.readStream.format("prismlake_envi").load(folder)
-    run_stream(stream, lib, DetectionParams(WIDE, 1), sink, checkpoint=f"{out}/checkpoint").awaitTermination()
+    run_stream(stream, lib, DetectionParams(WIDE, 1, None), sink, checkpoint=f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/detections").select("frame_index", "y", "x", "target")
 
 

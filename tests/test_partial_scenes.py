@@ -80,6 +80,30 @@ def test_cubes_with_pixels_missing(spark, tmp_path, kind):
         spark.read.format("prismlake_envi").load(header).count()
 
 
-@pytest.mark.parametrize("name", ["envi_bil_int16_big", "envi_bip_uint16", "envi_bsq_double", "envi_replay", "envi_roundtrip", "header_catalogue", "scene_lines", "scene_with_annotation"])
+@pytest.mark.parametrize("name", ["envi_bil_int16_big", "envi_bip_uint16", "envi_bsq_double", "envi_replay", "envi_roundtrip", "header_catalogue", "scene_lines", "scene_with_annotation", "stream_detect"])
 def test_files_of_a_ragged_table(spark, ragged, name):
     same(spark, name, ragged)
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """16,005 pixels, of which those with even x and y are a class of their own: 4173 detections, more than the cap of a frame by default."""
+    import duckdb
+    import pandas as pd
+
+    folder, n = str(tmp_path_factory.mktemp("crowded")), 16_005
+    p = np.arange(n)
+    hit = (p // 25 % 2 == 0) & (p % 25 % 2 == 0)
+    x = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    x[:, 0] = np.where(hit, 20, 0)
+    table = pd.DataFrame({"vec_id": p, "embedding": list(x), "label": hit.astype(np.int32)})  # noqa: F841
+    duckdb.sql(f"COPY (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding, label FROM table) TO '{folder}/embeddings.parquet' (FORMAT parquet)".replace("FROM table", 'FROM "table"'))
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if not f.startswith("embeddings"):
+            os.symlink(f"/root/testdata/sf0.001/{f}", f"{folder}/{f}")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stream_detect", "detections_on_target", "detections_per_target"])
+def test_detections_of_a_large_frame_are_all_there(spark, crowded, name):
+    same(spark, name, crowded)
