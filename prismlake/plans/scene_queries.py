@@ -154,7 +154,7 @@ def scores_with_truth(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    return detect.detect(C._scores(spark, sf_dir), DetectionParams(C.WIDE, 1))
+    return detect.detect(C._scores(spark, sf_dir), DetectionParams(C.WIDE, 1, None))
 
 
 def detections_on_target(spark, sf_dir):
