@@ -133,7 +133,7 @@ def detections_capped(spark, sf_dir):
 
 def detections_per_target(spark, sf_dir):
     lib = _class_library(spark, sf_dir)
-    found = detect.detect(scoring.sam_best(pixels(spark, sf_dir), lib), DetectionParams(WIDE, 1))
+    found = detect.detect(scoring.sam_best(pixels(spark, sf_dir), lib), DetectionParams(WIDE, 1, None))
     return detect.per_target(found, lib.frame(spark))
 
 
