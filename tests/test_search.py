@@ -66,3 +66,27 @@ def test_passes_over_parts_of_the_library(spark, tmp_path):
     assert S.sam_nearest(pixels.where("false"), library).count() == 0
     with pytest.raises(Exception, match="number of bands"):
         S.sam_nearest(pixels.withColumn("spectrum", F.slice("spectrum", 1, 2)), library).collect()
+
+
+def test_the_work_of_a_pixel_grows_with_the_depth_of_the_tree():
+    rng = np.random.default_rng(21)
+    x, taken = rng.uniform(size=(1000, 4)), {}
+    for n in (3000, 60_000):
+        t = rng.uniform(size=(n, 30, 4)).mean(axis=1)
+        target, score, taken[n] = run(S.build_index(np.arange(n), t), x)
+        at, angle = plain(x[:200], t)
+        assert (target[:200] == at).all() and np.abs(score[:200] - angle).max() < 1e-9
+    assert taken[60_000] < 2 * taken[3000]
+
+
+def test_parts_of_neighbouring_directions_and_of_equal_ones(spark, tmp_path):
+    """700 targets of one direction can't be told apart by it, so their part is cut by their ids."""
+    rng = np.random.default_rng(22)
+    t = np.concatenate([2.0 ** rng.integers(-3, 4, (700, 1)) * np.array([1.0, 2, 4]), rng.uniform(size=(300, 3))])
+    x = np.concatenate([rng.uniform(size=(100, 3)), [[1.0, 2, 4], [0, 0, 0]]])
+    library = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(t)], "target_id long, values array<double>")
+    pixels = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "p long, spectrum array<double>")
+    rows = S.sam_nearest(pixels, library, folder=str(tmp_path), part_bytes=2400).orderBy("p").collect()
+    at, angle = plain(x, t)
+    assert [r["target"] for r in rows[:100]] == at[:100].tolist() and np.abs(np.array([r["score"] for r in rows[:100]]) - angle[:100]).max() < 1e-7
+    assert rows[100]["target"] == 0 and rows[100]["score"] < 1e-7 and (rows[101]["target"], rows[101]["score"]) == (0, RIGHT)
