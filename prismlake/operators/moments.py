@@ -230,8 +230,16 @@ def mean_spectrum(pixels: DataFrame, mask: Column, column: str = "spectrum") ->
     return whole.select(F.when(F.size("e") == 0, F.raise_error(F.lit("the mask selects no pixels"))).otherwise(F.transform("e", lambda e: e["m"])).alias("values"))
 
 
-def class_means(pixels: DataFrame, label: str = "label", column: str = "spectrum") -> DataFrame:
-    """The mean spectrum of each label over all scenes, weighted by pixels: label, n, values."""
+def class_means(pixels: DataFrame, label: str = "label", column: str = "spectrum", bands: int | None = None) -> DataFrame:
+    """The mean spectrum of each label over all scenes, weighted by pixels: label, n, values.
+
+    With the number of bands, for a few of them, a row stays one row and spectra of another length are refused.
+    """
+    if bands is not None:
+        checked = F.when(F.size(column) == bands, F.col(column)).otherwise(F.raise_error(F.lit(f"a spectrum doesn't have {bands} bands")))
+        whole = pixels.where(F.col(column).isNotNull()).select(F.col(label).alias("label"), checked.alias("s"))
+        means = whole.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("s", F.lit(b)).cast("double")).alias(f"m{b}") for b in range(bands)])
+        return means.select("label", "n", F.array(*[f"m{b}" for b in range(bands)]).alias("values"))
     by_band = pixels.select(F.col(label).alias("label"), F.posexplode(column).alias("band", "v")).groupBy("label", "band").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
     return by_band.groupBy("label").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("band", "m"))).alias("e")).select("label", "n", F.transform("e", lambda e: e["m"]).alias("values"))
 

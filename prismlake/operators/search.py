@@ -237,8 +237,9 @@ def search_parts(parts: list[Index], x: np.ndarray, target: np.ndarray, score: n
         if part.blank >= 0:
             offer(target, score, lit, part.blank, RIGHT_ANGLE)
     parts = [part for part in parts if len(part.ids)]
-    for i in range(0, len(lit), ROWS) if parts else ():
-        rows = lit[i : i + ROWS]
+    step = ROWS * len(parts) if parts and isinstance(parts[0], Tree) else ROWS  # about ROWS for each part
+    for i in range(0, len(lit), step) if parts else ():
+        rows = lit[i : i + step]
         u = _units(x[rows])
         bounds = np.stack([part.bound(u) for part in parts])
         own = bounds.argmin(axis=0)

@@ -281,7 +281,7 @@ def sam_large_library(spark, sf_dir):
     """The mean spectra of all parts are a library that is searched by clusters, for the nearest to each item."""
     items = C.items(spark, sf_dir).drop("l_returnflag")
     parts = C._table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("label"), F.array(*[(F.col(c) / s).cast("double") for c, s in C.SCALE]).alias("spectrum"))
-    library = moments.class_means(parts, "label").select(F.col("label").alias("target_id"), "values")
+    library = moments.class_means(parts, "label", bands=len(C.SCALE)).select(F.col("label").alias("target_id"), "values")
     return C._rounded(search.sam_nearest(items, library, folder=C._folder(spark)).select("l_orderkey", "l_linenumber", "target", "score"), "score", digits=5)
 
 

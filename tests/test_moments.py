@@ -129,3 +129,14 @@ def test_merging_with_nothing_and_long_form_of_nothing(spark):
     assert M.moments_long(spark.createDataFrame([], "spectrum array<double>")).count() == 0
     plan = M.moments_long(spark.createDataFrame([(v.tolist(),) for v in x], "spectrum array<double>"))._jdf.queryExecution().toString()
     assert "Generate" not in plan
+
+
+def test_class_means_of_a_given_number_of_bands(spark):
+    from prismlake.operators.moments import class_means
+
+    rows = [("a", [1.0, 2.0]), ("a", [2.0, None]), ("b", None), (None, [3.0, 5.0]), ("c", [None, None])]
+    px = spark.createDataFrame(rows, "label string, spectrum array<float>")
+    got = [sorted(map(str, class_means(px, **k).collect())) for k in ({}, {"bands": 2})]
+    assert got[0] == got[1] and len(got[0]) == 3
+    with pytest.raises(Exception, match="doesn't have 3 bands"):
+        class_means(px, bands=3).collect()
