@@ -107,3 +107,7 @@ def crowded(tmp_path_factory):
 @pytest.mark.parametrize("name", ["stream_detect", "detections_on_target", "detections_per_target"])
 def test_detections_of_a_large_frame_are_all_there(spark, crowded, name):
     same(spark, name, crowded)
+
+
+def test_all_lines_of_a_tall_scene_stay(spark, crowded):
+    same(spark, "scene_with_annotation", crowded)
