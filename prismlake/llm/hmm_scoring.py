@@ -16,7 +16,6 @@ shared folder, and the rounds and the scoring read those.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -24,6 +23,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ HEAD_WORDS, SEED_DOCUMENTS = 32_768, 1500
 #: Steps of a recursion that run one after another; longer texts are cut there and joined exactly.
 SEGMENT = 512
 LOT_TOKENS = 600_000
+#: Tokens that a task counts at once, and rows of its counts in a batch.
+COUNTED_TOKENS, COUNTED_ROWS = 4_000_000, 200_000
 #: What each count of starts and moves gets in addition; the counts of words get a prior of so many words that follow the corpus.
 SMOOTHING, PRIOR = 0.01, 60.0
 #: How often a rare word's expected counts by state weigh its count in the whole corpus: once for each state.
@@ -76,32 +78,47 @@ class Segments:
         return chosen[np.argsort(-self.length[chosen], kind="stable")]
 
 
-def _steps(lengths: np.ndarray):
-    """For segments sorted by falling length: each step and how many segments have it."""
-    alive = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
-    return list(enumerate(alive.tolist()))
+class Steps:
+    """Segments sorted by falling length, their tokens step after step: what a step reads lies side by side, a row for each state."""
 
+    def __init__(self, model: Model, seg: Segments, rows: np.ndarray):
+        self.rows, self.length = rows, seg.length[rows]
+        #: How many segments have each step, and where its tokens begin.
+        self.alive = np.searchsorted(-self.length, -np.arange(self.length[0] if len(rows) else 0), side="left").tolist()
+        self.start = np.cumsum([0, *self.alive])
+        at = seg.at[rows]
+        self.at = np.concatenate([at[:n] + t for t, n in enumerate(self.alive)] or [at])
+        self.tokens = seg.tokens[self.at]
+        self.emit = np.take(np.ascontiguousarray(model.emit.T), self.tokens, axis=1)
 
-def _transfer(model: Model, seg: Segments, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __iter__(self):
+        """Each step, how many segments have it, and the place of its tokens."""
+        for t, (n, start) in enumerate(zip(self.alive, self.start.tolist())):
+            yield t, n, slice(start, start + n)
+
+
+def _transfer(model: Model, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
     """For each segment, the product of its step matrices, scaled, and the log of the scale."""
     k = len(model.start)
-    m, logs = np.tile(np.eye(k), (len(rows), 1, 1)), np.zeros(len(rows))
-    for t, n in _steps(seg.length[rows]):
-        x = (m[:n] @ model.move) * model.emit[seg.tokens[seg.at[rows[:n]] + t]][:, None, :]
-        total = x.sum(axis=(1, 2))
-        m[:n] = x / total[:, None, None]
+    move = np.ascontiguousarray(model.move.T)
+    # Axes: the state before the segment, the state now, the segment.
+    m, logs = np.repeat(np.eye(k)[:, :, None], len(steps.rows), axis=2), np.zeros(len(steps.rows))
+    for _, n, here in steps:
+        x = np.matmul(move, m[:, :, :n])
+        x *= steps.emit[:, here]
+        total = x.sum(axis=(0, 1))
+        np.divide(x, total, out=m[:, :, :n])
         logs[:n] += np.log(total)
-    return m, logs
+    return m.transpose(2, 0, 1), logs
 
 
-def _chains(model: Model, seg: Segments, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chains(model: Model, seg: Segments, later: Steps, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the later segments of long texts: the forward vector before each, the backward vector after each segment, and the log likelihood that each later segment adds."""
     k = len(model.start)
     before, after, logs = np.zeros((len(seg.length), k)), np.ones((len(seg.length), k)), np.zeros(len(seg.length))
-    later = seg.order(np.flatnonzero(seg.nth > 0))
-    if len(later):
-        m, scale = _transfer(model, seg, later)
-        of = {(int(seg.text[r]), int(seg.nth[r])): i for i, r in enumerate(later)}
+    if len(later.rows):
+        m, scale = _transfer(model, later)
+        of = {(int(seg.text[r]), int(seg.nth[r])): i for i, r in enumerate(later.rows)}
         row = {(d, j): r for r, (d, j) in enumerate(zip(seg.text.tolist(), seg.nth.tolist(), strict=True))}
         now = ends[0]
         for (d, j), i in sorted(of.items()):
@@ -116,33 +133,37 @@ def _chains(model: Model, seg: Segments, ends: np.ndarray) -> tuple[np.ndarray,
     return before, after, logs
 
 
-def _forward(model: Model, seg: Segments, rows: np.ndarray, before: np.ndarray | None, keep: bool):
-    """The scaled forward recursion along segments; before is None for first segments."""
-    k = len(model.start)
-    logs, last = np.zeros(len(rows)), np.zeros((len(rows), k))
-    kept = []
-    for t, n in _steps(seg.length[rows]):
-        b = model.emit[seg.tokens[seg.at[rows[:n]] + t]]
-        x = (model.start if t == 0 and before is None else (before[rows] if t == 0 else last[:n]) @ model.move) * b
-        total = x.sum(axis=1)
-        x /= total[:, None]
-        logs[:n] += np.log(total)
-        last[:n] = x
-        if keep:
-            kept.append((x, b, total))
-    return logs, last, kept
+def _forward(model: Model, steps: Steps, before: np.ndarray | None):
+    """The scaled forward recursion along segments; before is None for first segments. Logs and last vectors of segments, vectors and scales of tokens."""
+    move = np.ascontiguousarray(model.move.T)
+    x, scale = np.empty_like(steps.emit), np.empty(steps.emit.shape[1])
+    last = None
+    for t, n, here in steps:
+        now, total = x[:, here], scale[here]
+        if t:
+            np.matmul(move, last[:, :n], out=now)
+        else:
+            now[:] = model.start[:, None] if before is None else move @ before[steps.rows].T
+        now *= steps.emit[:, here]
+        np.sum(now, axis=0, out=total)
+        now /= total
+        last = now
+    step_logs, logs = np.log(scale), np.zeros(len(steps.rows))
+    for _, n, here in steps:
+        logs[:n] += step_logs[here]
+    return logs, x[:, steps.start[steps.length - 1] + np.arange(len(steps.rows))], x, scale
 
 
 def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """The natural log of each text's probability, exactly, over whole texts."""
     seg = Segments(texts)
-    first = seg.order(np.flatnonzero(seg.nth == 0))
-    logs, last, _ = _forward(model, seg, first, None, keep=False)
+    first = Steps(model, seg, seg.order(np.flatnonzero(seg.nth == 0)))
+    logs, last, _, _ = _forward(model, first, None)
     ends = np.zeros((len(seg.length), len(model.start)))
-    ends[first] = last
+    ends[first.rows] = last.T
     out = np.zeros(seg.n_texts)
-    out[seg.text[first]] = logs
-    _, _, added = _chains(model, seg, ends)
+    out[seg.text[first.rows]] = logs
+    _, _, added = _chains(model, seg, Steps(model, seg, seg.order(np.flatnonzero(seg.nth > 0))), ends)
     np.add.at(out, seg.text, added)
     return out
 
@@ -153,39 +174,41 @@ class Counts:
     def __init__(self, k: int, rows: int):
         self.start, self.move, self.emit, self.log = np.zeros(k), np.zeros((k, k)), np.zeros((rows, k)), 0.0
 
-    def add(self, model: Model, texts: list[np.ndarray]) -> np.ndarray:
-        """Forward and backward over whole texts; segments take the exact vectors at their ends. The states' probabilities at each token."""
+    def add(self, model: Model, texts: list[np.ndarray], keep: bool = False) -> np.ndarray | None:
+        """Forward and backward over whole texts; segments take the exact vectors at their ends. If to be kept, the probabilities of each state, a row, at each token."""
         seg = Segments(texts)
         k = len(model.start)
-        first, later = seg.order(np.flatnonzero(seg.nth == 0)), seg.order(np.flatnonzero(seg.nth > 0))
-        logs, last, kept = _forward(model, seg, first, None, keep=True)
+        first, later = (Steps(model, seg, seg.order(np.flatnonzero(x))) for x in (seg.nth == 0, seg.nth > 0))
+        logs, *passed = _forward(model, first, None)
         ends = np.zeros((len(seg.length), k))
-        ends[first] = last
-        before, after, added = _chains(model, seg, ends)
+        ends[first.rows] = passed[0].T
+        before, after, added = _chains(model, seg, later, ends)
         self.log += float(logs.sum() + added.sum())
-        posterior = np.zeros((len(seg.tokens), k))
-        for rows, steps, prior in ((first, kept, None), (later, None, before)):
-            if not len(rows):
+        posterior = np.empty((k, len(seg.tokens))) if keep else None
+        moves = np.zeros((k, k))
+        for steps, prior in ((first, None), (later, before)):
+            if not len(steps.rows):
                 continue
-            if steps is None:
-                _, last, steps = _forward(model, seg, rows, before, keep=True)
-            beta = after[rows]
-            beta /= (last * beta).sum(axis=1, keepdims=True)
+            last, x, scale = passed if prior is None else _forward(model, steps, prior)[1:]
+            beta = np.ascontiguousarray(after[steps.rows].T)
+            beta /= (last * beta).sum(axis=0)
+            g = np.empty_like(x)
             # Forward vectors add up to one, so products with these backward vectors do at every step.
-            for t in range(len(steps) - 1, -1, -1):
-                x, b, total = steps[t]
-                n = len(x)
-                g = x * beta[:n]
-                posterior[seg.at[rows[:n]] + t] = g
+            for t, n, here in reversed(list(steps)):
+                np.multiply(x[:, here], beta[:, :n], out=g[:, here])
                 if t or prior is not None:
-                    right = b * beta[:n] / total[:, None]
-                    left = steps[t - 1][0][:n] if t else prior[rows[:n]]
-                    self.move += (left.T @ right) * model.move
-                    beta[:n] = right @ model.move.T
+                    right = steps.emit[:, here] * beta[:, :n]
+                    right /= scale[here]
+                    left = x[:, steps.start[t - 1] : steps.start[t - 1] + n] if t else prior[steps.rows].T
+                    moves += left @ right.T
+                    np.matmul(model.move, right, out=beta[:, :n])
                 else:
-                    self.start += g.sum(axis=0)
-        for j in range(k):
-            self.emit[:, j] += np.bincount(seg.tokens, weights=posterior[:, j], minlength=len(self.emit))
+                    self.start += g[:, here].sum(axis=1)
+            for j in range(k):
+                self.emit[:, j] += np.bincount(steps.tokens, weights=g[j], minlength=len(self.emit))
+            if keep:
+                posterior[:, steps.at] = g
+        self.move += moves * model.move
         return posterior
 
 
@@ -220,32 +243,59 @@ class Vocabulary:
         return "<u2" if self.tail < 1 << 16 else "<u4"
 
 
-def _lots(texts: Iterator[tuple[object, np.ndarray]]):
-    """Lots of texts with about LOT_TOKENS tokens."""
+def _lots(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Table]:
+    """The rows in lots of about LOT_TOKENS tokens, by their column ids."""
     lot, size = [], 0
-    for x in texts:
-        lot.append(x)
-        size += len(x[1])
-        if size >= LOT_TOKENS:
-            yield lot
-            lot, size = [], 0
+    for batch in batches:
+        upto = np.append(0, np.cumsum(pc.binary_length(batch.column("ids")).to_numpy() // np.dtype(kind).itemsize))
+        start = 0
+        while start < batch.num_rows:
+            # With the row that fills the lot.
+            stop = min(int(np.searchsorted(upto, upto[start] + LOT_TOKENS - size)), batch.num_rows)
+            lot.append(batch.slice(start, stop - start))
+            size += int(upto[stop] - upto[start])
+            start = stop
+            if size >= LOT_TOKENS:
+                yield pa.Table.from_batches(lot)
+                lot, size = [], 0
     if lot:
-        yield lot
+        yield pa.Table.from_batches(lot)
+
+
+def _arrays(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(raw, kind) for raw in column.to_pylist()]
+
+
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What words_of gives for each text, one after another, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+    some = pc.binary_length(words).to_numpy() > 0  # white space at an end splits off an empty string
+    upto = np.append(0, np.cumsum(some))
+    return words.filter(pa.array(some)), np.diff(upto[ends], prepend=0)
 
 
 @in_worker("hmm")
-def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
-    ends = 0
-    for frame in frames:
-        for text in frame["text"]:
-            seen.update(words_of(text))
-            ends += 1
-            if len(seen) > 1_000_000:
-                yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
-                seen.clear()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, those of some millions of tokens at a time, and of the texts' ends."""
+
+    def counted():
+        found = pa.chunked_array(seen, pa.string()).value_counts()
+        for start in range(0, len(found), COUNTED_ROWS):
+            part = found.slice(start, COUNTED_ROWS)
+            yield pa.RecordBatch.from_arrays([part.field("values"), part.field("counts")], names=["word", "n"])
+
+    seen, size, ends = [], 0, 0
+    for batch in batches:
+        words, _ = split_texts(batch.column("text"))
+        seen.append(words)
+        size, ends = size + len(words), ends + batch.num_rows
+        if size >= COUNTED_TOKENS:
+            yield from counted()
+            seen, size = [], 0
+    yield from counted()
     if ends:
-        yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen] + [END], "n": list(seen.values()) + [ends]})
+        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], names=["word", "n"])
 
 
 def is_held_out(id_col: str):
@@ -295,41 +345,68 @@ def _first_guess(train: DataFrame, vocabulary: Vocabulary, states: int, seeds: i
     return Model(np.full(states, 1 / states), move, emit)
 
 
+def _binaries(values: np.ndarray, items: np.ndarray) -> pa.Array:
+    """Values as binaries of so many items each."""
+    ends = np.append(0, np.cumsum(items)) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(items), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def encode_documents(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """rows (id, text, held_out) with the tokens' numbers in place of texts, what frequent words add to the base, and the others with their order.
 
-    row tells rows apart; id stays as it comes, so it is best a string where it may be null.
+    row tells rows apart, and leaves a number free after it for each rare word of
+    the text; id stays as it comes, so it is best a string where it may be null.
     """
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     @in_worker("hmm")
-    def encode(frames):
+    def encode(batches):
         from pyspark import TaskContext
 
-        row, v = TaskContext.get().partitionId() << 33, shared.value
+        row, v = TaskContext.get().partitionId() << 40, shared.value
+        frequent, end = pa.array([w.decode() for w in v.index], pa.string()), v.index.get(END.encode(), v.tail)
         base = np.append(np.log10((v.counts + 1) / (v.total + v.distinct + 1)), 0.0)
-        for frame in frames:
-            out = []
-            for doc_id, held, text in zip(frame["id"], frame["held_out"], frame["text"], strict=True):
-                words = words_of(text)
-                own = v.encode(words)
-                seen: dict[bytes, int] = {}
-                at = [seen.setdefault(words[i] if i < len(words) else END.encode(), len(seen)) for i in np.flatnonzero(own == v.tail).tolist()]
-                at = np.array(at, dtype="<u4")
-                out.append((row, doc_id, held, own.tobytes(), float(base[own].sum()), [w.decode("utf-8", "replace") for w in seen], at.tobytes()))
-                row += 1
-            yield pd.DataFrame(out, columns=["row", "id", "held_out", "ids", "head_base", "rare", "rare_at"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, n_words = split_texts(batch.column("text"))
+            own = pc.index_in(words, value_set=frequent).fill_null(v.tail).to_numpy()
+            rare = own == v.tail
+            coded = words.filter(pa.array(rare)).dictionary_encode()
+            code = np.zeros(len(own), dtype=np.int64)
+            code[rare] = coded.indices.to_numpy()
+            # Each text's end comes after its words; where it isn't frequent, it is one more rare word.
+            ends, spelled = np.cumsum(n_words), pa.concat_arrays([coded.dictionary, pa.array([END])])
+            own, code = np.insert(own, ends, end), np.insert(code, ends, len(spelled) - 1)
+            text, rare = np.repeat(np.arange(len(ends)), n_words + 1), own == v.tail
+            text, code = text[rare], code[rare]
+            # A text's rare words are numbered in order of their first places.
+            pairs = pa.array(text * len(spelled) + code).dictionary_encode()
+            of, word = np.divmod(pairs.dictionary.to_numpy(), len(spelled))
+            n_rare = np.bincount(of, minlength=len(ends))
+            upto = np.append(0, np.cumsum(n_rare))
+            at = pairs.indices.to_numpy() - upto[text]
+            out = {
+                "row": pa.array(row + upto[:-1] + np.arange(len(ends))), "id": batch.column("id"), "held_out": batch.column("held_out"), "ids": _binaries(own.astype(v.kind), n_words + 1),
+                "head_base": pa.array(np.add.reduceat(base[own], np.append(0, np.cumsum(n_words + 1)[:-1]))),
+                "rare": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), spelled.take(pa.array(word))), "rare_at": _binaries(at.astype("<u4"), np.bincount(text, minlength=len(ends))),
+            }
+            row += int(upto[-1]) + len(ends)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     id_type = dict(rows.dtypes)["id"]
-    return rows.select("id", "text", "held_out").mapInPandas(encode, f"row long, id {id_type}, held_out boolean, ids binary, head_base double, rare array<string>, rare_at binary")
+    return rows.select("id", "text", "held_out").mapInArrow(encode, f"row long, id {id_type}, held_out boolean, ids binary, head_base double, rare array<string>, rare_at binary")
 
 
-def _sums(own: Counts, states: int) -> pd.DataFrame:
-    """A partition's expected counts as rows; those below 0 are the log likelihood, the start, the moves."""
+def _sums(own: Counts, states: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A partition's expected counts as rows, and their values for each state; rows below 0 are the log likelihood, the start, the moves."""
     at = np.flatnonzero(own.emit.any(axis=1))
     rest = np.vstack((np.append(own.log, np.zeros(states - 1)), own.start, own.move))
-    values = np.vstack((own.emit[at], rest))
-    return pd.DataFrame({"row": np.append(at, -1 - np.arange(len(rest))), **{f"v{k}": values[:, k] for k in range(states)}})
+    return np.append(at, -1 - np.arange(len(rest))), list(np.vstack((own.emit[at], rest)).T)
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
 def _maximise(sums: pd.DataFrame, vocabulary: Vocabulary, states: int) -> tuple[Model, float]:
@@ -349,13 +426,14 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, first: Model, rounds:
         now = spark.sparkContext.broadcast(model)
 
         @in_worker("hmm")
-        def expect(frames, now=now):
+        def expect(batches, now=now):
             own = Counts(states, size)
-            for lot in _lots((None, np.frombuffer(raw, kind)) for frame in frames for raw in frame["ids"]):
-                own.add(now.value, [ids for _, ids in lot])
-            yield _sums(own, states)
+            for lot in _lots(batches, kind):
+                own.add(now.value, _arrays(lot["ids"], kind))
+            row, values = _sums(own, states)
+            yield _batch({"row": row, **{f"v{k}": x for k, x in enumerate(values)}})
 
-        sums = train.select("ids").mapInPandas(expect, "row long, " + ", ".join(f"v{k} double" for k in range(states))).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(states)]).toPandas()
+        sums = train.select("ids").mapInArrow(expect, "row long, " + ", ".join(f"v{k} double" for k in range(states))).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(states)]).toPandas()
         model, log = _maximise(sums, vocabulary, states)
         history.append(log)
         now.unpersist()
@@ -368,22 +446,26 @@ def last_round(train: DataFrame, vocabulary: Vocabulary, model: Model, scratch:
     now = train.sparkSession.sparkContext.broadcast(model)
 
     @in_worker("hmm")
-    def expect(frames):
+    def expect(batches):
         own = Counts(states, size)
-        for lot in _lots(((rare, np.frombuffer(at, "<u4")), np.frombuffer(raw, kind)) for frame in frames for raw, rare, at in zip(frame["ids"], frame["rare"], frame["rare_at"], strict=True)):
-            texts = [ids for _, ids in lot]
-            posterior = own.add(now.value, texts)[np.concatenate(texts) == size - 1]
-            words = np.concatenate([rare for (rare, _), _ in lot])
-            before = np.cumsum([0] + [len(rare) for (rare, _), _ in lot])
-            at = np.concatenate([at + start for ((_, at), _), start in zip(lot, before[:-1], strict=True)])
-            v = [np.rint(np.bincount(at, weights=posterior[:, k], minlength=len(words)) * FINE) / FINE for k in range(states - 1)]
-            v.append(np.bincount(at, minlength=len(words)) - sum(v))
-            yield pd.DataFrame({"row": size, "word": words, **{f"v{k}": x for k, x in enumerate(v)}})
-        yield _sums(own, states).assign(word=None)
+        for lot in _lots(batches, kind):
+            texts, at = _arrays(lot["ids"], kind), _arrays(lot["rare_at"], "<u4")
+            posterior = own.add(now.value, texts, keep=True)[:, np.concatenate(texts) == size - 1]
+            n_rare = pc.list_value_length(lot["rare"]).to_numpy()
+            at = np.concatenate(at) + np.repeat(np.cumsum(n_rare) - n_rare, [len(x) for x in at])
+            v = [np.rint(np.bincount(at, weights=x, minlength=n_rare.sum()) * FINE) / FINE for x in posterior[: states - 1]]
+            v.append(np.bincount(at, minlength=n_rare.sum()) - sum(v))
+            # Steps are those of each text; a word's sum over the lot is exact, and one row.
+            coded = pa.concat_arrays([x.flatten() for x in lot["rare"].chunks]).dictionary_encode()
+            words, of = coded.dictionary, coded.indices.to_numpy()
+            if len(words):
+                yield _batch({"row": np.full(len(words), size), "word": words, **{f"v{k}": np.bincount(of, weights=x, minlength=len(words)) for k, x in enumerate(v)}})
+        row, values = _sums(own, states)
+        yield _batch({"row": row, "word": pa.nulls(len(row), pa.string()), **{f"v{k}": x for k, x in enumerate(values)}})
 
     columns = [f"v{k}" for k in range(states)]
     schema = "row long, word string, " + ", ".join(f"{c} double" for c in columns)
-    rows = train.select("ids", "rare", "rare_at").mapInPandas(expect, schema).groupBy("row", "word").agg(*[F.sum(c).alias(c) for c in columns])
+    rows = train.select("ids", "rare", "rare_at").mapInArrow(expect, schema).groupBy("row", "word").agg(*[F.sum(c).alias(c) for c in columns])
     sums = scratch.save(rows, "expected", "zstd")
     model, _ = _maximise(sums.where(F.col("word").isNull()).drop("word").toPandas(), vocabulary, states)
     now.unpersist()
@@ -461,7 +543,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark, "hmm")
     rows = df.select(exact_id(id_col).alias("id"), text_of(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
     train = rows.where(~F.col("held_out")).select("id", "text")
-    counts = scratch.save(train.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.save(train.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # Words that occur once stand for those that never did: they are left to the class of rare words.
     head = [(w, n) for w, n in most_frequent(counts, head_words) if n > 1]
@@ -489,9 +571,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = encoded.select("row", F.posexplode("rare").alias("at", "word")).join(shares, "word", "left").select(
         "row", "at", F.coalesce("c", F.lit(0)).alias("c"), *[F.coalesce(name, x).alias(name) for name, x in zip(names, unseen, strict=True)]
     )
-    # A text and the shares of its rare words meet by one shuffle and one sort; the text comes first.
-    texts = encoded.select("row", F.lit(-1).alias("at"), "id", "held_out", "head_base", "ids", "rare_at", F.size("rare").alias("n_rare"))
-    together = texts.unionByName(pairs, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "at")
+    # A text and the shares of its rare words meet by one shuffle and one sort; the text comes first. Its columns are one, so that rows of shares stay small.
+    texts = encoded.select("row", F.lit(-1).alias("at"), F.struct("id", "held_out", "head_base", "ids", "rare_at", F.size("rare").alias("n_rare")).alias("text"))
+    # Rows leave room for their rare words, so one number has the order of both, which Spark sorts without comparing.
+    together = texts.unionByName(pairs, allowMissingColumns=True).repartition("row").sortWithinPartitions(F.col("row") + F.col("at"))
+    together = together.select("row", "at", "c", *names, "text.*")
     denominator = int(vocabulary.total + vocabulary.distinct + 1)
     scored = together.mapInArrow(lambda batches: _score(kind, denominator, done, batches), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(

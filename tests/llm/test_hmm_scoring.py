@@ -140,3 +140,76 @@ def test_shares_reach_their_texts_across_batches_and_lots(monkeypatch, rows_a_ba
     got = [r for batch in H._score("<u2", 100, SimpleNamespace(value=model), iter(batches)) for r in batch.to_pylist()]
     assert [(r["id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in got] == [w[:4] for w in wanted]
     assert [(r["base_score"], r["score"]) for r in got] == [pytest.approx(w[4:], rel=1e-12) for w in wanted]
+
+
+AWKWARD = ["", " ", "a", "  A b\ta ", "\x1cx\x85y\x0bZ\x0c\xa0w\r\n", "Ünï ÜNÏ 日本 日本 \x00 q", "a a b " * 50, "\n", "iİ K K"]
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    for texts in (AWKWARD, [], [""], ["", None, "b"]):
+        column = H.pa.array(["x y", *texts], H.pa.string())[1:]
+        words, sizes = H.split_texts(column)
+        wanted = [H.words_of(t or "") for t in texts]
+        assert [w.encode() for w in words.to_pylist()] == [w for ws in wanted for w in ws] and sizes.tolist() == [len(ws) for ws in wanted]
+
+
+@pytest.mark.parametrize("tokens, rows", [(1, 1), (7, 3), (10**6, 10**6)])
+def test_counts_of_words_in_parts(monkeypatch, tokens, rows):
+    monkeypatch.setattr(H, "COUNTED_TOKENS", tokens)
+    monkeypatch.setattr(H, "COUNTED_ROWS", rows)
+    got = Counter()
+    for start in (0, 4):
+        for batch in H._count_words(H.pa.RecordBatch.from_pydict({"text": H.pa.array(x, H.pa.string())}) for x in (AWKWARD[start : start + 2], [], AWKWARD[start + 2 : start + 4])):
+            for r in batch.to_pylist():
+                got[r["word"].encode()] += r["n"]
+    wanted = Counter(w for t in AWKWARD[:8] for w in H.words_of(t))
+    assert got == wanted + Counter({b"\n": 8})
+    assert list(H._count_words(iter([]))) == []
+
+
+@pytest.mark.parametrize("head", [[], [("a", 9)], [("\n", 30), ("a", 9), ("b", 4)]])
+def test_numbers_spell_the_texts_and_rows_leave_room(spark, head):
+    """A row leaves a number free for each rare word of its text, so one sort key has the order of texts and of their words."""
+    texts = dict(enumerate([*AWKWARD, None]))
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").withColumn("held_out", H.F.lit(False))
+    v = H.Vocabulary(head, 100, 20)
+    got = sorted(H.encode_documents(df, v).collect(), key=lambda r: r["row"])
+    frequent = {i: w for w, i in v.index.items()}
+    base = {w.encode(): math.log10((n + 1) / 121) for w, n in head}
+    for r in got:
+        rare = iter(np.frombuffer(r["rare_at"], "<u4").tolist())
+        words = [frequent[i] if i < v.tail else r["rare"][next(rare)].encode() for i in np.frombuffer(r["ids"], v.kind).tolist()]
+        assert words == [*H.words_of(texts[int(r["id"])] or ""), b"\n"] and next(rare, None) is None
+        assert len(set(r["rare"])) == len(r["rare"]) and r["head_base"] == pytest.approx(sum(base.get(w, 0.0) for w in words))
+    assert len(got) == len(texts)
+    assert all(b["row"] - a["row"] > len(a["rare"]) for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("tokens", [1, 5, 100])
+def test_lots_hold_all_rows_in_order(monkeypatch, tokens):
+    monkeypatch.setattr(H, "LOT_TOKENS", tokens)
+    ids = [np.arange(n, dtype="<u2").tobytes() for n in (1, 9, 2, 2, 1, 30, 1)]
+    lots = list(H._lots((H.pa.RecordBatch.from_pydict({"ids": H.pa.array(x, H.pa.binary())}) for x in (ids[:3], [], ids[3:])), "<u2"))
+    assert [x for lot in lots for x in lot["ids"].to_pylist()] == ids
+    sizes = [sum(map(len, lot["ids"].to_pylist())) // 2 for lot in lots]
+    assert all(n >= tokens for n in sizes[:-1]) and all(n - len(lot["ids"][-1].as_py()) // 2 < tokens for n, lot in zip(sizes, lots))
+
+
+def test_a_lot_gives_a_rare_word_one_row(spark, sample, monkeypatch):
+    """Expected counts are added up over a lot before they leave the task, in steps of each text."""
+    train = sample.select(H.F.col("doc_id").cast("string").alias("id"), "text").withColumn("held_out", H.F.lit(False)).coalesce(1)
+    counts = Counter(w for r in train.collect() for w in H.words_of(r["text"]))
+    head = [(w.decode(), n) for w, n in counts.most_common(50)]
+    vocabulary = H.Vocabulary(head, sum(counts.values()) + train.count(), len(counts) + 1)
+    scratch = Scratch(spark, "t")
+    encoded = scratch.save(H.encode_documents(train, vocabulary), "encoded")
+    model = some_model(3, 51)
+    found = {}
+    for lot in (1, 10**9):
+        monkeypatch.setattr(H, "LOT_TOKENS", lot)
+        _, expected = H.last_round(encoded, vocabulary, model, scratch)
+        found[lot] = {r["word"]: (r["v0"], r["v1"], r["v2"]) for r in expected.collect()}
+    assert found[1] == found[10**9]
+    for w, v in found[1].items():
+        assert sum(v) == (train.count() if w == H.END else counts[w.encode()]) and all(x * H.FINE == round(x * H.FINE) for x in v)
+    assert len(found[1]) == len(counts) + 1 - len(head)
